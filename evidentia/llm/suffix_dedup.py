@@ -24,7 +24,7 @@ from evidentia.llm.common import bounded_batches, map_arrow, stored
 LENGTH, GRAM = 100, 32
 WINDOW = LENGTH - GRAM + 1
 #: Bytes hashed at once; suffixes sorted by quicksort up to this depth; stretches in a group that are sorted at once.
-PIECE, SHALLOW, GROUP = 1 << 19, 16, 2048
+PIECE, SHALLOW, GROUP = 1 << 18, 16, 2048
 #: Bits of a text's hash that tell apart documents of the same doc_id.
 TELL_BITS = 18
 
@@ -50,7 +50,8 @@ def anchors(raw: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
         if n > k:
             joined[: n - k] = h[: n - k] * _ODD[level] + h[k:]
         h = joined ^ (joined >> np.uint64(29))
-        grams[2 * k] = h
+        if 2 * k in (GRAM, 64):
+            grams[2 * k] = h
     place = np.uint64((1 << 20) - 1)
     least = ((grams[GRAM] * _ODD[8]) & ~place) | np.arange(n, dtype=np.uint64)
     width = 1
