@@ -1 +1 @@
-
+"""Relational operators of the evidence engine."""

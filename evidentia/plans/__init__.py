@@ -1 +1 @@
-
+"""Whole evaluations, model interfaces and the contract queries."""

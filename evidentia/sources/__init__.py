@@ -1 +1 @@
-
+"""Scans, fetches and sinks."""
