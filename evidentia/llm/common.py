@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -12,47 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidentia.tables import forget, shared_dir, stored
+
+__all__ = ["BATCH_ROWS", "WORD_PATTERN", "bounded_batches", "doc_text", "forget", "map_arrow", "shared_dir", "small_enough", "stored", "worker_cache"]
+
 #: White space of the word contracts: the ASCII space and the control characters tab to carriage return.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Rows in an Arrow batch.  Texts average a few KB, so a batch stays at a few MB.
 BATCH_ROWS = 1000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``; a local one only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="evidentia-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session may be gone at exit; the folder belongs to the cluster then
-        return
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs only the tasks that it was running.  The table goes at exit.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/evidentia/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(df: DataFrame) -> None:
-    """Delete a table of ``stored`` that no later plan reads."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        _drop(df.sparkSession, path)
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Keep the batches that go to Python workers small."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:

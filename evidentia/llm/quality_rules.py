@@ -16,9 +16,10 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Bins of a sketch grow by this factor, so a quantile is right within about 5 %.
 GROWTH = 1.1
 #: Ratios whose upper tail is judged: name, numerator, denominator, and the least threshold that a group can get.
-RATIOS = (("symbols", "n_symbols", "word_chars", 0.2), ("dup_lines", "n_dup_lines", "n_lines", 0.6), ("repeats", "n_repeat_words", "n_words", 0.4))
-#: A group's threshold is this quantile times SLACK, but at least the ratio's floor.
-QUANTILE, SLACK = 0.99, 1.5
+RATIOS = (("symbols", "n_symbols", "word_chars", 0.05), ("dup_lines", "n_dup_lines", "n_lines", 0.5), ("repeats", "n_repeat_words", "n_words", 0.4))
+#: A group's threshold is this quantile times SLACK, but at least the ratio's floor.  The quantile lies below the tail,
+#: so a tenth of junk in a group does not lift its threshold.
+QUANTILE, SLACK = 0.75, 3.0
 #: Up to so many groups, thresholds are broadcast (about 100 bytes each).
 BROADCAST_GROUPS = 100_000
 
