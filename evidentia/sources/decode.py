@@ -13,6 +13,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 from evidentia import lexicons as L
 
@@ -42,7 +43,7 @@ def inflate(raw: bytes | None, encoding: str | None) -> bytes | None:
     return gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def decoded(raw: pd.Series, encoding: pd.Series) -> pd.Series:
     return pd.Series([inflate(r, e) for r, e in zip(raw, encoding, strict=True)])
 
@@ -190,7 +191,7 @@ def articles(pages: DataFrame, page: str = "html", url: str = "url", name: str =
 def found_in_json(column: Column) -> Column:
     """json_text of a column of JSON strings."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def get(texts: pd.Series) -> pd.Series:
         out = []
         for t in texts:

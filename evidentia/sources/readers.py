@@ -23,9 +23,15 @@ def numbered(df: DataFrame) -> DataFrame:
     return df.withColumn("row_index", F.row_number().over(W.partitionBy("s3_key").orderBy("_place")).cast("int")).drop("_place")
 
 
-def csv_rows(spark: SparkSession, path: str, schema: str = S.EVIDENCE_ROW) -> DataFrame:
-    """All columns as strings, null as empty.  Rows with more fields than columns go; shorter ones are filled up."""
-    shape = T.StructType([*T._parse_datatype_string(schema).fields, T.StructField("_corrupt", T.StringType())])
+def csv_rows(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """All columns as strings, null as empty.  Rows with more fields than columns go; shorter ones are filled up.
+
+    Columns are those of the header line, which the files of one path share, unless a schema names them.
+    """
+    if schema is None:
+        glob = {"recursiveFileLookup": "true", "pathGlobFilter": "*.[cC][sS][vV]", "header": "true", "escape": '"'}
+        schema = ", ".join(f"`{c}` string" for c in spark.read.options(**glob).csv(path).columns)
+    shape = T.StructType([*T.StructType.fromDDL(schema).fields, T.StructField("_corrupt", T.StringType())])
     reader = spark.read.schema(shape).option("header", "true").option("multiLine", "true").option("escape", '"').option("columnNameOfCorruptRecord", "_corrupt").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[cC][sS][vV]")
     last = shape.fields[-2].name
     rows = reader.csv(path).select("*", F.col("_metadata.file_path").alias("s3_key"), F.monotonically_increasing_id().alias("_place"))
@@ -41,7 +47,7 @@ def parquet_rows(spark: SparkSession, path: str) -> DataFrame:
 
 def text_files(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
     """One row per file: its whole text."""
-    rows = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path)
+    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     return rows.select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("s3_key"), F.lit(1).alias("row_index"))
 
 
@@ -58,4 +64,4 @@ def json_rows(spark: SparkSession, path: str, schema: str = S.GOLD) -> DataFrame
 
 def json_texts(spark: SparkSession, path: str) -> DataFrame:
     """Each file's whole JSON text, for from_json."""
-    return spark.read.option("wholetext", "true").text(path).select(F.col("value").alias("json"), F.col("_metadata.file_path").alias("path"))
+    return spark.read.text(path, wholetext=True).select(F.col("value").alias("json"), F.col("_metadata.file_path").alias("path"))
