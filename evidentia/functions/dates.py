@@ -43,5 +43,6 @@ def weeks(first_month: Column, last_month: Column) -> Column:
 
 def decay(claim_at: Column, evidence_at: Column, half_life_days: float = 90.0) -> Column:
     """Halves each ``half_life_days`` that evidence is older than the claim; 1 for later evidence, null without a time."""
-    age = F.greatest(F.lit(0), F.unix_micros(claim_at) - F.unix_micros(evidence_at)) / 1e6
-    return F.exp(-age * (0.6931471805599453 / (half_life_days * 86400.0)))
+    age = F.unix_micros(claim_at) - F.unix_micros(evidence_at)
+    rate = 0.6931471805599453 / (half_life_days * 86400.0)
+    return F.when(age.isNotNull(), F.exp(-F.greatest(F.lit(0), age) / 1e6 * rate))

@@ -11,8 +11,8 @@ from evidentia import lexicons as L
 
 
 def clip01(x: Column) -> Column:
-    """Within 0 and 1; NaN as 0."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.nanvl(x, F.lit(0.0))))
+    """Within 0 and 1; NaN as 0, null as null."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.nanvl(x, F.lit(0.0)))))
 
 
 def dot(a: Column, b: Column) -> Column:

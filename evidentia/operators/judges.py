@@ -31,7 +31,7 @@ def ensemble(rows: DataFrame, keys: Sequence[str], count_failed: bool = False) -
     on = lambda c: F.sum(F.when(use, c))
     got = rows.groupBy(*keys).agg(on(w).alias("w"), on(w * F.col("score")).alias("ws"), on(w * F.col("score") * F.col("score")).alias("wss"), F.avg(F.when(use, F.col("confidence"))).alias("mean_confidence"))
     mean = F.col("ws") / F.col("w")
-    return got.select(*keys, F.coalesce(mean, F.lit(0.0)).alias("score"), F.coalesce(F.greatest(F.lit(0.0), F.col("wss") / F.col("w") - mean * mean), F.lit(1.0)).alias("variance"), F.coalesce("mean_confidence", F.lit(0.0)).alias("mean_confidence"))
+    return got.select(*keys, F.coalesce(mean, F.lit(0.0)).alias("score"), F.when(mean.isNull(), 1.0).otherwise(F.greatest(F.lit(0.0), F.col("wss") / F.col("w") - mean * mean)).alias("variance"), F.coalesce("mean_confidence", F.lit(0.0)).alias("mean_confidence"))
 
 
 def over_evidence(rows: DataFrame, keys: Sequence[str]) -> DataFrame:

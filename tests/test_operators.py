@@ -225,13 +225,6 @@ def test_providers(spark):
     assert len(tries) == 3
 
 
-class _Broken:
-    name = "broken"
-
-    def chat(self, prompts):
-        raise OSError
-
-
 @pytest.fixture(scope="module")
 def corpus_chunks(spark):
     rows = [("k", i, f"Revenue of part {i} grew in 202{i % 4} by {i} percent. It may fall.", "reuters.com") for i in range(40)]
@@ -254,5 +247,12 @@ def test_pipeline_without_evidence_or_judges(spark, corpus_chunks):
     claims = spark.createDataFrame([(1, "x")], ["claim_id", "claim"])
     (r,) = pipeline.evaluate(claims, corpus_chunks.limit(0), "2024-01-01").collect()
     assert r.n == 0 and r.ESS == 0
-    (r,) = pipeline.evaluate(claims, corpus_chunks, "2024-01-01", pipeline.Config(mode="single_llm", judges=(_Broken(),))).collect()
+
+    class Broken:
+        name = "broken"
+
+        def chat(self, prompts):
+            raise OSError
+
+    (r,) = pipeline.evaluate(claims, corpus_chunks, "2024-01-01", pipeline.Config(mode="single_llm", judges=(Broken(),))).collect()
     assert r.ESS == 0 and r.variances["ESS"] == 1
