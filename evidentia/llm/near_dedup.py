@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from evidentia.llm.common import doc_text, forget, map_arrow, small_enough, stored
+from evidentia.llm.common import bounded_batches, doc_text, forget, map_arrow, small_enough, stored
 from evidentia.llm.components import components
 
 #: Words in a shingle, the similarity that links two texts, bands, and samples in a band.  A pair of similarity 0.8
@@ -25,6 +25,8 @@ DF_BITS = 18
 SPREAD = 0.1
 #: Shingles that are sampled at once, so that all arrays stay in a core's cache.
 CHUNK = 16_384
+#: Nodes of a bucket in a block.
+BLOCK = 2_048
 
 _M = (1 << 64) - 1
 
@@ -270,6 +272,116 @@ def similar(pairs: DataFrame, texts: DataFrame, weights: Weights, similarity: fl
     return map_arrow(two.select("u", "v", "u_words", "v_words"), run, "u binary, v binary", lambda: (Shingler(), Weights(sent.value), {}))
 
 
+def prefixes(texts: DataFrame, weights: Weights, similarity: float) -> DataFrame:
+    """key, total, rare and after: a text's weight, its rarest shingles as 32-bit hashes, and the weight from each on.
+
+    Shingles stand in one order for all texts, rare ones first.  All that two texts share comes from their first common
+    shingle on, so similar texts have it where at least ``similarity`` of either's weight still follows: what stands
+    later is left out.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast(weights.idf)
+
+    def run(batch: pa.RecordBatch, state):
+        shingler, weights = state
+        keys, rows = batch.column("key").to_pylist(), batch.column("words").to_pylist()
+        for block in _blocks(rows):
+            shingle, tf, start = shingler([rows[i] for i in block])
+            weight = np.exp(weights(shingle, tf).astype(np.float64))
+            owner = np.repeat(np.arange(len(block)), np.diff(np.append(start, len(shingle))))
+            order = np.lexsort((shingle, -weights.idf[shingle >> np.uint64(64 - DF_BITS)], owner))
+            shingle, weight = shingle[order], weight[order]
+            total = np.bincount(owner, weight, len(block))
+            upto = np.cumsum(weight) - weight
+            after = total[owner] - (upto - upto[start][owner])
+            keep = after >= (similarity - 1e-6) * total[owner]
+            ends = pa.array(np.concatenate(([0], np.cumsum(np.bincount(owner[keep], minlength=len(block))))).astype(np.int32))
+            rare = (shingle[keep] >> np.uint64(8)).astype(np.uint32).view(np.int32)
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (rare, (after[keep] * (1 + 1e-6)).astype(np.float32))]
+            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in block], pa.binary()), pa.array(total), *lists], ["key", "total", "rare", "after"])
+
+    return map_arrow(texts.select("key", "words"), run, "key binary, total double, rare array<int>, after array<float>", lambda: (Shingler(), Weights(sent.value)))
+
+
+def _meet(rows: list[dict], similarity: float) -> tuple[list[bytes], list[bytes]]:
+    """Pairs of a block's heads and members, of different components, that may be similar and share no earlier band."""
+    heads, members = ([r for r in rows if r["head"] == x] for x in (True, False))
+    if not heads or not members:
+        return [], []
+    sizes = [len(r["rare"]) for r in members]
+    flat, owner = np.concatenate([r["rare"] for r in members]), np.repeat(np.arange(len(members)), sizes)
+    after = np.concatenate([r["after"] for r in members]).astype(np.float64)
+    order = np.argsort(flat, kind="stable")
+    names, begins = np.unique(flat[order], return_index=True)
+    ends = np.append(begins[1:], len(flat))
+    total = np.array([r["total"] for r in members])
+    numbers: dict = {}
+    part = np.array([numbers.setdefault(r["c"], len(numbers)) for r in members])
+    bands = np.array([r["bands"] for r in members])
+    apart = np.array([r["apart"] for r in members])
+    u, v = [], []
+    for h in heads:
+        rare, left = np.array(h["rare"]), np.array(h["after"], np.float64)
+        at = np.minimum(np.searchsorted(names, rare), len(names) - 1)
+        first, entry = np.full(len(members), -1), np.zeros(len(members), np.int64)
+        for i in np.flatnonzero(names[at] == rare)[::-1].tolist():
+            own = order[begins[at[i]] : ends[at[i]]]
+            first[owner[own]], entry[owner[own]] = i, own
+        ok = np.flatnonzero((first >= 0) & (part != numbers.get(h["c"], -1)) & (np.minimum(total, h["total"]) >= (similarity - 1e-6) * np.maximum(total, h["total"])))
+        both = np.minimum(left[first[ok]], after[entry[ok]])
+        ok = ok[both >= (similarity - 1e-6) * (total[ok] + h["total"] - both)]
+        ok = ok[~(bands[ok, : h["b"]] == np.array(h["bands"])[: h["b"]]).any(1)]
+        for j in ok.tolist():
+            if not apart[j] or h["key"] < members[j]["key"]:
+                u.append(h["key"])
+                v.append(members[j]["key"])
+    return u, v
+
+
+def may_be_similar(rest: DataFrame, similarity: float) -> DataFrame:
+    """(key, h) pairs that share a bucket, are of different components and by an exact bound may be similar.
+
+    A head is a node outside its bucket's largest component.  Blocks of heads meet blocks of all nodes of the bucket,
+    about BLOCK of each, so a large bucket takes many tasks of bounded memory.
+    """
+    blocks = rest.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
+    slot = F.pmod(F.xxhash64("key"), F.col("k")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
+    sized = rest.join(blocks, "band").withColumn("slot", slot)
+    heads = sized.where("apart").withColumn("head", F.lit(True)).withColumn("i", F.col("slot")).withColumn("j", every)
+    dealt = heads.unionByName(sized.withColumn("head", F.lit(False)).withColumn("j", F.col("slot")).withColumn("i", every))
+    n = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = ["key", "c", "apart", "b", "total", "rare", "after", "bands", "head"]
+
+    def run(batches):
+        held, group = [], None
+        for batch in batches:
+            keys = list(zip(*(batch.column(x).to_pylist() for x in ("band", "i", "j")), strict=True))
+            for key, row in zip(keys, batch.select(names).to_pylist(), strict=True):
+                if key != group and held:
+                    yield out(held)
+                    held = []
+                group = key
+                held.append(row)
+        if held:
+            yield out(held)
+
+    def out(rows):
+        u, v = _meet(rows, similarity)
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], ["key", "h"])
+
+    bounded_batches(rest.sparkSession)
+    return dealt.select("band", "i", "j", *names).repartition(n, "band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(run, "key binary, h binary")
+
+
+def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Of (band, key, ...): rows of buckets with several components, with c, the component, and apart, whether it is not
+    the bucket's largest one."""
+    own = members.drop("c", "apart").join(labels.select(F.col("u").alias("key"), F.col("v").alias("c")), "key", "left").withColumn("c", F.coalesce("c", "key"))
+    named = own.join(labels.groupBy(F.col("v").alias("c")).agg(F.count("*").alias("_size")), "c", "left").withColumn("_size", F.coalesce("_size", F.lit(0)))
+    several = named.groupBy("band").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi"), F.max(F.struct("_size", "c"))["c"].alias("_main")).where(F.col("_lo") != F.col("_hi"))
+    return named.join(several.select("band", "_main"), "band").withColumn("apart", F.col("c") != F.col("_main")).drop("_size", "_main")
+
+
 def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id and kept for each document.
 
@@ -279,41 +391,40 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
     of one to four words have one shingle of all words.  A class without any doc_id has a null class_id, and its rows
     are kept.
 
-    Texts of the same words are one node.  In each band's bucket the least node is tested against all others; where a
-    bucket still holds several components, further nodes of it are, four times as many each round, until every pair
-    of different components that share a bucket has been tested.  So no bucket gives all its pairs, and no link of
-    candidates is lost.
+    Texts of the same words are one node.  In each band's bucket the node that shares most buckets with others, so
+    likely the original, is tested against all.  Where a bucket holds several components even then, each node outside
+    the largest is tested against those nodes of other components that an exact bound on what the two can share leaves.
+    So every pair of different components that shares a bucket is tested or bounded, and no bucket gives all its pairs.
     """
     documents = doc_text(documents)
     frequencies, n = document_frequencies(documents)
     weights = Weights.of(frequencies, n)
     signed = stored(sign(documents, weights), "signed")
     nodes = signed.where(F.col("key").isNotNull()).groupBy("key").agg(F.any_value("bands").alias("bands"))
-    member = stored(nodes.select("key", F.explode("bands").alias("band")), "bands")
-    buckets = member.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where(F.col("lo") != F.col("hi"))
-    shared = stored(member.join(buckets.select("band", "lo"), "band"), "shared")
+    member = stored(nodes.select("key", F.posexplode("bands").alias("b", "band")), "bands")
+    buckets = member.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    shared = stored(member.join(buckets, "band"), "met")
     forget(member)
-    tested = stored(shared.where(F.col("key") != F.col("lo")).select(F.col("lo").alias("u"), F.col("key").alias("v")).distinct(), "pairs")
-    needed = shared.select("key").distinct()
-    texts = stored(_texts(documents).join(needed, "key", "left_semi").groupBy("key").agg(F.any_value("words").alias("words")), "texts")
+    degrees = shared.groupBy("key").agg(F.sum("n").alias("degree"))
+    shared = stored(shared.join(degrees, "key").select("band", "key", "b", "degree"), "shared")
+    leads = shared.groupBy("band").agg(F.max(F.struct("degree", "key"))["key"].alias("lead"))
+    led = shared.join(leads, "band").where(F.col("key") != F.col("lead"))
+    tested = stored(led.select(F.least("key", "lead").alias("u"), F.greatest("key", "lead").alias("v")).distinct(), "pairs")
+    texts = stored(_texts(documents).join(degrees.select("key"), "key", "left_semi").groupBy("key").agg(F.any_value("words").alias("words")), "texts")
     links = stored(similar(tested, texts, weights, similarity), "links")
+
+    def test(pairs: DataFrame) -> None:
+        nonlocal tested, links
+        new = stored(pairs.select(F.least("key", "h").alias("u"), F.greatest("key", "h").alias("v")).distinct().join(tested, ["u", "v"], "left_anti"), "pairs")
+        links = stored(links.unionByName(similar(new, texts, weights, similarity)), "links")
+        tested = tested.unionByName(new)
+
     labels = components(links)
-    leaders = 1
-    while True:
-        named = shared.join(labels.select(F.col("u").alias("key"), F.col("v").alias("c")), "key", "left").withColumn("c", F.coalesce("c", "key"))
-        several = named.groupBy("band").agg(F.min("c").alias("a"), F.max("c").alias("b")).where(F.col("a") != F.col("b")).select("band", "a")
-        rest = stored(named.join(several, "band").select("band", "key", "c", (F.col("c") != F.col("a")).alias("apart")), "rest")
-        ranked = rest.where("apart").withColumn("rank", F.row_number().over(W.partitionBy("band").orderBy("key")))
-        heads = ranked.where(F.col("rank") <= leaders).select("band", F.col("key").alias("h"), F.col("c").alias("d"))
-        pairs = rest.join(heads, "band").where(F.col("c") != F.col("d")).select(F.least("key", "h").alias("u"), F.greatest("key", "h").alias("v")).distinct()
-        pairs = stored(pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
-        if not small_enough(pairs, 0):
-            links = stored(links.unionByName(similar(pairs, texts, weights, similarity)), "links")
-            tested = stored(tested.unionByName(pairs), "pairs")
-            labels = components(links)
-        elif small_enough(ranked.where(F.col("rank") > leaders), 0):
-            break
-        leaders *= 4
+    rest = stored(_unsettled(shared, labels), "rest")
+    if not small_enough(rest, 0):
+        bounds = stored(prefixes(texts.join(rest.select("key").distinct(), "key", "left_semi"), weights, similarity).join(nodes, "key"), "prefixes")
+        test(may_be_similar(rest.join(bounds, "key"), similarity))
+        labels = components(links)
     forget(texts)
     rows = signed.select("doc_id", "key").join(labels.select(F.col("u").alias("key"), F.col("v").alias("c")), "key", "left").select("doc_id", "key", F.coalesce("c", "key").alias("c"))
     rows = stored(rows, "classes")
