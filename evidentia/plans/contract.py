@@ -319,7 +319,7 @@ def q35_eas(t):
     return _metric(t, "EAS")
 
 
-@query(f"""SELECT claim_id, round(greatest(0, least(1, coalesce(avg(exp(-greatest(0, epoch_us(claim_time) - epoch_us(ts)) / 1e6 * (0.6931471805599453 / (90.0 * 86400.0)))), 0.5) * (0.7 + 0.3 * count(ts)::DOUBLE / count(*)))), 6) AS ERS FROM {_ITEMS} GROUP BY claim_id""")
+@query(f"""SELECT claim_id, round(greatest(0, least(1, coalesce(avg(exp(-greatest(0, epoch_us(claim_time) - epoch_us(ts)) / 1e6 * (0.6931471805599453 / (90.0 * 86400.0)))) FILTER (ts IS NOT NULL), 0.5) * (0.7 + 0.3 * count(ts)::DOUBLE / count(*)))), 6) AS ERS FROM {_ITEMS} GROUP BY claim_id""")
 def q36_ers(t):
     return _metric(t, "ERS")
 
