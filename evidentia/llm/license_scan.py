@@ -100,9 +100,9 @@ openssl | openssl toolkit | this product includes software developed by the open
 php | this product includes php | this product includes php software freely available
 postgresql | permission to use copy modify | permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement
 busl-1.1 | business source license | terms of this business source license
-sspl-1.0 | server side public license | make the functionality of the program .{0,60}available to third parties as a service
+sspl-1.0 | make the functionality of the program | make the functionality of the program .{0,60}available to third parties as a service
 json | shall be used for good | the software shall be used for good not evil
-beerware | beer ware license | as long as you retain this notice you can do whatever you want with this stuff
+beerware | as long as you retain this notice | as long as you retain this notice you can do whatever you want with this stuff
 """
 
 NOTICES = "\n".join(
@@ -191,7 +191,7 @@ odc-by | open data commons attribution | open data commons attribution license
 pddl | public domain dedication and license | public domain dedication and license
 cdla | community data license agreement | community data license agreement(?: (?:permissive|sharing))?
 ogl | open government licen | open government licen[cs]e(?: v?[123] 0)?
-openrail | openrail | (?:creativeml |bigcode )?open ?rail(?: m)?
+openrail | openrail | (?:creativeml |bigcode )?openrail(?: m)?
 wtfpl | do what the fuck you want to public license | do what the fuck you want to public license
 commons-clause | commons clause | commons clause(?: license condition)?
 """

@@ -75,7 +75,7 @@ class Shingler:
         count = np.diff(np.append(first, len(word)))
         full = np.zeros(len(word), np.uint64)
         n = len(word)
-        for i in range(SHINGLE):
+        for i in range(min(SHINGLE, n)):
             full[: n - i] += word[i:] * self.places[i]
         doc = np.repeat(np.arange(len(rows)), count)
         keep = np.arange(n) - first[doc] + SHINGLE <= count[doc]

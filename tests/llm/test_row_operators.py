@@ -187,7 +187,8 @@ def test_kernel_scores_are_the_dual_form():
 
 def test_undetermined(table):
     rows = [(i, t, "en", "a", 1) for i, t in enumerate([None, "", "123 %%", "hello world text", "😀"])]
-    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify_language(table(rows * 3)).collect()}
+    rows += [(i, "some more english text", "en", "a", 1) for i in range(10, 20)]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify_language(table(rows)).collect()}
     assert got[0] == got[1] == got[2] == got[4] == ("und", 0.0) and got[3][0] == "en"
 
 

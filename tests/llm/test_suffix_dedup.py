@@ -57,14 +57,14 @@ def test_small_groups_and_pieces(spark, table, texts, monkeypatch):
 
 
 def test_order_is_by_doc_id(table):
-    text = "".join(random.Random(1).choice("abcdef") for _ in range(300))
+    text = "".join(random.Random(1).choices("abcdef", k=300))
     rows = [(9, text, None, None, None), (-4, text, None, None, None), (None, text, None, None, None), (None, text, None, None, None)]
     got = {r.doc_id: r.n_removed for r in S.suffix_dedup(table(rows)).collect()}
     assert got == {9: 300, -4: 0, None: 300}
 
 
 def test_repeated_rows(table):
-    text = "".join(random.Random(1).choice("abcdef") for _ in range(300))
+    text = "".join(random.Random(1).choices("abcdef", k=300))
     rows = [(1, text, None, None, None)] * 3 + [(2, text[:99], None, None, None)] * 2
     got = sorted(r.n_removed for r in S.suffix_dedup(table(rows)).collect())
     assert got == [0, 0, 0, 300, 300]
