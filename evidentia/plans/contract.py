@@ -506,7 +506,7 @@ def q57_pipeline_full(t):
     chunks = with_embeddings(evidence.chunked(evidence.documents(docs)), "text", config.embedder)
     claims = t("benchmark").select(F.col("item_id").alias("claim_id"), F.col("text").alias("claim"))
     got = P.evaluate(claims, chunks, "2024-06-01", config)
-    return got.select("claim_id", "n", *(F.round(c, 6).alias(c) for c in ("ESS", "ECS", "CMS", "LCS", "HLS", "EAS", "ERS", "ESTS", "EAGS", "SDS", "EVS", "CScope", "credibility")), F.col("decision.decision").alias("decision"), "pass")
+    return got.select("claim_id", "n", *(F.round(c, 6).alias(c) for c in ("ESS", "ECS", "CMS", "LCS", "HLS", "EAS", "ERS", "ESTS", "EAGS", "SDS", "EVS", "CScope", "credibility", "credibility_post_debate")), F.col("decision.decision").alias("decision"), "pass")
 
 
 @query()
@@ -566,3 +566,49 @@ def q64_company_facts(t):
     per = per.groupBy("o_custkey").agg(F.map_from_entries(F.collect_list(F.struct("concept", F.struct(F.struct("USD").alias("units"))))).alias("us-gaap"))
     json = per.select(T.cik10(F.col("o_custkey")).alias("cik"), F.lit("").alias("ticker"), F.to_json(F.struct(F.struct(F.col("us-gaap")).alias("facts"))).alias("json"))
     return corpus.company_facts(json, first=1996, last=1998).select("cik", "concept", "fy", "value")
+
+
+@query(r"""SELECT doc_id, file, url, clean AS text FROM (SELECT doc_id, source AS file, lang AS url, CASE WHEN len(string_split(text, '"')) >= 2 THEN regexp_replace(regexp_replace(string_split(text, '"')[-2], '^\s+', ''), '\s+$', '') END AS clean FROM documents) WHERE length(clean) > 0""")
+def q65_response_sources(t):
+    from evidentia.plans import service
+
+    rows = t("documents").select(F.col("doc_id").alias("query_id"), "text", F.col("source").alias("s3_key"), F.col("lang").alias("source_url"), F.lit(0.0).alias("score"), F.lit(0).alias("chunk_index"))
+    return service.sources(rows).select(F.col("query_id").alias("doc_id"), "file", "url", "text")
+
+
+@query("SELECT event_id FROM events WHERE event_type <> 'click' OR user_id % 3 = 0")
+def q66_language_metadata(t):
+    from evidentia.plans import service
+
+    rows = t("events").select("event_id", F.col("event_type").alias("domain"), F.when(F.col("user_id") % 3 == 0, "English").when(F.col("user_id") % 3 == 1, "French").alias("language"))
+    return service.only_english(rows, "click").select("event_id")
+
+
+@query(r"""SELECT b.item_id, d.doc_id FROM (SELECT item_id, lower(regexp_extract(text, '([\p{L}\p{N}]+)', 1)) AS w FROM benchmark) b JOIN (SELECT doc_id, lower(text) AS t FROM documents) d
+  ON d.doc_id % 40 = b.item_id % 40 WHERE regexp_matches(d.t, '(^|[^\p{L}\p{N}_])' || b.w || '([^\p{L}\p{N}_]|$)')""")
+def q67_entity_in_text(t):
+    words = t("benchmark").select("item_id", F.regexp_extract("text", r"([\p{L}\p{N}]+)", 1).alias("w"))
+    joined = words.join(t("documents").select("doc_id", "text"), F.col("doc_id") % 40 == F.col("item_id") % 40)
+    return joined.where(T.in_text(F.col("w"), F.col("text"))).select("item_id", "doc_id")
+
+
+@query()
+def q68_claim_generation(t):
+    from evidentia.plans import dialogue
+
+    picked = curate.stratified_sample(t("documents").select("source", "doc_id", "text"), "source", "doc_id")
+    nested = curate.nest_examples(picked, "source", ["doc_id"], {"text": F.col("text")}).withColumn("company_name", F.col("source"))
+    return dialogue.generate_claims(nested, dialogue.HashTalker()).select("source", "label", "claim")
+
+
+@query()
+def q69_entity_resolution(t):
+    from evidentia.plans import dialogue
+
+    rows = t("benchmark").select(F.col("item_id").alias("claim_id"), F.col("text").alias("claim"))
+    return dialogue.resolve_entities(rows, F.array("claim"), dialogue.HashTalker()).select("claim_id", F.array_join("entities", "|").alias("entities"))
+
+
+@query(r"SELECT conv_id, turn, CAST(len(regexp_extract_all(lower(text), 'the')) + len(regexp_extract_all(lower(text), 'en')) AS INTEGER) AS n FROM conversations")
+def q70_keyword_count(t):
+    return t("conversations").select("conv_id", "turn", T.word_count(F.col("text"), ("the", "en")).cast("int").alias("n"))

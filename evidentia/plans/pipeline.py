@@ -16,6 +16,7 @@ from evidentia.operators import evidence as E
 from evidentia.operators import judges as J
 from evidentia.operators import metrics as X
 from evidentia.operators import vector as V
+from evidentia.plans import dialogue
 from evidentia.plans.providers import HashEmbedder, HashJudge, with_embeddings, with_replies
 from evidentia.tables import stored
 
@@ -31,6 +32,7 @@ class Config:
     accept_to: float = 0.3
     judges: Sequence = field(default_factory=lambda: (HashJudge("a"), HashJudge("b")))
     embedder: object = field(default_factory=HashEmbedder)
+    talker: object = field(default_factory=dialogue.HashTalker)
 
     def active(self) -> Sequence:
         return {"baseline": (), "single_llm": self.judges[:1], "full": self.judges}[self.mode]
@@ -48,7 +50,7 @@ def gather(claims: DataFrame, chunks: DataFrame, k: int, config: Config) -> Data
     near = V.knn(claims.select("claim_id", F.col("claim_vec").alias("embedding")), chunks, k, "claim_id", "chunk_id")
     hits = near.join(chunks.drop("embedding"), "chunk_id").withColumn("ev_ord", F.col("rank"))
     found = E.inputs(E.evidence(E.matches(hits).withColumn("ev_ord", F.col("rank"))))
-    return V.triage(found.withColumn("relevance", M.relevance(F.col("score"))), k=k, threshold=config.threshold).drop("rn", "rank")
+    return V.triage(found.withColumn("relevance", M.relevance(F.col("score"))), k=config.k, threshold=config.threshold).drop("rn", "rank")
 
 
 def score(claims: DataFrame, evidence: DataFrame, config: Config) -> DataFrame:
@@ -77,22 +79,41 @@ def score(claims: DataFrame, evidence: DataFrame, config: Config) -> DataFrame:
     return out.withColumn("variances", F.create_map(*(x for n, v in names for x in (F.lit(n), v)))).withColumn("credibility", M.shrink(F.greatest(F.lit(1), F.col("n")), e, cs)).drop(*(f"v_{m}" for m in L.JUDGED))
 
 
+def _decided(scored: DataFrame, config: Config, number: int) -> DataFrame:
+    decision = J.decide(F.col("ESS"), F.col("ECS"), J.uncertainty(F.col("variances")), F.col("n"), config.accept_to)
+    return scored.withColumn("decision", decision).withColumn("pass", F.lit(number))
+
+
 def evaluate(claims: DataFrame, chunks: DataFrame, as_of, config: Config | None = None) -> DataFrame:
-    """Per claim: metrics, credibility, decision and pass.  In full mode, claims that escalate are evaluated once more
-    with ``k_more`` chunks that the first pass did not have.  Model calls are dear, so what they give is written to the
-    shared folder and read from there by all that follows."""
+    """Per claim: metrics, credibility, the first pass's decision, and the pass that counts.
+
+    In full mode, claims that escalate are evaluated once more, as their actions say: in other words
+    (rephrase_claim), on ``k_more`` chunks alone (global_review), or on these beside what they had (more_evidence).
+    A debate then sets ESS and ECS; credibility stays, and credibility_post_debate counts the new values.  Model calls
+    are dear, so what they give is written to the shared folder and read from there by all that follows.
+    """
     config = config or Config()
     ready = stored(prepare(claims, as_of, config), "claims")
     chunks = stored(chunks, "chunks")
     first = stored(gather(ready, chunks, config.k, config), "evidence")
-    one = stored(score(ready, first, config), "pass1").withColumn("decision", J.decide(F.col("ESS"), F.col("ECS"), J.uncertainty(F.col("variances")), F.col("n"), config.accept_to)).withColumn("pass", F.lit(1))
+    one = _decided(stored(score(ready, first, config), "pass1"), config, 1)
     if config.mode != "full":
         return one.drop("decision")
-    again = one.where(F.col("decision.decision") == "escalate").select("claim_id")
-    todo = ready.join(again, "claim_id", "left_semi")
-    more = gather(todo, chunks, config.k_more, config)
-    fresh = more.join(first.select("claim_id", "text").distinct(), ["claim_id", "text"], "left_anti")
-    both = first.join(again, "claim_id", "left_semi").unionByName(fresh.select(*first.columns))
-    ranked = stored(V.triage(both, k=config.k_more, threshold=config.threshold).drop("rn"), "evidence")
-    two = score(todo, ranked, config).withColumn("decision", J.decide(F.col("ESS"), F.col("ECS"), J.uncertainty(F.col("variances")), F.col("n"), config.accept_to)).withColumn("pass", F.lit(2))
+    one = one.withColumn("credibility_post_debate", F.col("credibility"))
+    again = stored(one.where(F.col("decision.decision") == "escalate").select("claim_id", "decision"), "escalated")
+    does = lambda action: F.array_contains("decision.actions", action)
+    told = dialogue.rephrase(claims.select("claim_id", "claim").join(again, "claim_id"), does("rephrase_claim"), config.talker)
+    todo = stored(prepare(told, as_of, config), "claims")
+    more = gather(todo, chunks, config.k_more, config).join(again, "claim_id").where(does("more_evidence") | does("global_review"))
+    had = first.join(again, "claim_id").where(~does("global_review"))
+    fresh = more.join(had.select("claim_id", "text").distinct(), ["claim_id", "text"], "left_anti")
+    both = had.select(*first.columns).unionByName(fresh.select(*first.columns))
+    ranked = stored(V.triage(both, k=config.k, threshold=config.threshold).drop("rn"), "evidence")
+    two = stored(score(todo, ranked, config), "pass2").join(again, "claim_id").withColumn("pass", F.lit(2))
+    heard = dialogue.debate(todo.join(again.where(does("debate")), "claim_id", "left_semi"), ranked, config.talker).select("claim_id", "verdict")
+    two = two.join(heard, "claim_id", "left").withColumn("ESS", F.coalesce("verdict.support_score", "ESS")).withColumn("ECS", F.coalesce("verdict.contradiction_score", "ECS"))
+    e = X.evidence_score({k: F.col(k) for k in L.EVIDENCE_METRICS})
+    cs = X.claim_score(*(F.col(k) for k in ("CMS", "HLS", "LCS", "CScope")))
+    post = F.when(F.col("verdict").isNull(), F.col("credibility")).otherwise(M.shrink(F.greatest(F.lit(1), F.col("n")), X.penalised(e, F.col("variances.evidence_variance")), cs))
+    two = two.withColumn("credibility_post_debate", post)
     return one.join(again, "claim_id", "left_anti").unionByName(two.select(*one.columns))
