@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_type
 
+from evidentia import lexicons as L
 from evidentia.functions import math as M
 
 #: Query vectors that may be broadcast: at 1,024 doubles, 80 MB.
@@ -32,6 +36,49 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_i
     return out
 
 
+def knn_batched(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", vector_id: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """The rows of ``knn``, by one matrix product per block of queries and Arrow batch of vectors.
+
+    For wide vectors or many queries: a product costs far less than array functions, element by element.  Each batch
+    gives its k best per query, so what is shuffled grows with batches, not with pairs.  Cosines are rounded to 12
+    digits before they are ranked, so that equal vectors tie.
+    """
+    rows = queries.select(query_id, column).where(F.col(column).isNotNull())
+    kinds = {c: vectors.schema[c].dataType for c in (vector_id,)} | {query_id: queries.schema[query_id].dataType}
+    shape = f"`{query_id}` {kinds[query_id].simpleString()}, `{vector_id}` {kinds[vector_id].simpleString()}, cosine double"
+    n = rows.count()
+    blocks = max(1, -(-n // BROADCAST_QUERIES))
+    context = vectors.sparkSession.sparkContext
+    out = None
+    for b in range(blocks):
+        part = (rows if blocks == 1 else rows.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b)).collect()  # bounded by BROADCAST_QUERIES
+        sent = context.broadcast(([r[0] for r in part], np.array([r[1] for r in part], np.float64)))
+
+        def run(batches, sent=sent):
+            names, q = sent.value
+            if not len(names):
+                return
+            q_norm = np.sqrt((q * q).sum(1))[:, None]
+            for batch in batches:
+                lists = batch.column(1)
+                at = np.flatnonzero(np.asarray(lists.is_valid()))
+                if not len(at):
+                    continue
+                ids = batch.column(0).take(pa.array(at))
+                v = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), -1)
+                cos = np.round((q @ v.T) / (q_norm * np.sqrt((v * v).sum(1)) + L.EPS), 12)
+                order = np.argsort(np.array(ids.to_pylist(), object), kind="stable")
+                best = order[np.argsort(-cos[:, order], axis=1, kind="stable")[:, :k]]
+                row = np.repeat(np.arange(len(names)), best.shape[1])
+                flat = best.ravel()
+                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in row], to_arrow_type(kinds[query_id])), ids.take(pa.array(flat)), pa.array(cos[row, flat])], [query_id, vector_id, "cosine"])
+
+        scored = vectors.select(vector_id, column).mapInArrow(run, shape)
+        ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy(query_id).orderBy(F.desc("cosine"), vector_id))).where(F.col("rank") <= k)
+        out = ranked if out is None else out.unionByName(ranked)
+    return out
+
+
 def triage(scored: DataFrame, claim: str = "claim_id", score: str = "relevance", order: str = "ev_ord", k: int = 5, threshold: float = 0.2) -> DataFrame:
     """Of each claim's evidence, the best k that reach the threshold, or the best one if none does."""
     rank = F.row_number().over(W.partitionBy(claim).orderBy(F.desc(score), order))

@@ -47,7 +47,7 @@ def prepare(claims: DataFrame, as_of, config: Config) -> DataFrame:
 
 def gather(claims: DataFrame, chunks: DataFrame, k: int, config: Config) -> DataFrame:
     """The k nearest chunks of each claim as evidence, after triage."""
-    near = V.knn(claims.select("claim_id", F.col("claim_vec").alias("embedding")), chunks, k, "claim_id", "chunk_id")
+    near = V.knn_batched(claims.select("claim_id", F.col("claim_vec").alias("embedding")), chunks, k, "claim_id", "chunk_id")
     hits = near.join(chunks.drop("embedding"), "chunk_id").withColumn("ev_ord", F.col("rank"))
     found = E.inputs(E.evidence(E.matches(hits).withColumn("ev_ord", F.col("rank"))))
     return V.triage(found.withColumn("relevance", M.relevance(F.col("score"))), k=config.k, threshold=config.threshold).drop("rn", "rank")

@@ -125,8 +125,11 @@ def test_knn_is_brute_force(spark, monkeypatch):
     want = {(q, v) for q, a in rows[:9] for v, _ in sorted(rows, key=lambda r: (-cos(a, r[1]), r[0]))[:4]}
     queries = df.where("vec_id < 9").select(F.col("vec_id").alias("query_id"), "embedding")
     assert {(r.query_id, r.vec_id) for r in vector.knn(queries, df, 4).collect()} == want
+    batched = lambda: {(r.query_id, r.vec_id) for r in vector.knn_batched(queries, df.repartition(3), 4).collect()}
+    assert batched() == want
+    assert vector.knn_batched(queries, df.limit(0), 4).count() == 0 and vector.knn_batched(queries.limit(0), df, 4).count() == 0
     monkeypatch.setattr(vector, "BROADCAST_QUERIES", 4)
-    assert {(r.query_id, r.vec_id) for r in vector.knn(queries, df, 4).collect()} == want
+    assert {(r.query_id, r.vec_id) for r in vector.knn(queries, df, 4).collect()} == want and batched() == want
 
 
 @pytest.fixture(scope="module")
