@@ -18,6 +18,8 @@ LONGEST = 4
 HASH_BITS = 21
 #: Bounds of the training sample: texts per language, landmarks per language, code points of a training text.
 PER_LANGUAGE, LANDMARKS, TRAIN_CHARS = 400, 48, 20_000
+#: Languages that are learned: the most frequent ones.
+LANGUAGES = 200
 #: n-grams that the kernel compares: those that most landmarks hold.
 VOCABULARY = 24_576
 #: Texts scored by one matrix product.
@@ -112,11 +114,11 @@ def training_sample(documents: DataFrame, usable: Column, per_language: int = PE
     """
     fit = documents.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= most_chars))
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    counts = {r.lang: r.n for r in fit.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r.lang: r.n for r in fit.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return [], []
     share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1_000_000, 2_000_000 * per_language // n + 200))))
-    near = fit.where(slot < F.element_at(share, F.col("lang"))).select("text", "lang", F.xxhash64("doc_id").alias("h"))
+    near = fit.where(slot < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0))).select("text", "lang", F.xxhash64("doc_id").alias("h"))
     order = W.partitionBy("lang").orderBy("h", "text")
     rows = near.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= per_language).collect()
     rows.sort(key=lambda r: (r.lang, r.rn))
