@@ -205,7 +205,7 @@ def test_marked_article():
     assert html_extract.article_text("<div><p>x</p></div>") is None
 
 
-@pytest.mark.parametrize("page", ["<article><p>a<div class=ad>b</article>c", "<div class=ad><article>a</article>", "<main>a</main><nav>b", "<article>a<script>b</article>", "<article>a</span></b></article>", "<ARTICLE>a</ARTICLE>", "<div role='main'>a</div>b", "<article>a<nav>b<p>c</nav></article>"])
+@pytest.mark.parametrize("page", ["<article><p>a<div class=ad>b</article>c", "<div class=ad><article>a</article>", "<main>a</main><nav>b", "<article>a<script>b</article>", "<article>a</span></b></article>", "<ARTICLE>a</ARTICLE>", "<div role='main'>a</div>b", "<article>a<nav>b<p>c</nav></article>", "<body class='comments-open'><article class='has-comments'>a<div class='comments'>b<article>c</article></div></article>", "<article>a</article><article class='comment'>b</article>"])
 def test_broken_pages(page):
     assert html_extract.article_text(page) == "a"
 
