@@ -56,9 +56,20 @@ def stratified_sample(df: DataFrame, key: str, row_id: str, seed: str = "210", l
 
 
 def fraction_sample(df: DataFrame, row_id: str, share: float = 0.1, seed: str = "1") -> DataFrame:
-    """greatest(1, floor(n * share)) rows in hash order: a top-k, so no task sorts all rows."""
-    n = df.count()
-    return df.orderBy(md5_rank(seed, row_id), row_id).limit(max(1, int(n * share))) if n else df
+    """greatest(1, floor(n * share)) rows in hash order.
+
+    Counts per slot of the hash, at most 65,536, tell at which slot the sample ends; slots before it count whole, and
+    only the last one is sorted.
+    """
+    slot = F.conv(F.substring(md5_rank(seed, row_id), 1, 4), 16, 10).cast("int")
+    slots = sorted((r.slot, r.n) for r in df.groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).collect())
+    need = max(1, int(sum(n for _, n in slots) * share))
+    last = 0
+    for last, n in slots:
+        if n >= need:
+            break
+        need -= n
+    return df.where(slot < last).unionByName(df.where(slot == last).orderBy(md5_rank(seed, row_id), row_id).limit(need))
 
 
 def nest_examples(df: DataFrame, key: str, order: Sequence[str], evidence: dict[str, Column], first: Sequence[str] = (), most: int = 5) -> DataFrame:
