@@ -20,9 +20,9 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 PLAIN = regex.compile(r"[^\t\n\r\x20-\x7E\xA0-ɏΑ-ΡΣ-ωА-я‐-‧€]")
 #: Entries of the broadcast table, and of a worker's cache before it is emptied.
 TABLE_SIZE, CACHE_SIZE = 32_768, 200_000
-#: Documents whose pre-tokens choose the table's entries.  This bound changes speed alone: each length in the
-#: table is the library's, and what the table lacks is encoded.
-CALIBRATION_DOCS = 4_096
+#: Documents whose pre-tokens choose the table's entries, and their length in characters.  These bounds change speed
+#: alone: each length in the table is the library's, and what the table lacks is encoded.
+CALIBRATION_DOCS, CALIBRATION_CHARS = 2_048, 8_192
 
 
 def _tokenizer(spec: str):
@@ -43,24 +43,18 @@ def _lengths(tokenizer, pieces: list[str]) -> list[int]:
 
 
 def frequent_lengths(documents: DataFrame, spec: str, table_size: int, calibration_docs: int) -> bytes:
-    """The compact table: pre-tokens joined by zero bytes, then their lengths as 16-bit numbers."""
-    find = regex.compile(PRE_TOKEN).findall
+    """The compact table: pre-tokens joined by zero bytes, then their lengths as 16-bit numbers.
 
-    def count(batches):
-        seen: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text and not PLAIN.search(text):
-                    seen.update(find(text))
-            if len(seen) > 16 * table_size:
-                seen = Counter(dict(seen.most_common(8 * table_size)))
-        words = [w for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:table_size] if len(w) < 200]
-        lengths = _lengths(_tokenizer(spec)[0], words)
-        yield pa.RecordBatch.from_arrays([pa.array([("\0".join(words)).encode()], pa.binary()), pa.array([np.array(lengths, "<u2").tobytes()], pa.binary())], ["words", "lengths"])
-
-    rows = documents.select("text").limit(calibration_docs).coalesce(1).mapInArrow(count, "words binary, lengths binary").collect()
-    words = [r.words for r in rows if r.words]
-    return b"\1".join([words[0], bytes(next(r.lengths for r in rows if r.words))]) if words else b""
+    Texts come by ``take``, which reads partitions until it has enough, so the driver gets some MB at any input size.
+    """
+    find = regex.compile(PRE_TOKEN).findall
+    seen: Counter = Counter()
+    for row in documents.where(F.length("text") <= CALIBRATION_CHARS).select("text").take(calibration_docs):
+        if row.text and not PLAIN.search(row.text):
+            seen.update(find(row.text))
+    words = [w for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:table_size] if len(w) < 200]
+    lengths = _lengths(_tokenizer(spec)[0], words)
+    return b"\1".join((b"\0".join(w.encode() for w in words), np.array(lengths, "<u2").tobytes())) if words else b""
 
 
 def count_tokens(documents: DataFrame, tokenizer_path: str, limit: int = 1024, table_size: int = TABLE_SIZE, calibration_docs: int = CALIBRATION_DOCS) -> DataFrame:
