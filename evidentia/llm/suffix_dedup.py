@@ -32,6 +32,8 @@ _M = (1 << 64) - 1
 _RNG = np.random.Generator(np.random.PCG64(60_013))
 _BYTES = _RNG.integers(0, _M, 256, np.uint64, endpoint=True)
 _ODD = _RNG.integers(0, _M, 16, np.uint64, endpoint=True) | np.uint64(1)
+#: Rows of a gram that a task deals out by gram; what is added to the numbers of groups whose gram has stretches elsewhere.
+SEND, _FAR = 64, 1 << 40
 NULL_ID = (1 << 63) - 1
 
 
@@ -99,6 +101,10 @@ def _pack(start, tell, ahead, more):
 
 _TELL = (1 << TELL_BITS) - 1
 _NAMES = ("a", "u", "o", "m", "end")
+#: In ``end``, where no span ends: an occurrence of a digest, a stretch that is to be sorted in any case, or the notice,
+#: first of its gram's rows by the least digest, that there are such stretches.
+_OCCURRENCE, _STRETCH, _NOTICE = -1, -2, -3
+_LEAST = -(1 << 63)
 
 
 def _rows(**columns) -> pa.RecordBatch:
@@ -122,7 +128,13 @@ def _spans(o: np.ndarray, tell: np.ndarray, start: np.ndarray, end: np.ndarray)
     return o, tell, start, end
 
 
-def _first_pass(batch: pa.RecordBatch):
+def _first_pass(batch: pa.RecordBatch, sent: dict[int, int]):
+    """A batch's first occurrences of digests, and spans that earlier ones in the batch cover.
+
+    ``sent`` counts a task's rows of grams that are frequent in a batch.  After SEND of a gram the task deals out no
+    more: such rows are stretches to be sorted, in a group of the batch's own.  So around a passage that a third of
+    all documents holds, a gram's rows in one place grow with tasks, not with documents.
+    """
     texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
     o, tell = batch.column("o").to_numpy(), batch.column("tell").to_numpy().astype(np.int64)
     found = []
@@ -142,18 +154,44 @@ def _first_pass(batch: pa.RecordBatch):
     later = ~new & ((o != o[head]) | (m != m[head]))
     co, ct, cs, ce = _spans(o[later], (m[later] >> 14) & _TELL, m[later] >> 32, (m[later] >> 32) + (m[later] & 127) + LENGTH)
     zero = np.zeros(len(co), np.int64)
-    yield _rows(a=np.concatenate((a[new], _mix(co.astype(np.uint64)).view(np.int64))), u=np.concatenate((u[new], zero)), o=np.concatenate((o[new], co)), m=np.concatenate((m[new], _pack(cs, ct, zero, zero))), end=np.concatenate((np.full(new.sum(), -1), ce)))
+    a, u, o, m = a[new], u[new], o[new], m[new]
+    end = np.full(len(a), _OCCURRENCE)
+    start = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+    size = np.diff(np.append(start, len(a)))
+    for at, n in zip(start[size > SEND // 8].tolist(), size[size > SEND // 8].tolist(), strict=True):
+        room = max(0, SEND - sent.get(int(a[at]), 0))
+        sent[int(a[at])] = SEND - room + n
+        if n > room:
+            end[at + room : at + n] = _STRETCH
+    late = end == _STRETCH
+    group = (int(_mix(o[late][:1].astype(np.uint64) ^ m[late][:1].astype(np.uint64))[0]) >> 2) | 1 << 61 if late.any() else 0
+    note = np.unique(a[late])
+    none = np.zeros(len(note), np.int64)
+    u = np.where(late, a, u)
+    a = np.where(late, group, a)
+    key = _mix(o.astype(np.uint64) + m.astype(np.uint64)).view(np.int64)
+    # a stretch carries its group in a; it and spans may go to any task
+    deal = np.concatenate((np.where(late, key, a), _mix(co.astype(np.uint64)).view(np.int64), note))
+    columns = {"a": (a, zero, note), "u": (u, zero, none + _LEAST), "o": (o, co, none), "m": (m, _pack(cs, ct, zero, zero), none), "end": (end, ce, none + _NOTICE)}
+    yield _rows(deal=deal, **{k: np.concatenate(v) for k, v in columns.items()})
 
 
 def _resolve(batches):
     """Rows sorted by gram, digest and order: covered spans pass; a digest's later rows are covered; the first rows of a
     gram's digests, if there are several, need sorting.  State is one row, however large a group is."""
     last = None  # of the rows so far: gram, digest, the digest's first row, whether it has been given, rows given of the gram
+    noted = None  # the gram of the last row, if it has a notice
     for batch in batches:
         a, u, o, m, end = (batch.column(c).to_numpy() for c in _NAMES)
-        span = end >= 0
-        outs = [(np.zeros(span.sum(), np.int64), o[span], m[span], end[span])]
-        a, u, o, m = a[~span], u[~span], o[~span], m[~span]
+        span, late = end >= 0, end == _STRETCH
+        outs = [(np.zeros(span.sum(), np.int64), o[span], m[span], end[span]), (a[late], o[late], m[late], np.full(late.sum(), -1, np.int64), u[late])]
+        rows = ~span & ~late
+        real = end[rows] == _OCCURRENCE
+        grams = a[rows]
+        hot = np.concatenate((grams[~real], np.array([] if noted is None else [noted], np.int64)))
+        if len(grams):
+            noted = grams[-1] if (hot == grams[-1]).any() else None
+        a, u, o, m = (x[rows][real] for x in (a, u, o, m))
         if len(a):
             same_a = np.zeros(len(a), bool)
             same_u = np.zeros(len(a), bool)
@@ -171,22 +209,23 @@ def _resolve(batches):
             outs.append((np.zeros(later.sum(), np.int64), o[later], m[later], (m[later] >> 32) + (m[later] & 127) + LENGTH))
             firsts = np.flatnonzero(~same_u)
             fa = a[firsts]
+            far = np.isin(fa, hot) * _FAR
             if len(firsts) == 0:
                 yield from _emit(outs)
                 continue
             before = np.append(same_a[firsts[0]], fa[1:] == fa[:-1])
             after = np.append(fa[1:] == fa[:-1], False)
             # the last first row waits for what follows it
-            give = before | after
+            give = before | after | (far > 0)
             rank = np.arange(len(firsts)) - np.maximum.accumulate(np.where(before, 0, np.arange(len(firsts))))
             carried = last[5] if before[0] else 0
             lead = np.cumsum(~before) == 0
             if before[0] and not last[4]:
-                outs.append(tuple(np.array([x], np.int64) for x in (0, last[2], last[3], -1)) + (np.array([last[0]], np.int64),))
+                outs.append(tuple(np.array([x], np.int64) for x in (far[0], last[2], last[3], -1, last[0])))
                 carried = 1
             rank = np.where(lead, np.arange(len(firsts)) + carried, rank)
             at = firsts[give]
-            outs.append((rank[give] // GROUP, o[at], m[at], np.full(len(at), -1, np.int64), a[at]))
+            outs.append((rank[give] // GROUP + far[give], o[at], m[at], np.full(len(at), -1, np.int64), a[at]))
             last = (int(a[-1]), int(u[-1]), int(o[firsts[-1]]), int(m[firsts[-1]]), bool(give[-1]), int(rank[-1]) + 1)
         yield from _emit(outs)
 
@@ -261,7 +300,7 @@ def _sort_stretches(a, g, o, m, contexts: list[bytes]):
     at = np.flatnonzero(head)[np.cumsum(head) - 1]
     later = (f >= 0) & ((oo != oo[at]) | (pp != pp[at]) | (tt != tt[at]))
     spans = _spans(oo[later], tt[later], pp[later], pp[later] + LENGTH)
-    big = ((np.bincount(group)[group] >= GROUP) | (g > 0))[owner]
+    big = ((np.bincount(group)[group] >= GROUP) | (g > 0))[owner]  # only then may other groups hold the gram
     first = np.zeros(len(f), bool)
     first[order] = (f < 0) | head
     ask = np.flatnonzero(big & first)
@@ -323,7 +362,8 @@ def covered_spans(keyed: DataFrame) -> DataFrame:
     spark = keyed.sparkSession
     bounded_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = map_arrow(keyed, _first_pass, "a bigint, u bigint, o bigint, m bigint, end bigint").repartition(n, "a").sortWithinPartitions("a", "u", "o", "m")
+    rows = map_arrow(keyed, _first_pass, "deal bigint, a bigint, u bigint, o bigint, m bigint, end bigint", dict)
+    dealt = rows.repartition(n, "deal").drop("deal").sortWithinPartitions("a", "u", "o", "m")
     state = stored(dealt.mapInArrow(_resolve, "a bigint, g bigint, o bigint, m bigint, end bigint"), "anchors")
     wanted = state.where(F.col("end") < 0).groupBy("o", F.expr(f"(m >> 14) & {_TELL}").alias("tell")).agg(F.collect_set(F.struct("a", "g", "m")).alias("wanted"))
     sought = map_arrow(keyed.join(wanted, ["o", "tell"]).select("o", "text", "wanted"), _contexts, "a bigint, g bigint, o bigint, m bigint, context binary")

@@ -56,6 +56,12 @@ def test_small_groups_and_pieces(spark, table, texts, monkeypatch):
     test_rows_are_brute_force(table, texts)
 
 
+def test_frequent_grams(spark, table, texts, monkeypatch):
+    """A task deals out few rows of a gram; the rest are sorted in groups of their own."""
+    monkeypatch.setattr(S, "SEND", 8)
+    test_rows_are_brute_force(table, texts)
+
+
 def test_order_is_by_doc_id(table):
     text = "".join(random.Random(1).choices("abcdef", k=300))
     rows = [(9, text, None, None, None), (-4, text, None, None, None), (None, text, None, None, None), (None, text, None, None, None)]
