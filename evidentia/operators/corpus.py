@@ -104,3 +104,33 @@ def company_mentions(articles: DataFrame, companies: DataFrame, key: str, text:
 def select_present(df: DataFrame, front: Sequence[str]) -> DataFrame:
     """Columns of ``front`` that are there first, then the rest in their order."""
     return df.select(*(c for c in front if c in df.columns), *(c for c in df.columns if c not in front))
+
+
+def with_primary_document(filed: DataFrame) -> DataFrame:
+    """Filings that name a document, with its address."""
+    named = filed.where(F.length(T.strip(F.coalesce("primary_document", F.lit("")))) > 0)
+    return named.withColumn("source_url", F.concat("filing_folder_url", F.lit("/"), "primary_document"))
+
+
+def about(articles: DataFrame, company: str) -> DataFrame:
+    """Articles whose title or text holds the name, in any case; all articles for the name "all"."""
+    if company.lower() == "all":
+        return articles
+    found = [F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(company.lower())) for c in ("title", "text")]
+    return articles.where(T.any_of(found))
+
+
+def combined(mdna: DataFrame, news: DataFrame, companies: DataFrame) -> DataFrame:
+    """Facts and news in one table: tickers in upper case, names looked up, rows without ticker or text dropped, and of
+    rows that are the same in all columns one."""
+    names = ("ticker", "company_name", "evidence_text", "form_type", "filing_date", "source_url")
+    table = companies.select(F.upper(T.strip(F.col("ticker"))).alias("ticker"), F.col("company_name").alias("_name")).groupBy("ticker").agg(F.min("_name").alias("_name"))
+
+    def shaped(df: DataFrame) -> DataFrame:
+        have = df.withColumn("ticker", F.upper(T.strip(F.col("ticker"))))
+        for c in names:
+            have = have if c in have.columns else have.withColumn(c, F.lit(None).cast("string"))
+        return have.select(*names)
+
+    rows = shaped(mdna).unionByName(shaped(news)).where(F.col("ticker").isNotNull() & F.col("evidence_text").isNotNull())
+    return rows.join(table, "ticker", "left").withColumn("company_name", F.coalesce("company_name", "_name")).select(*names).distinct()

@@ -49,19 +49,21 @@ def list_articles(fetch: Fetcher, url: str, tries: int = 5, base: float = 6.0, s
     return ("limited" if limited else "failed"), None
 
 
-def fetch_all(urls: DataFrame, fetch: Fetcher, column: str = "url", alternative: str | None = None, threads: int = 20) -> DataFrame:
-    """Adds ``body``: of the url, else of the alternative one; null if neither answers.  ``threads`` calls per task."""
+def fetch_all(urls: DataFrame, fetch: Fetcher, column: str = "url", alternative: str | None = None, threads: int = 20, reader: Fetcher | None = None, reader_hosts: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``body``: of the url, else of the alternative one, else, for ``reader_hosts``, what a reader makes of them;
+    null if none answers.  ``threads`` calls per task."""
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in urls.schema) + ", body string"
 
     def one(candidates: tuple) -> str | None:
-        for url in candidates:
-            if url:
-                try:
-                    status, body = fetch(url)
-                except Exception:
-                    continue
-                if status == 200 and body:
-                    return body
+        urls = [u for u in candidates if u]
+        tries = [(fetch, u) for u in urls] + [(reader, u) for u in urls if reader and any(h in u.split("/")[2:3] or u.split("/")[2:3] == [f"www.{h}"] for h in reader_hosts)]
+        for get, url in tries:
+            try:
+                status, body = get(url)
+            except Exception:
+                continue
+            if status == 200 and body:
+                return body
         return None
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

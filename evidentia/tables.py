@@ -35,6 +35,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/evidentia/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(drop, spark, path)
+    spark._jvm.System.gc()  # else the job's shuffle files stay until the driver happens to collect its garbage
     return spark.read.schema(df.schema).parquet(path)
 
 

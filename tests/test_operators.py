@@ -304,3 +304,15 @@ def test_ingest_goes_on_after_a_bad_file(spark, tmp_path):
     service.ingest(spark, files, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2 and spark.read.json(str(tmp_path / "log")).first().chunks == 2
     assert service.logger("x", str(tmp_path)) is service.logger("x", str(tmp_path)) and len(service.logger("x").handlers) == 1
+
+
+def test_combined_and_filters(spark):
+    mdna = spark.createDataFrame([(" ab ", "fact", "10-K"), ("ab", None, "10-K"), (None, "x", "10-K")], "ticker string, evidence_text string, form_type string")
+    news = spark.createDataFrame([("AB", "news", "N"), ("AB", "news", "N"), ("zz", "n", None)], "ticker string, evidence_text string, company_name string")
+    companies = spark.createDataFrame([("ab", "Two"), ("AB", "One")], "ticker string, company_name string")
+    got = sorted((r.ticker, r.company_name, r.evidence_text) for r in corpus.combined(mdna, news, companies).withColumn("company_name", F.coalesce("company_name", F.lit("-"))).collect())
+    assert got == [("AB", "N", "news"), ("AB", "One", "fact"), ("ZZ", "-", "n")]
+    articles = spark.createDataFrame([("Acme up", None), ("x", "about ACME"), ("y", "z")], "title string, text string")
+    assert corpus.about(articles, "acme").count() == 2 and corpus.about(articles, "ALL").count() == 3
+    filed = spark.createDataFrame([("f", "d.htm"), ("f", " "), ("f", None)], "filing_folder_url string, primary_document string")
+    assert [r.source_url for r in corpus.with_primary_document(filed).collect()] == ["f/d.htm"]

@@ -117,6 +117,9 @@ def test_fetch_all(spark):
     df = spark.createDataFrame([(1, "bad", "good"), (2, "bad", None)], "id int, url string, alt string")
     got = fetch.fetch_all(df, lambda u: (200, "b") if u == "good" else (404, None), alternative="alt")
     assert {r.id: r.body for r in got.collect()} == {1: "b", 2: None}
+    df = spark.createDataFrame([(1, "http://www.a.com/x"), (2, "http://b.com/x")], "id int, url string")
+    got = fetch.fetch_all(df, lambda u: (403, None), reader=lambda u: (200, "read"), reader_hosts=("a.com",))
+    assert {r.id: r.body for r in got.collect()} == {1: "read", 2: None}
 
 
 def test_stream_resumes(spark, tmp_path):
