@@ -514,11 +514,11 @@ def q58_stream_ingest(t):
     import uuid
 
     from evidentia.streaming import ingest
+    from evidentia.tables import shared_dir
 
     docs = t("documents")
     spark = docs.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/evidentia"
-    base = f"{base.rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/evidentia/ingest-{uuid.uuid4().hex}"
     files = docs.inputFiles()
     folder = files[0].rsplit("/", 1)[0]
     glob = {"pathGlobFilter": "documents.parquet"} if files[0].endswith("/documents.parquet") else {}
