@@ -396,38 +396,44 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
     the largest is tested against those nodes of other components that an exact bound on what the two can share leaves.
     So every pair of different components that shares a bucket is tested or bounded, and no bucket gives all its pairs.
     """
+    made: list[DataFrame] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        made.append(stored(df, name))
+        return made[-1]
+
     documents = doc_text(documents)
     frequencies, n = document_frequencies(documents)
     weights = Weights.of(frequencies, n)
-    signed = stored(sign(documents, weights), "signed")
+    signed = keep(sign(documents, weights), "signed")
     nodes = signed.where(F.col("key").isNotNull()).groupBy("key").agg(F.any_value("bands").alias("bands"))
-    member = stored(nodes.select("key", F.posexplode("bands").alias("b", "band")), "bands")
+    member = keep(nodes.select("key", F.posexplode("bands").alias("b", "band")), "bands")
     buckets = member.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    shared = stored(member.join(buckets, "band"), "met")
-    forget(member)
+    shared = keep(member.join(buckets, "band"), "met")
     degrees = shared.groupBy("key").agg(F.sum("n").alias("degree"))
-    shared = stored(shared.join(degrees, "key").select("band", "key", "b", "degree"), "shared")
+    shared = keep(shared.join(degrees, "key").select("band", "key", "b", "degree"), "shared")
     leads = shared.groupBy("band").agg(F.max(F.struct("degree", "key"))["key"].alias("lead"))
     led = shared.join(leads, "band").where(F.col("key") != F.col("lead"))
-    tested = stored(led.select(F.least("key", "lead").alias("u"), F.greatest("key", "lead").alias("v")).distinct(), "pairs")
-    texts = stored(_texts(documents).join(degrees.select("key"), "key", "left_semi").groupBy("key").agg(F.any_value("words").alias("words")), "texts")
-    links = stored(similar(tested, texts, weights, similarity), "links")
+    tested = keep(led.select(F.least("key", "lead").alias("u"), F.greatest("key", "lead").alias("v")).distinct(), "pairs")
+    texts = keep(_texts(documents).join(degrees.select("key"), "key", "left_semi").groupBy("key").agg(F.any_value("words").alias("words")), "texts")
+    links = keep(similar(tested, texts, weights, similarity), "links")
 
     def test(pairs: DataFrame) -> None:
         nonlocal tested, links
-        new = stored(pairs.select(F.least("key", "h").alias("u"), F.greatest("key", "h").alias("v")).distinct().join(tested, ["u", "v"], "left_anti"), "pairs")
-        links = stored(links.unionByName(similar(new, texts, weights, similarity)), "links")
+        new = keep(pairs.select(F.least("key", "h").alias("u"), F.greatest("key", "h").alias("v")).distinct().join(tested, ["u", "v"], "left_anti"), "pairs")
+        links = keep(links.unionByName(similar(new, texts, weights, similarity)), "links")
         tested = tested.unionByName(new)
 
     labels = components(links)
-    rest = stored(_unsettled(shared, labels), "rest")
+    rest = keep(_unsettled(shared, labels), "rest")
     if not small_enough(rest, 0):
-        bounds = stored(prefixes(texts.join(rest.select("key").distinct(), "key", "left_semi"), weights, similarity).join(nodes, "key"), "prefixes")
+        bounds = keep(prefixes(texts.join(rest.select("key").distinct(), "key", "left_semi"), weights, similarity).join(nodes, "key"), "prefixes")
         test(may_be_similar(rest.join(bounds, "key"), similarity))
         labels = components(links)
-    forget(texts)
     rows = signed.select("doc_id", "key").join(labels.select(F.col("u").alias("key"), F.col("v").alias("c")), "key", "left").select("doc_id", "key", F.coalesce("c", "key").alias("c"))
     rows = stored(rows, "classes")
+    for table in made:
+        forget(table)
     least = rows.where(F.col("c").isNotNull()).groupBy("c").agg(F.min("doc_id").alias("least"))
     out = rows.join(least, "c", "left").select("doc_id", F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("class_id"), F.col("c").isNull().alias("alone"))
     heads = out.where((F.col("doc_id") == F.col("class_id")) & ~F.col("alone")).withColumn("n", F.row_number().over(W.partitionBy("class_id").orderBy("doc_id")))
