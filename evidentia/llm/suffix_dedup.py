@@ -441,13 +441,15 @@ def suffix_dedup(documents: DataFrame) -> DataFrame:
 def remove_repeats(documents: DataFrame) -> DataFrame:
     """The documents without their removed bytes, as the same columns; n_chars, if there, counts anew.
 
-    Bytes of a character that is cut apart go with it.  A document of which only white space is left goes.
+    Bytes of a character that is cut apart go with it.  A document goes if only white space is left of more; what was
+    null or blank before stays as it was.
     """
     names = documents.columns
-    keyed = _keyed(documents, F.struct(*(F.col(c) for c in names)).alias("row"))
+    rest = F.struct(*(F.col(c) for c in names if c != "text"), F.col("text").isNull().alias("_null"))
+    keyed = _keyed(documents, rest.alias("row"))
 
     def run(batch: pa.RecordBatch, seen) -> pa.RecordBatch:
-        out = []
+        out, gone = [], []
         for o, tell, text, spans in zip(*(batch.column(c).to_pylist() for c in ("o", "tell")), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist(), strict=True):
             merged = [(0, len(text))] if seen((o, tell), text) and len(text) >= LENGTH else _merged(spans)
             parts, at = [], 0
@@ -455,10 +457,12 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
                 parts.append(text[at:start])
                 at = end
             out.append(b"".join([*parts, text[at:]]).decode("utf-8", "ignore"))
-        return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string()), pa.array([not t.strip() for t in out])], ["row", "left", "gone"])
+            gone.append(bool(merged and text.strip()) and not out[-1].strip())
+        return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string()), pa.array(gone)], ["row", "left", "gone"])
 
     joined = _with_spans(keyed)
     kind = joined.schema["row"].dataType.simpleString()
-    done = map_arrow(joined, run, f"row {kind}, left string, gone boolean", _Seen).where(~F.col("gone") | (F.length(F.trim(F.coalesce(F.col("row.text"), F.lit("")))) == 0))
-    new = {"text": F.col("left")} | ({"n_chars": F.length("left").cast("bigint")} if "n_chars" in names else {})
+    done = map_arrow(joined.select("o", "tell", "text", "spans", "row"), run, f"row {kind}, left string, gone boolean", _Seen).where(~F.col("gone"))
+    text = F.when(~F.col("row._null"), F.col("left"))
+    new = {"text": text} | ({"n_chars": F.coalesce(F.length("left").cast("bigint"), F.lit(0))} if "n_chars" in names else {})
     return done.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in names))
