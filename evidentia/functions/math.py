@@ -41,10 +41,17 @@ def support(claim_tokens: Column, evidence_tokens: Column, claim_entities: Colum
 
 
 def antonym_pairs(a: Column, b: Column, antonyms: Sequence[tuple[str, str]] = L.ANTONYMS) -> Column:
-    """Pairs of opposites, one word in a and one in b, read in both directions of the table."""
-    table = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in antonyms))
-    has = lambda p, q: F.filter(table, lambda t: F.array_contains(p, t.x) & F.array_contains(q, t.y))
-    return F.size(has(a, b)) + F.size(has(b, a))
+    """Pairs of opposites, one word in a and one in b, read in both directions of the table.
+
+    Few words of a text have opposites: these are found by a hash lookup before the table is looked at.
+    """
+    opposites: dict[str, list[str]] = {}
+    for x, y in antonyms:
+        opposites.setdefault(x, []).append(y)
+    words = F.array(*map(F.lit, opposites))
+    table = F.create_map(*(c for x, ys in opposites.items() for c in (F.lit(x), F.array(*map(F.lit, ys)))))
+    count = lambda p, q: F.size(F.filter(F.flatten(F.transform(F.array_intersect(p, words), lambda x: F.element_at(table, x))), lambda y: F.array_contains(q, y)))
+    return count(a, b) + count(b, a)
 
 
 def contradiction(claim_tokens: Column, evidence_tokens: Column, claim_entities: Column, evidence_entities: Column, antonyms=L.ANTONYMS, negations: Sequence[str] = L.NEGATIONS) -> Column:

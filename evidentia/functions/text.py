@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -22,14 +22,24 @@ def holds(text: Column, words: Sequence[str]) -> Column:
     return any_of([F.contains(text, F.lit(w)) for w in words])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, also where the body uses it within a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+#: Unicode's white space, as text methods strip it.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_SPACE = f"[{SPACES}]"
+
+
 def strip(text: Column) -> Column:
-    """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Without white space of any kind at both ends; looks at the ends only."""
+    return F.btrim(text, F.lit(SPACES))
 
 
 def collapse(text: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
-    return strip(F.regexp_replace(text, r"(?U)\s+", " "))
+    return strip(F.regexp_replace(text, f"{_SPACE}+", " "))
 
 
 def filled(*columns: Column) -> Column:
@@ -43,18 +53,22 @@ def payload_value(value: Column) -> Column:
 
 
 def noise_text(text: Column) -> Column:
-    """Empty text, or one of the texts that say nothing."""
-    return F.coalesce(collapse(F.lower(text)), F.lit("")).isin("", *L.NOISE_TEXTS)
+    """Empty text, or one of the texts that say nothing, in any case and spacing."""
+    said = "|".join(f"{_SPACE}+".join(re.escape(w) for w in t.split()) for t in L.NOISE_TEXTS)
+    return F.lower(F.coalesce(text, F.lit(""))).rlike(f"^{_SPACE}*(?:{said})?{_SPACE}*$")
 
 
 def chunks(text: Column, size: int = 1000, overlap: int = 150) -> Column:
     """Windows of ``size`` characters that overlap, up to the one that reaches the end; none of an empty text."""
     if overlap >= size:
         raise ValueError("overlap must be smaller than size")
-    step, body = size - overlap, strip(text)
-    last = F.greatest(F.lit(0), F.ceil((F.length(body) - size) / step)).cast("int")
-    windows = F.transform(F.sequence(F.lit(0), last), lambda p: F.substring(body, p * step + 1, F.lit(size)))
-    return F.when(F.length(body) > 0, windows).otherwise(F.array().cast("array<string>"))
+    step = size - overlap
+
+    def windows(body: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil((F.length(body) - size) / step)).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda p: F.substring(body, p * step + 1, F.lit(size)))
+
+    return F.when(F.length(strip(text)) > 0, let(strip(text), windows)).otherwise(F.array().cast("array<string>"))
 
 
 def sentences(text: Column, least: int = 80, most: int = 900) -> Column:
@@ -208,13 +222,14 @@ def company_norm(name: Column) -> Column:
 
 def company_aliases(name: Column, rounds: int = 6) -> Column:
     """The normalized name and what stays as legal suffixes fall off its end, of three characters or more."""
-    suffix, now = rf"\b({'|'.join(L.LEGAL_SUFFIXES)})\.?$", company_norm(name)
-    forms = [now]
-    for _ in range(rounds):
-        bare = F.trim(F.regexp_replace(now, suffix, ""))
-        now = F.when(F.length(bare) > 0, bare).otherwise(now)
-        forms.append(now)
-    return F.filter(F.array_distinct(F.array(*forms)), lambda a: F.length(a) >= 3)
+    suffix = rf"\b({'|'.join(L.LEGAL_SUFFIXES)})\.?$"
+
+    def shorter(forms: Column, _: Column) -> Column:
+        bare = F.trim(F.regexp_replace(F.element_at(forms, -1), suffix, ""))
+        return F.when(F.length(bare) > 0, F.concat(forms, F.array(bare))).otherwise(forms)
+
+    forms = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.array(company_norm(name)), shorter)
+    return F.filter(F.array_distinct(forms), lambda a: F.length(a) >= 3)
 
 
 def entity_norm(name: Column) -> Column:

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -32,10 +33,8 @@ class HashEmbedder:
     def embed(self, texts: Sequence[str]) -> list[list[float]]:
         out = []
         for text in texts:
-            raw = hashlib.shake_128((text or "").encode()).digest(self.size)
-            row = [b / 127.5 - 1 for b in raw]
-            norm = sum(x * x for x in row) ** 0.5 or 1.0
-            out.append([x / norm for x in row])
+            row = np.frombuffer(hashlib.shake_128((text or "").encode()).digest(self.size), np.uint8) / 127.5 - 1
+            out.append((row / (np.sqrt((row * row).sum()) or 1.0)).tolist())
         return out
 
 
