@@ -80,8 +80,8 @@ def score(claims: DataFrame, evidence: DataFrame, config: Config) -> DataFrame:
 
 
 def _decided(scored: DataFrame, config: Config, number: int) -> DataFrame:
-    decision = J.decide(F.col("ESS"), F.col("ECS"), J.uncertainty(F.col("variances")), F.col("n"), config.accept_to)
-    return scored.withColumn("decision", decision).withColumn("pass", F.lit(number))
+    decision = J.decide(F.col("ESS"), F.col("ECS"), F.col("_analysis"), F.col("n"), config.accept_to)
+    return scored.withColumn("_analysis", J.uncertainty(F.col("variances"))).withColumn("decision", decision).drop("_analysis").withColumn("pass", F.lit(number))
 
 
 def evaluate(claims: DataFrame, chunks: DataFrame, as_of, config: Config | None = None) -> DataFrame:
