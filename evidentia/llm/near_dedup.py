@@ -242,7 +242,7 @@ def _texts(documents: DataFrame) -> DataFrame:
 
 
 def similar(pairs: DataFrame, texts: DataFrame, weights: Weights, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose texts' weighted Jaccard similarity is at least ``similarity``."""
+    """The pairs (u, v) whose texts' weighted Jaccard similarity is at least ``similarity``, or that without weights is."""
     sent = pairs.sparkSession.sparkContext.broadcast(weights.idf)
     one = pairs.join(texts.select(F.col("key").alias("u"), F.col("words").alias("u_words")), "u")
     two = one.join(texts.select(F.col("key").alias("v"), F.col("words").alias("v_words")), "v")
@@ -265,15 +265,16 @@ def similar(pairs: DataFrame, texts: DataFrame, weights: Weights, similarity: fl
         for u, v in zip(columns[0], columns[1], strict=True):
             (hu, wu, nu), (hv, wv, nv) = kept[u], kept[v]
             at = np.minimum(np.searchsorted(hv, hu), len(hv) - 1)
-            both = np.where(hv[at] == hu, np.minimum(wu, wv[at]), 0).sum()
-            good.append(bool(both >= (similarity - 1e-9) * (nu + nv - both)))
+            same = hv[at] == hu
+            both, count = np.where(same, np.minimum(wu, wv[at]), 0).sum(), same.sum()
+            good.append(bool(both >= (similarity - 1e-9) * (nu + nv - both) or count >= (similarity - 1e-9) * (len(hu) + len(hv) - count)))
         return batch.select(["u", "v"]).filter(pa.array(good))
 
     return map_arrow(two.select("u", "v", "u_words", "v_words"), run, "u binary, v binary", lambda: (Shingler(), Weights(sent.value), {}))
 
 
-def prefixes(texts: DataFrame, weights: Weights, similarity: float) -> DataFrame:
-    """key, total, rare and after: a text's weight, its rarest shingles as 32-bit hashes, and the weight from each on.
+def prefixes(texts: DataFrame, weights: Weights, similarity: float, plain: bool) -> DataFrame:
+    """key, total, rare and after: a text's weight (``plain``: number of shingles), its rarest shingles as 32-bit hashes, and the weight from each on.
 
     Shingles stand in one order for all texts, rare ones first.  All that two texts share comes from their first common
     shingle on, so similar texts have it where at least ``similarity`` of either's weight still follows: what stands
@@ -286,7 +287,7 @@ def prefixes(texts: DataFrame, weights: Weights, similarity: float) -> DataFrame
         keys, rows = batch.column("key").to_pylist(), batch.column("words").to_pylist()
         for block in _blocks(rows):
             shingle, tf, start = shingler([rows[i] for i in block])
-            weight = np.exp(weights(shingle, tf).astype(np.float64))
+            weight = np.ones(len(shingle)) if plain else np.exp(weights(shingle, tf).astype(np.float64))
             owner = np.repeat(np.arange(len(block)), np.diff(np.append(start, len(shingle))))
             order = np.lexsort((shingle, -weights.idf[shingle >> np.uint64(64 - DF_BITS)], owner))
             shingle, weight = shingle[order], weight[order]
@@ -386,7 +387,7 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
     """doc_id, class_id and kept for each document.
 
     Documents are in one class if a chain of pairs links them, each of the same words or of weighted Jaccard
-    similarity ``similarity`` or more.  class_id is the least doc_id of the class; this document is kept (of repeated
+    similarity ``similarity`` or more; or of as much without weights, so that weights lose no link of that kind.  class_id is the least doc_id of the class; this document is kept (of repeated
     rows with this doc_id, one).  A text without words (null, empty, signs only) is a class of its own, kept.  Texts
     of one to four words have one shingle of all words.  A class without any doc_id has a null class_id, and its rows
     are kept.
@@ -427,8 +428,9 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
     labels = components(links)
     rest = keep(_unsettled(shared, labels), "rest")
     if not small_enough(rest, 0):
-        bounds = keep(prefixes(texts.join(rest.select("key").distinct(), "key", "left_semi"), weights, similarity).join(nodes, "key"), "prefixes")
-        test(may_be_similar(rest.join(bounds, "key"), similarity))
+        open_ = texts.join(rest.select("key").distinct(), "key", "left_semi")
+        able = [may_be_similar(rest.join(keep(prefixes(open_, weights, similarity, plain).join(nodes, "key"), "prefixes"), "key"), similarity) for plain in (False, True)]
+        test(able[0].unionByName(able[1]))
         labels = components(links)
     rows = signed.select("doc_id", "key").join(labels.select(F.col("u").alias("key"), F.col("v").alias("c")), "key", "left").select("doc_id", "key", F.coalesce("c", "key").alias("c"))
     rows = stored(rows, "classes")

@@ -12,7 +12,7 @@ def _words(rng, n):
 
 
 def _brute(texts, weights, similarity=0.8):
-    """Classes by comparing all pairs of weighted shingle sets."""
+    """Classes by comparing all pairs of shingle sets, with weights and without."""
     shingler = N.Shingler()
     sets = []
     for t in texts:
@@ -33,7 +33,8 @@ def _brute(texts, weights, similarity=0.8):
         for j in range(i):
             if sets[i] and sets[j]:
                 low = sum(min(w, sets[j].get(k, 0)) for k, w in sets[i].items())
-                if low >= similarity * (sum(sets[i].values()) + sum(sets[j].values()) - low):
+                same = len(sets[i].keys() & sets[j].keys())
+                if low >= similarity * (sum(sets[i].values()) + sum(sets[j].values()) - low) or same >= similarity * (len(sets[i]) + len(sets[j]) - same):
                     a, b = find(i), find(j)
                     parent[max(a, b)] = min(a, b)
     return [find(i) for i in range(len(texts))]
