@@ -30,7 +30,7 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take each document as often as the sources' targets ask for."""
-    return source_mix.apply_mix(docs, source_mix.mix_sources(docs))
+    return source_mix.mixed_documents(docs)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, slopes: tuple[
     return per.select("source", "source_size", F.least(F.col("cap"), F.coalesce(level * F.col("weight"), F.col("cap"))).alias("target"), "slope")
 
 
-def mix_sources(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, slopes: tuple[float, ...] = SLOPES) -> DataFrame:
+def mix_sources(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, slopes: tuple[float, ...] = SLOPES, key: str | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, position and passes, by training position.
 
     Within a source, documents stand in the order of a hash.  Each is taken floor(target / source_size) times; one
@@ -49,17 +49,20 @@ def mix_sources(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, slopes
     A source's rate at time t is its mean times 1 + slope * (2 t - 1); its integral is inverted at the share of the
     source's demand that stands before a document, which gives the position in [0, 1].  Null texts have size 0 and
     none taken; null sources are one source; a null doc_id is as -1 in the order.  Documents with the same doc_id and
-    size may change places, which leaves the same rows.  An empty table gives an empty result.
+    size may change places, which leaves the same rows.  An empty table gives an empty result.  With ``key``, a column
+    that no two rows share, the rows carry it, and such documents stand in the order of a hash of their columns.
     """
+    own = [F.col(key), F.xxhash64(*(c for c in documents.columns if c != key)).alias("_tell")] if key else []
+    ties = ["_tell", key] if key else []
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD_PATTERN)), F.lit(0)).cast("bigint")
-    sized = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"))
+    sized = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), *own)
     sized = stored(sized.withColumn("hash", F.md5(F.coalesce(F.col("doc_id"), F.lit(-1)).cast("string"))), "sizes")
     slot = F.conv(F.substring("hash", 1, 4), 16, 10).cast("int")
     goals = stored(targets(sized, weights, slopes), "targets")
     slots = sized.groupBy("source", slot.alias("slot")).agg(F.sum("size").alias("n"))
     slots = slots.select(F.col("source").alias("_source"), F.col("slot").alias("_slot"), (F.sum("n").over(W.partitionBy("source").orderBy("slot")) - F.col("n")).alias("upto"))
     slots = slots.join(goals, F.col("_source").eqNullSafe(F.col("source")), "left").drop("source")
-    rows = sized.withColumn("slot", slot).withColumn("within", F.sum("size").over(W.partitionBy("source", "slot").orderBy("hash", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size"))
+    rows = sized.withColumn("slot", slot).withColumn("within", F.sum("size").over(W.partitionBy("source", "slot").orderBy("hash", "doc_id", "size", *ties).rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size"))
     rows = rows.join(slots, F.col("source").eqNullSafe(F.col("_source")) & (F.col("slot") == F.col("_slot")), "left")
     before = F.col("upto") + F.col("within")
     goal = F.floor("target")
@@ -69,16 +72,26 @@ def mix_sources(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, slopes
     a = F.col("slope")
     position = F.when(a == 0, share).otherwise((a - 1 + F.sqrt((1 - a) * (1 - a) + 4 * a * share)) / (2 * a))
     taken = (passes * F.col("size") + extra).cast("bigint")
-    out = rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), position.alias("position"), passes.cast("bigint").alias("passes"))
+    out = rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), position.alias("position"), passes.cast("bigint").alias("passes"), *ties[1:])
     return out.orderBy("position", "doc_id")
 
 
-def apply_mix(documents: DataFrame, mixed: DataFrame) -> DataFrame:
+def apply_mix(documents: DataFrame, mixed: DataFrame, key: str = "doc_id") -> DataFrame:
     """The documents of a mix: each as many times as its taken words come to, to the nearest whole document.
 
-    One document per source is cut by the mix; here it stays whole or goes.  Needs distinct doc_ids.
+    One document per source is cut by the mix; here it stays whole or goes.  No two rows may share a ``key``.
     """
     times = F.when(F.col("size") > 0, F.floor((F.col("taken") + F.col("size") / 2) / F.col("size"))).otherwise(0).cast("int")
-    counts = mixed.select(F.col("doc_id").alias("_id"), times.alias("_times")).where(F.col("_times") > 0)
-    joined = documents.join(counts, documents["doc_id"] == counts["_id"], "inner")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*(documents[c] for c in documents.columns))
+    counts = mixed.select(F.col(key).alias("_mix_id"), times.alias("_mix_times")).where(F.col("_mix_times") > 0)
+    joined = documents.join(counts, documents[key].eqNullSafe(counts["_mix_id"]), "inner")
+    return joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(*(documents[c] for c in documents.columns))
+
+
+def mixed_documents(documents: DataFrame) -> DataFrame:
+    """The documents as often as the sources' targets ask for.
+
+    Rows are told apart by a number of their own that is stored with them, so null and repeated doc_ids are as good as
+    others.
+    """
+    numbered = stored(documents.withColumn("_mix_row", F.monotonically_increasing_id()), "numbered")
+    return apply_mix(numbered, mix_sources(numbered, key="_mix_row"), "_mix_row").drop("_mix_row")

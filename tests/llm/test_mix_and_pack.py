@@ -1,8 +1,9 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
+import corpus_pipeline
 from evidentia.llm import packing as P
 from evidentia.llm import source_mix as M
 
@@ -63,6 +64,21 @@ def test_applied_mix(table, rows):
     assert dict(got) == {k: n for k, n in times.items() if n}
 
 
+def test_mixed_documents_of_null_and_repeated_ids(table, odd_rows):
+    """Each row is taken by its own words, whatever its doc_id is."""
+    more = [(None, "n " * 40, "en", "d", 1), (None, "m " * 40, "en", "d", 1), (50, "x " * 30, "en", "d", 1), (50, "y " * 90, "en", "d", 1)]
+    rows = [r for r in odd_rows if r[0] not in (5, 6)] + more
+    got = corpus_pipeline.mix_stage(None, table(rows), "").collect()
+    times, copies = Counter(tuple(r) for r in got), Counter(rows)
+    words = lambda r: len((r[1] or "").split())
+    assert set(times) <= set(rows) and all(n <= 2 * copies[r] for r, n in times.items())
+    assert any(r[0] is None for r in times)
+    for source in {r[3] for r in rows}:
+        mixed = [m for m in M.mix_sources(table(rows)).collect() if m.source == source]
+        assert abs(sum(n * words(r) for r, n in times.items() if r[3] == source) - mixed[0].target) <= max(m.size for m in mixed) / 2 + 1
+    assert times == Counter(tuple(r) for r in corpus_pipeline.mix_stage(None, table(rows[::-1]), "").collect())
+
+
 def test_pack_is_brute_force_best_fit():
     rng = random.Random(6)
     items = [(rng.randint(0, 100), (i,), rng.choice("aab"), rng.randrange(60)) for i in range(300)]
