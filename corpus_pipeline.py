@@ -12,10 +12,15 @@ from evidentia.llm.common import stored
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents in which a language is found; what has no letter goes."""
+    """Keep documents in which a language is found.
+
+    What has no letter goes, and what scores below the model's limit, the least score of a training text for its own
+    language.  If there is nothing to learn from, all documents with a letter stay.
+    """
     model = language_id.fit_language_model(docs)
     found = language_id.with_language(docs, model)
-    return found.where(F.col("lang_pred") != "und").select(*docs.columns)
+    enough = F.lit(True) if model is None else F.col("lang_score") >= model.limit
+    return found.where(~F.col("lang_pred").eqNullSafe("und") & enough).select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,11 +66,15 @@ def _grams(text: str, codes: np.ndarray) -> tuple[np.ndarray, bool]:
 
 @dataclass
 class Model:
-    """``slots`` addresses n-grams to columns (-1: none); ``weights`` holds the columns' share in each class's score."""
+    """``slots`` addresses n-grams to columns (-1: none); ``weights`` holds the columns' share in each class's score.
+
+    ``limit`` is the least score that a training text gets for its own language when the regression leaves it out.
+    """
 
     classes: list[str]
     slots: np.ndarray
     weights: np.ndarray
+    limit: float = 0.0
 
 
 def train(texts: list[str], langs: list[str], per_class_landmarks: int = LANDMARKS, ridge: float = 1e-2) -> Model | None:
@@ -103,8 +107,14 @@ def train(texts: list[str], langs: list[str], per_class_landmarks: int = LANDMAR
     features = (presence @ landmarks.T).astype(np.float64) @ root
     goal = np.array([[1.0 if lang == c else -1.0 for c in classes] for _, lang in rows])
     balance = np.array([1.0 / sum(1 for _, x in rows if x == lang) for _, lang in rows])[:, None]
-    solved = np.linalg.solve(features.T @ (features * balance) + ridge * np.eye(len(marks)), features.T @ (goal * balance))
-    return Model(classes, slots, (landmarks.T.astype(np.float64) @ (root @ solved)).astype(np.float32))
+    spread = np.linalg.solve(features.T @ (features * balance) + ridge * np.eye(len(marks)), features.T)
+    solved = spread @ (goal * balance)
+    # Leaving a row out of a ridge regression has a closed form: its leverage takes its own goal off its value.
+    leverage = np.einsum("ij,ji->i", features, spread)[:, None] * balance
+    without = (features @ solved - leverage * goal) / np.maximum(1 - leverage, 1e-6)
+    own = without[np.arange(len(rows)), goal.argmax(1)][without.argmax(1) == goal.argmax(1)]
+    limit = float(np.clip((own.min() + 1) / 2, 0, 1)) if len(own) else 0.0
+    return Model(classes, slots, (landmarks.T.astype(np.float64) @ (root @ solved)).astype(np.float32), limit)
 
 
 def training_sample(documents: DataFrame, usable: Column, per_language: int = PER_LANGUAGE, most_chars: int = TRAIN_CHARS) -> tuple[list[str], list[str]]:
@@ -180,15 +190,19 @@ def identify_language(documents: DataFrame, model: Model | None = None) -> DataF
 
 
 def with_language(documents: DataFrame, model: Model | None) -> DataFrame:
-    """The documents, all columns, with lang_pred and lang_score; existing columns of these names give way."""
+    """The documents, all columns, with lang_pred and lang_score; existing columns of these names give way.
+
+    A text without a letter is ``und`` with score 0.  Without a model, other texts have null in both columns.
+    """
     kept = documents.drop("lang_pred", "lang_score")
-    if model is None:
-        return kept.withColumn("lang_pred", F.lit("und")).withColumn("lang_score", F.lit(0.0))
-    sent = documents.sparkSession.sparkContext.broadcast((model.classes, model.slots, model.weights))
+    sent = documents.sparkSession.sparkContext.broadcast((model.classes, model.slots, model.weights) if model else None)
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
 
     def run(batch: pa.RecordBatch, state) -> pa.RecordBatch:
-        langs, scores = zip(*_scores(batch.column("text").to_pylist(), *state), strict=True)
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs), pa.array(scores)], [*batch.schema.names, "lang_pred", "lang_score"])
+        model, codes = state
+        texts = batch.column("text").to_pylist()
+        found = _scores(texts, model, codes) if model else [(None, None) if any(map(str.isalpha, t or "")) else ("und", 0.0) for t in texts]
+        langs, scores = zip(*found, strict=True)
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "lang_score"])
 
-    return map_arrow(kept, run, f"{shape}, lang_pred string, lang_score double", lambda: (Model(*sent.value), _letter_codes()))
+    return map_arrow(kept, run, f"{shape}, lang_pred string, lang_score double", lambda: (Model(*sent.value) if sent.value else None, _letter_codes()))

@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline as C
 from evidentia.llm import language_id, near_dedup, packing, queries, source_mix, suffix_dedup
 from evidentia.llm.common import stored
@@ -35,6 +37,25 @@ def test_stages(spark, sf):
     assert all(r.bin_offset + r.size <= packing.CAPACITY for r in packed)
 
 
+def test_language_stage_rejects_by_score(spark, table):
+    """Long texts in none of the learned languages go; those of learned languages stay."""
+    rng = random.Random(3)
+    learned = {"aa": ["abba", "banana", "cab", "dada"], "xx": ["xyz", "zyx", "yoyo", "wuxy"]}
+    text = lambda words: " ".join(rng.choice(words) for _ in range(60))
+    own = [(i, text(learned[k]), k, "a", 1) for i, k in enumerate(["aa", "xx"] * 30)]
+    foreign = [(100 + i, text(["mnop", "ponm", "qrst", "lkji"]), None, "a", 1) for i in range(10)]
+    got = C.identify(spark, table([*own, *foreign, (200, "123 %", None, "a", 1)]), "")
+    assert sorted(r.doc_id for r in got.collect()) == list(range(60))
+
+
+def test_language_stage_without_a_model(spark, table):
+    """Where no text has a language, or only texts too long to learn from, documents with a letter stay."""
+    texts = ["some words", None, "", "12 %", "日本", "x" * 20_001]
+    for lang in (None, "en"):
+        rows = [(i, t, lang if t and len(t) > 20_000 else None, "a", 1) for i, t in enumerate(texts)]
+        assert sorted(r.doc_id for r in C.identify(spark, table(rows), "").collect()) == [0, 4, 5]
+
+
 def test_queries_are_registered():
     assert {n.split("_")[0] for n in queries.QUERIES if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
     assert "pipeline" in queries.QUERIES and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
