@@ -220,6 +220,31 @@ def test_host_runs(spark):
     assert got == {i: (t, len(t)) for i, _, t in made} | {99: ("", 0), 98: ("", 0)}
 
 
+def test_runs_repeat_over_a_whole_large_host(spark):
+    """A notice on two of 3,000 pages goes, as it does on a small host."""
+    notice = "this site will be down on sunday night for some repairs"
+    rng = random.Random(2)
+    body = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(12))
+    made = [(i, "http://h.example/x", body(), notice if i % 100 == 7 and i < 200 else "") for i in range(3000)]
+    pages = spark.createDataFrame([(i, u, f"<html><body><div>{n}</div><p>{t}</p></body></html>") for i, u, t, n in made], "page_id bigint, url string, html string")
+    assert {r.page_id: r.text for r in html_extract.extract_text(pages).collect()} == {i: t for i, _, t, _ in made}
+
+
+def test_page_whose_only_article_is_a_comment(spark):
+    html = "<html><body><div><p>The main text</p></div><section id='comments'><article><p>Nice!</p></article></section></body></html>"
+    pages = spark.createDataFrame([(1, "http://a/", html)], "page_id bigint, url string, html string")
+    assert html_extract.extract_text(pages).collect()[0].text == "The main text"
+
+
+def test_kept_blocks_are_the_suffix_array_s():
+    rng = random.Random(6)
+    pages = [[" ".join(rng.choice(["a", "b"]) for _ in range(rng.randint(1, 14))) for _ in range(rng.randint(0, 4))] for _ in range(12)]
+    held = Counter(d for p in pages for d in set(html_extract.runs_of(p)))
+    often = {d for d, n in held.items() if n > 1}
+    want = [[t for t, gone in zip(p, own, strict=True) if not gone] for p, own in zip(pages, html_extract.repeated_blocks(pages), strict=True)]
+    assert [html_extract.kept_blocks(p, often) for p in pages] == want
+
+
 def test_repeated_blocks_are_brute_force():
     rng = random.Random(5)
     pages = [[" ".join(rng.choice(["a", "b"]) for _ in range(rng.randint(1, 14))) for _ in range(rng.randint(0, 4))] for _ in range(12)]
