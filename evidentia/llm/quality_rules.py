@@ -13,13 +13,14 @@ from pyspark.sql import Window as W
 from evidentia.llm.common import map_arrow, small_enough, stored
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: Bins of a sketch grow by this factor, so a quantile is right within about 5 %.
-GROWTH = 1.1
-#: Ratios whose upper tail is judged: name, numerator, denominator, and the least threshold that a group can get.
-RATIOS = (("symbols", "n_symbols", "word_chars", 0.05), ("dup_lines", "n_dup_lines", "n_lines", 0.5), ("repeats", "n_repeat_words", "n_words", 0.4))
-#: A group's threshold is this quantile times SLACK, but at least the ratio's floor.  The quantile lies below the tail,
-#: so a tenth of junk in a group does not lift its threshold.
-QUANTILE, SLACK = 0.75, 3.0
+#: Bins of a sketch grow by this factor, so a quantile is right within 2 %.
+GROWTH = 1.02
+#: Ratios that the sketches hold: name, numerator, denominator, and what is added to both.  The addition keeps every
+#: ratio above 0, so that a group without any symbol or repeated line has quantiles of its own as well.
+RATIOS = (("symbols", "n_symbols", "word_chars", 1), ("dup_lines", "n_dup_lines", "n_words", 1), ("repeats", "n_repeat_words", "n_words", 3), ("word_length", "word_chars", "n_words", 1))
+#: A group's limits: name, ratio, quantile of the group, and the factor on it.  max_ limits are upper, min_ lower ones.
+#: Quantiles lie below the tail that is judged, so some junk in a group does not lift its limit.
+LIMITS = (("max_symbols", "symbols", 0.75, 4.0), ("max_dup_lines", "dup_lines", 0.75, 4.0), ("max_repeats", "repeats", 0.75, 8.0), ("max_word_length", "word_length", 0.9, 1.3), ("min_word_length", "word_length", 0.1, 1 / 1.3))
 #: Up to so many groups, thresholds are broadcast (about 100 bytes each).
 BROADCAST_GROUPS = 100_000
 
@@ -61,37 +62,39 @@ def measure(documents: DataFrame) -> DataFrame:
     return map_arrow(kept, run, "doc_id bigint, lang string, source string, " + ", ".join(f"{c} bigint" for c in (*COUNTS, "n_lines")))
 
 
-def _ratio(top: str, bottom: str) -> Column:
-    return F.when(F.col(bottom) > 0, F.col(top) / F.col(bottom)).otherwise(F.lit(0.0))
+def _ratio(top: str, bottom: str, more: int) -> Column:
+    return (F.col(top) + more) / (F.col(bottom) + more)
 
 
 def sketches(measured: DataFrame) -> DataFrame:
-    """lang, source, rule, bin, n: a log-binned quantile sketch per group.  Adding up n merges two sketches."""
-    bins = F.array(*(F.struct(F.lit(name).alias("rule"), F.when(_ratio(a, b) > 0, F.ceil(F.log(_ratio(a, b)) / math.log(GROWTH)).cast("int")).otherwise(F.lit(-1000)).alias("bin")) for name, a, b, _ in RATIOS))
-    return measured.select("lang", "source", F.explode(bins).alias("x")).groupBy("lang", "source", "x.rule", "x.bin").agg(F.count("*").alias("n"))
+    """lang, source, ratio, bin, n: a log-binned quantile sketch per group.  Adding up n merges two sketches."""
+    bins = F.array(*(F.struct(F.lit(name).alias("ratio"), F.ceil(F.log(_ratio(a, b, more)) / math.log(GROWTH)).cast("int").alias("bin")) for name, a, b, more in RATIOS))
+    return measured.select("lang", "source", F.explode(bins).alias("x")).groupBy("lang", "source", "x.ratio", "x.bin").agg(F.count("*").alias("n"))
 
 
-def thresholds(sketch: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
-    """lang, source and one threshold per rule.  A sketch has some hundred bins, whatever its group's size."""
-    group = W.partitionBy("lang", "source", "rule")
+def thresholds(sketch: DataFrame, limits: tuple = LIMITS) -> DataFrame:
+    """lang, source and each limit, from the sketch alone.  A sketch has some hundred bins, whatever its group's size."""
+    group = W.partitionBy("lang", "source", "ratio")
     ranked = sketch.withColumn("upto", F.sum("n").over(group.orderBy("bin"))).withColumn("of", F.sum("n").over(group))
-    edge = ranked.where(F.col("upto") >= F.col("of") * quantile).groupBy("lang", "source", "rule").agg(F.min("bin").alias("bin"))
-    value = F.when(F.col("bin") > -1000, F.pow(F.lit(GROWTH), F.col("bin"))).otherwise(F.lit(0.0)) * slack
-    return edge.groupBy("lang", "source").agg(*(F.greatest(F.max(F.when(F.col("rule") == name, value)), F.lit(floor)).alias(f"max_{name}") for name, _, _, floor in RATIOS))
+    edge = lambda ratio, quantile: F.min(F.when((F.col("ratio") == ratio) & (F.col("upto") >= F.col("of") * quantile), F.col("bin")))
+    return ranked.groupBy("lang", "source").agg(*((F.pow(F.lit(GROWTH), edge(ratio, quantile)) * factor).alias(name) for name, ratio, quantile, factor in limits))
 
 
-def quality_rules(documents: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
-    """Base counts, base_failed and kept for each document.
+def quality_rules(documents: DataFrame, limits: tuple = LIMITS, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
+    """Base counts, base_failed and kept for each document, and the limits of its language and source.
 
     Null languages and sources form groups of their own; repeated rows count and stay; an empty table gives none.
     A text with fewer than ``min_words`` words, or mostly repeated three-word windows, fails whatever its group is.
-    A lone document in its group sets its own threshold, so the group rejects it only by the fixed rules.
+    All other verdicts come from the group's quantiles: none of the limits is fixed.  A lone document in its group
+    sets its own limits, so the group never rejects it.
     """
     measured = stored(measure(documents), "quality")
-    limits = stored(thresholds(sketches(measured), quantile, slack).select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *(f"max_{name}" for name, *_ in RATIOS)), "limits")
-    if small_enough(limits, BROADCAST_GROUPS):
-        limits = F.broadcast(limits)
+    names = [name for name, *_ in limits]
+    found = stored(thresholds(sketches(measured), limits).select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *names), "limits")
+    if small_enough(found, BROADCAST_GROUPS):
+        found = F.broadcast(found)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    passes = reduce(lambda x, y: x & y, (_ratio(a, b) <= F.col(f"max_{name}") for name, a, b, _ in RATIOS))
-    joined = measured.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
-    return joined.select("doc_id", *COUNTS, failed.alias("base_failed"), (~failed & F.coalesce(passes, F.lit(True))).alias("kept"), *(f"max_{name}" for name, *_ in RATIOS))
+    ratio = {name: _ratio(a, b, more) for name, a, b, more in RATIOS}
+    passes = reduce(lambda x, y: x & y, (ratio[r] <= F.col(name) if name.startswith("max_") else ratio[r] >= F.col(name) for name, r, _, _ in limits))
+    joined = measured.join(found, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
+    return joined.select("doc_id", *COUNTS, failed.alias("base_failed"), (~failed & F.coalesce(passes, F.lit(True))).alias("kept"), *names)

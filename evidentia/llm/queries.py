@@ -51,7 +51,7 @@ def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(_documents(spark, sf_dir)).drop(*(f"max_{r[0]}" for r in quality_rules.RATIOS))
+    return quality_rules.quality_rules(_documents(spark, sf_dir)).withColumns({name: F.round(name, 9) for name, *_ in quality_rules.LIMITS})
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,16 +87,16 @@ WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_
 g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
 r AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1)) GROUP BY doc_id),
 m AS (SELECT d.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
-  CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, len(l) AS n_lines FROM d LEFT JOIN r ON d.doc_id = r.doc_id),
-q AS (SELECT *, CASE WHEN word_chars > 0 THEN n_symbols::DOUBLE / word_chars ELSE 0 END AS a, CASE WHEN n_lines > 0 THEN n_dup_lines::DOUBLE / n_lines ELSE 0 END AS b, CASE WHEN n_words > 0 THEN n_repeat_words::DOUBLE / n_words ELSE 0 END AS c FROM m),
-e AS (SELECT lang, source, unnest(['a', 'b', 'c']) AS rule, unnest([a, b, c]) AS x FROM q),
-s AS (SELECT lang, source, rule, CASE WHEN x > 0 THEN CAST(ceil(ln(x) / ln(1.1::DOUBLE)) AS INTEGER) ELSE -1000 END AS bin, count(*) AS n FROM e GROUP BY ALL),
+  CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words FROM d LEFT JOIN r ON d.doc_id = r.doc_id),
+q AS (SELECT *, (n_symbols + 1)::DOUBLE / (word_chars + 1) AS a, (n_dup_lines + 1)::DOUBLE / (n_words + 1) AS b, (n_repeat_words + 3)::DOUBLE / (n_words + 3) AS c, (word_chars + 1)::DOUBLE / (n_words + 1) AS e FROM m),
+x AS (SELECT lang, source, unnest(['a', 'b', 'c', 'e']) AS rule, unnest([a, b, c, e]) AS x FROM q),
+s AS (SELECT lang, source, rule, CAST(ceil(ln(x) / ln(1.02::DOUBLE)) AS INTEGER) AS bin, count(*) AS n FROM x GROUP BY ALL),
 u AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, rule ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY lang, source, rule) AS total FROM s),
-v AS (SELECT lang, source, rule, min(bin) AS bin FROM u WHERE upto >= total * 0.75 GROUP BY ALL),
-z AS (SELECT lang, source, max(CASE WHEN bin > -1000 THEN pow(1.1::DOUBLE, bin) ELSE 0 END * 3) FILTER (rule = 'a') AS ma, max(CASE WHEN bin > -1000 THEN pow(1.1::DOUBLE, bin) ELSE 0 END * 3) FILTER (rule = 'b') AS mb,
-  max(CASE WHEN bin > -1000 THEN pow(1.1::DOUBLE, bin) ELSE 0 END * 3) FILTER (rule = 'c') AS mc FROM v GROUP BY lang, source)
+z AS (SELECT lang, source, pow(1.02::DOUBLE, min(bin) FILTER (rule = 'a' AND upto >= total * 0.75)) * 4 AS ma, pow(1.02::DOUBLE, min(bin) FILTER (rule = 'b' AND upto >= total * 0.75)) * 4 AS mb,
+  pow(1.02::DOUBLE, min(bin) FILTER (rule = 'c' AND upto >= total * 0.75)) * 8 AS mc, pow(1.02::DOUBLE, min(bin) FILTER (rule = 'e' AND upto >= total * 0.9)) * 1.3 AS me, pow(1.02::DOUBLE, min(bin) FILTER (rule = 'e' AND upto >= total * 0.1)) * (1 / 1.3::DOUBLE) AS le FROM u GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND a <= greatest(ma, 0.05) AND b <= greatest(mb, 0.5) AND c <= greatest(mc, 0.4) AS kept
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND a <= ma AND b <= mb AND c <= mc AND e <= me AND e >= le AS kept,
+  round(ma, 9) AS max_symbols, round(mb, 9) AS max_dup_lines, round(mc, 9) AS max_repeats, round(me, 9) AS max_word_length, round(le, 9) AS min_word_length
 FROM q JOIN z ON q.lang IS NOT DISTINCT FROM z.lang AND q.source IS NOT DISTINCT FROM z.source
 """,
 }

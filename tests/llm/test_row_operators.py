@@ -160,10 +160,25 @@ def test_sketches_merge_and_find_quantiles(documents):
         for r in quality_rules.sketches(half).collect():
             parts[tuple(r)[:4]] += r.n
     assert parts == whole
-    values = sorted(r.n_symbols / r.word_chars if r.word_chars else 0.0 for r in measured.where("lang = 'en' and source = 'src0'").collect())
-    limit = next(r for r in quality_rules.thresholds(quality_rules.sketches(measured), 0.5, 1.0).collect() if (r.lang, r.source) == ("en", "src0"))
+    values = sorted((r.n_symbols + 1) / (r.word_chars + 1) for r in measured.where("lang = 'en' and source = 'src0'").collect())
+    limit = next(r for r in quality_rules.thresholds(quality_rules.sketches(measured), (("max_symbols", "symbols", 0.5, 1.0),)).collect() if (r.lang, r.source) == ("en", "src0"))
     true = values[int(np.ceil(0.5 * len(values))) - 1]
-    assert limit.max_symbols == pytest.approx(max(0.05, true), rel=quality_rules.GROWTH - 1)
+    assert true <= limit.max_symbols * (1 + 1e-9) and limit.max_symbols == pytest.approx(true, rel=quality_rules.GROWTH - 1)
+
+
+def test_limits_follow_their_group(table):
+    """The same text passes in a group where its ratios are usual and fails in one where they are not; groups differ in every limit."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    make = lambda sign, length: " ".join(word(length) + ("#" if rng.random() < sign else "") for _ in range(120))
+    rows = [(i, make(0.0, 5), "en", "plain", 1) for i in range(40)] + [(100 + i, make(0.2, 9), "en", "code", 1) for i in range(40)]
+    probe = make(0.2, 9)
+    rows += [(200, probe, "en", "plain", 1), (201, probe, "en", "code", 1), (202, make(0, 5), "en", "plain", 1), (203, make(0.2, 5), "en", "code", 1)]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(table(rows)).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert [got[i].kept for i in (200, 201, 202, 203)] == [False, True, True, False]
+    assert all(got[i].kept for i in range(40))
+    assert got[0].max_symbols < got[100].max_symbols and got[0].max_word_length < got[100].max_word_length and got[0].min_word_length < got[100].min_word_length
 
 
 # --- language ---
