@@ -23,7 +23,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_mix.mix_sources(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    return source_mix.mix_sources(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "position", F.try_element_at("positions", F.lit(-1)).alias("last_position"))
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,12 +74,16 @@ w AS (SELECT *, CASE turn % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE EL
 o AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / weight, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
   sum(weight) OVER (ORDER BY cap / weight, turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest, CAST(sum(source_size) OVER () AS DOUBLE) AS total FROM w),
 l AS (SELECT *, CASE WHEN (1.5::DOUBLE * total - before) / rest <= cap / weight THEN (1.5::DOUBLE * total - before) / rest END AS lv FROM o),
-t AS (SELECT source, source_size, least(cap, coalesce(max(lv) OVER () * weight, cap)) AS target FROM l),
-r AS (SELECT d.doc_id, d.size, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS goal,
+t AS (SELECT source, source_size, CASE turn % 3 WHEN 0 THEN -0.5::DOUBLE WHEN 1 THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS a, least(cap, coalesce(max(lv) OVER () * weight, cap)) AS target FROM l),
+r AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.a, CAST(floor(t.target) AS BIGINT) AS goal,
   CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS BIGINT) AS before
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-p AS (SELECT *, CASE WHEN source_size > 0 THEN goal // source_size ELSE 0 END AS passes FROM r)
-SELECT doc_id, size, source_size, target, CAST(passes * size + greatest(0, least(size, goal - passes * source_size - before)) AS BIGINT) AS taken FROM p
+p AS (SELECT *, CASE WHEN source_size > 0 THEN goal // source_size ELSE 0 END AS passes FROM r),
+k AS (SELECT *, greatest(0, least(size, goal - passes * source_size - before)) AS extra FROM p),
+c AS (SELECT *, CASE WHEN size > 0 THEN passes + CASE WHEN extra > 0 THEN 1 ELSE 0 END ELSE 0 END AS copies FROM k),
+h AS (SELECT *, CASE WHEN copies > 0 THEN before / goal::DOUBLE END AS x, CASE WHEN copies > 0 THEN (before + (copies - 1) * source_size) / goal::DOUBLE END AS y FROM c)
+SELECT doc_id, size, source_size, target, CAST(passes * size + extra AS BIGINT) AS taken, CASE WHEN a = 0 THEN x ELSE (a - 1 + sqrt((1 - a) * (1 - a) + 4 * a * x)) / (2 * a) END AS position,
+  CASE WHEN a = 0 THEN y ELSE (a - 1 + sqrt((1 - a) * (1 - a) + 4 * a * y)) / (2 * a) END AS last_position FROM h
 """,
     "op9_quality_rules": r"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,

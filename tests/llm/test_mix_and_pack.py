@@ -2,6 +2,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from evidentia.llm import packing as P
@@ -40,18 +41,41 @@ def test_targets_and_taken(table, rows):
     taken = defaultdict(int)
     for r in got:
         assert r.target == pytest.approx(want[r.source]) and r.source_size == sizes[r.source]
-        assert 0 <= r.taken <= 2 * r.size and 0 <= r.position <= 1
+        assert 0 <= r.taken <= 2 * r.size and all(0 <= x <= 1 for x in r.positions)
+        assert len(r.positions) == (-(-r.taken // r.size) if r.size else 0) and r.position == (r.positions[0] if r.positions else None)
         taken[r.source] += r.taken
     assert all(abs(taken[s] - want[s]) < 1 for s in want)
-    assert [r.position for r in got] == sorted(r.position for r in got)
+    assert [r.position for r in got] == sorted((r.position for r in got), key=lambda x: (x is not None, x))
     assert got == M.mix_sources(table(rows[::-1])).collect()
 
 
-def test_positions_follow_the_schedule(table, rows):
-    """The share of a source's words before time t is the integral of its schedule."""
-    got = M.mix_sources(table([(i, "w " * 10, "en", "a", 1) for i in range(500)]), slopes=(0.5,)).collect()
-    for t in (0.25, 0.5, 0.9):
-        assert sum(r.position < t for r in got) / 500 == pytest.approx(t + 0.5 * (t * t - t), abs=0.01)
+@pytest.mark.parametrize("slopes", [(0.5,), (-0.9, 0.0, 0.7), (0.0,)])
+def test_positions_follow_the_schedule(table, slopes):
+    """The share of a source's taken words before time t is the integral of its schedule, second copies included."""
+    made = [(i, "w " * 10, "en", f"s{i % 3}" if i < 600 else "s2", 1) for i in range(1500)]
+    got = M.mix_sources(table(made), slopes=slopes).collect()
+    assert max(len(r.positions) for r in got) == 2 and min(len(r.positions) for r in got) < 2
+    for i, source in enumerate(("s0", "s1", "s2")):
+        copies = [(x, min(r.size, r.taken - j * r.size)) for r in got if r.source == source for j, x in enumerate(r.positions)]
+        total, a = sum(n for _, n in copies), slopes[i % len(slopes)]
+        for t in (0.1, 0.25, 0.5, 0.9):
+            assert sum(n for x, n in copies if x < t) / total == pytest.approx(t + a * (t * t - t), abs=0.02)
+
+
+def test_schedules_change_the_positions(table, rows):
+    a, b = ({r.doc_id: r.positions for r in M.mix_sources(table(rows), slopes=s).collect()} for s in ((-0.5, 0.0, 0.5), (0.9, -0.9, 0.2)))
+    assert sum(a[i] != b[i] for i in a if a[i]) > 0.9 * sum(1 for i in a if a[i])
+
+
+def test_mixed_documents_stand_in_the_order_of_their_positions(table, rows):
+    df = table(rows)
+    want = sorted((x, r.doc_id) for r in M.mix_sources(df).collect() for x in r.positions[: int(r.taken / max(r.size, 1) + 0.5)])
+    got = [r.doc_id for r in M.mixed_documents(df.select("*", F.lit(3).alias("_times"), F.lit(4).alias("position"))).collect()]
+    place = dict()
+    for x, i in want:
+        place.setdefault(i, []).append(x)
+    seen = [place[i].pop(0) for i in got]
+    assert len(seen) == len(want) and max(a - b for a, b in zip(seen, seen[1:])) < 0.2 and sum(a > b for a, b in zip(seen, seen[1:])) == 0
 
 
 def test_applied_mix(table, rows):
