@@ -96,12 +96,77 @@ boost | boost software license | distributed under the boost software license ve
 ofl-1.1 | sil open font license | licensed under the sil open font license version 1 1
 python-2.0 | python software foundation | the python software foundation psf is making python available
 ncsa | deal with the software without restriction | to deal with the software without restriction including without limitation
-openssl | openssl toolkit | this product includes software developed by the openssl project
+openssl | developed by the openssl project | this product includes software developed by the openssl project
 php | this product includes php | this product includes php software freely available
 postgresql | permission to use copy modify | permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement
 busl-1.1 | business source license | terms of this business source license
 sspl-1.0 | make the functionality of the program | make the functionality of the program .{0,60}available to third parties as a service
 json | shall be used for good | the software shall be used for good not evil
+mit | without restriction including without limitation | (?:use|deal in) the software without restriction including without limitation the rights to use copy modify
+mit | the software is provided as is | the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability
+apache-2.0 | you must retain in the source form | you must retain in the source form of any derivative works that you distribute all copyright patent trademark and attribution notices
+apache-2.0 | for inclusion in the work | any contribution intentionally submitted (?:to licensor )?for inclusion in the work
+apache-1.1 | apache software foundation | this product includes software developed by the apache software foundation
+gpl-3.0 | installation information | installation information for a user product means any methods procedures authorization keys
+gpl-3.0 | the gnu general public license is a free copyleft license | the gnu general public license is a free copyleft license for software and other kinds of works
+gpl-2.0 | the licenses for most software | the licenses for most software are designed to take away your freedom to share and change it
+lgpl | statically or dynamically with other modules | linking (?:this library|a covered work) statically or dynamically with other modules
+lgpl-2.1 | such a work in isolation | such a work in isolation is (?:not a derivative work of the library|called a work that uses the library)
+agpl-3.0 | interacting with it remotely | all users interacting with it remotely through a computer network
+gpl-classpath | as a special exception | as a special exception the copyright holders of this library give you permission to link this library with independent modules
+gpl-autoconf | as a special exception | as a special exception .{0,120}configuration script generated by autoconf
+gpl-bison | as a special exception | as a special exception you may create a larger work that contains part or all of the bison parser skeleton
+gcc-exception-3.1 | gcc runtime library exception | gcc runtime library exception version 3 1
+llvm-exception | llvm exceptions | apache license v2 0 with llvm exceptions
+bsd | this software is provided by the copyright holders | this software is provided by the copyright holders and contributors as is and any express or implied warranties
+bsd | the regents of the university | copyright .{0,40}the regents of the university of california all rights reserved
+bsd-1-clause | redistributions of source code must retain | redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer this software is provided
+bsd-patent | hereby grants to those receiving rights | hereby grants to those receiving rights under this license a perpetual worldwide non exclusive no charge royalty free irrevocable
+isc | disclaims all warranties with regard | the software is provided as is and (?:isc|the author) disclaims all warranties with regard to this software
+zlib | freely subject to the following restrictions | alter it and redistribute it freely subject to the following restrictions
+libpng | contributing authors | the png reference library is supplied as is the contributing authors
+mpl-2.0 | you can obtain one at | if a copy of the mpl was not distributed with this file you can obtain one at
+epl-1.0 | this agreement | any use reproduction or distribution of the program constitutes recipient s acceptance of this agreement
+cc-by | you are free to share | you are free to share copy and redistribute the material in any medium or format
+cc-by-sa | you must distribute your contributions | if you remix transform or build upon the material you must distribute your contributions under the same license
+cc-by-nc | commercial purposes | you may not use the material for commercial purposes
+cc-by-nd | distribute the modified material | if you remix transform or build upon the material you may not distribute the modified material
+cc0-1.0 | the person who associated a work | the person who associated a work with this deed has dedicated the work to the public domain
+gfdl | permission is granted to copy distribute | permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license
+ofl-1.1 | reserved font name | no modified version of the font software may use the reserved font names?
+ncsa | redistributions of source code must retain | redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimers
+x11 | except as contained in this notice | except as contained in this notice the name of the x consortium shall not be used in advertising
+curl | permission to use copy modify | permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice
+tcl | the authors hereby grant permission | the authors hereby grant permission to use copy modify distribute and license this software and its documentation for any purpose
+unicode | unicode data files | permission is hereby granted free of charge to any person obtaining a copy of the unicode data files
+icu | obtaining a copy of this software and associated | obtaining a copy of this software and associated documentation files .{0,200}provided that the above copyright notices? and this permission notice appear in all copies
+ruby | you may make and give away verbatim copies | you may make and give away verbatim copies of the source form of the software without restriction
+artistic-1.0 | the intent of this document | the intent of this document is to state the conditions under which a package may be copied
+openssl | eric young | this product includes cryptographic software written by eric young
+afl-3.0 | academic free license | licensed under the academic free license version 3 0
+osl-3.0 | open software license | licensed under the open software license version 3 0
+upl-1.0 | subject to the condition set forth below | subject to the condition set forth below permission is hereby granted to any person obtaining a copy of this software
+ms-pl | this license governs use | this license governs use of the accompanying software if you use the software you accept this license
+elastic-2.0 | hosted or managed service | you may not provide the software to third parties as a hosted or managed service
+polyform | polyform | polyform (?:noncommercial|small business|strict|shield|perimeter|free trial) license 1 0 0
+llama | community license | licensed under the (?:meta )?llama(?: [23])?(?: [0-9])? community license
+rail | use based restrictions | (?:the )?use based restrictions .{0,80}must be included as an enforceable provision
+hippocratic | hippocratic license | hippocratic license(?: version)?(?: [123] [0-9])?
+anti-996 | anti 996 | anti 996 license(?: version 1 0)?
+parity | parity public license | parity public license(?: 7 0 0)?
+cern-ohl | open hardware licence | cern open hardware licence(?: version 2| v1 2)?(?: (?:strongly|weakly) reciprocal| permissive)?
+glwtpl | good luck with that | good luck with that public license
+bsd-source-code | bsd source code attribution | bsd source code attribution
+intel | intel open source license | intel open source license
+sissl | sun industry standards | sun industry standards source license(?: version 1 [12])?
+spl | sun public license | sun public license(?: version 1 0)?
+lppl | latex project public license | latex project public license(?: version)?(?: 1 [0-3] ?[ac]?)?
+rpl | reciprocal public license | reciprocal public license(?: version)?(?: 1 [15])?
+cpal | common public attribution license | common public attribution license(?: version)?(?: 1 0)?
+motosoto | motosoto open source license | motosoto open source license
+nasa | nasa open source agreement | nasa open source agreement(?: version)?(?: 1 3)?
+naumen | naumen public license | naumen public license
+wxwindows | wxwindows library licen | wxwindows library licen[cs]e(?: version 3 1)?
 beerware | as long as you retain this notice | as long as you retain this notice you can do whatever you want with this stuff
 """
 
@@ -186,7 +251,7 @@ postgresql | postgresql license | postgresql license
 sspl-1.0 | server side public license | server side public license
 busl-1.1 | business source license | business source license(?: 1 1)?
 elastic-2.0 | elastic license | elastic license(?: 2 0)?
-odbl | open database license | open (?:data commons open )?database license
+odbl | database license | open (?:data commons open )?database license
 odc-by | open data commons attribution | open data commons attribution license
 pddl | public domain dedication and license | public domain dedication and license
 cdla | community data license agreement | community data license agreement(?: (?:permissive|sharing))?
@@ -241,12 +306,22 @@ all-rights-reserved | all rights reserved | all rights reserved
 public-domain | public domain | (?:in|into|to) the public domain
 proprietary | proprietary and confidential | proprietary and confidential
 commercial | commercial license | commercial license
-dual | dual licensed | dual licen[sc]ed
-free-software | free software license | free software licen[cs]e
-open-source | open source license | open source licen[cs]e
+evaluation | evaluation purposes only | for evaluation purposes only
+no-redistribution | redistributed | may not be (?:copied or )?redistributed
+non-commercial | non commercial use only | for non commercial use only
+research-only | research purposes only | for research purposes only
+trademark | registered trademark | (?:is a|are) registered trademarks? of
+copyleft | copyleft | (?:strong |weak )?copyleft licen[cs]e
+permissive | permissive | permissive (?:open source )?licen[cs]e
+source-available | source available | source available licen[cs]e
+royalty-free | royalty free | (?:worldwide )?royalty free licen[cs]e
+contributor-agreement | contributor license agreement | contributor license agreement
+dual | dual | dual licen[sc]ed
+free-software | free software | free software licen[cs]e
+open-source | open source | open source licen[cs]e
 no-warranty | without warranty of any kind | without warranty of any kind(?: express or implied)?
 as-is | provided as is | (?:is )?provided as is
-patent | patent license | patent licen[cs]e
+patent | patent | patent licen[cs]e
 redistribution | redistributions of source code | redistributions of source code must retain
 eula | end user license agreement | end user license agreement
 """
@@ -293,7 +368,7 @@ def _scan(joined: str, automaton, compiled) -> list[tuple[int, int, Rule]]:
     found = []
     for i in sorted(hits):
         rule, pattern = compiled[i]
-        found += [(m.start() + 1, m.end() - 1, rule) for m in pattern.finditer(joined)]
+        found += [(m.start(), m.end(), rule) for m in pattern.finditer(joined)]
     return suppress(found)
 
 
@@ -315,7 +390,7 @@ def scan_licenses(documents: DataFrame, extra_rules: tuple[Rule, ...] = ()) -> D
         for keyword, ids in by_keyword.items():
             automaton.add_word(keyword, tuple(ids))
         automaton.make_automaton()
-        return automaton, [(r, re.compile(f" {r.pattern} ")) for r in listed]
+        return automaton, [(r, re.compile(f"(?<= )(?:{r.pattern})(?= )")) for r in listed]
 
     def run(batch: pa.RecordBatch, state) -> pa.RecordBatch:
         out = []
