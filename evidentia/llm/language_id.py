@@ -10,18 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from evidentia.llm.common import map_arrow
+from evidentia.llm.common import map_arrow, stored
 
 #: Longest n-gram of the blended spectrum (1 to this).
 LONGEST = 4
 #: n-grams are addressed by this many bits of a hash.
 HASH_BITS = 21
-#: Bounds of the training sample: texts per language, landmarks per language, code points of a training text.
-PER_LANGUAGE, LANDMARKS, TRAIN_CHARS = 400, 48, 20_000
-#: Languages that are learned: the most frequent ones.
-LANGUAGES = 200
-#: n-grams that the kernel compares: those that most landmarks hold.
-VOCABULARY = 24_576
+#: Bounds of the training sample: texts per language, landmarks per language, code points of a training text, and
+#: code points of all training texts, which the languages share.  Each language that is labelled keeps one text at least.
+PER_LANGUAGE, LANDMARKS, TRAIN_CHARS, TOTAL_CHARS = 400, 48, 20_000, 32_000_000
 #: Texts scored by one matrix product.
 BLOCK = 48
 
@@ -77,60 +74,88 @@ class Model:
     limit: float = 0.0
 
 
+def _kernel(rows: list[np.ndarray], held: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """K(x, z) of rows of n-grams to landmarks, as batched matrix products of BLOCK rows at a time.
+
+    ``held`` has a column per landmark, 1 over the root of its own number for each n-gram that it holds.
+    """
+    out = np.empty((len(rows), held.shape[1]))
+    for start in range(0, len(rows), BLOCK):
+        out[start : start + BLOCK] = _presence(rows[start : start + BLOCK], slots, held.shape[0]) @ held
+    return out
+
+
+def _presence(rows: list[np.ndarray], slots: np.ndarray, width: int) -> np.ndarray:
+    """One row per text: 1 over the root of the number of its n-grams, for each of them that a landmark holds."""
+    out = np.zeros((len(rows), width), np.float32)
+    for i, grams in enumerate(rows):
+        at = slots[grams]
+        out[i, at[at >= 0]] = 1 / np.sqrt(max(1, len(grams)))
+    return out
+
+
 def train(texts: list[str], langs: list[str], per_class_landmarks: int = LANDMARKS, ridge: float = 1e-2) -> Model | None:
-    """Fit on bounded lists.  K(x, z) is the number of n-grams in both over the root of the product of their numbers."""
+    """Fit on bounded lists.  K(x, z) is the number of n-grams in both over the root of the product of their numbers.
+
+    All n-grams of all landmarks count: a text's other n-grams are in no landmark, so add to its number only.
+    """
     codes = _letter_codes()
-    rows = [(np.unique(g), lang) for g, lang in ((_grams(t, codes)[0], lang) for t, lang in zip(texts, langs, strict=True)) if len(g)]
-    classes = sorted({lang for _, lang in rows})
+    rows, labels = [], []
+    for text, lang in zip(texts, langs, strict=True):
+        grams = _grams(text, codes)[0]
+        if len(grams):
+            rows.append(np.unique(grams))
+            labels.append(lang)
+    classes = sorted(set(labels))
     if not classes:
         return None
     taken: dict[str, int] = {}
     marks = []
-    for i, (_, lang) in enumerate(rows):
+    for i, lang in enumerate(labels):
         if taken.setdefault(lang, 0) < per_class_landmarks:
             taken[lang] += 1
             marks.append(i)
-    held = np.bincount(np.concatenate([rows[i][0] for i in marks]), minlength=1 << HASH_BITS)
-    words = np.flatnonzero(held)
-    words = np.sort(words[np.argsort(-held[words], kind="stable")][:VOCABULARY])
+    words = np.unique(np.concatenate([rows[i] for i in marks]))
     slots = np.full(1 << HASH_BITS, -1, np.int32)
     slots[words] = np.arange(len(words))
-    presence = np.zeros((len(rows), len(words)), np.float32)
-    for i, (grams, _) in enumerate(rows):
-        at = slots[grams]
-        presence[i, at[at >= 0]] = 1
-    presence /= np.sqrt(np.maximum(1, presence.sum(1, keepdims=True)))
-    landmarks = presence[marks]
-    among = (landmarks @ landmarks.T).astype(np.float64)
-    values, vectors = np.linalg.eigh(among)
+    held = np.zeros((len(words), len(marks)), np.float32)
+    for j, i in enumerate(marks):
+        held[slots[rows[i]], j] = 1 / np.sqrt(len(rows[i]))
+    among = _kernel([rows[i] for i in marks], held, slots)
+    values, vectors = np.linalg.eigh((among + among.T) / 2)
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-    features = (presence @ landmarks.T).astype(np.float64) @ root
-    goal = np.array([[1.0 if lang == c else -1.0 for c in classes] for _, lang in rows])
-    balance = np.array([1.0 / sum(1 for _, x in rows if x == lang) for _, lang in rows])[:, None]
+    features = _kernel(rows, held, slots) @ root
+    number = {c: i for i, c in enumerate(classes)}
+    own_class = np.array([number[lang] for lang in labels])
+    goal = np.where(own_class[:, None] == np.arange(len(classes)), 1.0, -1.0)
+    balance = (1.0 / np.bincount(own_class))[own_class][:, None]
     spread = np.linalg.solve(features.T @ (features * balance) + ridge * np.eye(len(marks)), features.T)
     solved = spread @ (goal * balance)
     # Leaving a row out of a ridge regression has a closed form: its leverage takes its own goal off its value.
     leverage = np.einsum("ij,ji->i", features, spread)[:, None] * balance
     without = (features @ solved - leverage * goal) / np.maximum(1 - leverage, 1e-6)
-    own = without[np.arange(len(rows)), goal.argmax(1)][without.argmax(1) == goal.argmax(1)]
+    own = without[np.arange(len(rows)), own_class][without.argmax(1) == own_class]
     limit = float(np.clip((own.min() + 1) / 2, 0, 1)) if len(own) else 0.0
-    return Model(classes, slots, (landmarks.T.astype(np.float64) @ (root @ solved)).astype(np.float32), limit)
+    return Model(classes, slots, held @ (root @ solved).astype(np.float32), limit)
 
 
-def training_sample(documents: DataFrame, usable: Column, per_language: int = PER_LANGUAGE, most_chars: int = TRAIN_CHARS) -> tuple[list[str], list[str]]:
-    """At most ``per_language`` usable texts per language, chosen by a hash of doc_id, in a fixed order.
+def training_sample(documents: DataFrame, usable: Column, per_language: int = PER_LANGUAGE, most_chars: int = TRAIN_CHARS, total_chars: int = TOTAL_CHARS) -> tuple[list[str], list[str]]:
+    """Usable texts of each language that is labelled, chosen by a hash of doc_id, in a fixed order.
 
-    Counts per language first give a share of rows by hash, so that only about twice the bound is ranked.
+    A language has at most ``per_language`` texts, and as many as fit in its share of ``total_chars``, but at least
+    one.  Counts per language first give a share of rows by hash, so that only about twice the bound is ranked.
     """
     fit = documents.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= most_chars))
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    counts = {r.lang: r.n for r in fit.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    if not counts:
+    counts = fit.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = stored(counts.withColumnRenamed("lang", "_lang"), "languages")
+    languages = counts.count()
+    if not languages:
         return [], []
-    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1_000_000, 2_000_000 * per_language // n + 200))))
-    near = fit.where(slot < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0))).select("text", "lang", F.xxhash64("doc_id").alias("h"))
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
+    near = fit.join(counts, F.col("lang") == F.col("_lang")).where(slot < F.expr(f"{2_000_000 * per_language} div n + 200")).select("text", "lang", F.xxhash64("doc_id").alias("h"))
     order = W.partitionBy("lang").orderBy("h", "text")
-    rows = near.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= per_language).collect()
+    ranked = near.withColumn("rn", F.row_number().over(order)).withColumn("upto", F.sum(F.length("text")).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    rows = ranked.where((F.col("rn") <= per_language) & ((F.col("rn") == 1) | (F.col("upto") <= total_chars // languages))).select("text", "lang", "rn").collect()
     rows.sort(key=lambda r: (r.lang, r.rn))
     return [r.text for r in rows], [r.lang for r in rows]
 
@@ -139,16 +164,9 @@ def _scores(texts: list[str | None], model: Model, codes: np.ndarray) -> list[tu
     out: list[tuple[str, float]] = []
     for start in range(0, len(texts), BLOCK):
         block = texts[start : start + BLOCK]
-        present = np.zeros((len(block), len(model.weights) + 1), np.float32)  # the last column takes unknown n-grams
-        letters = []
-        for i, text in enumerate(block):
-            grams, some = _grams(text, codes) if text else (None, False)
-            letters.append(some)
-            if some:
-                present[i, model.slots[grams]] = 1
-        present = present[:, :-1]
-        norms = np.sqrt(np.maximum(1, present.sum(1, keepdims=True)))
-        values = (present @ model.weights) / norms
+        found = [_grams(text, codes) if text else (np.empty(0, np.uint32), False) for text in block]
+        letters = [some for _, some in found]
+        values = _presence([np.unique(grams) for grams, _ in found], model.slots, len(model.weights)) @ model.weights
         best = values.argmax(1)
         for i in range(len(block)):
             if letters[i]:

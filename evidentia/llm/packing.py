@@ -8,12 +8,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import WORD_PATTERN
+from evidentia.llm.common import WORD_PATTERN, stored
 
 #: Words in a bin.
 CAPACITY = 2048
-#: A group of documents is packed by itself; groups hold about this many pieces, whatever the input's size.
+#: A group is packed by itself; groups hold about this many pieces that do not fill a bin, whatever the input's size.
 GROUP_PIECES = 3000
+#: Rows of an output batch.
+OUT_ROWS = 8192
 #: Documents of one source that a bin may hold; of one duplicate cluster it holds one.
 PER_SOURCE = 4
 
@@ -87,11 +89,13 @@ def duplicate_cluster(text: Column) -> Column:
 def best_fit_pack(documents: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, group_pieces: int = GROUP_PIECES, cluster: str | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, size, source, cluster, bin_id, bin_slot, bin_offset, bin_capacity.
 
-    A text of more than ``capacity`` words is cut into pieces of at most that many, so no word is lost; a piece of
-    ``capacity`` words fills a bin.  Null and empty texts have one piece of size 0, which fits anywhere.  A null
-    source is a source.  Repeated rows are packed each; they share a cluster, so never a bin.  ``cluster`` names a
-    column to use in place of the texts' own words.  Groups are dealt by a hash of doc_id and text, and each is sorted
-    by size and hash, so reruns agree.  Only sizes and hashes are shuffled.
+    A text of more than ``capacity`` words is cut into pieces of at most that many, so no word is lost.  A piece of
+    ``capacity`` words is a bin by itself: only a text's last piece needs packing, so a group's state has one entry
+    per document, however long texts are.  Null and empty texts have one piece of size 0, which fits any bin with
+    room: it counts for no source and no cluster.  A null source is a source.  Repeated rows are packed each; they
+    share a cluster, so never a bin.  ``cluster`` names a column to use in place of the texts' own words.  Groups are
+    dealt by a hash of doc_id and text, and each is sorted by size and hash, so reruns agree.  Only sizes and hashes
+    are shuffled.
     """
     text = F.col("text").cast("string")
     mark = F.col(cluster).cast("bigint") if cluster else duplicate_cluster(text)
@@ -99,32 +103,46 @@ def best_fit_pack(documents: DataFrame, capacity: int = CAPACITY, per_source: in
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), mark.alias("cluster"),
         F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("bigint").alias("words"), F.xxhash64("doc_id", text).alias("key"),
     )
-    n = documents.count()
-    groups = max(1, -(-n // group_pieces))
-    last = F.greatest(F.lit(0), F.ceil(F.col("words") / capacity).cast("int") - 1)
-    pieces = sized.withColumn("piece", F.explode(F.sequence(F.lit(0), last)))
-    pieces = pieces.withColumn("size", F.least(F.lit(capacity), F.col("words") - F.col("piece") * capacity).cast("bigint")).withColumn("group", F.pmod(F.hash("key", F.lit(7)), F.lit(groups)).cast("bigint"))
+    sized = stored(sized, "pieces")
+    whole = F.when(F.col("words") % capacity == 0, F.greatest(F.lit(0), F.expr(f"words div {capacity}") - 1)).otherwise(F.expr(f"words div {capacity}"))
+    rest = sized.withColumn("piece", whole.cast("int")).withColumn("size", F.col("words") - F.col("piece").cast("bigint") * capacity)
+    groups = max(1, -(-sized.count() // group_pieces))
+    rest = rest.withColumn("group", F.pmod(F.hash("key", F.lit(7)), F.lit(groups)).cast("bigint"))
     columns = ("doc_id", "piece", "size", "source", "cluster", "key", "group")
-    dealt = pieces.select(*columns).repartition(min(groups, max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-groups // 64))), "group").sortWithinPartitions("group", F.desc("size"), "key", "piece", "doc_id")
+    dealt = rest.select(*columns).repartition(min(groups, max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-groups // 64))), "group").sortWithinPartitions("group", F.desc("size"), "key", "piece", "doc_id")
     names = ("doc_id", "piece", "size", "source", "cluster", "bin_id", "bin_slot", "bin_offset", "bin_capacity")
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int32())
 
-    def flush(rows: list[tuple]) -> pa.RecordBatch:
+    def flush(rows: list[tuple]):
         group = rows[0][6]
-        items = [(r[2], (r[5], r[1]), r[3], r[4] if r[1] == 0 else (r[5], r[1], i)) for i, r in enumerate(rows)]
-        placed = pack(items, capacity, per_source)
-        out = [(*r[:5], f"{group}-{b}", slot, offset, capacity) for r, (b, slot, offset) in zip(rows, placed, strict=True)]
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], list(names))
+        items = [(r[2], (r[5], r[1]), r[3] if r[2] else (i,), r[4] if r[1] == 0 and r[2] else (r[5], r[1], i)) for i, r in enumerate(rows)]
+        bins, out = 0, []
+        for r, (b, slot, offset) in zip(rows, pack(items, capacity, per_source), strict=True):
+            out.append((*r[:5], f"{group}-{b}", slot, offset, capacity))
+            bins = max(bins, b + 1)
+        for r in rows:  # the pieces that fill a bin, those of long texts in many batches
+            for piece in range(r[1]):
+                out.append((r[0], piece, capacity, r[3], r[4], f"{group}-{bins}", 0, 0, capacity))
+                bins += 1
+                if len(out) >= OUT_ROWS:
+                    yield out
+                    out = []
+        yield out
+
+    def batches_of(rows: list[tuple]):
+        for out in flush(rows):
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], list(names))
 
     def run(batches):
         held: list[tuple] = []
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
                 if held and row[6] != held[0][6]:
-                    yield flush(held)
+                    yield from batches_of(held)
                     held = []
                 held.append(row)
         if held:
-            yield flush(held)
+            yield from batches_of(held)
 
     return dealt.mapInArrow(run, "doc_id bigint, piece int, size bigint, source string, cluster bigint, bin_id string, bin_slot int, bin_offset bigint, bin_capacity int")

@@ -135,9 +135,32 @@ def test_no_word_is_lost(table, rows):
         for r in sorted(own, key=lambda r: r.bin_slot):
             assert r.bin_offset == at
             at += r.size
-        whole = [r for r in own if r.piece == 0]
+        whole = [r for r in own if r.piece == 0 and r.size]
         assert len({r.cluster for r in whole}) == len(whole)
-        assert all(sum(r.source == s for r in own) <= 3 for s in {r.source for r in own})
+        assert all(sum(r.source == s and r.size > 0 for r in own) <= 3 for s in {r.source for r in own})
+
+
+def test_empty_texts_fit_any_bin_with_room(table):
+    made = ["a b c", *[""] * 9, None, "d e"]
+    got = P.best_fit_pack(table([(i, t, "en", "s", 1) for i, t in enumerate(made)]), capacity=8).collect()
+    assert len({r.bin_id for r in got}) == 1 and len(got) == len(made)
+
+
+def test_groups_hold_documents_whatever_their_length(table, monkeypatch):
+    """Pieces that fill a bin never stand in a group's state; bins of long texts differ from all others."""
+    seen = []
+    plain = P.pack
+    monkeypatch.setattr(P, "pack", lambda items, *a: seen.append(len(items)) or plain(items, *a))
+    monkeypatch.setattr(P, "OUT_ROWS", 50)
+    texts = ["w " * (10 * 400 + 3), "w " * (10 * 200), "w " * 10, "w " * 9, "w " * 21, "w"]
+    got = P.best_fit_pack(table(texts), capacity=10).collect()
+    size, bins = defaultdict(int), defaultdict(int)
+    for r in got:
+        size[r.doc_id] += r.size
+        bins[r.bin_id] += r.size
+    assert dict(size) == {i: len(t.split()) for i, t in enumerate(texts)} and max(bins.values()) == 10
+    assert len(got) == 401 + 200 + 1 + 1 + 3 + 1 and len({(r.doc_id, r.piece) for r in got}) == len(got)
+    assert len(bins) == -(-sum(size.values()) // 10) or len(bins) == -(-sum(size.values()) // 10) + 1
 
 
 def test_reruns_agree(table, rows):

@@ -231,13 +231,52 @@ def test_held_out_accuracy(documents):
     assert sum(truth[r.doc_id] == r.lang_pred for r in rows) / len(rows) > 0.95
 
 
-def test_kernel_scores_are_the_dual_form():
-    """Collapsed weights give what kernels to landmarks give."""
+def test_scores_are_kernel_ridge_regression():
+    """Batched products give what kernels, counted one by one over sets of n-grams, and a ridge regression on Nyström features give."""
     rng = random.Random(3)
-    words = {"aa": ["abba", "banana", "cab"], "xx": ["xyz", "zyx", "yoyo"]}
-    made = [(" ".join(rng.choice(words[k]) for _ in range(30)), k) for k in ("aa", "xx") for _ in range(20)]
-    model = language_id.train([t for t, _ in made], [k for _, k in made])
-    assert [x for x, _ in language_id._scores([t for t, _ in made], model, language_id._letter_codes())] == [k for _, k in made]
+    words = {"aa": ["abba", "banana", "cab"], "xx": ["xyz", "zyx", "yoyo"], "mm": ["abba", "zyx", "mnop"]}
+    made = [(" ".join(rng.choice(words[k]) for _ in range(30)), k) for k in words for _ in range(20)]
+    texts, langs = [t for t, _ in made], [k for _, k in made]
+    model = language_id.train(texts, langs, per_class_landmarks=5)
+    codes = language_id._letter_codes()
+    grams = lambda t: set(language_id._grams(t, codes)[0].tolist())
+    kernel = lambda x, z: len(x & z) / (len(x) * len(z)) ** 0.5
+    marks = [grams(texts[i]) for i in (*range(5), *range(20, 25), *range(40, 45))]
+    among = np.array([[kernel(x, z) for z in marks] for x in marks])
+    values, vectors = np.linalg.eigh(among)
+    root = vectors @ np.diag(np.maximum(values, 1e-3) ** -0.5) @ vectors.T
+    features = lambda ts: np.array([[kernel(grams(t), z) for z in marks] for t in ts]) @ root
+    x = features(texts)
+    goal = np.array([[1.0 if k == c else -1.0 for c in sorted(words)] for k in langs])
+    solved = np.linalg.solve(x.T @ x / 20 + 1e-2 * np.eye(len(marks)), x.T @ goal / 20)
+    probes = [*texts, "abba xyz unseen", "q", "Ünknown 日本 abba"]
+    want = features(probes) @ solved
+    for (lang, score), row in zip(language_id._scores(probes, model, codes), want, strict=True):
+        assert score == pytest.approx(np.clip((row.max() + 1) / 2, 0, 1), abs=1e-3)
+        assert row[sorted(words).index(lang)] == pytest.approx(row.max(), abs=2e-3)
+
+
+def test_every_language_is_learned(table):
+    """No number of languages is too many: 230 alphabets of four letters, of which each gets its texts back."""
+    rng = random.Random(8)
+    base = [c for c in map(chr, range(0x3400, 0x3400 + 230 * 4))]
+    rows = []
+    for k in range(230):
+        for j in range(4):
+            rows.append((len(rows), " ".join("".join(rng.choice(base[4 * k : 4 * k + 4]) for _ in range(5)) for _ in range(12)), f"l{k}", "a", 1))
+    got = language_id.identify_language(table(rows)).collect()
+    lang = {r[0]: r[2] for r in rows}
+    learned = {lang[r.doc_id] for r in got if not r.held_out}
+    assert all(r.lang_pred == lang[r.doc_id] for r in got if lang[r.doc_id] in learned) and len(learned) > 220
+
+
+def test_training_sample_is_bounded(table):
+    from pyspark.sql import functions as F
+
+    rows = [(i, "abc " * 100, f"l{i % 3}", "a", 1) for i in range(60)]
+    texts, langs = language_id.training_sample(table(rows).select("doc_id", "text", "lang"), F.lit(True), total_chars=3 * 1250)
+    assert Counter(langs) == {"l0": 3, "l1": 3, "l2": 3}
+    assert Counter(language_id.training_sample(table(rows).select("doc_id", "text", "lang"), F.lit(True), total_chars=3)[1]) == {"l0": 1, "l1": 1, "l2": 1}
 
 
 def test_undetermined(table):
