@@ -304,6 +304,56 @@ def test_broken_pages(page):
     assert html_extract.article_text(page) == "a"
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article>a</article><aside><article>teaser</article></aside>", "a"),
+        ("<aside><article>teaser</article></aside><main>a</main>", "a"),
+        ("<div class='sidebar'><article>teaser</article></div><article>a</article>", "a"),
+        ("<div class='sidebar'><article>teaser</article></div><div>a</div>", "a"),
+        ("<aside><article>teaser</article></aside><div>a</div>", "a"),
+        ("<div class='site-header-layout'><article>a</article></div>", "a"),
+        ("<nav>menu<article>a</article>", "a"),
+        ("<script>var x = '<main>';</script><div>a</div>", "a"),
+        ("<!-- <article> --><div>a</div>", "a"),
+        ('<article><a title="5" tall">a</a></article>', "a"),
+        ('<article><a title="x>y" b=\'>\'>a</a><img alt=5">b</article>', "ab"),
+        ("<article>a</article><section class='comments'>c<article>d</article></section>", "a"),
+        ("<article>a" + "<p>" * 3000 + "</article>", "a"),
+        ("<article>a<p", "a<p"),
+        ("<article>3 < 4 &lt; 5 &#8217; &eacute;</article>", "3 < 4 < 5 \u2019 \u00e9"),
+        ("<article>a</article>" + "<x y=\"" * 2000, "a"),
+    ],
+)
+def test_whole_pages(spark, page, text):
+    pages = spark.createDataFrame([(1, "http://a/", page)], "page_id bigint, url string, html string")
+    assert html_extract.extract_text(pages).collect()[0].text == text
+
+
+def test_every_page_is_its_article(spark, sf):
+    """Pages of the test tables against a plain reading of their markup."""
+    import html
+
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    got = {r.page_id: (r.text, r.n_chars) for r in html_extract.extract_text(pages).collect()}
+    for r in pages.collect():
+        inner = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
+        lines = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1|br)>", inner))
+        want = "\n".join(x for x in lines if x)
+        assert got[r.page_id] == (want, len(want))
+
+
+def test_odd_pages(spark):
+    """Repeated rows without an article keep their text, clashing columns stay out, a very long page is whole."""
+    body = "one two three four five six seven eight nine ten"
+    notice = "<div>our offices are closed on every second sunday of the month</div>"
+    long = " ".join(f"w{i}" for i in range(300_000))
+    rows = [(1, "http://h/1", f"<div>{body}</div>"), (1, "http://h/1", f"<div>{body}</div>"), (2, "http://h/2", f"{notice}<p>alpha</p>"), (3, "http://h/3", f"{notice}<p>beta</p>"), (4, None, f"<article><p>{long}</p></article>"), (None, None, None)]
+    pages = spark.createDataFrame([(*r, 5, "x", b"y", 7) for r in rows], "page_id bigint, url string, html string, _row int, host string, digest binary, salt int")
+    got = sorted(((r.page_id or 0, r.text, r.n_chars) for r in html_extract.extract_text(pages).collect()))
+    assert got == [(0, "", 0), (1, body, len(body)), (1, body, len(body)), (2, "alpha", 5), (3, "beta", 4), (4, long, len(long))]
+
+
 def test_host_runs(spark):
     menu = "<div><span>Home of all things</span></div><div>News from around the world today</div><div>About us and our work</div>"
     rng = random.Random(1)
