@@ -18,15 +18,18 @@ from evidentia.llm.components import components
 #: Words in a shingle, the similarity that links two texts, bands, and samples in a band.  A pair of similarity 0.8
 #: shares no band with probability (1 - 0.8 ** 4) ** 20 = 2e-5.
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 4
-#: Document frequencies are counted in this many slots, over all documents; a slot counts all that fall into it.
-DF_BITS = 18
-#: A shingle's weight is 1 + ln(tf), times 1 to 1 + SPREAD by its inverse document frequency.  The range is narrow:
-#: in a large group of near copies, shared shingles are frequent and edits are rare, and must not outweigh them.
-SPREAD = 0.1
+#: A shingle that fewer than this share of documents hold weighs like one that this share holds.  So the shingles
+#: whose document frequency matters number at most a text's mean shingles over RARE, however many documents there are.
+RARE = 1e-3
+#: A shingle's weight is 1 + ln(tf), times 1 to 1 + SPREAD by its inverse document frequency.  In a large group of near
+#: copies, shared shingles are frequent and edits are rare.  At this spread, edits do not outweigh them so far that a
+#: pair of plain similarity 0.8 would share no band: in a group of a third of all documents its weighted similarity is
+#: 0.74, and it shares none with probability 7e-4.
+SPREAD = 0.5
 #: Shingles that are sampled at once, so that all arrays stay in a core's cache.
 CHUNK = 16_384
-#: Nodes of a bucket in a block.
-BLOCK = 2_048
+#: Rows of a shingle in a tile, on each side; keys that may each hold more than this share of all rows.
+BLOCK, HOT_KEYS = 2_048, 1_000
 
 _M = (1 << 64) - 1
 
@@ -92,18 +95,33 @@ class Shingler:
 
 
 class Weights:
-    """Log weights of shingles from their number in the text and their document frequency."""
+    """Log weights of shingles from their number in the text and their document frequency.
 
-    def __init__(self, idf: np.ndarray) -> None:
-        self.idf = idf
+    ``shingles``, in order, are those that at least RARE of the documents hold; ``factors`` their log factors.  Only
+    slots that are ``hot`` hold such shingles.  ``levels`` grow with the number of shingles in a slot.
+    """
+
+    def __init__(self, documents: int, shingles: np.ndarray, frequencies: np.ndarray, slots: np.ndarray) -> None:
+        order = np.argsort(shingles)
+        self.shingles = shingles[order]
+        self.factors = self._factor(frequencies[order].astype(np.float64) / max(1, documents))
+        self.most = float(self._factor(np.zeros(1))[0])
+        self.shift = np.uint64(64 - (len(slots).bit_length() - 1))
+        self.hot = slots >= RARE * documents
+        self.levels = np.minimum(255, 8 * np.log2(1.0 + slots)).astype(np.uint8)
 
-    @classmethod
-    def of(cls, frequencies: np.ndarray, documents: int) -> Weights:
-        idf = np.log((documents + 1) / np.maximum(1, np.minimum(frequencies, documents))) / math.log(documents + 2)
-        return cls(np.log1p(SPREAD * np.clip(idf, 0, 1)).astype(np.float32))
+    @staticmethod
+    def _factor(share: np.ndarray) -> np.ndarray:
+        return np.log1p(SPREAD * np.log(np.clip(share, RARE, 1)) / math.log(RARE)).astype(np.float32)
 
     def __call__(self, shingle: np.ndarray, tf: np.ndarray) -> np.ndarray:
-        return self.idf[shingle >> np.uint64(64 - DF_BITS)] + np.log1p(np.log(tf)).astype(np.float32)
+        out = np.log1p(np.log(tf)).astype(np.float32) + np.float32(self.most)
+        if len(self.shingles):
+            maybe = np.flatnonzero(self.hot[(shingle >> self.shift).astype(np.intp)])
+            at = np.minimum(np.searchsorted(self.shingles, shingle[maybe]), len(self.shingles) - 1)
+            found = self.shingles[at] == shingle[maybe]
+            out[maybe[found]] += self.factors[at[found]] - np.float32(self.most)
+        return out
 
 
 class Sampler:
@@ -157,41 +175,88 @@ def _blocks(rows: list[bytes], most: int = 1 << 19):
         yield held
 
 
-def document_frequencies(documents: DataFrame) -> tuple[np.ndarray, int]:
-    """Slot counts of shingles over all documents, and the number of documents with words.
+def _slot_counts(documents: DataFrame, bits: int) -> tuple[np.ndarray, int]:
+    """How many distinct shingles of documents fall into each of 2 ** bits slots, and the number of documents with words.
 
     Each task counts in one fixed array; two rounds add the arrays up, so the driver gets one.
     """
-    names = ["n", "counts"]
+    names, size = ["n", "counts"], 1 << bits
+    shift = np.uint64(64 - bits)
 
     def count(batches):
-        shingler, total, n = Shingler(), np.zeros(1 << DF_BITS, np.int64), 0
+        shingler, total, n = Shingler(), np.zeros(size, np.int64), 0
         for batch in batches:
             rows = [shingler.words(t) for t in batch.column(0).to_pylist()]
             for block in _blocks(rows):
                 n += len(block)
-                total += np.bincount((shingler([rows[i] for i in block])[0] >> np.uint64(64 - DF_BITS)).astype(np.intp), minlength=len(total))
+                np.add.at(total, (shingler([rows[i] for i in block])[0] >> shift).astype(np.intp), 1)
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([zlib.compress(total.astype("<i8").tobytes(), 1)], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([zlib.compress(total.astype("<i4").tobytes(), 1)], pa.binary())], names)
 
     def add(batches):
-        total, n = np.zeros(1 << DF_BITS, np.int64), 0
+        total, n = np.zeros(size, np.int64), 0
         for batch in batches:
             n += sum(batch.column(0).to_pylist())
             for packed in batch.column(1).to_pylist():
-                total += np.frombuffer(zlib.decompress(packed), "<i8")
+                raw = zlib.decompress(packed)
+                total += np.frombuffer(raw, "<i4" if len(raw) == 4 * size else "<i8")
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names)
 
     shape = "n bigint, counts binary"
     parts = documents.select("text").mapInArrow(count, shape)
     spread = max(1, int(math.sqrt(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
     row = parts.repartition(spread).mapInArrow(add, shape).repartition(1).mapInArrow(add, shape).first()
-    return (np.frombuffer(zlib.decompress(row.counts), "<i8"), row.n) if row else (np.zeros(1 << DF_BITS, np.int64), 0)
+    return (np.frombuffer(zlib.decompress(row.counts), "<i8"), row.n) if row else (np.zeros(size, np.int64), 0)
+
+
+def document_frequencies(documents: DataFrame) -> Weights:
+    """The weights, from exact document frequencies of all shingles that at least RARE of all documents hold.
+
+    A first pass counts shingles by slot: only slots with that many can hold such a shingle.  A second one counts the
+    shingles of those slots, each by itself, added up in the tasks before they are shuffled.  The slots' number
+    follows the texts' mean length, so that a slot holds about a quarter of RARE by chance, and changes only how many
+    shingles the second pass counts in vain.  The driver gets at most mean shingles / RARE rows of 16 bytes.
+    """
+    mean = documents.select(F.avg(F.length("text"))).first()[0] or 0
+    bits = min(24, max(12, math.ceil(math.log2(1 + 4 * mean / 6 / RARE))))
+    slots, n = _slot_counts(documents, bits)
+    least = RARE * n
+    hot = slots >= least
+    if not n or not hot.any():
+        return Weights(n, np.empty(0, np.uint64), np.empty(0, np.int64), slots)
+    sent = documents.sparkSession.sparkContext.broadcast(np.packbits(hot))
+    shift = np.uint64(64 - bits)
+
+    def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        names, place = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+        return names, np.bincount(place, np.concatenate([c for _, c in held]), len(names)).astype(np.int64)
+
+    def count(batches):
+        shingler, marks, held, size = Shingler(), np.unpackbits(sent.value).astype(bool), [], 0
+        for batch in batches:
+            rows = [shingler.words(t) for t in batch.column(0).to_pylist()]
+            for block in _blocks(rows):
+                shingle = shingler([rows[i] for i in block])[0]
+                own = shingle[marks[(shingle >> shift).astype(np.intp)]]
+                held.append((own, np.ones(len(own), np.int64)))
+                size += len(own)
+                if size > 1 << 20:
+                    held = [merged(held)]
+                    size = len(held[0][0])
+                    if size > 1 << 19:  # a task gives up what it has rather than hold more
+                        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in held[0]], ["h", "n"])
+                        held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in merged(held)], ["h", "n"])
+
+    counted = documents.select("text").mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    got = counted.toArrow()
+    return Weights(n, got.column("h").to_numpy().view(np.uint64), got.column("n").to_numpy(), slots)
 
 
 def sign(documents: DataFrame, weights: Weights) -> DataFrame:
     """doc_id, key (a digest of the words; null if there are none) and bands of each document."""
-    sent = documents.sparkSession.sparkContext.broadcast(weights.idf)
+    sent = documents.sparkSession.sparkContext.broadcast(weights)
 
     def run(batch: pa.RecordBatch, state) -> pa.RecordBatch:
         shingler, sampler, weights, seen = state
@@ -218,7 +283,7 @@ def sign(documents: DataFrame, weights: Weights) -> DataFrame:
         listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(own)))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), listed], ["doc_id", "key", "bands"])
 
-    return map_arrow(documents, run, "doc_id bigint, key binary, bands array<bigint>", lambda: (Shingler(), Sampler(), Weights(sent.value), {}))
+    return map_arrow(documents, run, "doc_id bigint, key binary, bands array<bigint>", lambda: (Shingler(), Sampler(), sent.value, {}))
 
 
 def _texts(documents: DataFrame) -> DataFrame:
@@ -243,7 +308,7 @@ def _texts(documents: DataFrame) -> DataFrame:
 
 def similar(pairs: DataFrame, texts: DataFrame, weights: Weights, similarity: float) -> DataFrame:
     """The pairs (u, v) whose texts' weighted Jaccard similarity is at least ``similarity``, or that without weights is."""
-    sent = pairs.sparkSession.sparkContext.broadcast(weights.idf)
+    sent = pairs.sparkSession.sparkContext.broadcast(weights)
     one = pairs.join(texts.select(F.col("key").alias("u"), F.col("words").alias("u_words")), "u")
     two = one.join(texts.select(F.col("key").alias("v"), F.col("words").alias("v_words")), "v")
 
@@ -270,117 +335,123 @@ def similar(pairs: DataFrame, texts: DataFrame, weights: Weights, similarity: fl
             good.append(bool(both >= (similarity - 1e-9) * (nu + nv - both) or count >= (similarity - 1e-9) * (len(hu) + len(hv) - count)))
         return batch.select(["u", "v"]).filter(pa.array(good))
 
-    return map_arrow(two.select("u", "v", "u_words", "v_words"), run, "u binary, v binary", lambda: (Shingler(), Weights(sent.value), {}))
+    return map_arrow(two.select("u", "v", "u_words", "v_words"), run, "u binary, v binary", lambda: (Shingler(), sent.value, {}))
 
 
-def prefixes(texts: DataFrame, weights: Weights, similarity: float, plain: bool) -> DataFrame:
-    """key, total, rare and after: a text's weight (``plain``: number of shingles), its rarest shingles as 32-bit hashes, and the weight from each on.
+def prefixes(texts: DataFrame, weights: Weights, similarity: float) -> DataFrame:
+    """plain, rare, key, c, total and after, for each text's rarest shingles: once by weights, once (``plain``) by number.
 
     Shingles stand in one order for all texts, rare ones first.  All that two texts share comes from their first common
-    shingle on, so similar texts have it where at least ``similarity`` of either's weight still follows: what stands
-    later is left out.
+    shingle on, so similar texts have it where at least ``similarity`` of either's total still follows: ``after``,
+    with the shingle itself.  What stands later is left out.  Shingles go by 32 bits of their hash.
     """
-    sent = texts.sparkSession.sparkContext.broadcast(weights.idf)
+    sent = texts.sparkSession.sparkContext.broadcast(weights)
 
     def run(batch: pa.RecordBatch, state):
         shingler, weights = state
-        keys, rows = batch.column("key").to_pylist(), batch.column("words").to_pylist()
-        for block in _blocks(rows):
+        keys, parts, rows = (batch.column(c).to_pylist() for c in ("key", "c", "words"))
+        for block in _blocks(rows, 1 << 17):
             shingle, tf, start = shingler([rows[i] for i in block])
-            weight = np.ones(len(shingle)) if plain else np.exp(weights(shingle, tf).astype(np.float64))
+            factor = weights(shingle, np.ones(len(shingle)))
             owner = np.repeat(np.arange(len(block)), np.diff(np.append(start, len(shingle))))
-            order = np.lexsort((shingle, -weights.idf[shingle >> np.uint64(64 - DF_BITS)], owner))
-            shingle, weight = shingle[order], weight[order]
-            total = np.bincount(owner, weight, len(block))
-            upto = np.cumsum(weight) - weight
-            after = total[owner] - (upto - upto[start][owner])
-            keep = after >= (similarity - 1e-6) * total[owner]
-            ends = pa.array(np.concatenate(([0], np.cumsum(np.bincount(owner[keep], minlength=len(block))))).astype(np.int32))
-            rare = (shingle[keep] >> np.uint64(8)).astype(np.uint32).view(np.int32)
-            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (rare, (after[keep] * (1 + 1e-6)).astype(np.float32))]
-            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in block], pa.binary()), pa.array(total), *lists], ["key", "total", "rare", "after"])
-
-    return map_arrow(texts.select("key", "words"), run, "key binary, total double, rare array<int>, after array<float>", lambda: (Shingler(), Weights(sent.value)))
-
-
-def _meet(rows: list[dict], similarity: float) -> tuple[list[bytes], list[bytes]]:
-    """Pairs of a block's heads and members, of different components, that may be similar and share no earlier band."""
-    heads, members = ([r for r in rows if r["head"] == x] for x in (True, False))
+            order = np.lexsort((shingle, weights.levels[(shingle >> weights.shift).astype(np.intp)], -factor, owner))
+            rare = (shingle[order] >> np.uint64(8)).astype(np.uint32).view(np.int32)
+            for plain in (False, True):
+                weight = np.ones(len(shingle)) if plain else np.exp(weights(shingle, tf).astype(np.float64))[order]
+                total = np.bincount(owner, weight, len(block))
+                upto = np.cumsum(weight) - weight
+                after = total[owner] - (upto - upto[start][owner])
+                keep = after >= (similarity - 1e-6) * total[owner]
+                own = owner[keep]
+                columns = [pa.array(np.full(len(own), plain)), pa.array(rare[keep]), *(pa.array([x[i] for i in block], pa.binary()).take(pa.array(own)) for x in (keys, parts)), pa.array(total[own]), pa.array(after[keep] * (1 + 1e-9))]
+                yield pa.RecordBatch.from_arrays(columns, ["plain", "rare", "key", "c", "total", "after"])
+
+    return map_arrow(texts.select("key", "c", "words"), run, "plain boolean, rare int, key binary, c binary, total double, after double", lambda: (Shingler(), sent.value))
+
+
+def _meet(rows: list[tuple], similarity: float) -> tuple[list[bytes], list[bytes]]:
+    """Pairs of a tile's heads and members (key, c, total, after, apart, head) of different components that may be similar."""
+    heads, members = [r for r in rows if r[5]], [r for r in rows if not r[5]]
     if not heads or not members:
         return [], []
-    sizes = [len(r["rare"]) for r in members]
-    flat, owner = np.concatenate([r["rare"] for r in members]), np.repeat(np.arange(len(members)), sizes)
-    after = np.concatenate([r["after"] for r in members]).astype(np.float64)
-    order = np.argsort(flat, kind="stable")
-    names, begins = np.unique(flat[order], return_index=True)
-    ends = np.append(begins[1:], len(flat))
-    total = np.array([r["total"] for r in members])
     numbers: dict = {}
-    part = np.array([numbers.setdefault(r["c"], len(numbers)) for r in members])
-    bands = np.array([r["bands"] for r in members])
-    apart = np.array([r["apart"] for r in members])
+    part = np.array([numbers.setdefault(r[1], len(numbers)) for r in members])
+    total, after, apart = (np.array([r[i] for r in members]) for i in (2, 3, 4))
     u, v = [], []
-    for h in heads:
-        rare, left = np.array(h["rare"]), np.array(h["after"], np.float64)
-        at = np.minimum(np.searchsorted(names, rare), len(names) - 1)
-        first, entry = np.full(len(members), -1), np.zeros(len(members), np.int64)
-        for i in np.flatnonzero(names[at] == rare)[::-1].tolist():
-            own = order[begins[at[i]] : ends[at[i]]]
-            first[owner[own]], entry[owner[own]] = i, own
-        ok = np.flatnonzero((first >= 0) & (part != numbers.get(h["c"], -1)) & (np.minimum(total, h["total"]) >= (similarity - 1e-6) * np.maximum(total, h["total"])))
-        both = np.minimum(left[first[ok]], after[entry[ok]])
-        ok = ok[both >= (similarity - 1e-6) * (total[ok] + h["total"] - both)]
-        ok = ok[~(bands[ok, : h["b"]] == np.array(h["bands"])[: h["b"]]).any(1)]
-        for j in ok.tolist():
-            if not apart[j] or h["key"] < members[j]["key"]:
-                u.append(h["key"])
-                v.append(members[j]["key"])
+    for key, c, own, left, _, _ in heads:
+        both = np.minimum(after, left)
+        ok = (part != numbers.get(c, -1)) & (np.minimum(total, own) >= (similarity - 1e-6) * np.maximum(total, own)) & (both >= (similarity - 1e-6) * (total + own - both))
+        for j in np.flatnonzero(ok).tolist():
+            if not apart[j] or key < members[j][0]:
+                u.append(key)
+                v.append(members[j][0])
     return u, v
 
 
-def may_be_similar(rest: DataFrame, similarity: float) -> DataFrame:
-    """(key, h) pairs that share a bucket, are of different components and by an exact bound may be similar.
+def dealt_prefixes(rows: DataFrame) -> DataFrame:
+    """Rows of ``prefixes`` by tiles (plain, rare, i, j), each of at most about BLOCK heads and BLOCK members.
 
-    A head is a node outside its bucket's largest component.  Blocks of heads meet blocks of all nodes of the bucket,
-    about BLOCK of each, so a large bucket takes many tasks of bounded memory.
+    A head is a row outside the largest component of its shingle; shingles of one component alone go.  A shingle's
+    members go to as many tiles as hold heads, so with few heads the rows are as many as members, not more.
     """
-    blocks = rest.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
-    slot = F.pmod(F.xxhash64("key"), F.col("k")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
-    sized = rest.join(blocks, "band").withColumn("slot", slot)
-    heads = sized.where("apart").withColumn("head", F.lit(True)).withColumn("i", F.col("slot")).withColumn("j", every)
-    dealt = heads.unionByName(sized.withColumn("head", F.lit(False)).withColumn("j", F.col("slot")).withColumn("i", every))
-    n = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    names = ["key", "c", "apart", "b", "total", "rare", "after", "bands", "head"]
+    per = rows.groupBy("plain", "rare", "c").agg(F.count("*").alias("n")).groupBy("plain", "rare").agg(F.sum("n").alias("n"), F.max(F.struct("n", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    per = per.select("plain", "rare", F.col("main.c").alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("km"), F.ceil((F.col("n") - F.col("main.n")) / BLOCK).cast("int").alias("kh"))
+    sized = rows.join(per, ["plain", "rare"]).withColumn("apart", F.col("c") != F.col("main"))
+    slot = lambda k: F.pmod(F.xxhash64("key"), F.col(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    heads = sized.where("apart").withColumn("head", F.lit(True)).withColumn("i", slot("kh")).withColumn("j", every("km"))
+    members = sized.withColumn("head", F.lit(False)).withColumn("j", slot("km")).withColumn("i", every("kh"))
+    return heads.unionByName(members).select("plain", "rare", "i", "j", "key", "c", "total", "after", "apart", "head")
+
+
+def may_be_similar(rows: DataFrame, similarity: float) -> DataFrame:
+    """(key, h) pairs of different components that by an exact bound may be similar: they share a shingle of their
+    prefixes, after which enough of both follows."""
+    dealt = dealt_prefixes(rows)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = ("key", "c", "total", "after", "apart", "head")
 
     def run(batches):
         held, group = [], None
         for batch in batches:
-            keys = list(zip(*(batch.column(x).to_pylist() for x in ("band", "i", "j")), strict=True))
-            for key, row in zip(keys, batch.select(names).to_pylist(), strict=True):
-                if key != group and held:
-                    yield out(held)
-                    held = []
-                group = key
+            keys = zip(*(batch.column(x).to_pylist() for x in ("plain", "rare", "i", "j")), strict=True)
+            own = zip(*(batch.column(x).to_pylist() for x in names), strict=True)
+            u, v = [], []
+            for key, row in zip(keys, own, strict=True):
+                if key != group:
+                    for out, found in zip((u, v), _meet(held, similarity), strict=True):
+                        out += found
+                    held, group = [], key
                 held.append(row)
-        if held:
-            yield out(held)
-
-    def out(rows):
-        u, v = _meet(rows, similarity)
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], ["key", "h"])
+            if u:
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], ["key", "h"])
+        u, v = _meet(held, similarity)
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], ["key", "h"])
 
-    bounded_batches(rest.sparkSession)
-    return dealt.select("band", "i", "j", *names).repartition(n, "band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(run, "key binary, h binary")
+    bounded_batches(rows.sparkSession)
+    return dealt.repartition(n, "plain", "rare", "i", "j").sortWithinPartitions("plain", "rare", "i", "j").mapInArrow(run, "key binary, h binary")
 
 
 def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Of (band, key, ...): rows of buckets with several components, with c, the component, and apart, whether it is not
-    the bucket's largest one."""
-    own = members.drop("c", "apart").join(labels.select(F.col("u").alias("key"), F.col("v").alias("c")), "key", "left").withColumn("c", F.coalesce("c", "key"))
-    named = own.join(labels.groupBy(F.col("v").alias("c")).agg(F.count("*").alias("_size")), "c", "left").withColumn("_size", F.coalesce("_size", F.lit(0)))
-    several = named.groupBy("band").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi"), F.max(F.struct("_size", "c"))["c"].alias("_main")).where(F.col("_lo") != F.col("_hi"))
-    return named.join(several.select("band", "_main"), "band").withColumn("apart", F.col("c") != F.col("_main")).drop("_size", "_main")
+    """key and c, its component, of all nodes in buckets (band, key) with several components."""
+    own = members.select("band", "key").join(labels.select(F.col("u").alias("key"), F.col("v").alias("c")), "key", "left").withColumn("c", F.coalesce("c", "key"))
+    several = own.groupBy("band").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where(F.col("_lo") != F.col("_hi"))
+    return own.join(several.select("band"), "band", "left_semi").select("key", "c").distinct()
+
+
+def _by_key(rows: DataFrame, found: DataFrame, on: str) -> DataFrame:
+    """Left join of two stored tables on a key of which ``found`` has each once.
+
+    Keys of more than 1 / HOT_KEYS of the rows, at most HOT_KEYS of them, are joined by broadcast, so the rows of a hot
+    key stay in their own tasks.
+    """
+    least = rows.count() / HOT_KEYS
+    hot = rows.groupBy(on).agg(F.count("*").alias("_n")).where((F.col("_n") > least) & F.col(on).isNotNull()).select(on)
+    hot = stored(hot, "hot")
+    named = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    rows = rows.join(named, on, "left")
+    few = rows.where("_hot").drop("_hot").join(F.broadcast(found.join(F.broadcast(hot), on, "left_semi")), on, "left")
+    return few.unionByName(rows.where(F.col("_hot").isNull()).drop("_hot").join(found, on, "left"))
 
 
 def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -393,9 +464,10 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
     are kept.
 
     Texts of the same words are one node.  In each band's bucket the node that shares most buckets with others, so
-    likely the original, is tested against all.  Where a bucket holds several components even then, each node outside
-    the largest is tested against those nodes of other components that an exact bound on what the two can share leaves.
-    So every pair of different components that shares a bucket is tested or bounded, and no bucket gives all its pairs.
+    likely the original, is tested against all.  Where a bucket holds several components even then, its nodes are
+    joined on their rarest shingles, and pairs of different components are tested if an exact bound on what the two
+    can share allows it.  So every pair of different components that shares a bucket is tested or bounded, and no
+    bucket gives all its pairs.
     """
     made: list[DataFrame] = []
 
@@ -404,8 +476,7 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
         return made[-1]
 
     documents = doc_text(documents)
-    frequencies, n = document_frequencies(documents)
-    weights = Weights.of(frequencies, n)
+    weights = document_frequencies(documents)
     signed = keep(sign(documents, weights), "signed")
     nodes = signed.where(F.col("key").isNotNull()).groupBy("key").agg(F.any_value("bands").alias("bands"))
     member = keep(nodes.select("key", F.posexplode("bands").alias("b", "band")), "bands")
@@ -428,16 +499,14 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
     labels = components(links)
     rest = keep(_unsettled(shared, labels), "rest")
     if not small_enough(rest, 0):
-        open_ = texts.join(rest.select("key").distinct(), "key", "left_semi")
-        able = [may_be_similar(rest.join(keep(prefixes(open_, weights, similarity, plain).join(nodes, "key"), "prefixes"), "key"), similarity) for plain in (False, True)]
-        test(able[0].unionByName(able[1]))
+        test(may_be_similar(keep(prefixes(texts.join(rest, "key"), weights, similarity), "prefixes"), similarity))
         labels = components(links)
-    rows = signed.select("doc_id", "key").join(labels.select(F.col("u").alias("key"), F.col("v").alias("c")), "key", "left").select("doc_id", "key", F.coalesce("c", "key").alias("c"))
-    rows = stored(rows, "classes")
+    rows = keep(_by_key(signed.select("doc_id", "key"), labels.select(F.col("u").alias("key"), F.col("v").alias("c")), "key").select("doc_id", F.coalesce("c", "key").alias("c")), "classes")
+    least = stored(rows.where(F.col("c").isNotNull()).groupBy("c").agg(F.min("doc_id").alias("least")), "least")
+    rows = stored(_by_key(rows, least, "c").select("doc_id", "c", "least"), "members")
     for table in made:
         forget(table)
-    least = rows.where(F.col("c").isNotNull()).groupBy("c").agg(F.min("doc_id").alias("least"))
-    out = rows.join(least, "c", "left").select("doc_id", F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("class_id"), F.col("c").isNull().alias("alone"))
+    out = rows.select("doc_id", F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("class_id"), F.col("c").isNull().alias("alone"))
     heads = out.where((F.col("doc_id") == F.col("class_id")) & ~F.col("alone")).withColumn("n", F.row_number().over(W.partitionBy("class_id").orderBy("doc_id")))
     heads = heads.select("doc_id", "class_id", (F.col("n") == 1).alias("kept"))
     others = out.where(~F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)) | F.col("alone")).select("doc_id", "class_id", (F.col("alone") | F.col("class_id").isNull()).alias("kept"))
