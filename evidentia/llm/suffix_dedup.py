@@ -3,10 +3,10 @@
 A sparse suffix array: of the 69 grams of 32 bytes in each 100-byte string, the one with the least hash is its
 anchor, so equal strings have equal anchors at equal places.  Strings that follow one another share anchors, one in
 35 bytes or so.  Only anchors are dealt out, by gram.  An anchor's strings, as one stretch of up to 168 bytes, have a
-128-bit digest with its gram: occurrences after a digest's first are covered as a whole.  What remains are stretches
-that share a gram but differ, around edits and passage ends.  Their suffixes are sorted: by multikey quicksort on
-8-byte words to a shallow depth, then, where prefixes go on being equal, by blind tries that look only at bytes in
-which a group differs.
+128-bit digest with its gram: occurrences after a digest's first are covered as a whole, without a comparison of their
+bytes.  What remains are stretches that share a gram but differ, around edits and passage ends.  Their suffixes are
+sorted: by multikey quicksort on 8-byte words to a shallow depth, then, where prefixes go on being equal, by blind
+tries that look only at bytes in which a group differs.
 """
 
 from __future__ import annotations
@@ -164,7 +164,9 @@ def _first_pass(batch: pa.RecordBatch, sent: dict[int, int]):
         if n > room:
             end[at + room : at + n] = _STRETCH
     late = end == _STRETCH
-    group = (int(_mix(o[late][:1].astype(np.uint64) ^ m[late][:1].astype(np.uint64))[0]) >> 2) | 1 << 61 if late.any() else 0
+    # groups of the batch's own have at most GROUP rows of a gram
+    rank = np.arange(len(a)) - np.maximum.accumulate(np.where(np.append(True, a[1:] != a[:-1]), np.arange(len(a)), 0))
+    group = ((int(_mix(o[late][:1].astype(np.uint64) ^ m[late][:1].astype(np.uint64))[0]) >> 2) | 1 << 61) + rank // GROUP if late.any() else 0
     note = np.unique(a[late])
     none = np.zeros(len(note), np.int64)
     u = np.where(late, a, u)
@@ -237,47 +239,111 @@ def _emit(outs):
         yield _rows(a=a, g=g, o=o, m=m, end=end)
 
 
+def _starts(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places and sizes of segments, of flags that tell where one begins."""
+    first = np.flatnonzero(new)
+    return first, np.diff(np.append(first, len(new)))
+
+
+def _quicksort(order: np.ndarray, pos: np.ndarray, new: np.ndarray, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Multikey quicksort of the segments of ``order`` at places ``pos``, on 8-byte words, all segments in step.
+
+    A round splits each segment by the median of three of its words into less, equal and greater.  The equal part goes
+    on with the next word.  Returns places and segment flags of what is equal to the shallow depth.
+    """
+    deep: list[tuple[np.ndarray, np.ndarray]] = []
+    depth = np.zeros(len(pos), np.int64)
+    table = np.stack(words)
+    while len(pos):
+        first, size = _starts(new)
+        segment = np.repeat(np.arange(len(first)), size)
+        rows = order[pos]
+        word = table[depth, rows]
+        three = np.sort(np.stack((word[first], word[first + size // 2], word[first + size - 1])), axis=0)
+        pivot = three[1][segment]
+        part = (word > pivot).astype(np.int64) + (word >= pivot)
+        counts = np.stack([np.add.reduceat(part == k, first, dtype=np.int64) for k in range(3)])
+        base = first + np.cumsum(counts, axis=0) - counts
+        target = np.empty(len(pos), np.int64)
+        for k in range(3):
+            mine = part == k
+            nth = np.cumsum(mine)
+            target[mine] = (base[k] - (nth[first] - mine[first]))[segment[mine]] + nth[mine] - 1
+        moved, kinds = np.empty_like(rows), np.empty_like(part)
+        moved[target], kinds[target] = rows, part
+        order[pos] = moved
+        depth = depth + (kinds == 1)
+        new = new.copy()
+        new[1:] |= kinds[1:] != kinds[:-1]
+        first, size = _starts(new)
+        many, done = np.repeat(size > 1, size), depth == len(words)
+        if (many & done).any():
+            deep.append((pos[many & done], new[many & done]))
+        pos, new, depth = pos[many & ~done], new[many & ~done], depth[many & ~done]
+    if not deep:
+        return pos, new
+    where, flags = (np.concatenate(x) for x in zip(*deep, strict=True))
+    return where, flags
+
+
+def _blind_tries(order: np.ndarray, pos: np.ndarray, new: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """Order segments of ``order`` at places ``pos`` by tries that look only at bytes in which a segment differs.
+
+    ``matrix`` holds the bytes beyond the shallow depth.  A node of a trie is a segment, its branch the first byte in
+    which the segment's strings differ, its children in the order of that byte.  Returns the places whose string is
+    equal to the one before.
+    """
+    equal: list[np.ndarray] = [np.empty(0, np.int64)]
+    rows = order[pos]
+    while len(pos):
+        first, size = _starts(new)
+        differs = np.minimum.reduceat(matrix, first, axis=0) != np.maximum.reduceat(matrix, first, axis=0)
+        branch, inner = differs.argmax(1), np.repeat(differs.any(1), size)
+        equal.append(pos[~inner & ~new])
+        byte = matrix[np.arange(len(pos)), np.repeat(branch, size)]
+        segment = np.repeat(np.arange(len(first)), size)
+        at = np.argsort(segment * 256 + byte, kind="stable")
+        rows, matrix, byte = rows[at], matrix[at], byte[at]
+        order[pos] = rows
+        new = new.copy()
+        new[1:] |= (byte[1:] != byte[:-1]) & inner[1:]
+        _, size = _starts(new)
+        go = inner & np.repeat(size > 1, size)
+        pos, new, rows, matrix = pos[go], new[go], rows[go], matrix[go]
+    return np.concatenate(equal)
+
+
+def suffix_order(context: np.ndarray, start: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A suffix array of the LENGTH-byte strings at ``start``, by key and then by bytes, and whether each string is
+    equal to the one before it.  Deep-shallow: multikey quicksort to SHALLOW bytes, blind tries beyond."""
+    order = np.argsort(key, kind="stable")
+    equal = np.zeros(len(order), bool)
+    if not len(order):
+        return order, equal
+    new = np.ones(len(order), bool)
+    new[1:] = key[order][1:] != key[order][:-1]
+    _, size = _starts(new)
+    many = np.flatnonzero(np.repeat(size > 1, size))
+    if len(many):
+        words, rest = (np.lib.stride_tricks.sliding_window_view(context, n) for n in (8, LENGTH - SHALLOW))
+        shallow = [words[start + depth].copy().view(">u8").ravel().astype(np.uint64) for depth in range(0, SHALLOW, 8)]
+        pos, flags = _quicksort(order, many, new[many], shallow)
+        if len(pos):
+            equal[_blind_tries(order, pos, flags, rest[start[order[pos]] + SHALLOW])] = True
+    return order, equal
+
+
 def equal_windows(context: np.ndarray, start: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Classes of equal LENGTH-byte strings at ``start`` among those of the same key; -1 for a string without an equal."""
+    order, equal = suffix_order(context, start, key)
     out = np.full(len(start), -1, np.int64)
-    rows, group = _several(np.arange(len(start)), key)
-    if not len(rows):
-        return out
-    words, deep = (np.lib.stride_tricks.sliding_window_view(context, n) for n in (8, LENGTH - SHALLOW))
-    for depth in range(0, SHALLOW, 8):
-        if not len(rows):
-            return out
-        word = words[start[rows] + depth].copy().view(">u8").ravel().astype(np.uint64)
-        order = np.lexsort((word, group))
-        rows, group, word = rows[order], group[order], word[order]
-        new = np.ones(len(rows), bool)
-        new[1:] = (group[1:] != group[:-1]) | (word[1:] != word[:-1])
-        rows, group = _several(rows, np.cumsum(new))
-    while len(rows):
-        first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-        matrix = deep[start[rows] + SHALLOW]
-        differs = np.minimum.reduceat(matrix, first, axis=0) != np.maximum.reduceat(matrix, first, axis=0)
-        branch, open_ = differs.argmax(1), differs.any(1)
-        size = np.diff(np.append(first, len(rows)))
-        leaf = np.repeat(~open_, size)
-        out[rows[leaf]] = np.repeat(rows[first], size)[leaf]
-        byte = matrix[np.arange(len(rows)), np.repeat(branch, size)]
-        rows, group, byte = rows[~leaf], group[~leaf], byte[~leaf]
-        rows, group = _several(rows, group * 256 + byte)
+    head = np.maximum.accumulate(np.where(equal, 0, np.arange(len(order))))
+    several = equal.copy()
+    several[:-1] |= equal[1:]
+    out[order[several]] = order[head[several]]
     return out
 
 
-def _several(rows: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows in order of their key, and the key's number, without rows that alone have theirs."""
-    order = np.argsort(key, kind="stable")
-    rows, key = rows[order], key[order]
-    new = np.ones(len(rows), bool)
-    new[1:] = key[1:] != key[:-1]
-    number = np.cumsum(new) - 1
-    keep = np.bincount(number, minlength=1)[number] > 1
-    return rows[keep], number[keep]
-
-
 def _sort_stretches(a, g, o, m, contexts: list[bytes]):
     """Of stretches in whole groups (a, g), in order: covered spans, and digests of strings that other groups may hold."""
     sizes = np.array([len(c) for c in contexts])

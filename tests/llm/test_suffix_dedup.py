@@ -102,3 +102,38 @@ def test_equal_windows(places):
             same = strings[i] == strings[j]
             assert same == (got[i] >= 0 and got[i] == got[j])
         assert (got[i] >= 0) == (strings.count(strings[i]) > 1)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 5), st.integers(0, 40), st.integers(0, 3)), min_size=0, max_size=60), st.integers(0, 3))
+def test_suffix_order(places, letters):
+    """The suffix array is the sorted order of (key, string)."""
+    import numpy as np
+
+    rng = random.Random(letters)
+    base = [bytes(rng.choice(b"ab\xff\x00"[: letters + 1]) for _ in range(40)) + b"common prefix of some length " * 6 + bytes([97 + i % 2]) * 60 for i in range(6)]
+    context = np.frombuffer(b"".join(base), np.uint8)
+    start = np.array([i * len(base[0]) + at for i, at, _ in places], np.int64)
+    key = np.array([k for _, _, k in places], np.int64)
+    order, equal = S.suffix_order(context, start, key)
+    strings = [(int(key[i]), context[start[i] : start[i] + 100].tobytes()) for i in order]
+    assert sorted(order.tolist()) == list(range(len(places))) and strings == sorted(strings)
+    assert equal.tolist() == [i > 0 and strings[i] == strings[i - 1] for i in range(len(strings))]
+
+
+def test_late_rows_stand_in_bounded_groups(table, monkeypatch):
+    """A separator that fills long texts: no group of a batch holds more than GROUP rows of a gram."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(S, "GROUP", 16)
+    monkeypatch.setattr(S, "SEND", 8)
+    rng = random.Random(3)
+    texts = ["".join("-" * 40 + "".join(rng.choice("abcdefgh") for _ in range(90)) for _ in range(40)) for _ in range(10)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10), pa.int64()), pa.array([0] * 10, pa.int64()), pa.array(texts)], ["o", "tell", "text"])
+    rows = [r for out in S._first_pass(batch, {}) for r in out.to_pylist()]
+    late = {}
+    for r in rows:
+        if r["end"] == S._STRETCH:
+            late.setdefault((r["a"], r["u"]), []).append(r)
+    assert late and max(map(len, late.values())) <= 16
+    test_rows_are_brute_force(table, texts)
