@@ -15,7 +15,8 @@ __all__ = ["BATCH_ROWS", "WORD_PATTERN", "bounded_batches", "doc_text", "forget"
 
 #: White space of the word contracts: the ASCII space and the control characters tab to carriage return.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-#: Rows in an Arrow batch.  Texts average a few KB, so a batch stays at a few MB.
+#: Rows in an Arrow batch.  Texts average a few KB, so a batch stays at a few MB; where they are long, Spark ends a batch
+#: at 64 MB (spark.sql.execution.arrow.maxBytesPerBatch), so no batch grows with the texts.
 BATCH_ROWS = 1000
 
 

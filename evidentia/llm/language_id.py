@@ -207,12 +207,12 @@ def identify_language(documents: DataFrame, model: Model | None = None) -> DataF
     return map_arrow(rows, run, "doc_id bigint, held_out boolean, lang_pred string, score double", lambda: (Model(*sent.value), _letter_codes()))
 
 
-def with_language(documents: DataFrame, model: Model | None) -> DataFrame:
-    """The documents, all columns, with lang_pred and lang_score; existing columns of these names give way.
+def with_language(documents: DataFrame, model: Model | None, names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """The documents, all columns, with the prediction and its score in columns of these names; existing ones give way.
 
     A text without a letter is ``und`` with score 0.  Without a model, other texts have null in both columns.
     """
-    kept = documents.drop("lang_pred", "lang_score")
+    kept = documents.drop(*names)
     sent = documents.sparkSession.sparkContext.broadcast((model.classes, model.slots, model.weights) if model else None)
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
 
@@ -221,6 +221,6 @@ def with_language(documents: DataFrame, model: Model | None) -> DataFrame:
         texts = batch.column("text").to_pylist()
         found = _scores(texts, model, codes) if model else [(None, None) if any(map(str.isalpha, t or "")) else ("und", 0.0) for t in texts]
         langs, scores = zip(*found, strict=True)
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "lang_score"])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, *names])
 
-    return map_arrow(kept, run, f"{shape}, lang_pred string, lang_score double", lambda: (Model(*sent.value) if sent.value else None, _letter_codes()))
+    return map_arrow(kept, run, f"{shape}, `{names[0]}` string, `{names[1]}` double", lambda: (Model(*sent.value) if sent.value else None, _letter_codes()))
