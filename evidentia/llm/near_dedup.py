@@ -30,6 +30,8 @@ SPREAD = 0.5
 CHUNK = 16_384
 #: Rows of a shingle in a tile, on each side; keys that may each hold more than this share of all rows.
 BLOCK, HOT_KEYS = 2_048, 1_000
+#: Parts in which tasks send their counts of slots.
+SLOT_PARTS = 64
 
 _M = (1 << 64) - 1
 
@@ -178,10 +180,11 @@ def _blocks(rows: list[bytes], most: int = 1 << 19):
 def _slot_counts(documents: DataFrame, bits: int) -> tuple[np.ndarray, int]:
     """How many distinct shingles of documents fall into each of 2 ** bits slots, and the number of documents with words.
 
-    Each task counts in one fixed array; two rounds add the arrays up, so the driver gets one.
+    Each task counts in one fixed array and sends it in SLOT_PARTS parts.  A part of all tasks is added up by itself,
+    so no task reads whole arrays, however many tasks there are, and the driver gets each part once.
     """
-    names, size = ["n", "counts"], 1 << bits
-    shift = np.uint64(64 - bits)
+    names, size = ["part", "n", "counts"], 1 << bits
+    shift, width = np.uint64(64 - bits), (1 << bits) // SLOT_PARTS
 
     def count(batches):
         shingler, total, n = Shingler(), np.zeros(size, np.int64), 0
@@ -191,22 +194,25 @@ def _slot_counts(documents: DataFrame, bits: int) -> tuple[np.ndarray, int]:
                 n += len(block)
                 np.add.at(total, (shingler([rows[i] for i in block])[0] >> shift).astype(np.intp), 1)
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([zlib.compress(total.astype("<i4").tobytes(), 1)], pa.binary())], names)
+            packed = [zlib.compress(total[i * width : (i + 1) * width].astype("<i4").tobytes(), 1) for i in range(SLOT_PARTS)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLOT_PARTS), pa.int32()), pa.array([n] * SLOT_PARTS, pa.int64()), pa.array(packed, pa.binary())], names)
 
     def add(batches):
-        total, n = np.zeros(size, np.int64), 0
+        totals: dict[int, list] = {}
         for batch in batches:
-            n += sum(batch.column(0).to_pylist())
-            for packed in batch.column(1).to_pylist():
-                raw = zlib.decompress(packed)
-                total += np.frombuffer(raw, "<i4" if len(raw) == 4 * size else "<i8")
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names)
-
-    shape = "n bigint, counts binary"
-    parts = documents.select("text").mapInArrow(count, shape)
-    spread = max(1, int(math.sqrt(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
-    row = parts.repartition(spread).mapInArrow(add, shape).repartition(1).mapInArrow(add, shape).first()
-    return (np.frombuffer(zlib.decompress(row.counts), "<i8"), row.n) if row else (np.zeros(size, np.int64), 0)
+            for part, n, packed in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                held = totals.setdefault(part, [0, np.zeros(width, np.int64)])
+                held[0] += n
+                held[1] += np.frombuffer(zlib.decompress(packed), "<i4")
+        if totals:
+            packed = [zlib.compress(x.tobytes(), 1) for _, x in totals.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([n for n, _ in totals.values()], pa.int64()), pa.array(packed, pa.binary())], names)
+
+    shape = "part int, n bigint, counts binary"
+    rows = sorted(documents.select("text").mapInArrow(count, shape).repartition(SLOT_PARTS, "part").mapInArrow(add, shape).collect())
+    if not rows:
+        return np.zeros(size, np.int64), 0
+    return np.concatenate([np.frombuffer(zlib.decompress(r.counts), "<i8") for r in rows]), rows[0].n
 
 
 def document_frequencies(documents: DataFrame) -> Weights:
