@@ -40,111 +40,113 @@ SOURCE_RULES = (
 # --- claims and contradiction: fixed values ---
 HEDGES = ("may", "might", "could", "can", "suggests", "appears", "likely", "potentially", "approximately", "generally", "often")
 NEGATIONS = (
-    "not no never none nothing nowhere neither nor cannot can't won't shouldn't wouldn't couldn't doesn't don't didn't isn't aren't wasn't weren't without lack lacks lacking lacked fails failed failing fail absence missing"
-).split()
+    "not", "no", "never", "none", "nothing", "nowhere", "neither", "nor", "cannot", "can't", "won't", "shouldn't",
+    "wouldn't", "couldn't", "doesn't", "don't", "didn't", "isn't", "aren't", "wasn't", "weren't", "without", "lack", "lacks",
+    "lacking", "lacked", "fails", "failed", "failing", "fail", "absence", "missing",
+)
 VAGUE_WORDS = ("impact", "effect", "change", "trend", "growth")
 NOISE_TEXTS = ("stock quotes, and market data", "stock quotes and market data")
-#: word: its opposites
-ANTONYM_LINES = """
-increase: decrease
-decrease: increase rise grow
-rise: fall drop decline
-fall: rise increase grow
-grow: shrink decline contract
-shrink: grow expand
-improve: worsen decline deteriorate
-worsen: improve enhance
-better: worse
-worse: better
-efficient: inefficient
-inefficient: efficient
-more: less fewer
-less: more
-greater: smaller lesser
-smaller: larger greater
-large: small
-small: large
-high: low
-low: high
-maximum: minimum
-minimum: maximum
-fast: slow
-faster: slower
-slow: fast
-early: late
-late: early
-before: after
-after: before
-positive: negative
-negative: positive
-good: bad
-bad: good
-beneficial: harmful
-harmful: beneficial
-present: absent missing
-absent: present
-available: unavailable
-unavailable: available
-exist: disappear
-missing: present
-true: false
-false: true
-correct: incorrect wrong
-incorrect: correct
-certain: uncertain
-uncertain: certain
-likely: unlikely
-unlikely: likely
-include: exclude
-exclude: include
-all: none
-none: all
-always: never
-never: always
-enable: disable
-disable: enable
-allow: prevent block deny
-prevent: allow enable
-block: allow permit
-success: failure
-failure: success
-win: lose
-lose: win
-achieve: fail
-fail: succeed
-profit: loss
-loss: profit
-revenue: loss
-gain: loss
-growth: decline
-expansion: contraction
-contraction: expansion
-strong: weak
-weak: strong
-significant: insignificant
-insignificant: significant
-visible: invisible hidden
-hidden: visible
-active: inactive
-inactive: active
-open: closed
-closed: open
-consistent: inconsistent
-inconsistent: consistent
-agree: disagree
-disagree: agree
-support: oppose
-oppose: support
-safe: unsafe dangerous
-unsafe: safe
-secure: insecure
-insecure: secure
-often: rarely
-rarely: often
-frequent: infrequent
-infrequent: frequent
-"""
-ANTONYMS = [(line.split(":")[0], word) for line in ANTONYM_LINES.strip().split("\n") for word in line.split(":")[1].split()]
+#: A word and its opposites.
+OPPOSITES = {
+    "increase": ("decrease",),
+    "decrease": ("increase", "rise", "grow"),
+    "rise": ("fall", "drop", "decline"),
+    "fall": ("rise", "increase", "grow"),
+    "grow": ("shrink", "decline", "contract"),
+    "shrink": ("grow", "expand"),
+    "improve": ("worsen", "decline", "deteriorate"),
+    "worsen": ("improve", "enhance"),
+    "better": ("worse",),
+    "worse": ("better",),
+    "efficient": ("inefficient",),
+    "inefficient": ("efficient",),
+    "more": ("less", "fewer"),
+    "less": ("more",),
+    "greater": ("smaller", "lesser"),
+    "smaller": ("larger", "greater"),
+    "large": ("small",),
+    "small": ("large",),
+    "high": ("low",),
+    "low": ("high",),
+    "maximum": ("minimum",),
+    "minimum": ("maximum",),
+    "fast": ("slow",),
+    "faster": ("slower",),
+    "slow": ("fast",),
+    "early": ("late",),
+    "late": ("early",),
+    "before": ("after",),
+    "after": ("before",),
+    "positive": ("negative",),
+    "negative": ("positive",),
+    "good": ("bad",),
+    "bad": ("good",),
+    "beneficial": ("harmful",),
+    "harmful": ("beneficial",),
+    "present": ("absent", "missing"),
+    "absent": ("present",),
+    "available": ("unavailable",),
+    "unavailable": ("available",),
+    "exist": ("disappear",),
+    "missing": ("present",),
+    "true": ("false",),
+    "false": ("true",),
+    "correct": ("incorrect", "wrong"),
+    "incorrect": ("correct",),
+    "certain": ("uncertain",),
+    "uncertain": ("certain",),
+    "likely": ("unlikely",),
+    "unlikely": ("likely",),
+    "include": ("exclude",),
+    "exclude": ("include",),
+    "all": ("none",),
+    "none": ("all",),
+    "always": ("never",),
+    "never": ("always",),
+    "enable": ("disable",),
+    "disable": ("enable",),
+    "allow": ("prevent", "block", "deny"),
+    "prevent": ("allow", "enable"),
+    "block": ("allow", "permit"),
+    "success": ("failure",),
+    "failure": ("success",),
+    "win": ("lose",),
+    "lose": ("win",),
+    "achieve": ("fail",),
+    "fail": ("succeed",),
+    "profit": ("loss",),
+    "loss": ("profit",),
+    "revenue": ("loss",),
+    "gain": ("loss",),
+    "growth": ("decline",),
+    "expansion": ("contraction",),
+    "contraction": ("expansion",),
+    "strong": ("weak",),
+    "weak": ("strong",),
+    "significant": ("insignificant",),
+    "insignificant": ("significant",),
+    "visible": ("invisible", "hidden"),
+    "hidden": ("visible",),
+    "active": ("inactive",),
+    "inactive": ("active",),
+    "open": ("closed",),
+    "closed": ("open",),
+    "consistent": ("inconsistent",),
+    "inconsistent": ("consistent",),
+    "agree": ("disagree",),
+    "disagree": ("agree",),
+    "support": ("oppose",),
+    "oppose": ("support",),
+    "safe": ("unsafe", "dangerous"),
+    "unsafe": ("safe",),
+    "secure": ("insecure",),
+    "insecure": ("secure",),
+    "often": ("rarely",),
+    "rarely": ("often",),
+    "frequent": ("infrequent",),
+    "infrequent": ("frequent",),
+}
+ANTONYMS = [(word, other) for word, others in OPPOSITES.items() for other in others]
 
 # --- filings and facts: fixed values ---
 TECH_SIC_RANGES = ((3570, 3579), (3660, 3669), (3670, 3679), (7370, 7379))

@@ -78,8 +78,8 @@ def facts_of(documents: DataFrame, column: str, rules: dict | None = None, least
 
 
 def dedupe_facts(facts: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
-    """The first of facts whose text is the same in lower case and white space."""
-    return keep_first(facts.withColumn("_norm", T.collapse(F.lower("evidence_text"))), [*keys, "_norm"], order).drop("_norm")
+    """The first of facts whose text is the same in lower case and white space.  Texts meet by a 256-bit digest."""
+    return keep_first(facts.withColumn("_norm", F.sha2(T.collapse(F.lower("evidence_text")), 256)), [*keys, "_norm"], order).drop("_norm")
 
 
 def with_reliability(articles: DataFrame, labels: DataFrame, order: str) -> DataFrame:
@@ -91,14 +91,34 @@ def with_reliability(articles: DataFrame, labels: DataFrame, order: str) -> Data
 def company_mentions(articles: DataFrame, companies: DataFrame, key: str, text: Column) -> DataFrame:
     """Distinct (key, company) pairs where an alias stands in the text as whole words.
 
-    Blocks on an alias's first word: a text's distinct words meet that word in an equi-join, and only then the alias
-    is looked for.  Both sides' rows grow with their own table alone.
+    Blocks on an alias's first word: a text's distinct words meet that word in an equi-join of (key, word) rows.  An
+    alias of one word is found by then; the texts themselves are looked up only for pairs whose alias has more words.
+    Texts of one key count as one.
     """
     names = companies.select(*companies.columns, F.explode(T.company_aliases(F.col("company_name"))).alias("_alias")).withColumn("_first", F.split_part("_alias", F.lit(" "), F.lit(1)))
     padded = articles.select(F.col(key), F.concat(F.lit(" "), T.company_norm(text), F.lit(" ")).alias("_text"))
-    words = padded.select(key, "_text", F.explode(F.array_distinct(F.split(F.trim("_text"), " "))).alias("_first")).where("_first <> ''")
-    hits = words.join(names, "_first").where(F.contains("_text", F.concat(F.lit(" "), F.col("_alias"), F.lit(" "))))
-    return hits.select(key, *companies.columns).distinct()
+    words = padded.select(key, F.explode(F.array_distinct(F.split(F.trim("_text"), " "))).alias("_first")).where("_first <> ''")
+    met = words.join(names, "_first").select(key, "_alias", *companies.columns)
+    whole = met.where(~F.contains("_alias", F.lit(" "))).select(key, *companies.columns)
+    longer = met.where(F.contains("_alias", F.lit(" "))).join(padded, key).where(F.contains("_text", F.concat(F.lit(" "), F.col("_alias"), F.lit(" "))))
+    return whole.unionByName(longer.select(key, *companies.columns)).distinct()
+
+
+def word_mentions(texts: DataFrame, words: DataFrame, key: str, text: Column, word: str) -> DataFrame:
+    """Distinct (key, row of ``words``) pairs where the word, of letters, digits and underscores, stands by itself in
+    the text, in any case: an equi-join of words with the texts' distinct words."""
+    own = texts.select(F.col(key), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), 1))).alias("_word"))
+    return own.join(words.withColumn("_word", F.lower(word)).where(F.length("_word") > 0), "_word").select(key, *words.columns).distinct()
+
+
+def token_pairs(claims: DataFrame, texts: DataFrame, claim: str, key: str, claim_tokens: str, text_tokens: str) -> DataFrame:
+    """(claim, key) pairs of a claim and a text that share a token, by an equi-join on tokens.
+
+    All other pairs have support and contradiction scores of 0.  Pairs are made distinct before the shuffle as well.
+    """
+    a = claims.select(claim, F.explode(F.array_distinct(claim_tokens)).alias("_token"))
+    b = texts.select(key, F.explode(F.array_distinct(text_tokens)).alias("_token"))
+    return b.join(a, "_token").select(claim, key).distinct()
 
 
 def select_present(df: DataFrame, front: Sequence[str]) -> DataFrame:

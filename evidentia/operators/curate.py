@@ -72,6 +72,34 @@ def fraction_sample(df: DataFrame, row_id: str, share: float = 0.1, seed: str =
     return df.where(slot < last).unionByName(df.where(slot == last).orderBy(md5_rank(seed, row_id), row_id).limit(need))
 
 
+def fixed_sample(df: DataFrame, row_id: str, n: int = 10, seed: str = "1") -> DataFrame:
+    """The first ``n`` rows in hash order; an error if there are fewer.  Each task cuts to ``n`` before the shuffle."""
+    got = df.orderBy(md5_rank(seed, row_id), row_id).limit(n)
+    return got.crossJoin(df.limit(n).agg(F.count("*").alias("_n"))).where(F.when(F.col("_n") < n, F.raise_error(F.lit(f"fewer than {n} rows"))).otherwise(F.lit(True)).cast("boolean")).drop("_n")
+
+
+def exploded(df: DataFrame, column: str, name: str) -> DataFrame:
+    """One row per element of a list column; a row whose list is null or empty stays once, with a null."""
+    return df.select(*(c for c in df.columns if c != column), F.explode_outer(column).alias(name))
+
+
+def merged(*maps: Column) -> Column:
+    """One map of several: of a key's values, the last map's counts.  The order is that of first appearance."""
+    both = lambda a, b: F.map_concat(F.map_filter(a, lambda k, _: ~F.array_contains(F.map_keys(b), k)), b)
+    return reduce(both, maps)
+
+
+def with_rows_named(df: DataFrame, column: str) -> DataFrame:
+    """Rows whose column is neither null nor blank, in place of rows that are dropped by number."""
+    return df.where(F.length(F.trim(F.coalesce(F.col(column), F.lit("")))) > 0)
+
+
+def masked(value: Column, shown: int = 4) -> Column:
+    """A secret with all but its last characters as stars; all of a short one."""
+    n = F.length(value)
+    return F.when(n <= shown, F.repeat(F.lit("*"), n)).otherwise(F.concat(F.repeat(F.lit("*"), n - shown), F.right(value, F.lit(shown))))
+
+
 def nest_examples(df: DataFrame, key: str, order: Sequence[str], evidence: dict[str, Column], first: Sequence[str] = (), most: int = 5) -> DataFrame:
     """One row per key: an ordered list of evidence structs, the lists of each field, and group sizes.  Needs sampled
     groups, of ``most`` rows at most; what is beyond goes."""

@@ -76,7 +76,7 @@ def coherence(sentences: Column, entities: Column, antonyms=L.ANTONYMS, negation
     """
     words = F.transform(sentences, lambda s: F.array_distinct(F.split(F.trim(F.lower(s)), r"\s+")))
     pairs = F.flatten(F.transform(words, lambda a, i: F.transform(F.slice(words, i + 2, F.greatest(F.lit(0), F.size(words) - i - 1)), lambda b: M.contradiction(a, b, entities, entities, antonyms, negations))))
-    mean = F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x) / F.size(pairs)
+    mean = F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x) / (F.size(pairs) + L.EPS)
     return F.when(F.size(words) < 2, F.lit(1.0)).otherwise(1 - mean)
 
 

@@ -113,7 +113,17 @@ _FLAT = "html"
 for _tag in ("script", "style", "noscript", "table"):
     _FLAT = rf"regexp_replace({_FLAT}, '(?is)<{_tag}\b[^>]*>.*?</{_tag}\s*>', ' ', 'g')"
 _FLAT = rf"regexp_replace(regexp_replace({_FLAT}, '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
-_FLAT = f"replace(replace(replace(replace(replace(replace({_FLAT}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')"
+#: Character references of the tables and some more; those that may lack their semicolon, the ampersand last.
+_REFERENCES = (("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#0*39;?", "''"), ("&nbsp;?", "\u00a0"), ("&copy;?", "\u00a9"), ("&middot;?", "\u00b7"), ("&eacute;?", "\u00e9"), ("&#8217;", "\u2019"), ("&amp;?", "&"))
+
+
+def _decoded(text: str) -> str:
+    for name, char in _REFERENCES:
+        text = f"regexp_replace({text}, '{name}', '{char}', 'g')"
+    return text
+
+
+_FLAT = _decoded(_FLAT)
 
 
 @query(f"SELECT page_id, {_COLLAPSE.format(_FLAT)} AS text FROM pages")
@@ -250,12 +260,12 @@ def q30_nest_examples(t):
 
 
 _COS = "list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[]))) + 1e-6)"
-_NEAR = f"(SELECT q.vec_id AS query_id, v.vec_id, v.label, {_COS} AS cosine, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, v.vec_id) AS rn FROM embeddings q, embeddings v WHERE q.vec_id < 20 AND q.vec_id <> v.vec_id)"
+_NEAR = f"(SELECT q.vec_id AS query_id, v.vec_id, v.label, {_COS} AS cosine, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, v.vec_id) AS rn FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id)"
 
 
 def _near(t, k: int) -> DataFrame:
     v = t("embeddings")
-    hits = vector.knn(v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding"), v, k + 1)
+    hits = vector.knn(v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), v, k + 1)
     return corpus.keep_first(hits.where("query_id <> vec_id"), ["query_id", "vec_id"], ["rank"])
 
 
@@ -272,13 +282,13 @@ def q32_triage(t):
 
 
 _TOKENS = r"list_distinct(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+'))"
-_PAIR = f"(SELECT b.item_id, d.doc_id, {_TOKENS.format('b.text')} AS c, {_TOKENS.format('d.text')} AS e FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40)"
+_PAIR = f"(SELECT * FROM (SELECT b.item_id, d.doc_id, c, e FROM (SELECT item_id, {_TOKENS.format('text')} AS c FROM benchmark) b, (SELECT doc_id, {_TOKENS.format('text')} AS e FROM documents) d) WHERE list_has_any(c, e))"
 
 
 def _pairs(t) -> DataFrame:
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), 1))
-    b = t("benchmark").select("item_id", words("text").alias("c"))
-    return b.join(t("documents").select("doc_id", words("text").alias("e")), F.col("doc_id") % 40 == F.col("item_id") % 40)
+    claims, texts = t("benchmark").select("item_id", words("text").alias("c")), t("documents").select("doc_id", words("text").alias("e"))
+    return corpus.token_pairs(claims, texts, "item_id", "doc_id", "c", "e").join(claims, "item_id").join(texts, "doc_id")
 
 
 @query(f"SELECT item_id, doc_id, round(0.5 * len(list_intersect(c, e)) / greatest(1, len(c)) + 0.5 * len(list_intersect(list_sort(c)[1:5], e)) / greatest(1, len(c[1:5])), 6) AS support FROM {_PAIR}")
@@ -290,10 +300,12 @@ def q33_support(t):
 _OPPOSED = " + ".join(f"CAST(list_contains(c, '{x}') AND list_contains(e, '{y}') AS INTEGER) + CAST(list_contains(e, '{x}') AND list_contains(c, '{y}') AS INTEGER)" for x, y in PAIRS)
 
 
-@query(f"""SELECT item_id, doc_id, round((0.1 + 0.9 * len(list_intersect(c, e)) / greatest(1, len(c))) * (0.7 * ({_OPPOSED}) / greatest(1, len(c)) + 0.3 * CAST(list_has_any(e, {list(NEGATED)}) AS INTEGER))
-  * len(list_intersect(c, e)) / greatest(1, len(c)), 6) AS contradiction FROM {_PAIR}""")
+_SHARED = "(len(list_intersect(c, e))::DOUBLE / greatest(1, len(c)))"
+
+
+@query(f"""SELECT item_id, doc_id, round((0.1::DOUBLE + 0.9::DOUBLE * {_SHARED}) * (0.7::DOUBLE * (({_OPPOSED})::DOUBLE / greatest(1, len(c))) + 0.3::DOUBLE * CAST(list_has_any(e, {list(NEGATED)}) AS INTEGER)) * {_SHARED}, 12) AS contradiction FROM {_PAIR}""")
 def q34_contradiction(t):
-    return _pairs(t).select("item_id", "doc_id", F.round(M.contradiction(F.col("c"), F.col("e"), F.col("c"), F.col("e"), PAIRS, NEGATED), 6).alias("contradiction"))
+    return _pairs(t).select("item_id", "doc_id", F.round(M.contradiction(F.col("c"), F.col("e"), F.col("c"), F.col("e"), PAIRS, NEGATED), 12).alias("contradiction"))
 
 
 _KINDS = "CASE event_type WHEN 'click' THEN 'news_article' WHEN 'view' THEN 'unknown' WHEN 'purchase' THEN 'financial_filing' ELSE 'marketing' END"
@@ -340,11 +352,12 @@ def q39_evs(t):
     return _metric(t, "EVS")
 
 
-@query(rf"""SELECT doc_id, round(len(list_filter(w[1:8], lambda x: regexp_matches(x, '\p{{Nd}}'))) / greatest(1, len(w[1:8]))::DOUBLE, 6) AS CMS, round(CASE WHEN len(w) > 0 THEN len(list_intersect(w, {list(HEDGED)})) / len(w)::DOUBLE ELSE 1 END, 6) AS HLS,
-  round(1 / (1 + ln(1 + len(w[1:8]))), 6) AS CScope FROM (SELECT doc_id, {_TOKENS.format('text')} AS x, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+'), lambda y, i: list_position(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+'), y) = i) AS w FROM documents WHERE length(text) < 3000)""")
+@query(rf"""SELECT doc_id, round(CAST(count(*) FILTER (rn <= 8 AND regexp_matches(w, '\p{{Nd}}')) AS DOUBLE) / greatest(1, count(*) FILTER (rn <= 8)), 6) AS CMS, round(CASE WHEN count(w) > 0 THEN (count(*) FILTER (w IN {HEDGED}))::DOUBLE / count(w) ELSE 1 END, 6) AS HLS,
+  round(1 / (1 + ln(1 + least(8, count(w)))), 6) AS CScope FROM (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rn FROM (SELECT d.doc_id, x.w, min(x.i) AS i FROM documents d
+  LEFT JOIN (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS ws FROM documents)) x ON d.doc_id = x.doc_id GROUP BY 1, 2)) GROUP BY doc_id""")
 def q40_cms_hls_cscope(t):
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), 1))
-    rows = t("documents").where(F.length("text") < 3000).select("doc_id", words.alias("tokens")).withColumn("entities", F.slice("tokens", 1, 8))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), 1))
+    rows = t("documents").select("doc_id", words.alias("tokens")).withColumn("entities", F.slice("tokens", 1, 8))
     return metrics.claim_metrics(rows, HEDGED).select("doc_id", *(F.round(c, 6).alias(c) for c in ("CMS", "HLS", "CScope")))
 
 
@@ -353,7 +366,7 @@ _S = r"list_transform(list_filter(string_split(regexp_replace(text, '([.?!])\s+(
 
 @query(f"""WITH s AS (SELECT item_id, unnest({_S}) AS w, generate_subscripts({_S}, 1) AS i FROM benchmark),
   p AS (SELECT a.item_id, a.w AS c, b.w AS e FROM s a JOIN s b ON a.item_id = b.item_id AND a.i < b.i),
-  k AS (SELECT item_id, avg((0.7 * ({_OPPOSED}) / greatest(1, len(c)) + 0.3 * CAST(list_has_any(e, {list(NEGATED)}) AS INTEGER)) * len(list_intersect(c, e)) / greatest(1, len(c))) AS m FROM p GROUP BY item_id)
+  k AS (SELECT item_id, avg((0.7 * ({_OPPOSED}) / greatest(1, len(c)) + 0.3 * CAST(list_has_any(e, {list(NEGATED)}) AS INTEGER)) * len(list_intersect(c, e)) / greatest(1, len(c))) * count(*) / (count(*) + 1e-6) AS m FROM p GROUP BY item_id)
   SELECT b.item_id, round(coalesce(1 - k.m, 1), 6) AS LCS FROM benchmark b LEFT JOIN k USING (item_id)""")
 def q41_lcs_pairs(t):
     rows = t("benchmark").select("item_id", T.sentences(F.col("text"), 0, 1 << 30).alias("s"))
@@ -547,7 +560,14 @@ def q61_dimension_lookup(t):
     return joined.groupBy("n_name", "r_name").agg(F.count("*").alias("suppliers"))
 
 
-@query(f"SELECT page_id, {_STRIP.format('x')} AS text FROM (SELECT page_id, regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script\\s*>', '', 'g'), '(?is)<style\\b[^>]*>.*?</style\\s*>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '(?i)<br\\b[^>]*>|</?(?:p|div|li|h[1-4])\\b[^>]*>', chr(10), 'g'), '(?s)<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[ \\t\\r\\f\\x0B]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g') AS x FROM pages)")
+_LINES = "html"
+for _tag in ("script", "style", "noscript", "table"):
+    _LINES = rf"regexp_replace({_LINES}, '(?is)<{_tag}\b[^>]*>.*?</{_tag}\s*>', '', 'g')"
+_LINES = rf"regexp_replace(regexp_replace({_LINES}, '(?s)<!--.*?-->', '', 'g'), '(?i)<br\b[^>]*>|</?(?:p|div|li|h[1-4])\b[^>]*>', chr(10), 'g')"
+_LINES = _decoded(f"regexp_replace({_LINES}, '(?s)<[^>]*>', '', 'g')")
+
+
+@query(rf"SELECT page_id, {_STRIP.format('x')} AS text FROM (SELECT page_id, regexp_replace(regexp_replace({_LINES}, '[ \t\r\f\x0B]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g') AS x FROM pages)")
 def q62_html_lines(t):
     return t("pages").select("page_id", T.html_lines(F.col("html")).alias("text"))
 
@@ -557,9 +577,9 @@ def q63_top_rows(t):
     return corpus.keep_first(t("documents").withColumn("slot", F.row_number().over(W.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))).where("slot <= 3"), ["source", "slot"], ["doc_id"]).select("source", "lang", "doc_id")
 
 
-@query("SELECT cik, concept, fy, value FROM (SELECT lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS cik, CASE WHEN o_orderkey % 2 = 0 THEN 'Assets' ELSE 'Revenues' END AS concept, CAST(year(o_orderdate) AS INTEGER) AS fy, round(o_totalprice, 2) AS value FROM orders WHERE o_orderstatus = 'F' AND year(o_orderdate) BETWEEN 1996 AND 1998 AND o_custkey < 300)")
+@query("SELECT cik, concept, fy, value FROM (SELECT lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS cik, CASE WHEN o_orderkey % 2 = 0 THEN 'Assets' ELSE 'Revenues' END AS concept, CAST(year(o_orderdate) AS INTEGER) AS fy, round(o_totalprice, 2) AS value FROM orders WHERE o_orderstatus = 'F' AND year(o_orderdate) BETWEEN 1996 AND 1998)")
 def q64_company_facts(t):
-    o = t("orders").where("o_custkey < 300")
+    o = t("orders")
     concept = F.when(F.col("o_orderkey") % 2 == 0, "Assets").otherwise("Revenues")
     unit = F.struct(F.when(F.col("o_orderstatus") == "F", "FY").otherwise("Q1").alias("fp"), F.year("o_orderdate").alias("fy"), F.round("o_totalprice", 2).alias("val"))
     per = o.groupBy("o_custkey", concept.alias("concept")).agg(F.collect_list(unit).alias("USD"))
@@ -584,12 +604,11 @@ def q66_language_metadata(t):
     return service.only_english(rows, "click").select("event_id")
 
 
-@query(r"""SELECT b.item_id, d.doc_id FROM (SELECT item_id, lower(regexp_extract(text, '([\p{L}\p{N}]+)', 1)) AS w FROM benchmark) b JOIN (SELECT doc_id, lower(text) AS t FROM documents) d
-  ON d.doc_id % 40 = b.item_id % 40 WHERE regexp_matches(d.t, '(^|[^\p{L}\p{N}_])' || b.w || '([^\p{L}\p{N}_]|$)')""")
+@query(r"""SELECT DISTINCT b.item_id, d.doc_id FROM (SELECT item_id, lower(regexp_extract(text, '([\p{L}\p{N}]+)', 1)) AS w FROM benchmark) b JOIN (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS t FROM documents) d
+  ON list_contains(d.t, b.w) WHERE b.w <> ''""")
 def q67_entity_in_text(t):
     words = t("benchmark").select("item_id", F.regexp_extract("text", r"([\p{L}\p{N}]+)", 1).alias("w"))
-    joined = words.join(t("documents").select("doc_id", "text"), F.col("doc_id") % 40 == F.col("item_id") % 40)
-    return joined.where(T.in_text(F.col("w"), F.col("text"))).select("item_id", "doc_id")
+    return corpus.word_mentions(t("documents"), words, "doc_id", F.col("text"), "w").select("item_id", "doc_id")
 
 
 @query()

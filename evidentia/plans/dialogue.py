@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from evidentia.functions import math as M
 from evidentia.functions import text as T
 from evidentia.operators import judges as J
-from evidentia.plans.providers import Judge, retry
+from evidentia.plans.providers import Judge, replies
 
 #: Ways in which a claim can stand to its evidence.
 MODES = ("well_supported", "contradictory", "unsupported", "ambiguous")
@@ -64,18 +64,14 @@ class HashTalker:
 
 
 def ask(df: DataFrame, column: Column, model: Judge, name: str) -> DataFrame:
-    """Adds the model's reply to a prompt; null if it fails after retries."""
+    """Adds the model's reply to a prompt; null if this call fails after retries."""
     asked = df.withColumn("_prompt", column)
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{name}` string"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             prompts = frame.pop("_prompt").tolist()
-            try:
-                replies = retry(lambda: model.chat(prompts))  # noqa: B023
-            except Exception:  # a model that fails leaves the claim as it was
-                replies = [None] * len(prompts)
-            yield frame.assign(**{name: replies})
+            yield frame.assign(**{name: replies(model, prompts)})
 
     return asked.mapInPandas(run, shape)
 
@@ -89,17 +85,18 @@ def resolve_entities(claims: DataFrame, texts: Column, model: Judge | None = Non
     if model is None:
         return base
     need = base.withColumn("_texts", texts).withColumn("_need", T.needs_model(F.col("claim"), F.col("entities")))
-    told = ask(need, F.when(F.col("_need"), prompt("entities", claim=F.col("claim"))).otherwise(F.lit("Name\nClaim: ")), model, "_reply")
+    told = ask(need.where("_need"), prompt("entities", claim=F.col("claim")), model, "_reply")
     listed = F.filter(F.transform(M.json_list(F.regexp_extract("_reply", r"(?s)<json>(.*?)</json>", 1)), T.entity_norm), lambda e: e != "")
     seen = F.filter(listed, lambda e: T.in_text(e, F.col("claim")) | F.exists(F.coalesce("_texts", F.array().cast("array<string>")), lambda t: T.in_text(e, t)))
-    both = F.array_sort(F.array_union("entities", F.when(F.col("_need"), seen).otherwise(F.array().cast("array<string>"))))
-    return told.withColumn("entities", both).drop("_texts", "_need", "_reply")
+    told = told.withColumn("entities", F.array_sort(F.array_union("entities", F.coalesce(seen, F.array().cast("array<string>"))))).drop("_texts", "_need", "_reply")
+    return told.unionByName(need.where("not coalesce(_need, false)").drop("_texts", "_need"))
 
 
 def rephrase(claims: DataFrame, which: Column, model: Judge) -> DataFrame:
     """The claims, those of ``which`` in the model's words."""
-    told = ask(claims, F.when(which, prompt("rephrase", claim=F.col("claim"))).otherwise(F.concat(F.lit("Say\nClaim: "), "claim")), model, "_reply")
-    return told.withColumn("claim", F.when(which, F.coalesce(T.filled(T.strip(F.col("_reply"))), F.col("claim"))).otherwise(F.col("claim"))).drop("_reply")
+    told = ask(claims.where(which), prompt("rephrase", claim=F.col("claim")), model, "_reply")
+    told = told.withColumn("claim", F.coalesce(T.filled(T.strip(F.col("_reply"))), F.col("claim"))).drop("_reply")
+    return told.unionByName(claims.where(~F.coalesce(which, F.lit(False))))
 
 
 def debate(claims: DataFrame, evidence: DataFrame, model: Judge) -> DataFrame:

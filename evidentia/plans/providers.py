@@ -64,6 +64,23 @@ def retry(call: Callable, tries: int = 3, wait: Callable[[int], float] = lambda
             time.sleep(wait(attempt))
 
 
+def replies(model: Judge, prompts: Sequence[str], batch: int = 16) -> list[str | None]:
+    """A reply to each prompt.  Prompts go in small batches; where a batch fails, each of its prompts goes by itself, and
+    only the one that fails has no reply."""
+    out: list[str | None] = []
+    for at in range(0, len(prompts), batch):
+        part = list(prompts[at : at + batch])
+        try:
+            out += retry(lambda: model.chat(part))  # noqa: B023
+        except Exception:
+            for one in part:
+                try:
+                    out += retry(lambda: model.chat([one])) if len(part) > 1 else [None]  # noqa: B023
+                except Exception:  # this call is lost, others are not
+                    out.append(None)
+    return out
+
+
 def with_embeddings(df: DataFrame, column: str, embedder: Embedder, batch: int = 32, threads: int = 8, name: str = "embedding") -> DataFrame:
     """Adds vectors: batches of texts, several in flight per task, each retried."""
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", {name} array<float>"
@@ -80,20 +97,15 @@ def with_embeddings(df: DataFrame, column: str, embedder: Embedder, batch: int =
 
 
 def with_replies(df: DataFrame, prompt: str, judges: Sequence[Judge], threads: int = 8) -> DataFrame:
-    """One row per row and judge, with its reply; a judge that fails after retries gives a null reply."""
+    """One row per row and judge, with its reply; a call that fails after retries gives a null reply, which the ensemble
+    counts as a failed judge."""
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", judge string, reply string"
 
-    def ask(judge: Judge, prompts: list[str]) -> list[str | None]:
-        try:
-            return retry(lambda: judge.chat(prompts))
-        except Exception:  # the ensemble counts a null reply as a failed judge
-            return [None] * len(prompts)
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(threads) as pool:
             for frame in frames:
                 prompts = frame[prompt].fillna("").tolist()
-                for judge, got in zip(judges, pool.map(lambda j: ask(j, prompts), judges), strict=True):
+                for judge, got in zip(judges, pool.map(lambda j: replies(j, prompts), judges), strict=True):
                     yield frame.assign(judge=judge.name, reply=got)
 
     return df.mapInPandas(run, shape)

@@ -18,6 +18,9 @@ from pyspark.sql.types import BinaryType, StringType
 from evidentia import lexicons as L
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Tags that end an open paragraph, and tags that end an open one of the same name.
+_ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+_NO_NEST = frozenset("li option td th tr dt dd".split())
 _PART = re.compile(r"([a-z0-9]+)|\.([\w-]+)|\[([\w-]+)(\*?=)'([^']*)'\]")
 
 
@@ -53,10 +56,15 @@ class Node:
         self.tag, self.attributes, self.parent, self.children = tag, attributes, parent, []
 
     def walk(self) -> Iterator[Node | str]:
-        for child in self.children:
-            yield child
-            if isinstance(child, Node):
-                yield from child.walk()
+        stack = [iter(self.children)]
+        while stack:
+            for child in stack[-1]:
+                yield child
+                if isinstance(child, Node):
+                    stack.append(iter(child.children))
+                    break
+            else:
+                stack.pop()
 
     def nodes(self) -> Iterator[Node]:
         return (n for n in self.walk() if isinstance(n, Node))
@@ -69,18 +77,27 @@ class _Tree(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.now = Node("", {}, None)
+        self.open: dict[str, int] = {}
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in _ENDS_P and self.now.tag == "p" or tag == self.now.tag and tag in _NO_NEST:
+            self.open[self.now.tag] -= 1
+            self.now = self.now.parent
         node = Node(tag, {k: v or "" for k, v in attrs}, self.now)
         self.now.children.append(node)
         if tag not in _VOID:
+            self.open[tag] = self.open.get(tag, 0) + 1
             self.now = node
 
     def handle_endtag(self, tag: str) -> None:
+        if not self.open.get(tag):  # no such element is open: nothing to look for
+            return
         at = self.now
         while at and at.tag != tag:
+            self.open[at.tag] -= 1
             at = at.parent
         if at and at.parent:
+            self.open[tag] -= 1
             self.now = at.parent
 
     def handle_data(self, data: str) -> None:
@@ -170,7 +187,7 @@ def article(source: str | None, url: str | None) -> str | None:
     for raw in _scripts(root):
         try:
             text = json_text(json.loads(raw))
-        except json.JSONDecodeError:
+        except (json.JSONDecodeError, RecursionError):
             continue
         if text:
             return html.unescape(text)
@@ -197,7 +214,7 @@ def found_in_json(column: Column) -> Column:
         for t in texts:
             try:
                 out.append(json_text(json.loads(t)) if t else None)
-            except json.JSONDecodeError:
+            except (json.JSONDecodeError, RecursionError):
                 out.append(None)
         return pd.Series(out)
 

@@ -19,7 +19,7 @@ def listing(spark: SparkSession, prefix: str) -> DataFrame:
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """row_index from 1 in each file, by the rows' place in it."""
+    """row_index from 1 in each file, by the rows' place in it.  For files that one task reads in any case."""
     return df.withColumn("row_index", F.row_number().over(W.partitionBy("s3_key").orderBy("_place")).cast("int")).drop("_place")
 
 
@@ -40,21 +40,27 @@ def csv_rows(spark: SparkSession, path: str, schema: str | None = None) -> DataF
 
 
 def parquet_rows(spark: SparkSession, path: str) -> DataFrame:
+    """All columns as strings, null as empty.  Row numbers come from the files, so nothing is shuffled."""
     rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[pP][aA][rR][qQ][uU][eE][tT]").parquet(path)
-    names = rows.columns
-    return numbered(rows.select(*(F.col(c).cast("string").alias(c) for c in names), F.col("_metadata.file_path").alias("s3_key"), F.monotonically_increasing_id().alias("_place")).na.fill(""))
+    named = rows.select(*(F.col(c).cast("string").alias(c) for c in rows.columns), F.col("_metadata.file_path").alias("s3_key"), (F.col("_metadata.row_index") + 1).cast("int").alias("row_index"))
+    return named.na.fill("", subset=rows.columns)
 
 
-def text_files(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
-    """One row per file: its whole text."""
-    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
+def text_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """One row per file: its whole text.  Without a pattern, all files whose name ends as neither CSV nor Parquet."""
+    more = {"pathGlobFilter": glob} if glob else {}
+    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True, **more)
+    if not glob:
+        rows = rows.where(~F.lower("_metadata.file_path").rlike(r"\.(csv|parquet)$"))
     return rows.select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("s3_key"), F.lit(1).alias("row_index"))
 
 
 def rows(spark: SparkSession, path: str, kinds: tuple[str, ...] = ("csv", "parquet", "text")) -> DataFrame:
-    """All files under a path by their kind, one table."""
+    """All files under a path, one table: by their kind, of which any may be absent; what is neither CSV nor Parquet is text."""
     by_kind = {"csv": csv_rows, "parquet": parquet_rows, "text": text_files}
-    return union_tables(*(by_kind[k](spark, path) for k in kinds))
+    there = {r.kind for r in listing(spark, path).select("kind").distinct().collect()}  # at most three
+    found = [by_kind[k](spark, path) for k in kinds if k in there]
+    return union_tables(*found) if found else spark.createDataFrame([], "text string, s3_key string, row_index int")
 
 
 def json_rows(spark: SparkSession, path: str, schema: str = S.GOLD) -> DataFrame:
