@@ -195,9 +195,9 @@ def section(text: Column, form: str = "10-K", cutoff: int = 250_000, least: int
     def first(body: Column, patterns: Sequence[str]) -> Column:
         return F.coalesce(*(F.nullif(F.regexp_instr(body, F.lit(f"(?i){p}")), F.lit(0)) for p in patterns))
 
+    cut = lambda tail: strip(F.substring(tail, F.lit(1), F.coalesce(first(tail, L.SECTION_ENDS[form]) - 1, F.lit(cutoff))))
     tail = F.substring(text, first(text, L.SECTION_STARTS[form]), F.length(text))
-    found = strip(F.substring(tail, F.lit(1), F.coalesce(first(tail, L.SECTION_ENDS[form]) - 1, F.lit(cutoff))))
-    return F.when(F.length(found) >= least, found)
+    return let(let(tail, cut), lambda found: F.when(F.length(found) >= least, found))
 
 
 def english_enough(text: Column, share: float = 0.75) -> Column:

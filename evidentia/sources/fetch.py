@@ -45,6 +45,8 @@ def list_articles(fetch: Fetcher, url: str, tries: int = 5, base: float = 6.0, s
         if status == 200:
             return "done", body
         limited |= status == 429
+        if attempt == tries - 1:
+            break
         sleep(max(base * 2**attempt, 30) if status == 429 else base * 2**attempt)
     return ("limited" if limited else "failed"), None
 

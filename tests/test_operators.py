@@ -316,3 +316,51 @@ def test_combined_and_filters(spark):
     assert corpus.about(articles, "acme").count() == 2 and corpus.about(articles, "ALL").count() == 3
     filed = spark.createDataFrame([("f", "d.htm"), ("f", " "), ("f", None)], "filing_folder_url string, primary_document string")
     assert [r.source_url for r in corpus.with_primary_document(filed).collect()] == ["f/d.htm"]
+
+
+def test_merged_maps_and_masks(spark):
+    from evidentia.operators import curate
+
+    row = spark.range(1).select(
+        curate.merged(F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(2)), F.create_map(F.lit("b"), F.lit(3)), F.create_map(F.lit("c"), F.lit(4))).alias("m"),
+        curate.masked(F.lit("secret")).alias("s"), curate.masked(F.lit("abc")).alias("t"),
+    ).first()
+    assert (row.m, row.s, row.t) == ({"a": 1, "b": 3, "c": 4}, "**cret", "***")
+
+
+def test_fixed_sample_needs_enough_rows(spark):
+    from evidentia.operators import curate
+
+    df = spark.range(9).withColumnRenamed("id", "doc_id")
+    assert curate.fixed_sample(df, "doc_id", 9).count() == 9
+    with pytest.raises(Exception, match="fewer than 10 rows"):
+        curate.fixed_sample(df, "doc_id", 10).collect()
+
+
+def test_models_see_only_the_claims_that_need_them(spark):
+    from evidentia.plans import dialogue
+
+    class Counting(dialogue.HashTalker):
+        def chat(self, prompts):
+            assert all("needs" in p for p in prompts)
+            return super().chat(prompts)
+
+    rows = spark.createDataFrame([(1, "this needs words"), (2, "that is clear"), (3, None)], "claim_id int, claim string")
+    got = {r.claim_id: r.claim for r in dialogue.rephrase(rows, F.contains("claim", F.lit("needs")), Counting()).collect()}
+    assert got == {1: "this needs words", 2: "that is clear", 3: None}
+
+
+def test_character_references_of_any_kind(spark):
+    from evidentia.functions import text as T
+
+    row = spark.range(1).select(T.html_flat(F.lit("<p>it&#8217;s caf&eacute; &amp;lt; a&nbsp;b &#x41; &copy 1</p>")).alias("x"), T.html_lines(F.lit(None)).alias("y")).first()
+    assert row.x == "it’s café &lt; a b A © 1" and row.y == ""
+
+
+def test_mentions_of_single_and_longer_aliases(spark):
+    from evidentia.operators import corpus
+
+    texts = spark.createDataFrame([(1, "We like Alpha, Inc. products"), (2, "Beta works here"), (3, "beta gamma works"), (4, None), (3, "beta only")], "id int, text string")
+    names = spark.createDataFrame([("Alpha Inc",), ("Beta Gamma Works Corp",), ("",)], "company_name string")
+    got = {(r.id, r.company_name) for r in corpus.company_mentions(texts, names, "id", F.col("text")).collect()}
+    assert got == {(1, "Alpha Inc"), (3, "Beta Gamma Works Corp")}

@@ -136,3 +136,62 @@ def test_stream_resumes(spark, tmp_path):
 def test_schemas_parse(spark):
     for schema in (S.COMPANIES, S.FILINGS, S.FACTS, S.EVIDENCE_ROW, S.GOLD):
         assert spark.createDataFrame([], schema).columns
+
+
+def test_deep_and_unclosed_pages_parse(spark):
+    """Unclosed tags of any number, and JSON of any depth, cost no task."""
+    pages = ["<article>" + "<p>word " * 10_000, "<div>" * 10_000 + "<p>deep</p>", "<article>" + "</b>" * 10_000 + "<p>x</p>", '<script type="application/ld+json">' + "[" * 100_000 + "</script><p>y</p>"]
+    rows = spark.createDataFrame([(i, "http://a/", p) for i, p in enumerate(pages)], "page_id int, url string, html string")
+    got = {r.page_id: r.article_text for r in decode.articles(rows).collect()}
+    assert got[0] == " ".join(["word"] * 10_000) and got[1] == "deep" and got[2] == "x" and got[3] == "y"
+
+
+def test_paragraphs_close_one_another():
+    assert decode.article("<article><p>a<p>b<div>c<p>d</div></article>", None) == "a b d"
+
+
+def test_rows_of_any_kinds(spark, tmp_path):
+    """Kinds may be absent; what is neither CSV nor Parquet is text, whatever its name."""
+    (tmp_path / "a.md").write_text("one")
+    (tmp_path / "b").write_text("two\nlines")
+    assert sorted((r.text, r.row_index) for r in readers.rows(spark, str(tmp_path)).collect()) == [("one", 1), ("two\nlines", 1)]
+    spark.createDataFrame([(i, f"t{i}") for i in range(5)], "n int, text string").coalesce(1).write.parquet(f"{tmp_path}/p.parquet")
+    got = readers.rows(spark, str(tmp_path)).where("s3_key like '%.parquet'").collect()
+    assert sorted((r.row_index, r.n) for r in got) == [(i + 1, str(i)) for i in range(5)]
+    (tmp_path / "empty").mkdir()
+
+
+def test_shared_folder_of_a_cluster_must_be_named():
+    from evidentia import tables
+
+    class Conf(dict):
+        set = dict.__setitem__
+
+    class Session:
+        conf = Conf({"spark.master": "yarn"})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        tables.shared_dir(Session())
+    Session.conf["spark.checkpoint.dir"] = "hdfs://x/y/"
+    assert tables.shared_dir(Session()) == "hdfs://x/y"
+
+
+def test_a_failing_prompt_costs_its_own_reply():
+    from evidentia.plans import providers
+
+    class Picky:
+        name = "picky"
+
+        def chat(self, prompts):
+            if any("bad" in p for p in prompts):
+                raise RuntimeError("no")
+            return [p.upper() for p in prompts]
+
+    prompts = [f"p{i}" for i in range(40)]
+    prompts[7] = "bad"
+    old, providers.time.sleep = providers.time.sleep, lambda s: None
+    try:
+        got = providers.replies(Picky(), prompts)
+    finally:
+        providers.time.sleep = old
+    assert got == [None if p == "bad" else p.upper() for p in prompts]
