@@ -12,21 +12,26 @@ from pyspark.sql.pandas.types import to_arrow_type
 from evidentia import lexicons as L
 from evidentia.functions import math as M
 
-#: Query vectors that may be broadcast: at 1,024 doubles, 80 MB.
-BROADCAST_QUERIES = 10_000
+#: Query vectors that may be broadcast at once, and their bytes as doubles.
+BROADCAST_QUERIES, BROADCAST_BYTES = 10_000, 64 << 20
+
+
+def _blocks(queries: DataFrame, column: str) -> int:
+    """How many blocks of queries keep each within both bounds."""
+    n, width = queries.agg(F.count("*"), F.coalesce(F.max(F.size(column)), F.lit(0))).first()
+    return max(1, -(-n // BROADCAST_QUERIES), -(-n * width * 8 // BROADCAST_BYTES))
 
 
 def knn(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", vector_id: str = "vec_id", column: str = "embedding") -> DataFrame:
     """query_id, vec_id, cosine and rank of the k nearest vectors of each query; ties go to the lesser id.
 
-    A stated set of queries meets all vectors, whose norms are computed once.  A set within BROADCAST_QUERIES is
-    broadcast; more are taken in that many at a time, by a hash of the id.  Each task cuts a query's rows to k
-    before the shuffle (WindowGroupLimit).
+    A stated set of queries meets all vectors, whose norms are computed once.  A set within BROADCAST_QUERIES and
+    BROADCAST_BYTES is broadcast; a larger one is taken in blocks of about that much, by a hash of the id.  Each task
+    cuts a query's rows to k before the shuffle (WindowGroupLimit).
     """
     v = vectors.select(F.col(vector_id), F.col(column).alias("_v")).withColumn("_vn", M.norm(F.col("_v")))
     q = queries.select(F.col(query_id), F.col(column).alias("_q")).withColumn("_qn", M.norm(F.col("_q")))
-    n = q.count()
-    blocks = max(1, -(-n // BROADCAST_QUERIES))
+    blocks = _blocks(q, "_q")
     out = None
     for b in range(blocks):
         part = q if blocks == 1 else q.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b)
@@ -46,12 +51,11 @@ def knn_batched(queries: DataFrame, vectors: DataFrame, k: int, query_id: str =
     rows = queries.select(query_id, column).where(F.col(column).isNotNull())
     kinds = {c: vectors.schema[c].dataType for c in (vector_id,)} | {query_id: queries.schema[query_id].dataType}
     shape = f"`{query_id}` {kinds[query_id].simpleString()}, `{vector_id}` {kinds[vector_id].simpleString()}, cosine double"
-    n = rows.count()
-    blocks = max(1, -(-n // BROADCAST_QUERIES))
+    blocks = _blocks(rows, column)
     context = vectors.sparkSession.sparkContext
     out = None
     for b in range(blocks):
-        part = (rows if blocks == 1 else rows.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b)).collect()  # bounded by BROADCAST_QUERIES
+        part = (rows if blocks == 1 else rows.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b)).collect()  # about BROADCAST_BYTES at most
         sent = context.broadcast(([r[0] for r in part], np.array([r[1] for r in part], np.float64)))
 
         def run(batches, sent=sent):

@@ -84,18 +84,19 @@ def _decided(scored: DataFrame, config: Config, number: int) -> DataFrame:
     return scored.withColumn("_analysis", J.uncertainty(F.col("variances"))).withColumn("decision", decision).drop("_analysis").withColumn("pass", F.lit(number))
 
 
-def evaluate(claims: DataFrame, chunks: DataFrame, as_of, config: Config | None = None) -> DataFrame:
+def evaluate(claims: DataFrame, chunks: DataFrame, as_of, config: Config | None = None, given: DataFrame | None = None) -> DataFrame:
     """Per claim: metrics, credibility, the first pass's decision, and the pass that counts.
 
     In full mode, claims that escalate are evaluated once more, as their actions say: in other words
     (rephrase_claim), on ``k_more`` chunks alone (global_review), or on these beside what they had (more_evidence).
     A debate then sets ESS and ECS; credibility stays, and credibility_post_debate counts the new values.  Model calls
-    are dear, so what they give is written to the shared folder and read from there by all that follows.
+    are dear, so what they give is written to the shared folder and read from there by all that follows.  ``given``
+    is evidence, as ``gather`` gives it, that the first pass takes in place of the nearest chunks.
     """
     config = config or Config()
     ready = stored(prepare(claims, as_of, config), "claims")
     chunks = stored(chunks, "chunks")
-    first = stored(gather(ready, chunks, config.k, config), "evidence")
+    first = stored(gather(ready, chunks, config.k, config) if given is None else given, "evidence")
     one = _decided(stored(score(ready, first, config), "pass1"), config, 1)
     if config.mode != "full":
         return one.drop("decision")

@@ -364,3 +364,35 @@ def test_mentions_of_single_and_longer_aliases(spark):
     names = spark.createDataFrame([("Alpha Inc",), ("Beta Gamma Works Corp",), ("",)], "company_name string")
     got = {(r.id, r.company_name) for r in corpus.company_mentions(texts, names, "id", F.col("text")).collect()}
     assert got == {(1, "Alpha Inc"), (3, "Beta Gamma Works Corp")}
+
+
+def test_blocks_of_queries_are_bounded_by_bytes(spark, monkeypatch):
+    import random
+
+    rng = random.Random(1)
+    v = spark.createDataFrame([(i, [rng.random() for _ in range(8)]) for i in range(60)], "vec_id int, embedding array<double>")
+    q = v.where("vec_id < 20").withColumnRenamed("vec_id", "query_id")
+    want = sorted((r.query_id, r.vec_id, r["rank"]) for r in vector.knn(q, v, 3).collect())
+    monkeypatch.setattr(vector, "BROADCAST_BYTES", 8 * 8 * 6)
+    assert vector._blocks(q, "embedding") == 4
+    for search in (vector.knn, vector.knn_batched):
+        assert sorted((r.query_id, r.vec_id, r["rank"]) for r in search(q, v, 3).collect()) == want
+
+
+def test_three_modes_against_gold(spark):
+    """The oracle on gold evidence; where a mode finds just that evidence, errors and gaps are zero."""
+    texts = ["Sales rose in 2023 by 5 percent.", "Sales fell in 2022.", "The plant opened in Ohio.", "Margins were weak."]
+    claims = spark.createDataFrame([(1, "Sales rose in 2023"), (2, "The plant is in Ohio")], "claim_id int, claim string")
+    rows = spark.createDataFrame([(c, i + 1, t, "news", "2024-01-01", "http://www.x.com/a") for c in (1, 2) for i, t in enumerate(texts)], "claim_id int, ev_ord int, text string, source_type string, date string, url string")
+    chunks = spark.createDataFrame([(str(i), t, "k", 0, "2024-01-01", "news", "http://www.x.com/a", "") for i, t in enumerate(texts)], "chunk_id string, text string, s3_key string, chunk_index int, filing_date string, fact_type string, source_url string, news_site string")
+    runs = evaluate.run_modes(claims, rows, with_embeddings(chunks, "text", HashEmbedder()), "2024-06-01")
+    got = evaluate.gold_report(runs).collect()
+    assert [r.claim_id for r in sorted(got)] == [1, 2]
+    assert {(r.claim_id, r.system) for r in runs.collect()} == {(c, s) for c in (1, 2) for s in ("oracle", "baseline", "single", "full")}
+    for r in got:
+        assert all(0 <= r[s] <= 1 for s in ("oracle", "baseline", "single", "full"))
+        assert all(r[f"{s}_gap"] == pytest.approx(abs(r.oracle - r[s])) and r[f"{s}_mae"] >= 0 for s in ("baseline", "single", "full"))
+    long = {(r.claim_id, r.system): r.metrics for r in runs.collect()}
+    for r in got:
+        want = sum(abs(long[r.claim_id, "oracle"][m] - long[r.claim_id, "single"][m]) for m in long[r.claim_id, "oracle"]) / 12
+        assert r.single_mae == pytest.approx(want)
