@@ -42,6 +42,91 @@ def test_media_rows(documents, texts):
         assert r.feature.startswith(f"192x{r.height}:") and r.payload_bytes * 64 == r.width * r.height
 
 
+def _plain_jpegs(data):
+    """DC samples of the images that stand one after another, read bit by bit as the format's standard says."""
+    at, out = 0, []
+    while at < len(data):
+        assert data[at : at + 2] == b"\xff\xd8"
+        at += 2
+        tables, quant, restart, high, wide = {}, None, 0, 0, 0
+        while True:
+            marker, length = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
+            body, at = data[at + 4 : at + 2 + length], at + 2 + length
+            if marker == 0xDB:
+                quant = body[1:65]
+            elif marker == 0xC0:
+                assert body[0] == 8 and body[5] == 1
+                high, wide = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
+            elif marker == 0xC4:
+                codes, code, values = {}, 0, iter(body[17:])
+                for bits in range(1, 17):
+                    for _ in range(body[bits]):
+                        codes[bits, code] = next(values)
+                        code += 1
+                    code <<= 1
+                tables[body[0]] = codes
+            elif marker == 0xDD:
+                restart = int.from_bytes(body, "big")
+            elif marker == 0xDA:
+                break
+        bits = []
+
+        def fill():
+            nonlocal at
+            byte = data[at]
+            at += 2 if byte == 0xFF else 1
+            assert byte != 0xFF or data[at - 1] == 0
+            bits.extend(byte >> i & 1 for i in range(7, -1, -1))
+
+        def take():
+            if not bits:
+                fill()
+            return bits.pop(0)
+
+        def symbol(codes):
+            code = 0
+            for n in range(1, 17):
+                code = code << 1 | take()
+                if (n, code) in codes:
+                    return codes[n, code]
+            raise AssertionError
+
+        samples, last = [], 0
+        for block in range(high // 8 * (wide // 8)):
+            if block and block % restart == 0:
+                bits.clear()
+                assert data[at] == 0xFF and data[at + 1] == 0xD0 + (block // restart - 1) % 8
+                at, last = at + 2, 0
+            size, value = symbol(tables[0x00]), 0
+            for _ in range(size):
+                value = value << 1 | take()
+            last += value if not size or value >> (size - 1) else value - (1 << size) + 1
+            assert symbol(tables[0x10]) == 0  # end of block: no AC coefficient
+            samples.append(last * quant[0] // 8 + 128)
+        assert data[at : at + 2] == b"\xff\xd9"
+        at += 2
+        out.append((wide, high, samples))
+    return out
+
+
+def test_stored_bytes_are_jpegs_to_a_plain_reader(table):
+    """A second decoder, by loops, gives the payload back; the feature is a mean hash of its thumbnail."""
+    rng = random.Random(4)
+    made = ["", "short", "x" * 577, "".join(rng.choice("abc é日 \n") for _ in range(3000)), None]
+    stored = {r.doc_id: bytes(r.media) for r in media.with_media(table(made)).collect()}
+    got = {r.doc_id: r for r in media.media_features(media.with_media(table(made))).collect()}
+    for i, text in enumerate(made):
+        images = _plain_jpegs(stored[i])
+        samples = [x for _, _, own in images for x in own]
+        assert bytes(samples) == media.payload_of((text or "").encode())
+        rows = [samples[j : j + 24] for j in range(0, len(samples), 24)]
+        edge = [j * len(rows) // 8 for j in range(9)]
+        cells = [sum(sum(r[3 * c : 3 * c + 3]) for r in rows[edge[j] : edge[j + 1]]) / (3 * (edge[j + 1] - edge[j])) for j in range(8) for c in range(8)]
+        mean = sum(cells) / 64
+        want = f"{int(''.join(str(int(c > mean)) for c in cells), 2):016x}"
+        assert got[i].feature == f"192x{8 * len(rows)}:{want}"
+
+
 # --- licenses ---
 
 
