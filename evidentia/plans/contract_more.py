@@ -385,3 +385,60 @@ def q103_texts_holding(t):
     from evidentia.sources import feeds
 
     return feeds.holding(t("documents"), "The An").select("doc_id")
+
+
+# --- services ---
+
+
+@query("SELECT lpad(CAST(n_nationkey AS VARCHAR), 10, '0') AS cik, upper(n_name) AS ticker, 'Co ' || n_nationkey AS company_name FROM nation")
+def q104_ticker_rows(t):
+    row = F.struct(F.col("n_nationkey").cast("bigint").alias("cik_str"), F.lower("n_name").alias("ticker"), F.concat(F.lit("Co "), F.col("n_nationkey").cast("string")).alias("title"))
+    one = t("nation").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("n_nationkey").cast("string"), row)))).alias("json"))
+    return corpus.tickers(one)
+
+
+def _stub_site(url: str) -> tuple[int, str | None]:
+    """Pages by the last digit of their number: there, elsewhere, refused or broken."""
+    n = int(url.rsplit("/", 1)[1])
+    if n % 5 == 4:
+        raise RuntimeError("no answer")
+    if url.startswith("stub://main/") and n % 5 > 1:
+        return 403, "blocked"
+    return (200, f"page {n}") if n % 5 != 3 else (500, None)
+
+
+@query("SELECT page_id, CASE WHEN page_id % 5 < 3 THEN 'page ' || page_id WHEN page_id % 5 = 3 AND page_id % 2 = 0 THEN 'read ' || page_id END AS body FROM pages")
+def q105_fetched_pages(t):
+    from evidentia.sources import fetch
+
+    number = F.col("page_id").cast("string")
+    host = F.when(F.col("page_id") % 2 == 0, "main").otherwise("other")
+    rows = t("pages").select("page_id", F.concat(F.lit("stub://"), host, F.lit("/"), number).alias("url"), F.concat(F.lit("stub://second/"), number).alias("again"))
+    reader = lambda url: (200, "read " + url.rsplit("/", 1)[1]) if int(url.rsplit("/", 1)[1]) % 5 == 3 else (404, None)
+    return fetch.fetch_all(rows, _stub_site, "url", "again", threads=4, reader=reader, reader_hosts=("main",)).select("page_id", "body")
+
+
+@query(rf"""SELECT CAST(1 AS BIGINT) AS files, CAST(count(*) AS BIGINT) AS "rows", CAST(count(*) FILTER (noise) AS BIGINT) AS skipped, CAST(coalesce(sum(greatest(0, ceil((length(t) - 1000) / 850.0)) + 1) FILTER (NOT noise), 0) AS BIGINT) AS chunks, CAST(1 AS BIGINT) AS errors, true AS again
+  FROM (SELECT t, {_COLLAPSE.format("lower(t)")} IN ('', 'stock quotes, and market data', 'stock quotes and market data') AS noise FROM (SELECT {_STRIP.format("coalesce(text, '')")} AS t FROM documents))""")
+def q106_ingest_counters(t):
+    spark, base = _folder(t)
+    t("documents").select("doc_id", "text").coalesce(1).write.parquet(f"{base}/in")
+    path = t("documents").sparkSession.read.parquet(f"{base}/in").inputFiles()[0]
+    stats, more = (service.ingest(spark, [path, f"{base}/absent.parquet"], f"{base}/table") for _ in range(2))
+    same = spark.read.parquet(f"{base}/table").count() == stats["chunks"] == more["chunks"]  # a second run adds nothing
+    row = tuple(stats[k] for k in ("files", "rows", "skipped", "chunks")) + (len(stats["errors"]), same)
+    return spark.createDataFrame([row], "files bigint, rows bigint, skipped bigint, chunks bigint, errors bigint, again boolean")
+
+
+_PLEA = "'Argue {0} the claim from this evidence alone. Answer as JSON with the key argument.' || chr(10) || 'Claim: ' || claim || chr(10) || 'Evidence:' || chr(10) || evidence"
+
+
+@query(f"""SELECT conv_id, pro, con, round({_BYTE(0)}, 9) AS support, round({_BYTE(1)}, 9) AS contradiction, round({_BYTE(2)}, 9) AS confidence FROM (SELECT conv_id, pro, con, sha256('Weigh both sides. Answer as JSON in <json> tags with support_score, contradiction_score and confidence from 0 to 1.' || chr(10) || 'Claim: ' || claim || chr(10) || 'For: ' || pro || chr(10) || 'Against: ' || con) AS h
+  FROM (SELECT conv_id, claim, 'point ' || substr(sha256({_PLEA.format("for")}), 1, 8) AS pro, 'point ' || substr(sha256({_PLEA.format("against")}), 1, 8) AS con
+  FROM (SELECT conv_id, 'Claim ' || conv_id AS claim, string_agg(substr(text, 1, 80), chr(10) ORDER BY turn, substr(text, 1, 80)) AS evidence FROM conversations GROUP BY conv_id)))""")
+def q107_debate(t):
+    claim = F.concat(F.lit("Claim "), F.col("conv_id").cast("string"))
+    turns = t("conversations").select(F.col("conv_id").alias("claim_id"), F.col("turn").alias("ev_ord"), F.substring("text", 1, 80).alias("text"))
+    claims = t("conversations").select(F.col("conv_id").alias("claim_id"), claim.alias("claim")).distinct()
+    got = dialogue.debate(claims, turns, dialogue.HashTalker())
+    return got.select(F.col("claim_id").alias("conv_id"), "pro", "con", F.round("verdict.support_score", 9).alias("support"), F.round("verdict.contradiction_score", 9).alias("contradiction"), F.round("verdict.confidence", 9).alias("confidence"))
