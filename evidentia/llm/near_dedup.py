@@ -414,7 +414,6 @@ def may_be_similar(rows: DataFrame, similarity: float) -> DataFrame:
     """(key, h) pairs of different components that by an exact bound may be similar: they share a shingle of their
     prefixes, after which enough of both follows."""
     dealt = dealt_prefixes(rows)
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = ("key", "c", "total", "after", "apart", "head")
 
     def run(batches):
@@ -435,7 +434,7 @@ def may_be_similar(rows: DataFrame, similarity: float) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], ["key", "h"])
 
     bounded_batches(rows.sparkSession)
-    return dealt.repartition(n, "plain", "rare", "i", "j").sortWithinPartitions("plain", "rare", "i", "j").mapInArrow(run, "key binary, h binary")
+    return dealt.repartition("plain", "rare", "i", "j").sortWithinPartitions("plain", "rare", "i", "j").mapInArrow(run, "key binary, h binary")
 
 
 def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:

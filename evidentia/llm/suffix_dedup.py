@@ -424,17 +424,20 @@ def _contexts(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def covered_spans(keyed: DataFrame) -> DataFrame:
-    """o, tell, start, end of spans of documents (o, tell, text) under strings that start earlier; spans may overlap."""
+    """o, tell, start, end of spans of documents (o, tell, text) under strings that start earlier; spans may overlap.
+
+    Rows are dealt by key without a number of partitions, so that adaptive execution joins small ones: tables then have
+    as many files as their size asks for.
+    """
     spark = keyed.sparkSession
     bounded_batches(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = map_arrow(keyed, _first_pass, "deal bigint, a bigint, u bigint, o bigint, m bigint, end bigint", dict)
-    dealt = rows.repartition(n, "deal").drop("deal").sortWithinPartitions("a", "u", "o", "m")
+    dealt = rows.repartition("deal").drop("deal").sortWithinPartitions("a", "u", "o", "m")
     state = stored(dealt.mapInArrow(_resolve, "a bigint, g bigint, o bigint, m bigint, end bigint"), "anchors")
     wanted = state.where(F.col("end") < 0).groupBy("o", F.expr(f"(m >> 14) & {_TELL}").alias("tell")).agg(F.collect_set(F.struct("a", "g", "m")).alias("wanted"))
     sought = map_arrow(keyed.join(wanted, ["o", "tell"]).select("o", "text", "wanted"), _contexts, "a bigint, g bigint, o bigint, m bigint, context binary")
-    compared = stored(sought.repartition(n, "a", "g").sortWithinPartitions("a", "g", "o", "m").mapInArrow(_compare, "d binary, o bigint, m bigint, end bigint"), "stretches")
-    asked = compared.where(F.col("end") < 0).select("d", "o", "m").repartition(n, "d").sortWithinPartitions("d", "o", "m")
+    compared = stored(sought.repartition("a", "g").sortWithinPartitions("a", "g", "o", "m").mapInArrow(_compare, "d binary, o bigint, m bigint, end bigint"), "stretches")
+    asked = compared.where(F.col("end") < 0).select("d", "o", "m").repartition("d").sortWithinPartitions("d", "o", "m")
     more = asked.mapInArrow(_later_digests, "o bigint, m bigint, end bigint")
     parts = [x.where(F.col("end") >= 0).select("o", "m", "end") for x in (state, compared)]
     spans = parts[0].unionByName(parts[1]).unionByName(more)
@@ -459,9 +462,8 @@ def _merged(spans: list[int] | None) -> list[tuple[int, int]]:
 
 def _with_spans(keyed: DataFrame) -> DataFrame:
     """``keyed`` with its covered spans, rows of the same o and tell next to one another."""
-    n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spans = covered_spans(keyed.select("o", "tell", "text")).groupBy("o", "tell").agg(F.collect_list(F.shiftleft(F.col("start").cast("bigint"), 32) + F.col("end")).alias("spans"))
-    return keyed.repartition(n, "o", "tell").sortWithinPartitions("o", "tell").join(spans, ["o", "tell"], "left")
+    return keyed.repartition("o", "tell").sortWithinPartitions("o", "tell").join(spans, ["o", "tell"], "left")
 
 
 class _Seen:
