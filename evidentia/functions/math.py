@@ -98,7 +98,33 @@ def json_block(reply: Column) -> Column:
     """A model's JSON: between json tags, else from the first brace to the last; null if it does not parse."""
     tagged = F.regexp_extract(reply, r"(?s)<json>(.*?)</json>", 1)
     body = F.when(F.contains(reply, F.lit("<json>")) & reply.rlike(r"(?s)<json>.*?</json>"), F.trim(tagged)).otherwise(F.regexp_extract(reply, r"(?s)(\{.*\})", 1))
-    return F.when(F.try_parse_json(F.nullif(body, F.lit(""))).isNotNull(), body)
+    return F.when(is_json(body), body)
+
+
+def is_json(text: Column) -> Column:
+    """Whether a text is one JSON value and no more.
+
+    The parser stops after a value and overlooks what follows.  Only a text that is one whole value is both an element
+    of a list and the value of a key.
+    """
+    element, value = F.concat(F.lit("["), text, F.lit("]")), F.concat(F.lit('{"v":'), text, F.lit("}"))
+    some = F.coalesce(F.length(F.trim(text)) > 0, F.lit(False))
+    return some & F.try_parse_json(element).isNotNull() & F.try_parse_json(value).isNotNull()
+
+
+def tagged_json(reply: Column) -> Column:
+    """A model's JSON between json tags, else the whole reply, without a look for braces; null if it does not parse."""
+    inner = F.regexp_extract(reply, r"(?s)<json>(.*?)</json>", 1)
+    body = F.when(reply.rlike(r"(?s)<json>.*?</json>"), inner).otherwise(reply)
+    return F.when(is_json(body), F.trim(body))
+
+
+def json_after_tag(reply: Column) -> Column:
+    """(json, error, raw): what follows the last opening json tag, or all of a reply without one.  A closing tag after
+    it is no JSON, so that such a reply is an error with its raw text."""
+    body = F.element_at(F.split(reply, "<json>", -1), -1)
+    good = is_json(body)
+    return F.struct(F.when(good, F.trim(body)).alias("json"), (~good).alias("error"), F.when(~good, reply).alias("raw"))
 
 
 def judge_metric(reply_json: Column, metric: str) -> Column:

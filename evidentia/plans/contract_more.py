@@ -442,3 +442,57 @@ def q107_debate(t):
     claims = t("conversations").select(F.col("conv_id").alias("claim_id"), claim.alias("claim")).distinct()
     got = dialogue.debate(claims, turns, dialogue.HashTalker())
     return got.select(F.col("claim_id").alias("conv_id"), "pro", "con", F.round("verdict.support_score", 9).alias("support"), F.round("verdict.contradiction_score", 9).alias("contradiction"), F.round("verdict.confidence", 9).alias("confidence"))
+
+
+_REPLY = """(SELECT event_id, event_id % 7 AS k, CASE event_id % 7 WHEN 0 THEN '<json>{"a": ' || event_id || '}</json>' WHEN 1 THEN ' {"a": ' || event_id || '} ' WHEN 2 THEN 'no reply' WHEN 3 THEN '<json>{"a": ' || event_id || '}'
+  WHEN 4 THEN '{"a": ' || event_id || '} and more' WHEN 5 THEN '' ELSE 'First <json>[]</json> then <json> {"a": ' || event_id || '}' END AS reply FROM events)"""
+
+
+@query(f"""SELECT event_id, CASE WHEN k = 6 THEN '[]' WHEN k IN (0, 1) THEN '{{"a": ' || event_id || '}}' END AS tagged, CASE WHEN k IN (1, 3, 6) THEN '{{"a": ' || event_id || '}}' END AS after_tag, k NOT IN (1, 3, 6) AS error, CASE WHEN k NOT IN (1, 3, 6) THEN reply END AS raw FROM {_REPLY}""")
+def q108_strict_replies(t):
+    e = F.col("event_id")
+    inner = F.concat(F.lit('{"a": '), e.cast("string"), F.lit("}"))
+    forms = [F.concat(F.lit("<json>"), inner, F.lit("</json>")), F.concat(F.lit(" "), inner, F.lit(" ")), F.lit("no reply"), F.concat(F.lit("<json>"), inner), F.concat(inner, F.lit(" and more")), F.lit(""), F.concat(F.lit("First <json>[]</json> then <json> "), inner)]
+    rows = t("events").select("event_id", F.element_at(F.array(*forms), (e % 7 + 1).cast("int")).alias("reply"))
+    after = M.json_after_tag(F.col("reply"))
+    return rows.select("event_id", M.tagged_json(F.col("reply")).alias("tagged"), after["json"].alias("after_tag"), after["error"].alias("error"), after["raw"].alias("raw"))
+
+
+@query("SELECT event_id, event_id % 3 = 1 AS allowed, true AS open FROM events")
+def q109_authorised(t):
+    number = (F.col("event_id") % 3).cast("string")
+    header = F.when(F.col("event_id") % 3 > 0, F.concat(F.lit("Bearer t"), number))
+    return t("events").select("event_id", service.authorised(header, "t1").alias("allowed"), service.authorised(header, "").alias("open"))
+
+
+@query("SELECT source, CAST(count(*) AS BIGINT) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents WHERE contains(lower(text), 'the an') GROUP BY source")
+def q110_streamed_dataset(t):
+    from evidentia.sources import datasets, feeds
+
+    spark, base = _folder(t)
+    files = t("documents").inputFiles()
+    folder, name = files[0].rsplit("/", 1)
+    stream = datasets.dataset(spark, folder, name.split(".")[0] if len(files) == 1 else None, streaming=True)
+    found = feeds.holding(stream, "the an").select("source", "text")
+    found.writeStream.format("parquet").option("path", f"{base}/found").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/found").groupBy("source").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+def _stub_press(url: str) -> tuple[int, str | None]:
+    """Lists of ``_stub_news``; pages by number: an article, one too short, one in other letters."""
+    if url.startswith("stub://"):
+        return _stub_news(url)
+    n = int(url.rsplit("/", 1)[1])
+    return 200, f"<html><body><article><p>{('A plain sentence of the press. ' * 9, 'Short.', 'Ещё одно предложение. ' * 9)[n % 3]}</p></article></body></html>"
+
+
+@query("""WITH w AS (SELECT e.name AS domain, strftime(s, '%Y-%m-%d') AS week, CASE e.name WHEN 'click' THEN 'limited' WHEN 'view' THEN 'failed' ELSE 'done' END AS status, CASE WHEN e.name IN ('click', 'view') THEN 0 ELSE day(s) % 3 END AS n
+  FROM (SELECT DISTINCT event_type AS name FROM events) e, (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-29', INTERVAL 7 DAY)) AS s))
+SELECT 1 AS run, domain, week, status, CAST(n AS BIGINT) AS listed, CAST(least(n, 1) AS BIGINT) AS with_text FROM w UNION ALL SELECT 2, domain, week, status, 0, 0 FROM w WHERE status <> 'done'""")
+def q111_weekly_scrape(t):
+    from evidentia.plans.scrape import scrape
+
+    spark, base = _folder(t)
+    names = sorted(r[0] for r in t("events").select("event_type").distinct().collect())  # the domains: a handful
+    run = lambda resume: scrape(spark, _stub_press, lambda domain, start, stop: f"stub://{domain}/{start}", base, names, "2024-01", "2024-02", resume, tries=1, base=0.0)
+    return run(False).withColumn("run", F.lit(1)).unionByName(run(True).withColumn("run", F.lit(2)))

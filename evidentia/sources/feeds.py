@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from evidentia.operators.corpus import keep_first
 from evidentia.sources.fetch import Fetcher, list_articles
 
-ARTICLES_JSON = "articles array<struct<url:string, title:string, seendate:string, domain:string, language:string>>"
+ARTICLES_JSON = "articles array<struct<url:string, title:string, seendate:string, domain:string, language:string, url_mobile:string>>"
 RSS_XML = "channel struct<item: array<struct<title:string, link:string, pubDate:string, description:string>>>"
 INDEX_JSON = "url string, timestamp string, status string, mime string, filename string, offset string, length string"
 

@@ -37,9 +37,10 @@ def dual(df: DataFrame, path: str) -> None:
 
 
 def weekly_csv(df: DataFrame, path: str) -> None:
-    """CSV files in a folder per domain and week."""
+    """CSV files in a folder per domain and week; a domain's week that is written again takes the place of the old one."""
     named = df.withColumn("domain", F.replace("domain", F.lit("."), F.lit("_")))
-    named.write.mode("append").partitionBy("domain", "week").option("header", "true").csv(path)
+    writer = named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("domain", "week")
+    writer.option("header", "true").option("escape", '"').csv(path)
 
 
 def json_file(df: DataFrame, path: str) -> None:
