@@ -48,9 +48,16 @@ def md5_rank(seed: str, *columns: str) -> Column:
 
 
 def stratified_sample(df: DataFrame, key: str, row_id: str, seed: str = "210", least: int = 3, most: int = 5) -> DataFrame:
-    """All rows of small groups; of others, a number from ``least`` to ``most`` set by a hash of the key, by hash order."""
+    """All rows of small groups; of others, a number from ``least`` to ``most`` set by a hash of the key, by hash order.
+
+    Each task keeps the first rows of a group before the shuffle, and sizes are counted in parts, so no task sees a
+    whole group.
+    """
     spread = F.conv(F.substring(md5_rank(seed, key), 1, 4), 16, 10).cast("bigint")
-    ranked = with_group_size(df, key, "original_group_size").withColumn("_rn", F.row_number().over(W.partitionBy(key).orderBy(md5_rank(seed, row_id), row_id)))
+    rank = F.row_number().over(W.partitionBy(key).orderBy(md5_rank(seed, row_id), row_id))
+    first = df.withColumn("_rn", rank).where(F.col("_rn") <= max(least, most))
+    sizes = df.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("original_group_size"))
+    ranked = first.join(sizes, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
     k = F.when(F.col("original_group_size") <= least, F.col("original_group_size")).otherwise(least + spread % (F.least(F.lit(most), F.col("original_group_size")) - least + 1))
     return ranked.withColumn("_k", k).where("_rn <= _k").drop("_rn", "_k")
 

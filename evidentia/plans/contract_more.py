@@ -13,7 +13,7 @@ from evidentia.functions import math as M
 from evidentia.functions import text as T
 from evidentia.operators import corpus, curate, evidence, judges, metrics
 from evidentia.plans import dialogue, providers, service
-from evidentia.plans.contract import _COLLAPSE, _DOMAIN, _OPPOSED, _SENTENCES, _SHARED, _STRIP, _TOKENS, NEGATED, PAIRS, query
+from evidentia.plans.contract import ORACLE_SQL, _COLLAPSE, _DOMAIN, _OPPOSED, _SENTENCES, _SHARED, _STRIP, _TOKENS, NEGATED, PAIRS, query
 from evidentia.sources import readers, sinks
 from evidentia.tables import shared_dir
 
@@ -496,3 +496,15 @@ def q111_weekly_scrape(t):
     names = sorted(r[0] for r in t("events").select("event_type").distinct().collect())  # the domains: a handful
     run = lambda resume: scrape(spark, _stub_press, lambda domain, start, stop: f"stub://{domain}/{start}", base, names, "2024-01", "2024-02", resume, tries=1, base=0.0)
     return run(False).withColumn("run", F.lit(1)).unionByName(run(True).withColumn("run", F.lit(2)))
+
+
+# --- SQL of queries whose models are stubs ---
+
+ORACLE_SQL["q58_stream_ingest"] = f"""SELECT CAST(i AS INTEGER) AS chunk_index, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(range(0, CAST(greatest(0, ceil((length(t) - 1000) / 850.0)) AS BIGINT) + 1)) AS i
+  FROM (SELECT {_STRIP.format("coalesce(text, '')")} AS t FROM documents) WHERE {_COLLAPSE.format("lower(t)")} NOT IN ('', 'stock quotes, and market data', 'stock quotes and market data')) GROUP BY i"""
+
+ORACLE_SQL["q68_claim_generation"] = f"""SELECT source, label, 'A statement with the number ' || substr(sha256('Write one claim about ' || source || ' that is ' || label || ' by this evidence.' || chr(10) || evidence), 1, 12) || ' in it.' AS claim
+  FROM (SELECT source, string_agg(i || '. ' || substr(coalesce(text, ''), 1, 300), chr(10) ORDER BY i) AS evidence FROM (SELECT p.source, d.text, row_number() OVER (PARTITION BY p.source ORDER BY p.doc_id) AS i FROM ({ORACLE_SQL["q28_stratified_sample"]}) p JOIN documents d USING (doc_id)) GROUP BY source),
+  (SELECT unnest({list(dialogue.MODES)}) AS label)"""
+
+ORACLE_SQL["q69_entity_resolution"] = f"""SELECT item_id AS claim_id, entities FROM ({ORACLE_SQL["q86_resolved_entities"]})"""

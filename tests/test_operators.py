@@ -396,3 +396,12 @@ def test_three_modes_against_gold(spark):
     for r in got:
         want = sum(abs(long[r.claim_id, "oracle"][m] - long[r.claim_id, "single"][m]) for m in long[r.claim_id, "oracle"]) / 12
         assert r.single_mae == pytest.approx(want)
+
+
+def test_stratified_sample_limits_groups_before_the_shuffle(spark):
+    df = spark.range(1000).select(F.when(F.col("id") < 900, F.lit("hot")).when(F.col("id") < 998, F.concat(F.lit("k"), (F.col("id") % 40).cast("string"))).alias("key"), "id")
+    got = curate.stratified_sample(df, "key", "id")
+    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
+    sizes = {r.key: (r.n, r.whole) for r in got.groupBy("key").agg(F.count("*").alias("n"), F.max("original_group_size").alias("whole")).collect()}
+    assert sizes["hot"][1] == 900 and sizes[None] == (2, 2) and len(sizes) == 42
+    assert all(n == whole if whole <= 3 else 3 <= n <= 5 for n, whole in sizes.values())
