@@ -88,8 +88,9 @@ class Shingler:
             keep[first[d]] = True
             full[first[d]] = sum(int(w) * int(p) for w, p in zip(word[first[d] : first[d] + count[d]], self.places, strict=False)) & _M
         shingle, doc = _mix(full[keep]), doc[keep]
-        order = np.lexsort((shingle, doc))
-        shingle, doc = shingle[order], doc[order]
+        edges = np.searchsorted(doc, np.arange(len(rows) + 1)).tolist()
+        for a, b in zip(edges, edges[1:], strict=False):  # text by text: a sort of values alone, with no second key
+            shingle[a:b].sort()
         new = np.ones(len(doc), bool)
         new[1:] = (shingle[1:] != shingle[:-1]) | (doc[1:] != doc[:-1])
         at = np.flatnonzero(new)
