@@ -141,25 +141,41 @@ class Sampler:
         x = np.full(65_536, 1.5)
         for _ in range(60):  # Newton's steps to the quantiles of Gamma(2, 1), whose CDF is 1 - (1 + x) exp(-x)
             x = np.clip(x - (1 - (1 + x) * np.exp(-x) - u) / (x * np.exp(-x)), x / 4, x * 4 + 1e-9)
-        self.r, self.inverse, self.log_c = x.astype(np.float32), (1 / x).astype(np.float32), np.log(x).astype(np.float32)
+        self.r, self.log_c = x.astype(np.float32), np.log(x).astype(np.float32)
         self.bands = rng.integers(0, _M, ROWS, np.uint64, endpoint=True) | np.uint64(1)
 
     def __call__(self, shingle: np.ndarray, log_weight: np.ndarray, start: np.ndarray) -> np.ndarray:
         """Band hashes, one row per text."""
         out = np.full((len(self.factors), len(start)), np.inf, np.float32)
         text = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(shingle))))
+        size = min(CHUNK, len(shingle))
+        draw, place = np.empty(size, np.uint64), np.empty(size, np.uint64)
+        room = np.empty((3, size), np.float32)
         low, mask = np.uint64(32), np.uint64(0xFFFF)
         for a in range(0, len(shingle), CHUNK):
             h, lw, own = shingle[a : a + CHUNK], log_weight[a : a + CHUNK], text[a : a + CHUNK]
             at = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
             named = own[at]
+            u, i, (beta, r, t) = draw[: len(h)], place[: len(h)], room[:, : len(h)]
+            index = i.view(np.intp)  # of 16 bits, so never negative
             for k, factor in enumerate(self.factors):
-                u = h * factor
-                i = (u >> np.uint64(48)).astype(np.intp)
-                beta = ((u >> np.uint64(16)) & mask).astype(np.float32) * np.float32(1 / 65_536)
-                t = np.floor(lw * self.inverse[i] + beta)
-                ln_a = self.log_c[((u >> low) & mask).astype(np.intp)] - self.r[i] * (t - beta + np.float32(1))
-                out[k, named] = np.minimum(out[k, named], np.minimum.reduceat(ln_a, at))
+                np.multiply(h, factor, out=u)
+                np.right_shift(u, np.uint64(48), out=i)
+                np.take(self.r, index, out=r, mode="clip")
+                np.right_shift(u, np.uint64(16), out=i)
+                i &= mask
+                np.multiply(i, np.float32(1 / 65_536), out=beta, dtype=np.float32, casting="unsafe")
+                np.divide(lw, r, out=t)
+                t += beta
+                np.floor(t, out=t)
+                t -= beta
+                t += np.float32(1)
+                t *= r  # r (floor(ln weight / r + beta) - beta + 1)
+                np.right_shift(u, low, out=i)
+                i &= mask
+                np.take(self.log_c, index, out=r, mode="clip")
+                r -= t
+                out[k, named] = np.minimum(out[k, named], np.minimum.reduceat(r, at))
         bits = out.view(np.uint32).astype(np.uint64).reshape(BANDS, ROWS, -1)
         bands = _mix((bits * self.bands[None, :, None]).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)[:, None] * np.uint64(0xD1342543DE82EF95))
         return bands.T.view(np.int64)
