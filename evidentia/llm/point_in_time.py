@@ -29,8 +29,8 @@ LABEL_DAYS = 7
 DELAY_MINUTES = 240
 #: A sale's t lies up to so many seconds, by a CRC of its id, after the sale.
 JITTER_SECONDS = 259_200
-#: Rows of a unit: what one tree in a task's memory holds.
-UNIT = 8192
+#: Rows of a unit: what one tree in a task's memory holds, some tens of MB.  Twice the range of 16 bits at most.
+UNIT = 131_072
 
 DAY = 86_400_000_000
 #: Availability of what is never seen.
@@ -140,7 +140,7 @@ def tree_sums(values: np.ndarray, avail: np.ndarray, clicks: np.ndarray, low: np
     q = np.flatnonzero(low < high)
     low, high, level = low[q], high[q], 0
     while len(q):
-        order = by_avail[np.argsort((by_avail >> level).astype(np.uint16), kind="stable")]
+        order = by_avail[np.argsort((by_avail >> level).astype(np.uint16), kind="stable")] if level else np.arange(m)  # 16 bits: sorted by counting
         keys = (order >> level) * m + rank[order]
         sums = np.zeros((m + 1, values.shape[1]), np.int64)
         np.cumsum(values[order], axis=0, out=sums[1:])
@@ -349,8 +349,8 @@ def point_in_time(sales: DataFrame, clicks: DataFrame, lines: DataFrame, windows
     tables give no rows or zeros.  Further columns count in the equality of clicks only.
     """
     spark, k = sales.sparkSession, len(windows)
-    if list(windows) != sorted(set(windows)) or windows[0] <= 0:
-        raise ValueError("windows must be distinct and rising")
+    if list(windows) != sorted(set(windows)) or windows[0] <= 0 or not 0 < unit_rows <= UNIT:
+        raise ValueError(f"windows must be distinct and rising, units hold up to {UNIT} rows")
     order = ["client", "at", "edge", "id", "avail", "kind"]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     laid = laid_rows(spark, sales, clicks, lines, windows).repartitionByRange(n, *order).sortWithinPartitions(*order)
