@@ -242,9 +242,12 @@ def near_vectors(vectors: DataFrame, vector: str = "embedding", label: str | Non
     links = stored(_links(placed, kind, least, block), "vector-links")
     found = components(links.where(F.col("node") != F.col("other")).select(F.col("node").alias("u"), F.col("other").alias("v")).distinct())
     counted = links.groupBy("node").agg(F.sum("n").alias("linked"))
-    known = distinct.select("node", "copies", "least_id").join(counted, "node", "left").join(found.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    by_root = known.groupBy("root").agg(F.min("least_id").alias("component"))
-    settled = stored(known.join(by_root, "root").select("node", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component"), "vector-classes")
+    classes = found.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(found.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    by_root = classes.join(distinct.select("node", "least_id"), "node").groupBy("root").agg(F.min("least_id").alias("component"))
+    named = classes.join(stored(by_root, "vector-roots"), "root")  # a stored side, so that the rows of a hot root can be split
+    known = distinct.select("node", "copies", "least_id").join(counted, "node", "left").join(named, "node", "left")
+    component = F.when(F.col("root").isNull(), F.col("least_id")).otherwise(F.col("component"))
+    settled = stored(known.select("node", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), component.alias("component")), "vector-classes")
     forget(links)
     out = rows.select("vec_id", "node").join(settled, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component"))
