@@ -14,8 +14,8 @@ def _column(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("string") if name in df.columns else F.lit(None).cast("string")
 
 
-def documents(rows: DataFrame) -> DataFrame:
-    """Rows with s3_key and row_index to documents: doc_text and the payload's strings.  Rows that say nothing go.
+def document_texts(rows: DataFrame) -> DataFrame:
+    """Rows with s3_key and row_index, the payload's strings and doc_text, also where it says nothing.
 
     The text is evidence_text or text, else the title; a title that the text does not hold stands before it.
     """
@@ -23,8 +23,12 @@ def documents(rows: DataFrame) -> DataFrame:
     title = T.payload_value(_column(rows, "title"))
     text = F.when(body.isNull(), title).when((title != "") & ~F.contains(body, title), F.concat(title, F.lit("\n\n"), body)).otherwise(body)
     payload = [T.payload_value(_column(rows, c)).alias(c) for c in S.PAYLOAD]
-    out = rows.select("s3_key", "row_index", *payload, text.alias("doc_text"))
-    return out.where(~T.noise_text(F.col("doc_text")))
+    return rows.select("s3_key", "row_index", *payload, text.alias("doc_text"))
+
+
+def documents(rows: DataFrame) -> DataFrame:
+    """``document_texts`` without the rows that say nothing."""
+    return document_texts(rows).where(~T.noise_text(F.col("doc_text")))
 
 
 def chunk_id() -> Column:

@@ -6,15 +6,17 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from evidentia import lexicons as L
 from evidentia.functions import dates as D
 from evidentia.functions import math as M
 from evidentia.functions import text as T
-from evidentia.operators import corpus, curate, evidence, judges, metrics
+from evidentia.operators import corpus, curate, evidence, ivf, judges, metrics, topk, vector
 from evidentia.plans import dialogue, providers, service
-from evidentia.plans.contract import ORACLE_SQL, _COLLAPSE, _DOMAIN, _OPPOSED, _SENTENCES, _SHARED, _STRIP, _TOKENS, NEGATED, PAIRS, query
+from evidentia.plans.contract import ORACLE_SQL, _COLLAPSE, _DOMAIN, _OPPOSED, _PAIR, _SENTENCES, _SHARED, _STRIP, _TOKENS, NEGATED, PAIRS, query
 from evidentia.sources import readers, sinks
+from evidentia.streaming import ingest as stream
 from evidentia.tables import shared_dir
 
 # --- scores ---
@@ -296,13 +298,19 @@ def _folder(t) -> tuple:
     return spark, f"{shared_dir(spark)}/evidentia/files-{uuid.uuid4().hex}"
 
 
-@query(rf"""SELECT kind, CAST(count(*) AS BIGINT) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(row_index) AS BIGINT) AS numbered FROM (SELECT unnest(['csv', 'parquet']) AS kind, coalesce(text, '') AS text, doc_id_rank AS row_index FROM (SELECT text, row_number() OVER (ORDER BY doc_id) AS doc_id_rank FROM documents)
+_NUMBERED = "row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id)"
+
+
+@query(rf"""SELECT kind, CAST(count(*) AS BIGINT) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(row_index) AS BIGINT) AS numbered FROM (SELECT unnest(['csv', 'parquet']) AS kind, coalesce(text, '') AS text, row_index FROM (SELECT text, {_NUMBERED} AS row_index FROM documents)
   UNION ALL SELECT 'text', r_name || chr(10), 1 FROM region) GROUP BY kind""")
 def q97_file_scan(t):
     spark, base = _folder(t)
-    sinks.dual(t("documents").select("doc_id", "text").orderBy("doc_id").coalesce(1), f"{base}/docs")
+    docs = t("documents").select("doc_id", "text", (F.col("doc_id") % 50).alias("share")).repartition(50, "share")
+    docs.write.partitionBy("share").parquet(f"{base}/docs.parquet")  # one file a share
+    docs.write.partitionBy("share").option("header", "true").option("escape", '"').csv(f"{base}/docs.csv")
     t("region").select("r_regionkey", "r_name").repartition("r_regionkey").write.partitionBy("r_regionkey").text(f"{base}/notes")
-    rows = readers.rows(spark, base).join(readers.listing(spark, base).select("s3_key", "kind"), "s3_key")
+    kind = F.when(F.col("s3_key").endswith(".csv"), "csv").when(F.col("s3_key").endswith(".parquet"), "parquet").otherwise("text")
+    rows = readers.rows(spark, base).select(kind.alias("kind"), "text", "row_index")
     return rows.groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.sum("row_index").alias("numbered"))
 
 
@@ -418,16 +426,22 @@ def q105_fetched_pages(t):
     return fetch.fetch_all(rows, _stub_site, "url", "again", threads=4, reader=reader, reader_hosts=("main",)).select("page_id", "body")
 
 
-@query(rf"""SELECT CAST(1 AS BIGINT) AS files, CAST(count(*) AS BIGINT) AS "rows", CAST(count(*) FILTER (noise) AS BIGINT) AS skipped, CAST(coalesce(sum(greatest(0, ceil((length(t) - 1000) / 850.0)) + 1) FILTER (NOT noise), 0) AS BIGINT) AS chunks, CAST(1 AS BIGINT) AS errors, true AS again
-  FROM (SELECT t, {_COLLAPSE.format("lower(t)")} IN ('', 'stock quotes, and market data', 'stock quotes and market data') AS noise FROM (SELECT {_STRIP.format("coalesce(text, '')")} AS t FROM documents))""")
+@query(rf"""SELECT CAST(count(DISTINCT share) AS BIGINT) AS files, CAST(count(*) AS BIGINT) AS "rows", CAST(count(*) FILTER (noise) AS BIGINT) AS skipped, CAST(coalesce(sum(greatest(0, ceil((length(t) - 1000) / 850.0)) + 1) FILTER (NOT noise), 0) AS BIGINT) AS chunks, CAST(2 AS BIGINT) AS errors, true AS again, CAST(0 AS BIGINT) AS read_again
+  FROM (SELECT t, share, {_COLLAPSE.format("lower(t)")} IN ('', 'stock quotes, and market data', 'stock quotes and market data') AS noise FROM (SELECT {_STRIP.format("coalesce(text, '')")} AS t, doc_id % 100 AS share FROM documents))""")
 def q106_ingest_counters(t):
+    """A hundred files, one that is no Parquet and one that is absent, in the same few jobs; then all of them again."""
     spark, base = _folder(t)
-    t("documents").select("doc_id", "text").coalesce(1).write.parquet(f"{base}/in")
-    path = t("documents").sparkSession.read.parquet(f"{base}/in").inputFiles()[0]
-    stats, more = (service.ingest(spark, [path, f"{base}/absent.parquet"], f"{base}/table") for _ in range(2))
-    same = spark.read.parquet(f"{base}/table").count() == stats["chunks"] == more["chunks"]  # a second run adds nothing
-    row = tuple(stats[k] for k in ("files", "rows", "skipped", "chunks")) + (len(stats["errors"]), same)
-    return spark.createDataFrame([row], "files bigint, rows bigint, skipped bigint, chunks bigint, errors bigint, again boolean")
+    t("documents").select("doc_id", "text", (F.col("doc_id") % 100).alias("share")).repartition(100, "share").write.partitionBy("share").parquet(f"{base}/in")
+    spark.range(1).select(F.lit("no table").alias("value")).write.text(f"{base}/note")
+    note, bad = spark.read.text(f"{base}/note").inputFiles()[0], spark._jvm.org.apache.hadoop.fs.Path(f"{base}/bad.parquet")
+    bad.getFileSystem(spark._jsc.hadoopConfiguration()).rename(spark._jvm.org.apache.hadoop.fs.Path(note), bad)
+    files = [*spark.read.parquet(f"{base}/in").inputFiles(), f"{base}/bad.parquet", f"{base}/absent.parquet"]
+    stats, more = (service.ingest(spark, files, f"{base}/table") for _ in range(2))
+    table = spark.read.parquet(f"{base}/table")
+    same = table.count() == stats["chunks"] == more["chunks"]  # a second run adds nothing
+    late = sinks.upsert(spark.createDataFrame([("no such id",)], "chunk_id string"), f"{base}/table", "chunk_id")  # a new key reads no data
+    row = (*(stats[k] for k in ("files", "rows", "skipped", "chunks")), len(stats["errors"]), same, late.files_read)
+    return spark.createDataFrame([row], "files bigint, rows bigint, skipped bigint, chunks bigint, errors bigint, again boolean, read_again bigint")
 
 
 _PLEA = "'Argue {0} the claim from this evidence alone. Answer as JSON with the key argument.' || chr(10) || 'Claim: ' || claim || chr(10) || 'Evidence:' || chr(10) || evidence"
@@ -498,6 +512,93 @@ def q111_weekly_scrape(t):
     return run(False).withColumn("run", F.lit(1)).unionByName(run(True).withColumn("run", F.lit(2)))
 
 
+# --- indexes ---
+
+
+def _index(t):
+    spark, base = _folder(t)
+    ivf.build(t("embeddings"), f"{base}/index")
+    return ivf.Index(spark, f"{base}/index"), t("embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS indexed, CAST(count(*) FILTER (vec_id % 100 = 0) AS BIGINT) AS queries, true AS recall_reached, true AS ranked FROM embeddings")
+def q112_vector_index(t):
+    """All rows are indexed; the index's own number of probes finds nine tenths or more of the ten nearest of each query."""
+    index, queries = _index(t)
+    exact = vector.knn_batched(queries, t("embeddings"), 10).select("query_id", "vec_id")
+    found = index.search(queries, 10)
+    ranks = found.groupBy("query_id").agg(F.max("rank").alias("last"), F.count("*").alias("n")).select((F.max("last") == F.max("n")).alias("ranked"))
+    hit = exact.join(found.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left").agg((F.count("hit") >= 0.9 * F.count("*")).alias("recall_reached"))
+    rows = index.lists.agg(F.count("*").alias("indexed")).crossJoin(queries.agg(F.count("*").alias("queries")))
+    return rows.crossJoin(hit).crossJoin(ranks)  # one row each
+
+
+@query(ORACLE_SQL["q31_cosine_topk"])
+def q113_index_of_all_lists(t):
+    """With all lists probed, the index gives what the exact search gives."""
+    index, queries = _index(t)
+    found = index.search(queries, 11, probes=1 << 30).where("query_id <> vec_id")
+    ranked = found.withColumn("rn", F.row_number().over(W.partitionBy("query_id").orderBy("rank"))).where("rn <= 10")
+    return ranked.select("query_id", "vec_id", F.round("cosine", 6).alias("cosine"))
+
+
+def _claims_and_texts(t):
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), 1))
+    claims = t("benchmark").select("item_id", words("text").alias("c")).withColumn("head", F.slice(F.array_sort("c"), 1, 5))
+    return claims, t("documents").select("doc_id", words("text").alias("e"))
+
+
+def _best_of(score: str) -> str:
+    return f"SELECT item_id, doc_id, score, rank FROM (SELECT item_id, doc_id, round({score}, 9) AS score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY round({score}, 12) DESC, doc_id) AS INTEGER) AS rank FROM {_PAIR} WHERE {score} > 0) WHERE rank <= 10"
+
+
+@query(_best_of("(0.5::DOUBLE * len(list_intersect(c, e)) / greatest(1, len(c)) + 0.5::DOUBLE * len(list_intersect(list_sort(c)[1:5], e)) / greatest(1, len(c[1:5])))"))
+def q114_best_support(t):
+    claims, texts = _claims_and_texts(t)
+    got = topk.best_support(claims, texts, 10, "item_id", "doc_id", "c", "head", "e")
+    return got.select("item_id", "doc_id", F.round("score", 9).alias("score"), "rank")
+
+
+@query(_best_of(f"((0.1::DOUBLE + 0.9::DOUBLE * {_SHARED}) * (0.7::DOUBLE * (({_OPPOSED})::DOUBLE / greatest(1, len(c))) + 0.3::DOUBLE * CAST(list_has_any(e, {list(NEGATED)}) AS INTEGER)) * {_SHARED})"))
+def q115_best_contradiction(t):
+    claims, texts = _claims_and_texts(t)
+    got = topk.best_contradiction(claims, texts, 10, "item_id", "doc_id", "c", "e", PAIRS, NEGATED)
+    return got.select("item_id", "doc_id", F.round("score", 9).alias("score"), "rank")
+
+
+_CHUNKS = f"""(SELECT substr(t, CAST(i * 850 + 1 AS BIGINT), 1000) AS chunk FROM (SELECT t, unnest(range(0, CAST(greatest(0, ceil((length(t) - 1000) / 850.0)) AS BIGINT) + 1)) AS i
+  FROM (SELECT {_STRIP.format("coalesce(text, '')")} AS t FROM documents) WHERE {_COLLAPSE.format("lower(t)")} NOT IN ('', 'stock quotes, and market data', 'stock quotes and market data')))"""
+
+
+def _embedder(fails: bool):
+    """Vectors of lengths; where ``fails``, none for texts whose length ends in 77.  Local, so that tasks get it by value."""
+
+    class Lengths:
+        def embed(self, texts):
+            if fails and any(len(x) % 100 == 77 for x in texts):
+                raise RuntimeError("no vector")
+            return [[float(len(x))] for x in texts]
+
+    return Lengths()
+
+
+@query(f"SELECT CAST(count(*) FILTER (length(chunk) % 100 <> 77) AS BIGINT) AS first_run, CAST(count(*) FILTER (length(chunk) % 100 = 77) AS BIGINT) AS failed, CAST(count(*) AS BIGINT) AS second_run, CAST(0 AS BIGINT) AS still_failed, CAST(sum(length(chunk)) AS BIGINT) AS chars FROM {_CHUNKS}")
+def q116_dead_letters(t):
+    """A stream whose model refuses some chunks: all others are added, and a later run adds these."""
+    docs = t("documents")
+    spark, base = _folder(t)
+    files = docs.inputFiles()
+    folder = files[0].rsplit("/", 1)[0]
+    glob = {"pathGlobFilter": "documents.parquet"} if files[0].endswith("/documents.parquet") else {}
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema)
+    counts = []
+    for fails in (True, False):
+        stream.ingest(spark, folder, schema, f"{base}/table", f"{base}/state", embedder=_embedder(fails), options=glob, dead=f"{base}/dead", wait=lambda a: 0).awaitTermination()
+        counts += [spark.read.parquet(f"{base}/table").count(), stream.dead_letters(spark, f"{base}/table", f"{base}/dead").count() if sinks.exists(spark, f"{base}/dead") else 0]
+    chars = spark.read.parquet(f"{base}/table").agg(F.sum(F.element_at("embedding", 1)).cast("bigint")).first()[0]
+    return spark.createDataFrame([(*counts, chars)], "first_run bigint, failed bigint, second_run bigint, still_failed bigint, chars bigint")
+
+
 # --- SQL of queries whose models are stubs ---
 
 ORACLE_SQL["q58_stream_ingest"] = f"""SELECT CAST(i AS INTEGER) AS chunk_index, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(range(0, CAST(greatest(0, ceil((length(t) - 1000) / 850.0)) AS BIGINT) + 1)) AS i

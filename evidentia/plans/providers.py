@@ -96,6 +96,31 @@ def with_embeddings(df: DataFrame, column: str, embedder: Embedder, batch: int =
     return df.mapInPandas(run, shape)
 
 
+def vectors(embedder: Embedder, texts: Sequence[str], wait: Callable[[int], float] = lambda a: 0.5 * a) -> list[tuple[list[float] | None, str | None]]:
+    """A vector or an error for each text.  A batch that fails, after retries, goes again text by text."""
+    try:
+        return [(v, None) for v in retry(lambda: embedder.embed(texts), wait=wait)]
+    except Exception as e:
+        if len(texts) == 1:
+            return [(None, f"{type(e).__name__}: {e}"[:500])]
+    return [vectors(embedder, [t], wait)[0] for t in texts]
+
+
+def tried_embeddings(df: DataFrame, column: str, embedder: Embedder, batch: int = 32, threads: int = 8, name: str = "embedding", wait: Callable[[int], float] = lambda a: 0.5 * a) -> DataFrame:
+    """Adds vectors and ``error``: a text whose call fails three times has an error, and costs no other text its vector."""
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", {name} array<float>, error string"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with ThreadPoolExecutor(threads) as pool:
+            for frame in frames:
+                texts = frame[column].fillna("").tolist()
+                parts = [texts[i : i + batch] for i in range(0, len(texts), batch)]
+                got = [x for found in pool.map(lambda p: vectors(embedder, p, wait), parts) for x in found]
+                yield frame.assign(**{name: [v for v, _ in got], "error": [e for _, e in got]})
+
+    return df.mapInPandas(run, shape)
+
+
 def with_replies(df: DataFrame, prompt: str, judges: Sequence[Judge], threads: int = 8) -> DataFrame:
     """One row per row and judge, with its reply; a call that fails after retries gives a null reply, which the ensemble
     counts as a failed judge."""

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from evidentia import schemas as S
 from evidentia.operators.curate import union_tables
+from evidentia.sources import csv_scan
 
 
 def listing(spark: SparkSession, prefix: str) -> DataFrame:
@@ -18,35 +20,31 @@ def listing(spark: SparkSession, prefix: str) -> DataFrame:
     return files.withColumn("kind", F.when(low.endswith(".csv"), "csv").when(low.endswith(".parquet"), "parquet").otherwise("text"))
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """row_index from 1 in each file, by the rows' place in it.  For files that one task reads in any case."""
-    return df.withColumn("row_index", F.row_number().over(W.partitionBy("s3_key").orderBy("_place")).cast("int")).drop("_place")
-
-
-def csv_rows(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+def csv_rows(spark: SparkSession, path: str | list[str], schema: str | None = None) -> DataFrame:
     """All columns as strings, null as empty.  Rows with more fields than columns go; shorter ones are filled up.
 
-    Columns are those of the header line, which the files of one path share, unless a schema names them.
+    Columns are those of the header line, which the files of one path share, unless a schema names them.  Files are
+    read in ranges, several tasks a file, and row_index counts a file's rows from 1.
     """
+    records, totals = csv_scan.records(spark, path)
     if schema is None:
-        glob = {"recursiveFileLookup": "true", "pathGlobFilter": "*.[cC][sS][vV]", "header": "true", "escape": '"'}
-        schema = ", ".join(f"`{c}` string" for c in spark.read.options(**glob).csv(path).columns)
-    shape = T.StructType([*T.StructType.fromDDL(schema).fields, T.StructField("_corrupt", T.StringType())])
-    reader = spark.read.schema(shape).option("header", "true").option("multiLine", "true").option("escape", '"').option("columnNameOfCorruptRecord", "_corrupt").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[cC][sS][vV]")
-    last = shape.fields[-2].name
-    rows = reader.csv(path).select("*", F.col("_metadata.file_path").alias("s3_key"), F.monotonically_increasing_id().alias("_place"))
-    kept = rows.where(F.col("_corrupt").isNull() | F.col(last).isNull()).drop("_corrupt")
-    return numbered(kept.na.fill(""))
+        first = records.where("number = 0").select(F.min("text")).first()[0]
+        names = next(csv.reader([(first or "text").lstrip("\ufeff")]))
+    else:
+        names = T.StructType.fromDDL(schema).names
+    rows = csv_scan.parsed(records.where("number > 0"), names)
+    return csv_scan.numbered(rows, totals).na.fill("").select(*names, "s3_key", "row_index")
 
 
-def parquet_rows(spark: SparkSession, path: str) -> DataFrame:
+def parquet_rows(spark: SparkSession, path: str | list[str], **options: str) -> DataFrame:
     """All columns as strings, null as empty.  Row numbers come from the files, so nothing is shuffled."""
-    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[pP][aA][rR][qQ][uU][eE][tT]").parquet(path)
+    read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[pP][aA][rR][qQ][uU][eE][tT]").options(**options)
+    rows = read.parquet(*([path] if isinstance(path, str) else path))
     named = rows.select(*(F.col(c).cast("string").alias(c) for c in rows.columns), F.col("_metadata.file_path").alias("s3_key"), (F.col("_metadata.row_index") + 1).cast("int").alias("row_index"))
     return named.na.fill("", subset=rows.columns)
 
 
-def text_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+def text_files(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
     """One row per file: its whole text.  Without a pattern, all files whose name ends as neither CSV nor Parquet."""
     more = {"pathGlobFilter": glob} if glob else {}
     rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True, **more)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import json
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidentia.sources.keyed import KeyedTable
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -16,18 +20,25 @@ def create(spark: SparkSession, path: str, schema: str) -> bool:
     """An empty Parquet table, if there is none; whether it was made."""
     if exists(spark, path):
         return False
-    spark.createDataFrame([], schema).write.parquet(path)
+    spark.createDataFrame([], schema).write.parquet(f"{path}/bucket=00")  # the layout of KeyedTable
     return True
 
 
-def upsert(df: DataFrame, path: str, key: str) -> None:
-    """Append rows whose key the table does not have; a run that is repeated adds nothing."""
-    fresh = df.dropDuplicates([key])
-    try:
-        known = df.sparkSession.read.parquet(path).select(key)
-    except AnalysisException:  # no table yet
-        known = None
-    (fresh if known is None else fresh.join(known, key, "left_anti")).write.mode("append").parquet(path)
+def upsert(df: DataFrame, path: str, key: str, finish: Callable[[DataFrame], DataFrame] | None = None) -> KeyedTable:
+    """Append rows whose key the table does not have; a run that is repeated adds nothing.  Tells what was read and added."""
+    table = KeyedTable(df.sparkSession, path, key)
+    table.upsert(df, finish)
+    return table
+
+
+def record(spark: SparkSession, path: str, **values) -> None:
+    """A small JSON file that is there whole or not at all: it is written under another name and moved."""
+    target, draft = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.draft"))
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(draft, True)
+    out.write(bytearray(json.dumps(values).encode()))
+    out.close()
+    fs.rename(draft, target)
 
 
 def dual(df: DataFrame, path: str) -> None:

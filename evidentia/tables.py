@@ -5,10 +5,15 @@ from __future__ import annotations
 import atexit
 import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Seconds between two collections of garbage at least.
+TIDY_SECONDS = 5
+_tidied = [0.0]
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
@@ -34,6 +39,13 @@ def drop(spark: SparkSession, path: str) -> None:
         return
 
 
+def _tidy(spark: SparkSession) -> None:
+    """Let the driver collect its garbage, else shuffle files that no plan needs stay until it happens to; now and then only."""
+    if time.monotonic() - _tidied[0] > TIDY_SECONDS:
+        _tidied[0] = time.monotonic()
+        spark._jvm.System.gc()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
@@ -43,7 +55,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/evidentia/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(drop, spark, path)
-    spark._jvm.System.gc()  # else the job's shuffle files stay until the driver happens to collect its garbage
+    _tidy(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
