@@ -109,14 +109,16 @@ g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k FROM (SE
 r AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1)) GROUP BY doc_id),
 m AS (SELECT d.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
   CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words FROM d LEFT JOIN r ON d.doc_id = r.doc_id),
-q AS (SELECT *, (n_symbols + 1)::DOUBLE / (word_chars + 1) AS a, (n_dup_lines + 1)::DOUBLE / (n_words + 1) AS b, (n_repeat_words + 3)::DOUBLE / (n_words + 3) AS c, (word_chars + 1)::DOUBLE / (n_words + 1) AS e FROM m),
+q AS (SELECT *, CASE WHEN word_chars > 0 THEN n_symbols::DOUBLE / word_chars ELSE 0 END AS a, CASE WHEN n_words > 0 THEN n_dup_lines::DOUBLE / n_words ELSE 0 END AS b, CASE WHEN n_words > 0 THEN n_repeat_words::DOUBLE / n_words ELSE 0 END AS c, CASE WHEN n_words > 0 THEN word_chars::DOUBLE / n_words ELSE 0 END AS e FROM m),
 x AS (SELECT lang, source, unnest(['a', 'b', 'c', 'e']) AS rule, unnest([a, b, c, e]) AS x FROM q),
-s AS (SELECT lang, source, rule, CAST(ceil(ln(x) / ln(1.02::DOUBLE)) AS INTEGER) AS bin, count(*) AS n FROM x GROUP BY ALL),
-u AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, rule ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY lang, source, rule) AS total FROM s),
-z AS (SELECT lang, source, pow(1.02::DOUBLE, min(bin) FILTER (rule = 'a' AND upto >= total * 0.75)) * 4 AS ma, pow(1.02::DOUBLE, min(bin) FILTER (rule = 'b' AND upto >= total * 0.75)) * 4 AS mb,
-  pow(1.02::DOUBLE, min(bin) FILTER (rule = 'c' AND upto >= total * 0.75)) * 8 AS mc, pow(1.02::DOUBLE, min(bin) FILTER (rule = 'e' AND upto >= total * 0.9)) * 1.3 AS me, pow(1.02::DOUBLE, min(bin) FILTER (rule = 'e' AND upto >= total * 0.1)) * (1 / 1.3::DOUBLE) AS le FROM u GROUP BY lang, source)
+s AS (SELECT lang, source, rule, CASE WHEN x > 0 THEN CAST(ceil(ln(x) / ln(1.02::DOUBLE)) AS INTEGER) ELSE -100000 END AS bin, count(*) AS n FROM x GROUP BY ALL),
+v AS (SELECT *, CASE WHEN bin = -100000 THEN 0::DOUBLE ELSE pow(1.02::DOUBLE, bin) END AS value FROM s),
+y AS (SELECT rule, sum(n * value) / sum(n) AS mean FROM v GROUP BY rule),
+u AS (SELECT v.*, sum(n) OVER (PARTITION BY lang, source, v.rule ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY lang, source, v.rule) AS total, (sum(n * value) OVER (PARTITION BY lang, source, v.rule) + 100 * y.mean) / (sum(n) OVER (PARTITION BY lang, source, v.rule) + 100) AS mean FROM v JOIN y ON v.rule = y.rule),
+z AS (SELECT lang, source, greatest(min(value) FILTER (rule = 'a' AND upto >= total * 0.75), max(mean) FILTER (rule = 'a')) * 4 AS ma, greatest(min(value) FILTER (rule = 'b' AND upto >= total * 0.75), max(mean) FILTER (rule = 'b')) * 16 AS mb,
+  greatest(min(value) FILTER (rule = 'c' AND upto >= total * 0.75), max(mean) FILTER (rule = 'c')) * 8 AS mc, min(value) FILTER (rule = 'e' AND upto >= total * 0.9) * 1.3 AS me, min(value) FILTER (rule = 'e' AND upto >= total * 0.1) * (1 / 1.3::DOUBLE) AS le FROM u GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND a <= ma AND b <= mb AND c <= mc AND e <= me AND e >= le AS kept,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND (n_symbols < 5 OR a <= ma) AND (n_dup_lines < 2 OR b <= mb) AND (n_repeat_words < 12 OR c <= mc) AND e <= me AND e >= le AS kept,
   round(ma, 9) AS max_symbols, round(mb, 9) AS max_dup_lines, round(mc, 9) AS max_repeats, round(me, 9) AS max_word_length, round(le, 9) AS min_word_length
 FROM q JOIN z ON q.lang IS NOT DISTINCT FROM z.lang AND q.source IS NOT DISTINCT FROM z.source
 """,

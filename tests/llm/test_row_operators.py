@@ -285,10 +285,30 @@ def test_sketches_merge_and_find_quantiles(documents):
         for r in quality_rules.sketches(half).collect():
             parts[tuple(r)[:4]] += r.n
     assert parts == whole
-    values = sorted((r.n_symbols + 1) / (r.word_chars + 1) for r in measured.where("lang = 'en' and source = 'src0'").collect())
-    limit = next(r for r in quality_rules.thresholds(quality_rules.sketches(measured), (("max_symbols", "symbols", 0.5, 1.0),)).collect() if (r.lang, r.source) == ("en", "src0"))
+    values = sorted(r.word_chars / r.n_words if r.n_words else 0 for r in measured.where("lang = 'en' and source = 'src0'").collect())
+    limit = next(r for r in quality_rules.thresholds(quality_rules.sketches(measured), (("max_word_length", "word_length", 0.5, 1.0),)).collect() if (r.lang, r.source) == ("en", "src0"))
     true = values[int(np.ceil(0.5 * len(values))) - 1]
-    assert true <= limit.max_symbols * (1 + 1e-9) and limit.max_symbols == pytest.approx(true, rel=quality_rules.GROWTH - 1)
+    assert true <= limit.max_word_length * (1 + 1e-9) and limit.max_word_length == pytest.approx(true, rel=quality_rules.GROWTH - 1)
+
+
+def test_short_clean_texts_among_long_ones_stay(table):
+    """No rule rejects a text by a count of 0 or of little evidence, however long the other texts of its group are."""
+    rng = random.Random(6)
+    make = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    rows = [(i, make(3000), "en", "a", 1) for i in range(20)] + [(100 + i, make(80), "en", "a", 1) for i in range(4)] + [(110, make(80) + " # $", "en", "a", 1), (111, "\n".join([make(60), "same line here", "same line here"]), "en", "a", 1)]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(table(rows)).collect()}
+    assert all(r.kept for r in got.values())
+
+
+def test_limits_on_counts_come_from_quantile_or_mean(table):
+    """The group's quantile where most texts have some, else its mean, which leans on the table's in small groups."""
+    text = lambda k: " ".join(["abcde"] * (200 - k) + ["#bcde"] * k)
+    rows = [(i, text(20), "en", "many", 1) for i in range(60)] + [(100 + i, text(20 * (i < 6)), "en", "few", 1) for i in range(60)] + [(200, text(0), "en", "lone", 1)]
+    found = {r.source: r.max_symbols for r in quality_rules.thresholds(quality_rules.sketches(quality_rules.measure(table(rows)))).collect()}
+    table_mean = 0.02 * 66 / 121
+    assert found["many"] == pytest.approx(4 * 0.02, rel=0.02)
+    assert found["few"] == pytest.approx(4 * (0.02 * 6 + 100 * table_mean) / 160, rel=0.02)
+    assert found["lone"] == pytest.approx(4 * 100 * table_mean / 101, rel=0.02)
 
 
 def test_limits_follow_their_group(table):
