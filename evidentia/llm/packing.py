@@ -7,6 +7,7 @@ from bisect import bisect_left, insort
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from evidentia.llm.common import WORD_PATTERN, stored
 
@@ -86,6 +87,23 @@ def duplicate_cluster(text: Column) -> Column:
     return F.xxhash64(F.array_join(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), 1), " "))
 
 
+def numbered_copies(sized: DataFrame) -> DataFrame:
+    """With ``copy``: rows of one key are numbered from 0, in any order, as they are the same.
+
+    Those of one key in one partition (the upper bits of ``place``) are numbered there, from the number of those in the
+    partitions before; so not even a key that a third of all rows has meets in one task.
+    """
+    place = F.shiftright("place", 33)
+    repeated = sized.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    some = sized.join(repeated, "key", "left_semi").select("key", "place", place.alias("part"))
+    counts = some.groupBy("key", "part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(W.partitionBy("key").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    starts = stored(counts.select("key", "part", F.coalesce(before, F.lit(0)).alias("before")), "copies")  # stored, so that the rows of a hot key can be split
+    own = some.withColumn("own", F.row_number().over(W.partitionBy("key", "part").orderBy("place")) - 1)
+    numbers = own.join(starts, ["key", "part"]).select("place", (F.col("before") + F.col("own")).alias("copy"))
+    return sized.join(numbers, "place", "left").withColumn("copy", F.coalesce("copy", F.lit(0)).cast("bigint"))
+
+
 def best_fit_pack(documents: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, group_pieces: int = GROUP_PIECES, cluster: str | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, size, source, cluster, bin_id, bin_slot, bin_offset, bin_capacity.
 
@@ -94,8 +112,8 @@ def best_fit_pack(documents: DataFrame, capacity: int = CAPACITY, per_source: in
     per document, however long texts are.  Null and empty texts have one piece of size 0, which fits any bin with
     room: it counts for no source and no cluster.  A null source is a source.  Repeated rows are packed each; they
     share a cluster, so never a bin.  ``cluster`` names a column to use in place of the texts' own words.  Groups are
-    dealt by a hash of doc_id and text, and each is sorted by size and hash, so reruns agree.  Only sizes and hashes
-    are shuffled.
+    dealt by a hash of doc_id, text and, among rows that are the same in both, a number, so no group grows with such
+    rows; each is sorted by size and hash, so reruns agree.  Only sizes and hashes are shuffled.
     """
     text = F.col("text").cast("string")
     mark = F.col(cluster).cast("bigint") if cluster else duplicate_cluster(text)
@@ -103,11 +121,11 @@ def best_fit_pack(documents: DataFrame, capacity: int = CAPACITY, per_source: in
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), mark.alias("cluster"),
         F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("bigint").alias("words"), F.xxhash64("doc_id", text).alias("key"),
     )
-    sized = stored(sized, "pieces")
+    sized = numbered_copies(stored(sized.withColumn("place", F.monotonically_increasing_id()), "pieces"))
     whole = F.when(F.col("words") % capacity == 0, F.greatest(F.lit(0), F.expr(f"words div {capacity}") - 1)).otherwise(F.expr(f"words div {capacity}"))
     rest = sized.withColumn("piece", whole.cast("int")).withColumn("size", F.col("words") - F.col("piece").cast("bigint") * capacity)
     groups = max(1, -(-sized.count() // group_pieces))
-    rest = rest.withColumn("group", F.pmod(F.hash("key", F.lit(7)), F.lit(groups)).cast("bigint"))
+    rest = rest.withColumn("group", F.pmod(F.hash("key", "copy", F.lit(7)), F.lit(groups)).cast("bigint"))
     columns = ("doc_id", "piece", "size", "source", "cluster", "key", "group")
     dealt = rest.select(*columns).repartition(min(groups, max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-groups // 64))), "group").sortWithinPartitions("group", F.desc("size"), "key", "piece", "doc_id")
     names = ("doc_id", "piece", "size", "source", "cluster", "bin_id", "bin_slot", "bin_offset", "bin_capacity")

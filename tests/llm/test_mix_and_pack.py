@@ -166,3 +166,13 @@ def test_groups_hold_documents_whatever_their_length(table, monkeypatch):
 def test_reruns_agree(table, rows):
     pick = lambda df: sorted((r.doc_id, r.piece, r.bin_id, r.bin_slot) for r in P.best_fit_pack(df).collect())
     assert pick(table(rows)) == pick(table(rows[::-1]).repartition(3))
+
+
+def test_equal_rows_are_dealt_over_groups(spark):
+    """Fifty thousand rows that are the same, a null doc_id among all: groups stay near their size, and reruns agree."""
+    docs = spark.range(50_000).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit("some words that are all the same").alias("text"), F.lit("s").alias("source")).unionByName(spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"), F.lit("s").alias("source")))
+    got = P.best_fit_pack(docs).select("doc_id", "bin_id", "size")
+    groups = got.groupBy(F.split_part("bin_id", F.lit("-"), F.lit(1)).alias("g")).agg(F.count("*").alias("n")).collect()
+    assert sum(r.n for r in groups) == 53_000 and max(r.n for r in groups) <= 2 * P.GROUP_PIECES and len(groups) >= 15
+    count = lambda: sorted((r.b, r.n) for r in P.best_fit_pack(docs).groupBy(F.col("bin_id").alias("b")).agg(F.count("*").alias("n")).collect())
+    assert count() == count()
