@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -11,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.tables import stored
+from evidentia.tables import forget, stored
 
 #: Bits of a filter for each key, and bits that a key sets: about 1 in 500 unknown keys looks known.
 BITS, HASHES = 16, 5
@@ -99,18 +98,24 @@ class KeyedTable:
     def upsert(self, df: DataFrame, finish: Callable[[DataFrame], DataFrame] | None = None) -> None:
         """Append rows whose key is new; of rows of one key one, and none without a key.
 
-        ``finish`` sees new rows only: what is dear, as model calls, is done for those alone.  It may drop rows.  Filters
-        are written before the data, since a key too many in a filter does no harm.
+        ``finish`` sees new rows only: what is dear, as model calls, is done for those alone.  It may drop rows, and
+        returns a table of ``stored``, which goes when it is written.  Filters are written before the data, since a key too
+        many in a filter does no harm.  Keys alone are looked at first, so whole rows are shuffled only where some are
+        to be left out.
         """
-        fresh = df.where(F.col(self.key).isNotNull()).dropDuplicates([self.key])
-        present = self._present(_hashed(fresh, self.key))
+        fresh = df.where(F.col(self.key).isNotNull())
+        keys = stored(_hashed(fresh, self.key), "keys")
+        if not keys.groupBy(self.key).count().where("count > 1").isEmpty():
+            fresh = fresh.dropDuplicates([self.key])
+        present = self._present(keys)
         if present is not None:
             fresh = fresh.join(present, self.key, "left_anti")
-        fresh = stored(finish(fresh) if finish else fresh, f"new-{uuid.uuid4().hex[:6]}")
+        fresh = finish(fresh) if finish else stored(fresh, "new-rows")
         self.added = fresh.count()
-        if not self.added:
-            if self.rows() is None:
-                fresh.limit(0).write.mode("append").parquet(f"{self.path}/bucket=00")
-            return
-        _filters(_hashed(fresh, self.key)).write.mode("append").parquet(f"{self.path}/_filters")
-        fresh.withColumn("bucket", bucket_of(F.col(self.key))).write.mode("append").partitionBy("bucket").parquet(self.path)
+        if self.added:
+            _filters(_hashed(fresh, self.key)).write.mode("append").parquet(f"{self.path}/_filters")
+            fresh.withColumn("bucket", bucket_of(F.col(self.key))).write.mode("append").partitionBy("bucket").parquet(self.path)
+        elif self.rows() is None:
+            fresh.write.mode("append").parquet(f"{self.path}/bucket=00")
+        forget(fresh)
+        forget(keys)

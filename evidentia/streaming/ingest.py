@@ -24,7 +24,7 @@ def add_chunks(chunks: DataFrame, target: str, dead: str, embedder: Embedder | N
     def finish(new: DataFrame) -> DataFrame:
         nonlocal failed
         if embedder is None:
-            return new
+            return stored(new, "new-chunks")
         tried = stored(tried_embeddings(new, "text", embedder, wait=wait), "tried")
         lost = tried.where(F.col("error").isNotNull()).drop("embedding").withColumn("batch", F.lit(batch).cast("bigint"))
         failed = lost.count()

@@ -9,6 +9,7 @@ from evidentia.plans import service
 from evidentia.sources import csv_scan, readers
 from evidentia.sources.keyed import KeyedTable
 from evidentia.streaming import ingest
+from evidentia.tables import stored
 
 
 @pytest.fixture()
@@ -97,7 +98,7 @@ def test_keyed_table_of_odd_rows(spark, tmp_path):
     seen = []
     odd = spark.createDataFrame([(None, "a"), (1, "b"), (1, "b"), (-5, None)], "id bigint, x string")
     for _ in range(2):
-        table.upsert(odd, lambda df: seen.append(df.count()) or df.where("id > 0"))
+        table.upsert(odd, lambda df: seen.append(df.count()) or stored(df.where("id > 0"), "some"))
     assert seen == [2, 1] and [(r.id, r.x) for r in table.rows().collect()] == [(1, "b")]
 
 
