@@ -163,10 +163,10 @@ def html_flat(page: Column) -> Column:
 def entities(text: Column) -> Column:
     """All character references of HTML decoded, by name and by number.
 
-    A table of two thousand names has no place in an expression, so texts with an ampersand go through Python in Arrow
-    batches; others stay in the JVM.
+    A table of two thousand names has no place in an expression, so texts go through Python in Arrow batches.  All of
+    them do: a condition would have Spark work out the text twice, which costs more than the way there and back.
     """
-    return F.when(F.contains(text, F.lit("&")), _unescape()(F.when(F.contains(text, F.lit("&")), text))).otherwise(text)
+    return _unescape()(text)
 
 
 @cache

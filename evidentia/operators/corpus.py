@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -12,6 +14,9 @@ from evidentia import lexicons as L
 from evidentia import schemas as S
 from evidentia.functions import text as T
 
+#: Bytes of aliases that one automaton may hold.
+ALIAS_BYTES = 16 << 20
+
 
 def in_ranges(code: Column, ranges=L.TECH_SIC_RANGES) -> Column:
     """Whether a code, read as a number, lies in one of the closed ranges; false for what is no number."""
@@ -88,20 +93,44 @@ def with_reliability(articles: DataFrame, labels: DataFrame, order: str) -> Data
     return articles.join(last, "domain", "left")
 
 
+def _found_aliases(padded: DataFrame, key: str, aliases: list[str]) -> DataFrame:
+    """(key, _alias) for each alias that a text holds between spaces: one pass over each text by an automaton."""
+    sent = padded.sparkSession.sparkContext.broadcast(aliases)
+    kind = padded.schema[key].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for i, alias in enumerate(sent.value):
+            automaton.add_word(f" {alias} ", i)
+        automaton.make_automaton()
+        for batch in batches:
+            at, which = [], []
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                found = {i for _, i in automaton.iter(text)} if text else ()
+                at += [row] * len(found)
+                which += found
+            names = pa.array([sent.value[i] for i in which], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), names], [key, "_alias"])
+
+    return padded.mapInArrow(run, f"`{key}` {kind.simpleString()}, _alias string")
+
+
 def company_mentions(articles: DataFrame, companies: DataFrame, key: str, text: Column) -> DataFrame:
     """Distinct (key, company) pairs where an alias stands in the text as whole words.
 
-    Blocks on an alias's first word: a text's distinct words meet that word in an equi-join of (key, word) rows.  An
-    alias of one word is found by then; the texts themselves are looked up only for pairs whose alias has more words.
-    Texts of one key count as one.
+    Aliases go to the tasks in shards of at most ALIAS_BYTES, each an automaton that reads a text once; only found pairs
+    are shuffled.  Texts of one key count as one.
     """
-    names = companies.select(*companies.columns, F.explode(T.company_aliases(F.col("company_name"))).alias("_alias")).withColumn("_first", F.split_part("_alias", F.lit(" "), F.lit(1)))
+    names = companies.select(*companies.columns, F.explode(T.company_aliases(F.col("company_name"))).alias("_alias")).where("_alias <> ''")
+    size = names.agg(F.coalesce(F.sum(F.length("_alias") + 2), F.lit(0))).first()[0]
     padded = articles.select(F.col(key), F.concat(F.lit(" "), T.company_norm(text), F.lit(" ")).alias("_text"))
-    words = padded.select(key, F.explode(F.array_distinct(F.split(F.trim("_text"), " "))).alias("_first")).where("_first <> ''")
-    met = words.join(names, "_first").select(key, "_alias", *companies.columns)
-    whole = met.where(~F.contains("_alias", F.lit(" "))).select(key, *companies.columns)
-    longer = met.where(F.contains("_alias", F.lit(" "))).join(padded, key).where(F.contains("_text", F.concat(F.lit(" "), F.col("_alias"), F.lit(" "))))
-    return whole.unionByName(longer.select(key, *companies.columns)).distinct()
+    shards = max(1, -(-size // ALIAS_BYTES))
+    found = None
+    for shard in range(shards):
+        some = names.select("_alias").distinct().where(F.pmod(F.xxhash64("_alias"), F.lit(shards)) == shard)
+        part = _found_aliases(padded, key, sorted(r[0] for r in some.collect()))  # about ALIAS_BYTES
+        found = part if found is None else found.unionByName(part)
+    return found.distinct().join(names, "_alias").select(key, *companies.columns).distinct()
 
 
 def word_mentions(texts: DataFrame, words: DataFrame, key: str, text: Column, word: str) -> DataFrame:

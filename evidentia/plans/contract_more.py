@@ -364,14 +364,25 @@ def _stub_news(url: str) -> tuple[int, str | None]:
     return 200, json.dumps({"articles": [{"url": f"http://{domain}/{start[:8]}/{i}", "title": "t"} for i in range(int(start[6:8]) % 3)]})
 
 
-@query("""SELECT e.name AS domain, w.week, CASE e.name WHEN 'click' THEN 'limited' WHEN 'view' THEN 'failed' ELSE 'done' END AS status, CASE WHEN e.name NOT IN ('click', 'view') THEN CAST(day(CAST(w.week AS DATE)) % 3 AS INTEGER) END AS n
-  FROM (SELECT DISTINCT event_type AS name FROM events) e, (SELECT strftime(unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-29', INTERVAL 7 DAY)), '%Y-%m-%d') AS week) w""")
+def _replay(url: str) -> tuple[int, str | None]:
+    """Bodies of data: addresses, and the status that an address names."""
+    from evidentia.sources.fetch import data_url
+
+    return (int(url[7:]), None) if url.startswith("status:") else data_url(url)
+
+
+@query("""SELECT domain, CAST(w AS VARCHAR) AS week, CASE w WHEN 2 THEN 'failed' WHEN 3 THEN 'limited' ELSE 'done' END AS status, CASE WHEN w < 2 THEN n END AS n
+  FROM (SELECT split_part(url, '/', 3) AS domain, page_id % 4 AS w, CAST(count(DISTINCT url) AS INTEGER) AS n FROM pages GROUP BY 1, 2)""")
 def q101_article_lists(t):
+    """Lists of the pages' addresses, by domain and a week, fetched and parsed; two weeks of four answer with an error."""
     from evidentia.sources import feeds
 
-    week = F.explode(D.weeks(F.lit("2024-01-15").cast("date"), F.lit("2024-02-03").cast("date"))).alias("w")
-    work = t("events").select(F.col("event_type").alias("domain")).distinct().select("domain", week).select("domain", "w.week", "w.start", "w.stop")
-    got = feeds.article_lists(work, _stub_news, lambda domain, start, stop: f"stub://{domain}/{start}", tries=1, base=0.0)
+    week = F.col("page_id") % 4
+    rows = t("pages").select(F.split_part("url", F.lit("/"), F.lit(3)).alias("domain"), week.cast("string").alias("week"), "url").distinct()
+    listing = F.to_json(F.struct(F.collect_list(F.struct("url")).alias("articles")))
+    held = rows.groupBy("domain", "week").agg(F.concat(F.lit("data:application/json;base64,"), F.base64(F.encode(listing, "UTF-8"))).alias("held"))
+    asked = F.when(F.col("week") == "2", "status:500").when(F.col("week") == "3", "status:429").otherwise(F.col("held"))
+    got = feeds.article_lists(held.select("domain", "week", F.lit("").alias("start"), F.lit("").alias("stop"), asked.alias("asked")), _replay, "asked", tries=1, base=0.0)
     return got.select("domain", "week", "status", F.when(F.col("articles").isNotNull(), F.size("articles")).alias("n"))
 
 
@@ -405,25 +416,17 @@ def q104_ticker_rows(t):
     return corpus.tickers(one)
 
 
-def _stub_site(url: str) -> tuple[int, str | None]:
-    """Pages by the last digit of their number: there, elsewhere, refused or broken."""
-    n = int(url.rsplit("/", 1)[1])
-    if n % 5 == 4:
-        raise RuntimeError("no answer")
-    if url.startswith("stub://main/") and n % 5 > 1:
-        return 403, "blocked"
-    return (200, f"page {n}") if n % 5 != 3 else (500, None)
-
-
-@query("SELECT page_id, CASE WHEN page_id % 5 < 3 THEN 'page ' || page_id WHEN page_id % 5 = 3 AND page_id % 2 = 0 THEN 'read ' || page_id END AS body FROM pages")
+@query("SELECT page_id, CASE WHEN page_id % 5 < 4 THEN nullif(html, '') END AS body FROM pages")
 def q105_fetched_pages(t):
+    """Pages from their address, from another one where it is broken, from a reader, and those that nobody answers for."""
     from evidentia.sources import fetch
 
-    number = F.col("page_id").cast("string")
-    host = F.when(F.col("page_id") % 2 == 0, "main").otherwise("other")
-    rows = t("pages").select("page_id", F.concat(F.lit("stub://"), host, F.lit("/"), number).alias("url"), F.concat(F.lit("stub://second/"), number).alias("again"))
-    reader = lambda url: (200, "read " + url.rsplit("/", 1)[1]) if int(url.rsplit("/", 1)[1]) % 5 == 3 else (404, None)
-    return fetch.fetch_all(rows, _stub_site, "url", "again", threads=4, reader=reader, reader_hosts=("main",)).select("page_id", "body")
+    held = F.base64(F.encode(F.coalesce("html", F.lit("")), "UTF-8"))
+    data, kind = F.concat(F.lit("data:text/html;base64,"), held), F.col("page_id") % 5
+    url = F.when(kind < 2, data).when(kind == 2, "data:broken").otherwise(F.concat(F.when(kind == 3, "http://main/").otherwise("http://other/"), held))
+    rows = t("pages").select("page_id", url.alias("url"), F.when(kind == 2, data).alias("again"))
+    reader = lambda url: fetch.data_url("data:;base64," + url.split("/", 3)[3])
+    return fetch.fetch_all(rows, fetch.data_url, "url", "again", threads=4, reader=reader, reader_hosts=("main",)).select("page_id", "body")
 
 
 @query(rf"""SELECT CAST(count(DISTINCT share) AS BIGINT) AS files, CAST(count(*) AS BIGINT) AS "rows", CAST(count(*) FILTER (noise) AS BIGINT) AS skipped, CAST(coalesce(sum(greatest(0, ceil((length(t) - 1000) / 850.0)) + 1) FILTER (NOT noise), 0) AS BIGINT) AS chunks, CAST(2 AS BIGINT) AS errors, true AS again, CAST(0 AS BIGINT) AS read_again

@@ -10,24 +10,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.operators.corpus import keep_first
-from evidentia.sources.fetch import Fetcher, list_articles
+from evidentia.sources.fetch import Fetcher, Paced, list_articles
 
 ARTICLES_JSON = "articles array<struct<url:string, title:string, seendate:string, domain:string, language:string, url_mobile:string>>"
 RSS_XML = "channel struct<item: array<struct<title:string, link:string, pubDate:string, description:string>>>"
 INDEX_JSON = "url string, timestamp string, status string, mime string, filename string, offset string, length string"
 
 
-def article_lists(work: DataFrame, fetch: Fetcher, address: Callable[[str, str, str], str], tries: int = 5, base: float = 6.0, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+def article_lists(work: DataFrame, fetch: Fetcher, address: Callable[[str, str, str], str] | str, tries: int = 5, base: float = 6.0, sleep: Callable[[float], None] = time.sleep, interval: float = 0.0) -> DataFrame:
     """Adds status and articles to rows of domain, week, start and stop, one call each.
 
-    ``done`` has the reply's articles, none of a reply that is no JSON; ``failed`` and ``limited`` have null.  The
-    status goes to a manifest, whose rows that are not done come again.
+    ``address`` makes a call's address, or names the column that holds it.  ``done`` has the reply's articles, none of
+    a reply that is no JSON; ``failed`` and ``limited`` have null.  The status goes to a manifest, whose rows that are
+    not done come again.  With an ``interval``, calls go one by one, at most one in so many seconds, retries included:
+    the search is one site, so that is one task.
     """
+    if interval:
+        work = work.repartition(1)
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in work.schema) + ", status string, _body string"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        get = Paced(fetch, interval, sleep) if interval else fetch
         for frame in frames:
-            got = [list_articles(fetch, address(*row), tries, base, sleep) for row in zip(frame["domain"], frame["start"], frame["stop"], strict=True)]
+            asked = frame[address] if isinstance(address, str) else [address(*row) for row in zip(frame["domain"], frame["start"], frame["stop"], strict=True)]
+            got = [list_articles(get, url, tries, base, sleep) for url in asked]
             yield frame.assign(status=[s for s, _ in got], _body=[b for _, b in got])
 
     found = F.from_json("_body", ARTICLES_JSON).getField("articles")

@@ -110,3 +110,50 @@ def test_is_json(spark, text):
             return False
 
     assert spark.createDataFrame([(text,)], "t string").select(M.is_json(F.col("t"))).first()[0] is plain()
+
+
+def test_no_site_is_called_above_its_rate(spark, tmp_path):
+    """Real clocks in as many tasks as there are partitions: calls of one site are apart, those of others go on meanwhile."""
+    from evidentia.sources import fetch
+
+    log, interval = str(tmp_path / "calls"), 0.03
+
+    def logged(url):
+        import time
+
+        with open(log, "a") as f:
+            f.write(f"{time.time()} {fetch.site(url)}\n")
+        return (503, None) if url.endswith("/0") else (200, url)
+
+    urls = [(f"http://{h}.{s}.com/{i}", f"http://www.{s}.com/again/{i}") for s in ("a", "b", "c") for h in ("m", "www") for i in range(8)]
+    rows = spark.createDataFrame(urls, "url string, again string").repartition(16)
+    got = fetch.fetch_all(rows, logged, "url", "again", threads=6, interval=interval).collect()
+    assert sum(r.body is not None for r in got) == 42
+    calls = {}
+    for line in open(log):
+        at, name = line.split()
+        calls.setdefault(name, []).append(float(at))
+    assert set(calls) == {"a.com", "b.com", "c.com"} and all(len(x) == 18 for x in calls.values())
+    for times in calls.values():
+        times.sort()
+        assert all(later - earlier > interval * 0.7 for earlier, later in zip(times, times[1:]))
+    sites = spark.createDataFrame([("http://u@M.x.CO.uk:80/p",), ("data:,x",), (None,), ("http://host/p",)], "u string")
+    assert [r[0] for r in sites.select(fetch.site_of(F.col("u"))).collect()] == [fetch.site(r.u) for r in sites.collect()] == ["co.uk", "", "", "host"]
+
+
+def test_searches_wait_for_one_another(spark):
+    from evidentia.sources import feeds, fetch
+
+    waits, now = [], [0.0]
+
+    def sleep(seconds):
+        waits.append(round(seconds, 6))
+        now[0] += seconds
+
+    paced = fetch.Paced(lambda u: (200, u), 6.0, sleep, lambda: now[0])
+    assert [paced(f"http://s/{i}")[0] for i in range(3)] == [200] * 3 and waits == [6.0, 6.0]
+    paced("http://other/1")
+    assert waits == [6.0, 6.0]
+    work = spark.createDataFrame([("d", str(i), "", "", f"data:,{i}") for i in range(3)], "domain string, week string, start string, stop string, at string")
+    assert {r.status for r in feeds.article_lists(work, fetch.data_url, "at", tries=1, interval=0.01).collect()} == {"done"}
+    assert fetch.data_url("data:text/plain,a%20b") == (200, "a b") and fetch.data_url("http://x,y") == (400, None)
