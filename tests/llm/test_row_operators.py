@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -515,3 +516,16 @@ def test_repeated_blocks_are_brute_force():
             at += n + 1
         want.append(own)
     assert html_extract.repeated_blocks(pages) == want
+
+
+def test_deep_markup_takes_linear_time():
+    began = time.perf_counter()
+    deep = "<div class=nav>" * 100_000 + "<p>gone</p>" + "</div>" * 100_000
+    assert html_extract.article_text("<article><p>a</p>" + deep + "<p>b</p></article>") == "a\nb"
+    assert html_extract.article_text("<article>" + "<div><b>" * 50_000 + "x" + "</i>" * 100_000 + "</article>") == "x"
+    assert html_extract.article_text("<div class=ad>" * 50_000 + "<article><p>in</p></article>" + "</div>" * 50_000 + "<article><p>own</p></article>") == "own"
+    assert time.perf_counter() - began < 20
+
+
+def test_a_teaser_beside_the_article_goes():
+    assert html_extract.article_text("<main><article><p>own</p></article><article class='teaser'><p>other</p></article></main>") == "own"
