@@ -59,7 +59,7 @@ def test_pairs_scored_follow_claims_and_k(spark):
     a, b = frames(spark, claims, texts)
     exact = M.support(F.col("c"), F.col("e"), F.col("h"), F.col("e"))
     pairs = topk.candidates(a, b, 3, "claim_id", "key", "e", topk._weights(("c", 0.5), ("h", 0.5)), exact, lambda x: x, F.lit(1.0))
-    assert pairs.count() < 20 * 2000 / 20
+    assert pairs.count() < 20 * 2000 / 10  # of 40,000 pairs, nearly all of which share a common word
     assert shown(topk.best_support(a, b, 3, "claim_id", "key", "c", "h", "e")) == all_pairs(a, b, exact, 3)
 
 
