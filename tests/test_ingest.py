@@ -152,12 +152,13 @@ def test_files_in_a_fixed_number_of_jobs(spark, tmp_path):
             (base / f"p{i}.parquet").write_bytes(next((base / f"p{i}").glob("*.parquet")).read_bytes())
             (base / f"t{i}.txt").write_text(f"note {i}")
         (base / "bad.parquet").write_text("no parquet")
-        files = [str(base / f"{k}{i}.{e}") for i in range(n) for k, e in (("a", "csv"), ("b", "csv"), ("p", "parquet"), ("t", "txt"))] + [str(base / "bad.parquet"), str(base / "absent.csv")]
+        (base / "none.parquet").write_text("")
+        files = [str(base / f"{k}{i}.{e}") for i in range(n) for k, e in (("a", "csv"), ("b", "csv"), ("p", "parquet"), ("t", "txt"))] + [str(base / "bad.parquet"), str(base / "none.parquet"), str(base / "absent.csv")]
         before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
         stats = service.ingest(spark, files, str(base / "out"), report=str(base / "report"))
         jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - before)
         assert (stats["files"], stats["rows"], stats["skipped"], stats["chunks"]) == (4 * n, 5 * n, n, 4 * n)
-        assert sorted(e.rsplit("/", 1)[1] for e in stats["errors"]) == ["absent.csv: FileNotFound", "bad.parquet: not Parquet"]
+        assert sorted(e.rsplit("/", 1)[1] for e in stats["errors"]) == ["absent.csv: FileNotFound", "bad.parquet: not Parquet", "none.parquet: not Parquet"]
         assert spark.read.parquet(str(base / "out")).count() == 4 * n
         left = spark.read.parquet(str(base / "report/rows")).groupBy("reason").count().collect()
         assert {r.reason: r["count"] for r in left} == {"says nothing": n, "more fields than columns": n}
