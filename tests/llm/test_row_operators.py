@@ -486,36 +486,58 @@ def test_page_whose_only_article_is_a_comment(spark):
     assert html_extract.extract_text(pages).collect()[0].text == "The main text"
 
 
-def test_kept_blocks_are_the_suffix_array_s():
-    rng = random.Random(6)
-    pages = [[" ".join(rng.choice(["a", "b"]) for _ in range(rng.randint(1, 14))) for _ in range(rng.randint(0, 4))] for _ in range(12)]
-    held = Counter(d for p in pages for d in set(html_extract.runs_of(p)))
-    often = {d for d, n in held.items() if n > 1}
-    want = [[t for t, gone in zip(p, own, strict=True) if not gone] for p, own in zip(pages, html_extract.repeated_blocks(pages), strict=True)]
-    assert [html_extract.kept_blocks(p, often) for p in pages] == want
-
-
-def test_repeated_blocks_are_brute_force():
-    rng = random.Random(5)
-    pages = [[" ".join(rng.choice(["a", "b"]) for _ in range(rng.randint(1, 14))) for _ in range(rng.randint(0, 4))] for _ in range(12)]
-    streams = [[w for b in p for w in [*b.split(), "\n"]] for p in pages]
+def _kept_by_brute_force(pages):
+    """Of (host, blocks), the blocks that no runs shared with a page of other blocks cover, by a look at every run."""
+    run = html_extract.RUN
+    streams = [[w for b in own for w in [*b.split(), "\n"]] for _, own in pages]
     where = {}
-    for p, s in enumerate(streams):
-        for i in range(len(s) - html_extract.RUN + 1):
-            where.setdefault(tuple(s[i : i + html_extract.RUN]), set()).add(p)
-    want = []
-    for p, s in enumerate(streams):
+    for (host, own), s in zip(pages, streams, strict=True):
+        for i in range(len(s) - run + 1):
+            where.setdefault((host, *s[i : i + run]), set()).add(tuple(own))
+    out = []
+    for (host, own), s in zip(pages, streams, strict=True):
         covered = [False] * len(s)
-        for i in range(len(s) - html_extract.RUN + 1):
-            if len(where[tuple(s[i : i + html_extract.RUN])]) > 1:
-                covered[i : i + html_extract.RUN] = [True] * html_extract.RUN
-        at, own = 0, []
-        for b in pages[p]:
+        for i in range(len(s) - run + 1):
+            if len(where[(host, *s[i : i + run])]) > 1:
+                covered[i : i + run] = [True] * run
+        at, kept = 0, []
+        for b in own:
             n = len(b.split())
-            own.append(sum(covered[at : at + n]) >= html_extract.COVERED * n)
+            if sum(covered[at : at + n]) < html_extract.COVERED * n:
+                kept.append(b)
             at += n + 1
-        want.append(own)
-    assert html_extract.repeated_blocks(pages) == want
+        out.append("\n".join(kept))
+    return out
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_suffix_array_is_brute_force(spark, seed):
+    """Hosts with many repeats, one of them hot, whose heads stand on both sides of partitions' edges."""
+    rng = random.Random(seed)
+    pages = [("a" if rng.random() < 0.7 else "b", [" ".join(rng.choice(["a", "b"]) for _ in range(rng.randint(1, 14))) for _ in range(rng.randint(1, 4))]) for _ in range(60)]
+    pages += pages[:5]
+    rows = [(i, f"http://{host}/{i}", "".join(f"<p>{b}</p>" for b in own)) for i, (host, own) in enumerate(pages)]
+    got = {r.page_id: r.text for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert [got[i] for i in range(len(pages))] == _kept_by_brute_force(pages)
+
+
+def test_prefixes_meet_over_any_cut():
+    """Ordered suffixes, cut anywhere between pages, settle the same places once the edges have met."""
+    rng = random.Random(7)
+    rows = sorted({("h", rng.choice("abc"), rng.choice([b"1", b"2", b"3", b"4"]), rng.randrange(9)) for _ in range(40)} | {("h", "d", b"1", 1), ("h", "d", b"1", 2)})
+    held = {}
+    for host, head, content, _ in rows:
+        held.setdefault((host, head), set()).add(content)
+    want = sorted((c, i) for host, head, c, i in rows if len(held[host, head]) > 1)
+    for _ in range(200):
+        cuts = sorted({0, len(rows), *(i for i in rng.sample(range(1, len(rows)), 6) if rows[i][:3] != rows[i - 1][:3])})
+        out = [r for a, b in zip(cuts, cuts[1:]) for r in html_extract.shared_prefixes(iter(rows[a:b]))]
+        met = {}
+        for _, head, content, _ in out:
+            if head:
+                met.setdefault(head, set()).add(content)
+        got = [(c, i) for _, head, c, i in out if head is None] + list({(c, i, head) for _, head, c, i in out if head and i is not None and len(met[head]) > 1})
+        assert sorted(x[:2] for x in got) == want
 
 
 def test_deep_markup_takes_linear_time():
