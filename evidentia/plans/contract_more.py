@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from evidentia import lexicons as L
+from evidentia.functions import chunks
 from evidentia.functions import dates as D
 from evidentia.functions import math as M
 from evidentia.functions import text as T
@@ -602,6 +603,27 @@ def q116_dead_letters(t):
     return spark.createDataFrame([(*counts, chars)], "first_run bigint, failed bigint, second_run bigint, still_failed bigint, chars bigint")
 
 
+# --- long claims and noun chunks ---
+
+_LONG = r"list_transform(string_split(regexp_replace(text, '([.?!])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: list_distinct(regexp_split_to_array(trim(regexp_replace(lower(s), '\s+', ' ', 'g')), '\s+')))"
+
+
+@query(f"""WITH s AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i, len(w) AS n FROM (SELECT doc_id, {_LONG} AS w FROM documents)),
+  k AS (SELECT doc_id, any_value(n) AS n, sum((0.7 * ({_OPPOSED}) / greatest(1, len(c)) + 0.3 * CAST(list_has_any(e, {list(NEGATED)}) AS INTEGER)) * len(list_intersect(c, e)) / greatest(1, len(c))) AS m
+    FROM (SELECT a.doc_id, a.n, a.w AS c, b.w AS e FROM s a JOIN s b ON a.doc_id = b.doc_id AND a.i < b.i) GROUP BY doc_id)
+  SELECT d.doc_id, round(coalesce(1 - k.m / (k.n * (k.n - 1) / 2 + 1e-6), 1), 6) AS LCS FROM documents d LEFT JOIN k USING (doc_id)""")
+def q117_long_coherence(t):
+    """LCS of whole documents, which have up to thousands of sentences."""
+    rows = t("documents").select("doc_id", T.sentences(F.col("text"), 0, 1 << 30).alias("s"))
+    return metrics.coherences(rows, "doc_id", F.col("s"), F.array(F.lit("x")), PAIRS, NEGATED).select("doc_id", F.round("LCS", 6).alias("LCS"))
+
+
+@query()
+def q118_noun_chunks(t):
+    rows = t("conversations").withColumn("found", chunks.noun_chunks(F.col("text")))
+    return rows.select("conv_id", "turn", "role", F.size("found").alias("n"), F.array_join("found", "|").alias("chunks"))
+
+
 # --- SQL of queries whose models are stubs ---
 
 ORACLE_SQL["q58_stream_ingest"] = f"""SELECT CAST(i AS INTEGER) AS chunk_index, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(range(0, CAST(greatest(0, ceil((length(t) - 1000) / 850.0)) AS BIGINT) + 1)) AS i
@@ -612,3 +634,10 @@ ORACLE_SQL["q68_claim_generation"] = f"""SELECT source, label, 'A statement with
   (SELECT unnest({list(dialogue.MODES)}) AS label)"""
 
 ORACLE_SQL["q69_entity_resolution"] = f"""SELECT item_id AS claim_id, entities FROM ({ORACLE_SQL["q86_resolved_entities"]})"""
+
+#: Each <p> of the pages' articles as the parser nests them: one without an end tag of its own goes on to the article's end.
+_PLAIN = r"""trim(regexp_replace(replace(replace(regexp_replace({0}, '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))"""
+
+ORACLE_SQL["q59_article_parse"] = f"""SELECT page_id, CAST(length(x) AS INTEGER) AS n, sha256(x) AS sha FROM (SELECT page_id, array_to_string(list_filter(list_transform(range(2, len(s) + 1),
+    lambda i: CASE WHEN contains(s[i], '</p>') THEN {_PLAIN.format("split_part(s[i], '</p>', 1)")} ELSE {_PLAIN.format("array_to_string(s[i:], '<p>')")} END), lambda x: x <> ''), ' ') AS x
+  FROM (SELECT page_id, string_split(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<p>') AS s FROM pages))"""
