@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import repeat
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia import lexicons as L
@@ -77,7 +79,7 @@ def coherence(sentences: Column, entities: Column, antonyms=L.ANTONYMS, negation
     """LCS: one less the mean contradiction over pairs of a claim's sentences; 1 for fewer than two.
 
     A claim's own sentences stay in one row as an array, so pairs need no join; only their sum is held.  For claims of
-    few sentences; ``coherences`` takes any number.
+    few sentences; ``long_coherence`` takes any number.
     """
     words = _words(sentences)
     score = lambda a, b: M.contradiction(a, b, entities, entities, antonyms, negations)
@@ -88,30 +90,39 @@ def coherence(sentences: Column, entities: Column, antonyms=L.ANTONYMS, negation
     return F.when(F.coalesce(F.size(words), F.lit(0)) < 2, F.lit(1.0)).otherwise(1 - mean)
 
 
-def coherences(claims: DataFrame, key: str, sentences: Column, entities: Column, antonyms=L.ANTONYMS, negations: Sequence[str] = L.NEGATIONS) -> DataFrame:
-    """``key`` and LCS of each row, as ``coherence`` has it, for claims of any number of sentences: no pair is formed.
+def long_coherence(sentences: Column, entities: Column, antonyms=L.ANTONYMS, negations: Sequence[str] = L.NEGATIONS) -> Column:
+    """LCS as ``coherence`` has it, for claims of any number of sentences: no pair is formed.
 
     The contradiction of two sentences is a sum over the tokens they share, and over the opposites that stand one in
-    each (or a negation in the second), of what the first weighs.  So running sums of these weights by claim, token and
-    opposites, in the order of sentences, give the sum over all pairs; rows grow with the tokens.  Repeated rows count
-    one by one; a null sentence is an empty one.
+    each (or a negation in the second), of what the first weighs.  So running sums of these weights, by opposites and
+    token, in the order of sentences, give the sum over all pairs.  Time and memory grow with a claim's tokens, one
+    claim at a time; a null sentence is an empty one.
     """
     both = [p for x, y in antonyms for p in ((x, y), (y, x))]
-    size = F.greatest(F.lit(1), F.size("w")).cast("double")
-    here = lambda word: F.array_contains("w", word)
-    mark = lambda name, first, second: F.struct(F.lit(name).alias("m"), F.coalesce(first, F.lit(0.0)).alias("first"), F.coalesce(second, F.lit(0.0)).alias("second"))
-    marks = [mark(i, F.when(here(x), 0.7 / (size * size)), F.when(here(y), F.lit(1.0))) for i, (x, y) in enumerate(both)]
-    marks.append(mark(-1, 0.3 / size, F.when(F.arrays_overlap("w", F.array(*map(F.lit, negations))), F.lit(1.0))))
-    about = 0.1 + 0.9 * M.overlap(entities, entities)
-    rows = claims.select(F.monotonically_increasing_id().alias("_row"), F.col(key), about.alias("_about"), _words(sentences).alias("_w"))
-    rows = rows.select("*", F.coalesce(F.size("_w"), F.lit(0)).alias("_n"), F.posexplode_outer("_w").alias("_i", "w")).drop("_w")
-    rows = rows.withColumn("_m", F.filter(F.array(*marks), lambda m: (m["first"] > 0) | (m["second"] > 0)))
-    rows = rows.select("_row", key, "_about", "_n", "_i", F.explode_outer("w").alias("_t"), "_m").select("*", F.inline_outer("_m")).drop("_m")
-    before = Window.partitionBy("_row", "_t", "m").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
-    met = rows.withColumn("_met", F.coalesce(F.sum("first").over(before) * F.col("second"), F.lit(0.0)))
-    found = met.groupBy("_row").agg(F.first(key).alias(key), F.first("_about").alias("_about"), F.first("_n").cast("double").alias("_n"), F.sum("_met").alias("_sum"))
-    mean = F.col("_about") * F.col("_sum") / (F.col("_n") * (F.col("_n") - 1) / 2 + L.EPS)
-    return found.select(key, F.when(F.col("_n") < 2, F.lit(1.0)).otherwise(1 - mean).alias("LCS"))
+    negative = frozenset(negations)
+
+    def total(claim: list[list[str]]) -> float:
+        sums: dict[object, dict[str, float]] = {}
+        out = 0.0
+        for words in claim:
+            own = set(words)
+            seconds = [m for m, (_, y) in enumerate(both) if y in own] + ["no"] * (not own.isdisjoint(negative))
+            out += sum(sum(map(sums[m].get, words, repeat(0.0))) for m in seconds if m in sums)
+            size = max(1, len(words))
+            for m, weight in [("no", 0.3 / size), *((m, 0.7 / size**2) for m, (x, _) in enumerate(both) if x in own)]:
+                before = sums.setdefault(m, {})
+                for word in words:
+                    before[word] = before.get(word, 0.0) + weight
+        return out
+
+    @F.arrow_udf("double")
+    def of_pairs(claims: pa.Array) -> pa.Array:
+        return pa.array([total(c.as_py()) if c.is_valid else None for c in claims], pa.float64())
+
+    words = _words(sentences)
+    n = F.coalesce(F.size(words), F.lit(0))
+    mean = (0.1 + 0.9 * M.overlap(entities, entities)) * of_pairs(words) / (n * (n - 1) / 2 + L.EPS)
+    return F.when(n < 2, F.lit(1.0)).otherwise(1 - mean)
 
 
 def claim_score(cms: Column, hls: Column, lcs: Column, scope: Column, clip: bool = True) -> Column:

@@ -615,7 +615,7 @@ _LONG = r"list_transform(string_split(regexp_replace(text, '([.?!])\s+([A-Z])',
 def q117_long_coherence(t):
     """LCS of whole documents, which have up to thousands of sentences."""
     rows = t("documents").select("doc_id", T.sentences(F.col("text"), 0, 1 << 30).alias("s"))
-    return metrics.coherences(rows, "doc_id", F.col("s"), F.array(F.lit("x")), PAIRS, NEGATED).select("doc_id", F.round("LCS", 6).alias("LCS"))
+    return rows.select("doc_id", F.round(metrics.long_coherence(F.col("s"), F.array(F.lit("x")), PAIRS, NEGATED), 6).alias("LCS"))
 
 
 @query()

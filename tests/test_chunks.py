@@ -4,8 +4,8 @@ import re
 
 import pytest
 
+import __spark_entry__ as entry
 from evidentia.functions import chunks
-from evidentia.plans import contract
 
 #: Sentences with a tag for each token, by hand.
 TAGGED = [
@@ -69,7 +69,7 @@ def plain(text):
 
 
 def test_query_is_a_plain_loop(spark, sf):
-    got = {(r.conv_id, r.turn, r.role): (r.n, r.chunks) for r in contract.QUERIES["q118_noun_chunks"](spark, sf).collect()}
+    got = {(r.conv_id, r.turn, r.role): (r.n, r.chunks) for r in entry.queries()["q118_noun_chunks"](spark, sf).collect()}
     rows = spark.read.parquet(f"{sf}/conversations.parquet").collect()
     assert len(got) == len({(r.conv_id, r.turn, r.role) for r in rows}) > 0
     for r in rows:

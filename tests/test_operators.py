@@ -164,7 +164,7 @@ def test_coherence(spark):
     assert got[1:] == [1.0, 1.0] and got[0] == pytest.approx(1 - (0.7 * (1 / 2) * 0.5) / 3)
 
 
-def test_coherences_are_the_pairs(spark):
+def test_long_coherence_is_the_pairs(spark):
     """Sums over tokens equal the look at every pair, for repeated rows, nulls and few sentences too."""
     rng = random.Random(3)
     made = [(i % 40, [" ".join(rng.choice(["up", "down", "Not", "a", "b", "c", ""]) for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(0, 9))]) for i in range(60)]
@@ -173,7 +173,7 @@ def test_coherences_are_the_pairs(spark):
     args = [("up", "down"), ("up", "down"), ("a", "b")], ["not"]
     key = lambda rows: sorted((r.k is None, r.k or 0, round(r.LCS, 9)) for r in rows)
     want = key(df.select("k", metrics.coherence(F.col("s"), entities, *args).alias("LCS")).collect())
-    assert key(metrics.coherences(df, "k", F.col("s"), entities, *args).collect()) == want and len({x for *_, x in want}) > 20
+    assert key(df.select("k", metrics.long_coherence(F.col("s"), entities, *args).alias("LCS")).collect()) == want and len({x for *_, x in want}) > 20
 
 
 def _ensemble(spark, rows, **k):
