@@ -50,12 +50,13 @@ def listed_articles(lists: DataFrame) -> DataFrame:
 def feed_items(feeds: DataFrame, until: F.Column, days: int = 365) -> DataFrame:
     """source, title, url, published and text of (source, body): entries with a date in the last ``days`` days to ``until``.
 
-    A body that is no feed has no items; entries without a date that can be read, or without a link, go.
+    A body that is no feed has no items; entries without a date that can be read, or without a link, go.  A date may have
+    a fraction of its second.
     """
     items = F.from_xml(F.col("body"), RSS_XML, {"mode": "PERMISSIVE"}).getField("channel").getField("item")
     rows = feeds.select("source", F.explode(items).alias("i"))
     bare = F.regexp_replace(F.col("i.pubDate"), r"^\s*[A-Za-z]+,\s*", "")
-    at = F.coalesce(F.try_to_timestamp(bare, F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(bare, F.lit("d MMM yyyy HH:mm:ss z")))
+    at = F.coalesce(F.try_to_timestamp(bare, F.lit("d MMM yyyy HH:mm:ss[.SSSSSS] Z")), F.try_to_timestamp(bare, F.lit("d MMM yyyy HH:mm:ss[.SSSSSS] z")))
     named = rows.select("source", F.col("i.title").alias("title"), F.trim("i.link").alias("url"), at.alias("published"), F.col("i.description").alias("text"))
     return named.where(F.col("published").between(until - F.make_interval(days=F.lit(days)), until) & (F.length("url") > 0))
 
