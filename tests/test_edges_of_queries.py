@@ -21,3 +21,42 @@ def test_feed_dates_keep_fractions_of_a_second(spark, tmp_path):
     rows = spark.sql("SELECT * FROM VALUES (1L, TIMESTAMP_NTZ'2024-01-20 00:00:00.25'), (2L, TIMESTAMP_NTZ'2024-01-20 00:00:00'), (4L, TIMESTAMP_NTZ'2024-01-10 00:00:00.5'), (7L, TIMESTAMP_NTZ'2024-01-09 23:59:59.999999') AS t(event_id, ts)")
     got = same_as_sql(spark, tmp_path, "q100_feed_items", events=rows)
     assert sorted(r.url for r in got) == ["http://f/2", "http://f/4"]
+
+
+def test_nearest_of_odd_vectors(spark, tmp_path):
+    """Copies that tie, null and zero vectors, and null elements, as array functions rank them."""
+    import random
+
+    from pyspark.sql import functions as F
+    from pyspark.sql import Window as W
+
+    from evidentia.functions import math as M
+    from evidentia.operators import vector
+
+    draw = random.Random(5)
+    rows = [(i, [draw.gauss(0, 1) for _ in range(8)]) for i in range(700)] + [(1000 + i, [0.3] * 8) for i in range(30)] + [(2000, None), (2001, [0.0] * 8), (2002, [None] + [1.0] * 7), (2003, [1.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    q = v.where("vec_id % 100 = 0 OR vec_id > 2000").select(F.col("vec_id").alias("query_id"), "embedding")
+    both = v.crossJoin(q.withColumnRenamed("embedding", "q")).select("query_id", "vec_id", M.cosine(F.col("q"), F.col("embedding")).alias("cosine"))
+    want = both.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id"))).where("rank <= 9")
+    key = lambda d: sorted((r.query_id, r.rank, r.vec_id, r.cosine) for r in d.select("query_id", "vec_id", "cosine", "rank").collect())
+    assert repr(key(vector.knn(q, v, 9))) == repr(key(want))
+
+
+def test_nearest_hold_no_pairs(monkeypatch):
+    """What a search holds does not grow with queries times vectors."""
+    import tracemalloc
+
+    import numpy as np
+
+    from evidentia.operators import vector
+
+    x = np.random.default_rng(1).normal(size=(20_000, 16))
+    tracemalloc.start()
+    best = vector.Best(x[::5], 11)
+    best.add(np.arange(len(x)), x)
+    row, ids, _ = best.found()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(ids) == 4_000 * 11 and (ids[::11] == np.arange(0, 20_000, 5)).all()
+    assert peak < 200 << 20  # all cosines at once are 640 MB
