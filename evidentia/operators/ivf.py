@@ -14,9 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql.pandas.types import to_arrow_type
 
-from evidentia import lexicons as L
 from evidentia.operators import vector as V
 from evidentia.tables import stored
 
@@ -130,7 +128,8 @@ def build(vectors: DataFrame, path: str, vector_id: str = "vec_id", column: str
     assigned.hint("rebalance", "list").write.partitionBy("list").parquet(f"{path}/lists")
     spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], "list int, centroid array<double>").write.parquet(f"{path}/centroids")
     probes = _calibrated(spark, path, centroids, rows.schema, vector_id, column, k, recall)
-    spark.createDataFrame([(vector_id, column, probes)], "vector_id string, column string, probes int").write.parquet(f"{path}/about")
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", list int"
+    spark.createDataFrame([(vector_id, column, probes, shape)], "vector_id string, column string, probes int, shape string").write.parquet(f"{path}/about")
     return probes
 
 
@@ -153,14 +152,14 @@ class Index:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
         about = spark.read.parquet(f"{path}/about").first()
-        self.vector_id, self.column, self.probes = about.vector_id, about.column, about.probes
+        self.vector_id, self.column, self.probes, self.shape = about.vector_id, about.column, about.probes, about.shape
         self.centroids = np.array([r.centroid for r in spark.read.parquet(f"{path}/centroids").orderBy("list").collect()], np.float64)
-        self.lists = spark.read.parquet(f"{path}/lists")
+        self.lists = spark.read.schema(self.shape).parquet(f"{path}/lists")
 
     def add(self, vectors: DataFrame) -> None:
         """Index more rows under the same centroids; their ids are taken as new ones."""
         _assigned(vectors.select(self.vector_id, self.column), self.column, self.centroids).write.mode("append").partitionBy("list").parquet(f"{self.path}/lists")
-        self.lists = self.spark.read.parquet(f"{self.path}/lists")
+        self.lists = self.spark.read.schema(self.shape).parquet(f"{self.path}/lists")
 
     def probed(self, lists: list[int]) -> DataFrame:
         """The rows of some lists: the scan is pruned to their folders."""
@@ -171,7 +170,7 @@ class Index:
 
         Cosines are exact, rounded to 12 digits, and ties go to the lesser id, as in ``vector.knn_batched``, which this
         equals if all lists are probed.  A query without direction finds nothing.  Queries go in bounded blocks; a
-        list's vectors meet only the queries that probe it, and a batch keeps the best k of each query.
+        list's vectors meet only the queries that probe it, and a task keeps the best k of each query (``vector.Best``).
         """
         rows = queries.select(query_id, F.col(self.column)).where(F.col(self.column).isNotNull())
         kinds = {query_id: queries.schema[query_id].dataType, self.vector_id: self.lists.schema[self.vector_id].dataType}
@@ -181,39 +180,37 @@ class Index:
         out = None
         for b in range(blocks):
             part = (rows if blocks == 1 else rows.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b)).collect()  # about BROADCAST_BYTES at most
-            at, x, size = _unit(pa.array([r[1] for r in part])) if part else ([], np.zeros((0, 0)), None)
-            found = self._block(shape, kinds, [part[i][0] for i in at], x, size, n, k, query_id)
+            at, x, _ = _unit(pa.array([r[1] for r in part])) if part else ([], np.zeros((0, 0)), None)
+            found = self._block(shape, kinds, [part[i] for i in at], x, n, k, query_id)
             out = found if out is None else out.unionByName(found)
         best = F.row_number().over(W.partitionBy(query_id).orderBy(F.desc("cosine"), self.vector_id))
         return out.withColumn("rank", best).where(F.col("rank") <= k)
 
-    def _block(self, shape: str, kinds: dict, names: list, x: np.ndarray, size: np.ndarray, n: int, k: int, query_id: str) -> DataFrame:
-        if not names or not n:
+    def _block(self, shape: str, kinds: dict, asked: list, x: np.ndarray, n: int, k: int, query_id: str) -> DataFrame:
+        """``asked``: ids and vectors of queries, whose directions are ``x``."""
+        if not asked or not n:
             return self.spark.createDataFrame([], shape)
         near = _nearest(x, self.centroids, n)
         order = np.argsort(near, axis=None, kind="stable")
         lists, starts = np.unique(near.ravel()[order], return_index=True)
         by_list = {int(number): q for number, q in zip(lists, np.split(order // n, starts[1:]), strict=True)}
-        sent = self.spark.sparkContext.broadcast((names, x, size, by_list))
+        sent = self.spark.sparkContext.broadcast(([r[0] for r in asked], np.array([r[1] for r in asked], np.float64), by_list))
         vector_id, kept = self.vector_id, [query_id, self.vector_id, "cosine"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, x, size, by_list = sent.value
+            names, q, by_list = sent.value
+            best = V.Best(q, k, 12)
             for batch in batches:
-                at, v, length = _unit(batch.column(1))
-                if not len(at):
-                    continue
-                numbers, ids = batch.column(2).to_numpy()[at], batch.column(0).take(pa.array(at))
-                for number in np.unique(numbers):
-                    asked, own = by_list.get(int(number)), np.flatnonzero(numbers == number)
-                    if asked is None:
+                for first in range(0, batch.num_rows, V.BLOCK[1]):
+                    part = batch.slice(first, V.BLOCK[1])
+                    at = pa.array(_unit(part.column(1))[0])
+                    if not len(at):
                         continue
-                    own = own[np.argsort(np.array(ids.take(pa.array(own)).to_pylist(), object), kind="stable")]
-                    both = size[asked][:, None] * length[own]
-                    cos = np.round((x[asked] @ v[own].T) * (both / (both + L.EPS)), 12)
-                    best = np.argsort(-cos, axis=1, kind="stable")[:, :k]
-                    row = np.repeat(np.arange(len(asked)), best.shape[1])
-                    flat = best.ravel()
-                    yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in asked[row]], to_arrow_type(kinds[query_id])), ids.take(pa.array(own[flat])), pa.array(cos[row, flat])], kept)
+                    numbers, ids, v = part.column(2).take(at).to_numpy(), V.ids_of(part.column(0).take(at)), V.rows_of(part.column(1).take(at))
+                    for number in np.unique(numbers):
+                        if (queries := by_list.get(int(number))) is not None:
+                            own = numbers == number
+                            best.add(ids[own], v[own], queries)
+            yield from V.best_rows(best, names, (kinds[query_id], kinds[vector_id]), kept)
 
         return self.probed(list(by_list)).select(vector_id, self.column, "list").mapInArrow(run, shape)
