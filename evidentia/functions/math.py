@@ -36,6 +36,21 @@ def overlap(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.greatest(F.lit(1), F.size(a))
 
 
+def share(n: Column, of: Column) -> Column:
+    return n / F.greatest(F.lit(1), of)
+
+
+def support_of(shared: Column, n_tokens: Column, named: Column, n_entities: Column) -> Column:
+    """``support`` from counts of what a text holds of the claim's tokens and entities."""
+    return 0.5 * share(shared, n_tokens) + 0.5 * share(named, n_entities)
+
+
+def contradiction_of(shared: Column, n_tokens: Column, named: Column, n_entities: Column, opposed: Column, negated: Column) -> Column:
+    """``contradiction`` from counts, of opposites too, and whether the text has a negation."""
+    against = 0.7 * share(opposed, n_tokens) + 0.3 * F.coalesce(negated.cast("double"), F.lit(0.0))
+    return (0.1 + 0.9 * share(named, n_entities)) * against * share(shared, n_tokens)
+
+
 def support(claim_tokens: Column, evidence_tokens: Column, claim_entities: Column, evidence_entities: Column) -> Column:
     return 0.5 * overlap(claim_tokens, evidence_tokens) + 0.5 * overlap(claim_entities, evidence_entities)
 

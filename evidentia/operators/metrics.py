@@ -62,7 +62,12 @@ def evidence_metrics(evidence: DataFrame, key: str = "claim_id", half_life: floa
 def baseline_scores(pairs: DataFrame, key: str = "claim_id", antonyms=L.ANTONYMS, negations: Sequence[str] = L.NEGATIONS) -> DataFrame:
     """ESS, ECS and EAGS per claim of rows with c_tokens, e_tokens, c_entities, e_entities, relevance."""
     args = [F.col(c) for c in ("c_tokens", "e_tokens", "c_entities", "e_entities")]
-    scored = pairs.select(key, "relevance", M.support(*args).alias("s"), M.contradiction(*args, antonyms, negations).alias("c"))
+    return mean_scores(pairs, key, M.support(*args), M.contradiction(*args, antonyms, negations))
+
+
+def mean_scores(pairs: DataFrame, key: str, support: Column, contradiction: Column) -> DataFrame:
+    """ESS, ECS and EAGS per claim of rows with relevance."""
+    scored = pairs.select(key, "relevance", support.alias("s"), contradiction.alias("c"))
     return scored.groupBy(key).agg(weighted(F.col("s"), F.col("relevance")).alias("ESS"), weighted(F.col("c"), F.col("relevance")).alias("ECS"), agreement(F.col("s")).alias("EAGS"))
 
 

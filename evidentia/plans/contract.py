@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from evidentia.functions import dates as D
 from evidentia.functions import math as M
 from evidentia.functions import text as T
-from evidentia.operators import corpus, curate, evidence, judges, metrics, vector
+from evidentia.operators import corpus, curate, evidence, judges, metrics, pairs, vector
 from evidentia.plans import evaluate as ev
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -285,16 +285,20 @@ _TOKENS = r"list_distinct(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+'))"
 _PAIR = f"(SELECT * FROM (SELECT b.item_id, d.doc_id, c, e FROM (SELECT item_id, {_TOKENS.format('text')} AS c FROM benchmark) b, (SELECT doc_id, {_TOKENS.format('text')} AS e FROM documents) d) WHERE list_has_any(c, e))"
 
 
-def _pairs(t) -> DataFrame:
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), 1))
-    claims, texts = t("benchmark").select("item_id", words("text").alias("c")), t("documents").select("doc_id", words("text").alias("e"))
-    return corpus.token_pairs(claims, texts, "item_id", "doc_id", "c", "e").join(claims, "item_id").join(texts, "doc_id")
+def _pairs(t, head: bool, first: str | None = None) -> DataFrame:
+    """Pairs that share a token, with counts; a claim's entities are its first five tokens by name, or all of them."""
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), 1))
+    word = F.lower(F.regexp_extract(F.coalesce("text", F.lit("")), r"([\p{L}\p{N}]+)", 1))
+    claims = t("benchmark").select("item_id", words("text").alias("c"), word.alias("w"))
+    claims = claims.withColumn("h", F.slice(F.array_sort("c"), 1, 5) if head else F.col("c"))
+    sized = claims.select("item_id", F.size("c").alias("n"), F.size("h").alias("n_named"), pairs.parts("c", "h", PAIRS, first).alias("parts"))
+    texts = t("documents").select("doc_id", words("text").alias("e")).withColumn("negated", F.arrays_overlap("e", F.array(*map(F.lit, NEGATED))))
+    return pairs.met(sized, texts, "item_id", "parts", "e")
 
 
 @query(f"SELECT item_id, doc_id, round(0.5 * len(list_intersect(c, e)) / greatest(1, len(c)) + 0.5 * len(list_intersect(list_sort(c)[1:5], e)) / greatest(1, len(c[1:5])), 6) AS support FROM {_PAIR}")
 def q33_support(t):
-    head = F.slice(F.array_sort("c"), 1, 5)
-    return _pairs(t).select("item_id", "doc_id", F.round(M.support(F.col("c"), F.col("e"), head, F.col("e")), 6).alias("support"))
+    return _pairs(t, head=True).select("item_id", "doc_id", F.round(M.support_of(*map(F.col, ("shared", "n", "named", "n_named"))), 6).alias("support"))
 
 
 _OPPOSED = " + ".join(f"CAST(list_contains(c, '{x}') AND list_contains(e, '{y}') AS INTEGER) + CAST(list_contains(e, '{x}') AND list_contains(c, '{y}') AS INTEGER)" for x, y in PAIRS)
@@ -305,7 +309,8 @@ _SHARED = "(len(list_intersect(c, e))::DOUBLE / greatest(1, len(c)))"
 
 @query(f"""SELECT item_id, doc_id, round((0.1::DOUBLE + 0.9::DOUBLE * {_SHARED}) * (0.7::DOUBLE * (({_OPPOSED})::DOUBLE / greatest(1, len(c))) + 0.3::DOUBLE * CAST(list_has_any(e, {list(NEGATED)}) AS INTEGER)) * {_SHARED}, 12) AS contradiction FROM {_PAIR}""")
 def q34_contradiction(t):
-    return _pairs(t).select("item_id", "doc_id", F.round(M.contradiction(F.col("c"), F.col("e"), F.col("c"), F.col("e"), PAIRS, NEGATED), 12).alias("contradiction"))
+    score = M.contradiction_of(*map(F.col, ("shared", "n", "named", "n_named", "opposed", "negated")))
+    return _pairs(t, head=False).select("item_id", "doc_id", F.round(score, 12).alias("contradiction"))
 
 
 _KINDS = "CASE event_type WHEN 'click' THEN 'news_article' WHEN 'view' THEN 'unknown' WHEN 'purchase' THEN 'financial_filing' ELSE 'marketing' END"

@@ -60,3 +60,16 @@ def test_nearest_hold_no_pairs(monkeypatch):
     tracemalloc.stop()
     assert len(ids) == 4_000 * 11 and (ids[::11] == np.arange(0, 20_000, 5)).all()
     assert peak < 200 << 20  # all cosines at once are 640 MB
+
+
+def test_pairs_are_scored_where_the_texts_are(spark, sf, tmp_path):
+    """No row of tokens is shuffled for a pair; repeated and null rows are as the SQL has them."""
+    from pyspark.sql import functions as F
+
+    claims = spark.sql("SELECT * FROM VALUES (1L, 'The end of that'), (1L, 'In it: and, to.'), (2L, NULL), (3L, '...'), (4L, 'of of the THE') AS t(item_id, text)")
+    texts = spark.sql("SELECT * FROM VALUES (1L, 'of the'), (2L, NULL), (3L, ''), (4L, 'to that end que was'), (4L, 'and in'), (5L, 'zzz') AS t(doc_id, text)")
+    for name in ("q33_support", "q34_contradiction"):
+        got = contract.QUERIES[name](spark, sf)
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        same_as_sql(spark, tmp_path / name, name, benchmark=claims, documents=texts)
+    same_as_sql(spark, tmp_path / "q71", "q71_baseline_scores", benchmark=claims.where("item_id > 1"), documents=texts.where(F.col("doc_id") != 4))
