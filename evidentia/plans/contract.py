@@ -13,6 +13,7 @@ from evidentia.functions import math as M
 from evidentia.functions import text as T
 from evidentia.operators import corpus, curate, evidence, judges, metrics, pairs, vector
 from evidentia.plans import evaluate as ev
+from evidentia.session import bounded_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -22,7 +23,11 @@ def query(sql: str | None = None) -> Callable:
     """Register a function (table reader) -> DataFrame under its name, with its SQL."""
 
     def add(f: Callable) -> Callable:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            bounded_batches(spark)
+            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+        QUERIES[f.__name__] = run
         if sql:
             ORACLE_SQL[f.__name__] = sql
         return f

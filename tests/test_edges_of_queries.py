@@ -73,3 +73,13 @@ def test_pairs_are_scored_where_the_texts_are(spark, sf, tmp_path):
         assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
         same_as_sql(spark, tmp_path / name, name, benchmark=claims, documents=texts)
     same_as_sql(spark, tmp_path / "q71", "q71_baseline_scores", benchmark=claims.where("item_id > 1"), documents=texts.where(F.col("doc_id") != 4))
+
+
+def test_python_batches_are_bounded(spark, sf):
+    """Queries that go through Python get batches of at most 1,000 rows, whatever the session has."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for had in ("10000", "0", "500"):
+        spark.conf.set(name, had)
+        contract.QUERIES["q10_html_to_text"](spark, sf)
+        assert 0 < int(spark.conf.get(name)) <= 1000
+    spark.conf.set(name, "1000")
