@@ -1,18 +1,20 @@
-"""HTML extraction: marked articles by their structure; else blocks that no run of words repeated in the host's suffix array covers."""
+"""HTML extraction: blocks that structure does not tell to be furniture and that no run of words repeated in the host's suffix array covers."""
 
 from __future__ import annotations
 
 import hashlib
 import html
 import re
+import zlib
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import map_arrow, stored
+from evidentia.llm.common import bounded_batches, map_arrow, stored, worker_cache
 
 #: Tags whose whole content is dropped, and those of them whose content is no markup.
 DROPPED = frozenset("nav header footer aside form script style noscript template iframe svg canvas object button select textarea menu dialog head title audio video math datalist".split())
@@ -29,6 +31,10 @@ COMMENT_WORDS = frozenset("comment comments commentlist disqus replies respond r
 #: Words of a run that must repeat on distinct pages, the share of a block's words under repeated runs from which on
 #: it is boilerplate, and the rows of an Arrow batch of suffixes.
 RUN, COVERED, SLICE = 8, 0.9, 10_000
+#: In a marked article, where passages repeat as well, a run is furniture if at least LEAST distinct pages of the host and
+#: a share of SHARED of them have it; where such blocks hold more than the share MOST of an article's words, pages are
+#: near copies and keep theirs.  Words of an anchor, and pages of a host that are counted at once.
+LEAST, SHARED, MOST, GRAM, PART = 5, 0.5, 0.5, 4, 1_000
 
 #: A quote opens a value only after an equals sign; elsewhere in a tag it is a character like others.
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:=\s*+"[^"]*+"|=\s*+'[^']*+'|[^>])*+)>""", re.S)
@@ -169,21 +175,53 @@ def article_text(source: str | None) -> str | None:
     return "\n".join(text for inside, text in blocks(source) if inside)
 
 
+class Numbers(dict):
+    """A number of 32 bits for each word; what is held stays bounded."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 200_000:
+            self.clear()
+        found = self[word] = zlib.crc32(word.encode("utf-8", "surrogatepass"))
+        return found
+
+
+def words_of(text_blocks: list[str]) -> list[str]:
+    """A page's stream: its blocks' words, with a mark after each block."""
+    return [w for t in text_blocks for w in (*t.split(), "\n")]
+
+
+def run_anchors(stream: list[str], numbers: dict[str, int]) -> np.ndarray:
+    """For each place from which RUN words follow, the least hash of GRAM words among them: the same wherever the run stands."""
+    n = np.fromiter(map(numbers.__getitem__, stream), np.uint64, len(stream))
+    size = max(0, len(n) - GRAM + 1)
+    grams = np.zeros(size, np.uint64)
+    for i in range(GRAM):
+        grams = (grams + n[i : i + size]) * np.uint64(0x9E3779B97F4A7C15)
+        grams ^= grams >> np.uint64(29)
+    hashes, count = (grams >> np.uint64(32)).astype(np.uint32).view(np.int32), max(0, len(n) - RUN + 1)
+    least = hashes[:count].copy()
+    for i in range(1, RUN - GRAM + 1):
+        np.minimum(least, hashes[i : i + count], out=least)
+    return least
+
+
 def suffixes(pages: DataFrame) -> DataFrame:
     """(host, head, content, at) for each place of each page from which RUN words follow: the suffix that starts there.
 
-    A page's stream is its blocks' words, with a mark after each block; ``head`` is the suffix's first RUN words.
+    ``head`` is the suffix's first RUN words.  Of a page with ``anchors``, suffixes whose first run has one of them.
     """
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for host, content, own in zip(*(batch.column(c).to_pylist() for c in ("host", "content", "blocks")), strict=True):
-            stream = [w for t in own for w in (*t.split(), "\n")]
-            for first in range(0, len(stream) - RUN + 1, SLICE):
-                at = range(first, min(first + SLICE, len(stream) - RUN + 1))
+        numbers = worker_cache("html numbers").setdefault("all", Numbers())
+        for host, content, own, some in zip(*(batch.column(c).to_pylist() for c in ("host", "content", "blocks", "anchors")), strict=True):
+            stream = words_of(own)
+            places = range(len(stream) - RUN + 1) if some is None else np.flatnonzero(np.isin(run_anchors(stream, numbers), some)).tolist()
+            for first in range(0, len(places), SLICE):
+                at = places[first : first + SLICE]
                 heads = ["\0".join(stream[i : i + RUN]) for i in at]
                 yield pa.RecordBatch.from_arrays([pa.array([host] * len(at), pa.string()), pa.array(heads, pa.string()), pa.array([content] * len(at), pa.binary()), pa.array(at, pa.int32())], ["host", "head", "content", "at"])
 
-    return map_arrow(pages.select("host", "content", "blocks"), run, "host string, head string, content binary, at int")
+    return map_arrow(pages.select("host", "content", "blocks", "anchors"), run, "host string, head string, content binary, at int")
 
 
 def shared_prefixes(rows: Iterable[tuple]) -> Iterator[tuple]:
@@ -216,18 +254,24 @@ def shared_prefixes(rows: Iterable[tuple]) -> Iterator[tuple]:
         yield from edge()
 
 
+def suffix_array(found: DataFrame) -> DataFrame:
+    """Suffixes of all hosts in order, as deep as RUN words, which settles every repeat of that length.
+
+    A range sort lays all suffixes in the order of their first words, whatever host they are of, so that a hot host, and
+    a head that very many pages share, are cut over partitions.  A page's suffixes of one head stay together.
+    """
+    bounded_batches(found.sparkSession)
+    order = ["host", "head", "content"]
+    return found.repartitionByRange(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order, "at")
+
+
 def repeated_places(pages: DataFrame) -> DataFrame:
     """(host, content, places): where, on each page, runs of RUN words or more begin that another page of the host has.
 
-    A suffix array of each host, ordered as deep as RUN words, which settles every repeat of that length: a range sort
-    lays all suffixes in the order of their first words, whatever host they are of, so that a hot host, and a head that
-    very many pages share, are cut over partitions.  Neighbours of the same head share RUN words.  Heads at the edges
-    of partitions meet once more, at most two of each.  ``pages`` holds each content of a host once.
+    Neighbours of the same head in the suffix array share RUN words.  Heads at the edges of partitions meet once more,
+    at most two of each.  ``pages`` holds each content of a host once.
     """
-    spark = pages.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = ["host", "head", "content"]
-    array = stored(suffixes(pages), "suffixes").repartitionByRange(parts, *order).sortWithinPartitions(*order, "at")
+    array = suffix_array(stored(suffixes(pages), "suffixes"))
     shape = pa.schema([("host", pa.string()), ("head", pa.string()), ("content", pa.binary()), ("at", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,26 +288,95 @@ def repeated_places(pages: DataFrame) -> DataFrame:
     return hits.groupBy("host", "content").agg(F.collect_list("at").alias("places"))
 
 
-def kept_blocks(text_blocks: list[str], places: list[int]) -> list[str]:
-    """A page's blocks, without those of whose words the runs that begin at these places cover COVERED or more."""
+def likely_anchors(pages: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(host, anchors): the anchors of all runs that a share of SHARED of a host's pages have, and a few more.
+
+    A host's pages are dealt over groups.  What that share of all its pages have, the same share of some group's pages
+    have at least, so nothing is missed, and a group names few; which runs are meant is for the suffix array to settle.
+    """
+
+    def anchored(batch: pa.RecordBatch) -> pa.RecordBatch:
+        numbers = worker_cache("html numbers").setdefault("all", Numbers())
+        found = [np.unique(run_anchors(words_of(text.split("\n")), numbers)) for text in batch.column("text").to_pylist()]
+        ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
+        return pa.RecordBatch.from_arrays([batch.column("host"), batch.column("content"), lists], ["host", "content", "anchors"])
+
+    def frequent(group: pa.Table) -> pa.Table:
+        values, counts = np.unique(group.column("anchors").combine_chunks().flatten().to_numpy(), return_counts=True)
+        least = group.num_rows * SHARED if group.column("dealt")[0].as_py() > 1 else max(LEAST, group.num_rows * SHARED)
+        some = values[counts >= least]
+        return pa.table({"host": pa.array([group.column("host")[0].as_py()] * len(some), pa.string()), "anchor": pa.array(some, pa.int32())})
+
+    each = map_arrow(pages.select("host", "content", "text"), anchored, "host string, content binary, anchors array<int>").dropDuplicates(["host", "content"])
+    dealt = each.join(sizes, "host").withColumn("dealt", F.ceil(F.col("n") / PART).cast("int"))
+    groups = dealt.select("host", "dealt", "anchors", F.pmod(F.xxhash64("content"), F.col("dealt")).alias("part")).groupBy("host", "part")
+    return groups.applyInArrow(frequent, "host string, anchor int").groupBy("host").agg(F.collect_set("anchor").alias("anchors"))
+
+
+def common_places(pages: DataFrame) -> DataFrame | None:
+    """(host, content, places): where, on each page, runs of RUN words begin that SHARED of the host's distinct pages, and LEAST at least, have.
+
+    By the suffix array of each host, in which the pages of a head are neighbours; partitions' counts add up, as a page's
+    suffixes of one head stay together.  None if no host has such runs.
+    """
+    one = stored(pages.groupBy("host", "content").agg(F.min("_row").alias("_row")), "article-pages")
+    sizes = stored(one.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST), "article-hosts")
+    if sizes.isEmpty():
+        return None
+    likely = stored(likely_anchors(pages, sizes), "likely-anchors")
+    if likely.isEmpty():
+        return None
+    those = pages.join(likely, "host").join(one.select("_row"), "_row", "left_semi")
+    found = stored(suffixes(those.withColumn("blocks", F.split("text", "\n"))), "article-suffixes")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last, n, out = None, None, 0, []
+        for batch in batches:
+            for host, head, content in zip(*(batch.column(c).to_pylist() for c in ("host", "head", "content")), strict=True):
+                if (host, head) != key:
+                    if key:
+                        out.append((*key, n))
+                    key, last, n = (host, head), content, 1
+                elif content != last:
+                    last, n = content, n + 1
+            if len(out) >= SLICE:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["host", "head", "n"])
+                out = []
+        if key:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, (*key, n), strict=True)], ["host", "head", "n"])
+
+    heads = suffix_array(found).mapInArrow(counted, "host string, head string, n bigint").groupBy("host", "head").agg(F.sum("n").alias("have"))
+    common = heads.join(sizes, "host").where((F.col("have") >= LEAST) & (F.col("have") >= F.col("n") * SHARED))
+    return found.join(common, ["host", "head"], "left_semi").groupBy("host", "content").agg(F.collect_list("at").alias("places"))
+
+
+def kept_blocks(text_blocks: list[str], places: list[int], most: float = 1.0) -> list[str]:
+    """A page's blocks, without those of whose words the runs that begin at these places cover COVERED or more.
+
+    All stay if those have more than the share ``most`` of the page's words.
+    """
     if not places:
         return text_blocks
     sizes = [len(t.split()) for t in text_blocks]
     covered = bytearray(sum(sizes) + len(sizes))
     for i in places:
         covered[i : i + RUN] = b"\1" * RUN
-    at, out = 0, []
+    at, out, gone = 0, [], 0
     for t, n in zip(text_blocks, sizes, strict=True):
         if sum(covered[at : at + n]) < COVERED * n:
             out.append(t)
+        else:
+            gone += n
         at += n + 1
-    return out
+    return out if gone <= most * sum(sizes) else text_blocks
 
 
 def parsed(pages: DataFrame) -> DataFrame:
     """page_id, url, host, and of each page either its article's text or, if it has no article block, all its blocks.
 
-    A stored table with a number for each row, _row; ``content`` is a digest of the blocks.
+    A stored table with a number for each row, _row; ``content`` is a digest of the text or the blocks, null where there
+    are none.  Neither is a result yet: both go to the suffix array.
     """
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     host = F.coalesce(F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][\w+.-]*://(?:[^/?#]*@)?([^/?#]*)", 1)), F.lit(""))
@@ -276,7 +389,8 @@ def parsed(pages: DataFrame) -> DataFrame:
             texts.append(article if article or not found else None)
             rest.append([text for _, text in found] if texts[-1] is None else None)
         columns = [batch.column(c) for c in ("page_id", "url", "host")]
-        content = [None if own is None else hashlib.blake2b("\n".join(own).encode("utf-8", "surrogatepass"), digest_size=16).digest() for own in rest]
+        held = [text if own is None else "\n".join(own) for text, own in zip(texts, rest, strict=True)]
+        content = [hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=16).digest() if x else None for x in held]
         columns += [pa.array(texts, pa.string()), pa.array(rest, pa.list_(pa.string())), pa.array(content, pa.binary())]
         return pa.RecordBatch.from_arrays(columns, ["page_id", "url", "host", "text", "blocks", "content"])
 
@@ -287,26 +401,34 @@ def parsed(pages: DataFrame) -> DataFrame:
 def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each page.
 
-    A page that marks its article (article, main) gives the blocks in it, without parts that tags, classes or roles
-    tell to be menus, headers, footers, sidebars, notices, adverts, forms or comments.  From pages without an article
-    block (a reader comment is none), such parts go as well, and then blocks under long runs of words that distinct
-    pages of the host repeat, by the host's suffix array (``repeated_places``).  A null or empty html gives an empty
-    text; null urls are one host; repeated rows stay, and pages of the same blocks count as one, so repeated rows keep
-    their text.
+    A page that marks its article (article, main) offers the blocks in it, without parts that tags, classes or roles
+    tell to be menus, headers, footers, sidebars, notices, adverts, forms or comments.  Pages without an article
+    block (a reader comment is none) offer all blocks outside such parts.  Of either, blocks under runs of words that
+    the host repeats go, by the host's suffix array: without an article, runs that distinct pages share
+    (``repeated_places``); in articles, which quote each other, runs that at least half of the host's distinct articles
+    share (``common_places``).  A null or empty html gives an empty text; null urls are one host; repeated rows stay, and
+    pages of the same blocks count as one, so repeated rows keep their text.
     """
     rows = parsed(pages)
-    marked = rows.where(F.col("blocks").isNull()).select("page_id", "url", "text")
+    marked = rows.where(F.col("blocks").isNull())
     rest = rows.where(F.col("blocks").isNotNull())
+    common = common_places(marked.where(F.col("content").isNotNull()))
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        pairs = zip(batch.column("blocks").to_pylist(), batch.column("places").to_pylist(), strict=True)
-        texts = ["\n".join(kept_blocks(own, places or [])) for own, places in pairs]
+        held = zip(*(batch.column(c).to_pylist() for c in ("blocks", "places", "most")), strict=True)
+        texts = ["\n".join(kept_blocks(own, places or [], most)) for own, places, most in held]
         return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    if rest.isEmpty():
-        left = rest.select("page_id", "url", "text")
+    def without(some: DataFrame, places: DataFrame, most: float) -> DataFrame:
+        found = some.join(places, ["host", "content"], "left").select("page_id", "url", "blocks", "places", F.lit(most).alias("most"))
+        return map_arrow(found, cut, "page_id bigint, url string, text string")
+
+    if common is None:
+        left = marked.select("page_id", "url", "text")
     else:
+        left = without(marked.withColumn("blocks", F.split("text", "\n")), common, MOST)
+    if not rest.isEmpty():
         one = rest.groupBy("host", "content").agg(F.min("_row").alias("_row")).select("_row")
-        places = repeated_places(rest.join(one, "_row", "left_semi"))
-        left = map_arrow(rest.join(places, ["host", "content"], "left").select("page_id", "url", "blocks", "places"), cut, "page_id bigint, url string, text string")
-    return marked.unionByName(left).withColumn("n_chars", F.length("text").cast("bigint"))
+        places = repeated_places(rest.join(one, "_row", "left_semi").withColumn("anchors", F.lit(None).cast("array<int>")))
+        left = left.unionByName(without(rest, places, 1.0))
+    return left.withColumn("n_chars", F.length("text").cast("bigint"))

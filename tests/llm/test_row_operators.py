@@ -551,3 +551,43 @@ def test_deep_markup_takes_linear_time():
 
 def test_a_teaser_beside_the_article_goes():
     assert html_extract.article_text("<main><article><p>own</p></article><article class='teaser'><p>other</p></article></main>") == "own"
+
+
+def _own(rng, n):
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+
+
+def test_marked_articles_meet_in_the_suffix_array(spark):
+    """A notice in most of a host's articles goes, one in few stays, and so does what near copies share."""
+    rng = random.Random(3)
+    notice, quote, copy = "read our free weekly letter with all the news", "to be or not to be that is the question", _own(rng, 30)
+    made = [(i, "http://a/x", [_own(rng, 20), *([quote] if i % 3 == 0 else []), *([notice] if i % 4 else [])]) for i in range(40)]
+    made += [(100 + i, "http://b/x", [copy, _own(rng, 3)]) for i in range(40)] + [(200 + i, "http://c/x", [_own(rng, 20), notice]) for i in range(4)]
+    made.append(made[1])
+    pages = spark.createDataFrame([(i, u, f"<nav>x</nav><article>{''.join(f'<p>{b}</p>' for b in own)}</article>") for i, u, own in made], "page_id bigint, url string, html string")
+    got = sorted((r.page_id, r.text, r.n_chars) for r in html_extract.extract_text(pages).collect())
+    want = [(i, "\n".join(b for b in own if b != notice or u != "http://a/x")) for i, u, own in made]
+    assert got == sorted((i, t, len(t)) for i, t in want)
+
+
+def test_runs_of_half_the_articles_are_brute_force(spark, monkeypatch):
+    """Hosts dealt over groups or not, against a count of every run."""
+    monkeypatch.setattr(html_extract, "PART", 7)
+    rng = random.Random(4)
+    some = [_own(rng, 9) for _ in range(12)]
+    pages = [(rng.choice("aaab"), [rng.choice(some[: rng.choice((1, 1, 2, 12))]) for _ in range(rng.randint(1, 3))] + [_own(rng, 30)]) for _ in range(90)]
+    where, hosts = {}, {}
+    for host, own in pages:
+        s = html_extract.words_of(own)
+        hosts.setdefault(host, set()).add(tuple(own))
+        for i in range(len(s) - html_extract.RUN + 1):
+            where.setdefault((host, *s[i : i + html_extract.RUN]), set()).add(tuple(own))
+    want = []
+    for host, own in pages:
+        s = html_extract.words_of(own)
+        need = max(html_extract.LEAST, len(hosts[host]) * html_extract.SHARED)
+        at = [i for i in range(len(s) - html_extract.RUN + 1) if len(where[(host, *s[i : i + html_extract.RUN])]) >= need]
+        want.append("\n".join(html_extract.kept_blocks(own, at, html_extract.MOST)))
+    rows = [(i, f"http://{host}/{i}", "<main>" + "".join(f"<p>{b}</p>" for b in own) + "</main>") for i, (host, own) in enumerate(pages)]
+    got = {r.page_id: r.text for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert [got[i] for i in range(len(pages))] == want and want != ["\n".join(own) for _, own in pages]
