@@ -32,6 +32,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 #: Unicode's white space, as text methods strip it.
 SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPACE = f"[{SPACES}]"
+#: Runs of white space other than one space.  Most characters are settled by one range and one table lookup.
+_OTHER = r"\t-\r\x1c-\x1f\x85\xa0[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]"
+_UNEVEN = f"[{_OTHER}][ {_OTHER}]*| [ {_OTHER}]+"
 
 
 def strip(text: Column) -> Column:
@@ -41,7 +44,7 @@ def strip(text: Column) -> Column:
 
 def collapse(text: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
-    return strip(F.regexp_replace(text, f"{_SPACE}+", " "))
+    return strip(F.regexp_replace(text, _UNEVEN, " "))
 
 
 def filled(*columns: Column) -> Column:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,39 +96,69 @@ def coherence(sentences: Column, entities: Column, antonyms=L.ANTONYMS, negation
     return F.when(F.coalesce(F.size(words), F.lit(0)) < 2, F.lit(1.0)).otherwise(1 - mean)
 
 
+#: Bytes of sentences that are summed at once, unless one claim has more.
+SLICE_BYTES = 2 << 20
+
+
+def pair_sums(claims: pa.Array, opposites: Sequence[tuple[str, str]], negations: Sequence[str]) -> np.ndarray:
+    """Of each list of sentences, in lower case, the sum of contradictions over its pairs, for equal entities.
+
+    Tokens are numbers in the order of token, claim and sentence; what stands before one in its group are running sums.
+    """
+    lengths = pc.fill_null(pc.list_value_length(claims), 0).to_numpy(zero_copy_only=False)
+    out, many = np.zeros(len(claims)), int(lengths.sum())
+    if not many:
+        return out
+    split = pc.ascii_split_whitespace(claims.flatten())
+    coded = split.flatten().dictionary_encode()
+    sentence = np.repeat(np.arange(many), pc.list_value_length(split).to_numpy(zero_copy_only=False))
+    keys = np.sort(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * many + sentence)
+    keys = keys[np.diff(keys, prepend=-1) > 0]  # a sentence's tokens count once
+    token = keys // many
+    sentence = keys - token * many
+    claim = np.repeat(np.arange(len(claims)), lengths)[sentence]
+    size = np.maximum(1, np.bincount(sentence, minlength=many))
+    first = np.concatenate([[True], (token[1:] != token[:-1]) | (claim[1:] != claim[:-1])])
+    start = np.flatnonzero(first)[np.cumsum(first) - 1]
+
+    marks = sorted({*negations, *(x for pair in opposites for x in pair)})
+    codes = dict(zip(marks, pc.index_in(pa.array(marks, coded.dictionary.type), value_set=coded.dictionary).to_pylist(), strict=True))
+
+    def having(words: Sequence[str]) -> np.ndarray:
+        found = np.zeros(many, bool)
+        for code in (codes[w] for w in words if codes[w] is not None):
+            found[sentence[slice(*np.searchsorted(keys, (code * many, (code + 1) * many)))]] = True
+        return found
+
+    kinds = [(0.3 / size, having(negations)), *((having([x]) * 0.7 / size**2, having([y])) for x, y in opposites)]
+    for weight, second in kinds:
+        if second.any() and weight.any():
+            before = np.concatenate([[0.0], np.cumsum(weight[sentence])])
+            at = np.flatnonzero(second[sentence])
+            out += np.bincount(claim[at], before[at] - before[start[at]], minlength=len(claims))
+    return out
+
+
 def long_coherence(sentences: Column, entities: Column, antonyms=L.ANTONYMS, negations: Sequence[str] = L.NEGATIONS) -> Column:
     """LCS as ``coherence`` has it, for claims of any number of sentences: no pair is formed.
 
     The contradiction of two sentences is a sum over the tokens they share, and over the opposites that stand one in
     each (or a negation in the second), of what the first weighs.  So running sums of these weights, by opposites and
-    token, in the order of sentences, give the sum over all pairs.  Time and memory grow with a claim's tokens, one
-    claim at a time; a null sentence is an empty one.
+    token, in the order of sentences, give the sum over all pairs.  Time and memory grow with a claim's tokens; a null
+    sentence is an empty one.  The sentences are worked out once: their number is counted where the sums are.
     """
     both = [p for x, y in antonyms for p in ((x, y), (y, x))]
-    negative = frozenset(negations)
-
-    def total(claim: list[list[str]]) -> float:
-        sums: dict[object, dict[str, float]] = {}
-        out = 0.0
-        for words in claim:
-            own = set(words)
-            seconds = [m for m, (_, y) in enumerate(both) if y in own] + ["no"] * (not own.isdisjoint(negative))
-            out += sum(sum(map(sums[m].get, words, repeat(0.0))) for m in seconds if m in sums)
-            size = max(1, len(words))
-            for m, weight in [("no", 0.3 / size), *((m, 0.7 / size**2) for m, (x, _) in enumerate(both) if x in own)]:
-                before = sums.setdefault(m, {})
-                for word in words:
-                    before[word] = before.get(word, 0.0) + weight
-        return out
+    negative = sorted(set(negations))
 
     @F.arrow_udf("double")
-    def of_pairs(claims: pa.Array) -> pa.Array:
-        return pa.array([total(c.as_py()) if c.is_valid else None for c in claims], pa.float64())
-
-    words = _words(sentences)
-    n = F.coalesce(F.size(words), F.lit(0))
-    mean = (0.1 + 0.9 * M.overlap(entities, entities)) * of_pairs(words) / (n * (n - 1) / 2 + L.EPS)
-    return F.when(n < 2, F.lit(1.0)).otherwise(1 - mean)
+    def mean_of_pairs(claims: pa.Array) -> pa.Array:
+        size = max(1, len(claims) * SLICE_BYTES // max(1, claims.nbytes))
+        n = pc.fill_null(pc.list_value_length(claims), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        sums = np.concatenate([np.zeros(0), *(pair_sums(claims[at : at + size], both, negative) for at in range(0, len(claims), size))])
+        return pa.array(sums / (n * (n - 1) / 2 + L.EPS), pa.float64(), mask=n < 2)
+
+    mean = mean_of_pairs(F.transform(sentences, lambda s: F.trim(F.lower(F.coalesce(s, F.lit(""))))))
+    return F.when(mean.isNull(), F.lit(1.0)).otherwise(1 - (0.1 + 0.9 * M.overlap(entities, entities)) * mean)
 
 
 def claim_score(cms: Column, hls: Column, lcs: Column, scope: Column, clip: bool = True) -> Column:

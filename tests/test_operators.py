@@ -176,6 +176,12 @@ def test_long_coherence_is_the_pairs(spark):
     assert key(df.select("k", metrics.long_coherence(F.col("s"), entities, *args).alias("LCS")).collect()) == want and len({x for *_, x in want}) > 20
 
 
+def test_long_coherence_works_out_sentences_once(spark):
+    df = spark.range(3).select(F.col("id").cast("string").alias("t"))
+    plan = df.select(metrics.long_coherence(F.split(F.upper("t"), ","), F.array(F.lit("e")), [("b", "c")], ["x"]).alias("v"))
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("upper(") == 1
+
+
 def _ensemble(spark, rows, **k):
     df = spark.createDataFrame([(1, *r) for r in rows], "c int, score double, confidence double, failed boolean")
     return judges.ensemble(df, ["c"], **k).first()
