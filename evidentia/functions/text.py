@@ -76,6 +76,12 @@ def chunks(text: Column, size: int = 1000, overlap: int = 150) -> Column:
     return F.when(F.length(strip(text)) > 0, let(strip(text), windows)).otherwise(F.array().cast("array<string>"))
 
 
+def chunk_count(text: Column, size: int = 1000, overlap: int = 150) -> Column:
+    """How many ``chunks`` a text has, without cutting it."""
+    length = F.length(strip(text))
+    return F.when(length > 0, F.greatest(F.lit(0), F.ceil((length - size) / (size - overlap))).cast("int") + 1).otherwise(F.lit(0))
+
+
 def sentences(text: Column, least: int = 80, most: int = 900) -> Column:
     """Sentences of ``least`` to ``most`` characters.  One ends at . ? or ! before white space and a capital letter."""
     parts = F.split(F.coalesce(text, F.lit("")), r"(?<=[.?!])\s+(?=[A-Z])")

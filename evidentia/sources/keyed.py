@@ -100,8 +100,7 @@ class KeyedTable:
 
         ``finish`` sees new rows only: what is dear, as model calls, is done for those alone.  It may drop rows, and
         returns a table of ``stored``, which goes when it is written.  Filters are written before the data, since a key too
-        many in a filter does no harm.  Keys alone are looked at first, so whole rows are shuffled only where some are
-        to be left out.
+        many in a filter does no harm.  Keys alone are looked at first: where none is new, whole rows are not looked at.
         """
         fresh = df.where(F.col(self.key).isNotNull())
         keys = stored(_hashed(fresh, self.key), "keys")
@@ -109,7 +108,14 @@ class KeyedTable:
             fresh = fresh.dropDuplicates([self.key])
         present = self._present(keys)
         if present is not None:
-            fresh = fresh.join(present, self.key, "left_anti")
+            new = stored(keys.select(self.key).join(present, self.key, "left_anti"), "new-keys")
+            if new.isEmpty():
+                self.added = 0
+                forget(new)
+                forget(keys)
+                return
+            fresh = fresh.join(new, self.key, "left_semi")
+        fresh = fresh.repartition(bucket_of(F.col(self.key)))  # a bucket is written by a task or two, not by all
         fresh = finish(fresh) if finish else stored(fresh, "new-rows")
         self.added = fresh.count()
         if self.added:

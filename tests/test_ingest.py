@@ -173,3 +173,31 @@ def test_files_whose_types_clash(spark, tmp_path):
     stats = service.ingest(spark, [str(tmp_path / "p0.parquet"), str(tmp_path / "p1.parquet")], str(tmp_path / "out"))
     assert (stats["files"], stats["chunks"], stats["errors"]) == (2, 2, [])
     assert service.ingest(spark, [], str(tmp_path / "out"))["files"] == 0
+
+
+def test_an_upsert_of_known_keys_looks_at_no_row(spark, tmp_path):
+    """Where no key is new, nothing is finished; where some are, only those, and a bucket's rows are in one file or two."""
+    from evidentia.sources import sinks
+    from evidentia.tables import stored
+
+    met = []
+
+    def finish(new):
+        met.append(new.count())
+        return stored(new, "new")
+
+    path = str(tmp_path / "t")
+    rows = spark.range(5000).repartition(8).selectExpr("cast(id as string) AS k", "id AS v")
+    assert sinks.upsert(rows, path, "k", finish).added == 5000
+    assert len(list((tmp_path / "t").glob("bucket=*/*.parquet"))) <= 512
+    assert sinks.upsert(rows, path, "k", finish).added == 0 and met == [5000]
+    more = spark.range(4990, 5010).selectExpr("cast(id as string) AS k", "id AS v")
+    assert sinks.upsert(more, path, "k", finish).added == 10 and met == [5000, 10]
+    assert spark.read.parquet(path).select("k").distinct().count() == spark.read.parquet(path).count() == 5010
+
+
+def test_chunks_are_counted_without_being_cut(spark):
+    from evidentia.functions import text as T
+
+    df = spark.createDataFrame([(None,), ("",), (" \n",), *[(" " + "\u00e9" * n + " ",) for n in (1, 999, 1000, 1001, 1850, 1851, 4000)]], "t string")
+    assert df.where(F.size(T.chunks(F.col("t"))) != T.chunk_count(F.col("t"))).count() == 0
